@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, reshard, rules, secrets, simhash
+from . import bpe, decontaminate, langid, phrases, quality, reshard, rules, secrets, simhash, suffixes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -51,6 +51,14 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op8_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.digest(table(spark, folder, "documents"))
+
+
+def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digest(table(spark, folder, "documents"))
+
+
 def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
@@ -59,5 +67,5 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_decontaminate, op4_reshard, op5_rules, op6_simhash, op7_secrets, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_decontaminate, op4_reshard, op5_rules, op6_simhash, op7_secrets, op8_phrases, op9_suffixes, op10_langid)}
 ORACLES: dict[str, str] = {}
