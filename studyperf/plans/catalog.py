@@ -1,7 +1,115 @@
-"""All queries of the library by name, and their SQL."""
+"""All queries of the library by name, each over the tables of a folder, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores
+from ..operators import breakdowns, essays, facts, ingest, listing, reports
+from ..sources import testviews
+from . import oracles
+
 FLAGSHIP = "blocks_by_subject"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+AS_OF = date(2000, 6, 15)
+FACTS = ("sessao", "bloco", "erro", "simulado")
+#: A weekly plan: weekday (0: Monday), slot, activity.
+PLAN = [(d, slot, name) for d in range(7) for slot, name in (("06:00-08:00", "TEORIA"), ("12:30-14:00", "QUESTOES"), ("19:00-22:30", "REVISAO")) if (d, name) != (6, "REVISAO")]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def over(names: tuple[str, ...], use: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+    return lambda spark, folder: use(testviews.tables(spark, folder, *names))
+
+
+def _block_ipr(t):
+    return facts.scored_blocks(t).select("bloco_id", "aluno_id", F.col("ipr").cast("double").alias("ipr"), scores.pct("total_acertos", "total_questoes").alias("percentual_acerto"))
+
+
+def _mock_ipr(t):
+    return facts.scored_mocks(t).select("simulado_id", "aluno_id", F.col("ipr").cast("double").alias("ipr"))
+
+
+def _streaks(t):
+    days = t["atividade"].select("aluno_id", F.to_date("data").alias("dia")).distinct().withColumn("mes", F.trunc("dia", "month"))
+    return facts.streaks(days)
+
+
+def _plan(spark: SparkSession, folder: str) -> DataFrame:
+    plan = spark.createDataFrame(PLAN, "dia_semana int, horario string, atividade string")
+    return listing.plan_adherence(testviews.view(spark, folder, "atividade"), plan, "data", ["aluno_id"])
+
+
+def _new_subjects(t):
+    """Names of topics, cut to their first words, offered as subjects: many alike, some with weight 0."""
+    offered = t["assunto"].select("assunto_id", F.regexp_replace("nome", " [0-9]+$", "").alias("nome"), (F.col("assunto_id") % 5).alias("peso_prova"))
+    return ingest.new_subjects(offered, t["materia"], "assunto_id").select("assunto_id", "nome", "peso_prova")
+
+
+def _invalid(t):
+    return ingest.checked(t["prova"], "prova").where(F.size("motivos") > 0).select("prova_id", "ano", F.array_join("motivos", ",").alias("motivos"))
+
+
+def _invalid_blocks(t):
+    """Blocks with doubled hits, so that some have more hits than questions."""
+    doubled = t["bloco"].withColumn("total_acertos", F.col("total_acertos") * 2 - 12)
+    return ingest.checked(doubled, "bloco").where(F.size("motivos") > 0).select("bloco_id", F.array_join("motivos", ",").alias("motivos"))
+
+
+def _latest(t):
+    tie = ["pai_id", "aluno_id", "materia_id", "assunto_id", "tipo_sessao", "minutos_liquidos", "nivel_foco", "nivel_energia"]
+    return listing.latest(t["sessao"], "data", tie).select("pai_id", "aluno_id", "materia_id", "assunto_id", "tipo_sessao", "minutos_liquidos")
+
+
+SESSIONS, BLOCKS, MOCKS = ("sessao", "materia"), ("bloco", "erro", "materia"), ("simulado",)
+ESSAYS = ("redacao",)
+
+QUERIES: dict[str, Query] = {
+    "blocks_by_subject": over(BLOCKS, breakdowns.blocks_by_subject),
+    "block_ipr": over(("bloco", "erro"), _block_ipr),
+    "mock_ipr": over(MOCKS, _mock_ipr),
+    "month_summary": over(FACTS, facts.month_summary),
+    "sessions_by_type": over(SESSIONS, breakdowns.sessions_by_type),
+    "sessions_by_subject": over(SESSIONS, breakdowns.sessions_by_subject),
+    "blocks_by_topic": over((*BLOCKS, "assunto"), breakdowns.blocks_by_topic),
+    "blocks_by_difficulty": over(BLOCKS, breakdowns.blocks_by_difficulty),
+    "blocks_grouping_sets": over(BLOCKS, breakdowns.blocks_grouping_sets),
+    "errors_by_type": over(BLOCKS, breakdowns.errors_by_type),
+    "error_group_share": over(BLOCKS, breakdowns.error_group_share),
+    "error_trend": over(BLOCKS, breakdowns.error_trend),
+    "mock_detail": over(("simulado", "desempenho_simulado"), lambda t: breakdowns.mock_detail(t).drop("materias")),
+    "official_exam_detail": over(("prova", "desempenho_prova"), lambda t: breakdowns.official_exam_detail(t).drop("materias")),
+    "essay_scores": over(ESSAYS, lambda t: essays.essay_scores(t["redacao"]).select("redacao_id", "nota_total", "competencia_mais_fraca", "status")),
+    "essay_long": over(ESSAYS, lambda t: essays.essay_long(t["redacao"])),
+    "essay_wide": over(ESSAYS, lambda t: essays.essay_wide(essays.essay_long(t["redacao"]))),
+    "essay_stats": over(ESSAYS, essays.essay_stats),
+    "essay_status_dist": over(ESSAYS, essays.essay_status_dist),
+    "essay_progress": over(ESSAYS, essays.essay_progress),
+    "mental_state": over(FACTS, breakdowns.mental_state),
+    "month_compare": over((*FACTS, "redacao"), reports.month_compare),
+    "month_projection": over(FACTS, lambda t: reports.month_projection(t, AS_OF, [])),
+    "day_rollup": over(FACTS, lambda t: facts.block_days(t, []).drop("horas_exatas", "n_bloco")),
+    "best_worst_day": over(FACTS, lambda t: facts.best_worst_day(t, [])),
+    "streaks": over(("atividade",), _streaks),
+    "consistency": over(FACTS, lambda t: facts.consistency(t, [])),
+    "corr_focus_ipr": over(FACTS, lambda t: breakdowns.corr_focus_ipr(t, [])),
+    "corr_sleep_hits": over(MOCKS, lambda t: breakdowns.corr_sleep_hits(t, [])),
+    "corr_anxiety_errors": over(MOCKS, lambda t: breakdowns.corr_anxiety_errors(t, [])),
+    "subject_balance": over((*FACTS, "materia"), lambda t: breakdowns.subject_balance(t, [])),
+    "period_hours": over(FACTS, lambda t: reports.period_hours(t, "ano", AS_OF)),
+    "dashboard": over(FACTS, lambda t: reports.dashboard(t, "ano", AS_OF)),
+    "dashboard_single": over(FACTS, lambda t: reports.dashboard(t, "mes", AS_OF, [])),
+    "critical_topics": over(FACTS, lambda t: reports.critical_topics(t, "ano", AS_OF)),
+    "analytics_counts": over(FACTS, lambda t: reports.analytics_counts(t, "ano", AS_OF)),
+    "subject_performance": over((*FACTS, "materia"), lambda t: reports.subject_performance(t, "ano", AS_OF)),
+    "plan_adherence": _plan,
+    "latest_sessions": over(("sessao",), _latest),
+    "invalid_exams": over(("prova",), _invalid),
+    "invalid_blocks": over(("bloco",), _invalid_blocks),
+    "new_subjects": over(("assunto", "materia"), _new_subjects),
+}
+ORACLES = oracles.build()
