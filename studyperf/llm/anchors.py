@@ -24,8 +24,9 @@ from .common import small_batches, stored
 #: The bitmap has at most 2 ** MOST_BITS bits (64 MB).
 LEAST_BITS, MOST_BITS = 23, 29
 #: Units that are scanned at once; longer documents are scanned in parts that overlap by a window less one.
-CHUNK = 1 << 19
-FLUSH = 1 << 20
+CHUNK = 1 << 17
+#: Hashes that a worker gathers before it compares them and sends them on.
+FLUSH = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,19 +60,19 @@ class Kind:
 
 
 def runs(kind: Kind, parts: list) -> tuple[np.ndarray, ...]:
-    """Of joined parts of documents: each stretch's part, first window (in the part), number of windows, anchor and number of the anchor's places."""
+    """Of joined parts of documents: each stretch's part, first window (in the part), number of windows, anchor and place among the joined units; and all grams' hashes."""
     lengths = np.array([len(p) for p in parts])
     ends = np.cumsum(lengths)
     starts = ends - lengths
     total = int(ends[-1]) if len(ends) else 0
     empty = np.zeros(0, np.int64)
     if total < kind.window:
-        return empty, empty, empty, empty.astype(np.uint64), empty
+        return empty, empty, empty, empty.astype(np.uint64), empty, empty.astype(np.uint64)
     g = kind.grams(parts)
     least = sliding_min(g, kind.window - kind.gram + 1)[: total - kind.window + 1]
     first = np.flatnonzero((np.repeat(ends, lengths) - np.arange(total))[: len(least)] >= kind.window)
     if not len(first):
-        return empty, empty, empty, empty.astype(np.uint64), empty
+        return empty, empty, empty, empty.astype(np.uint64), empty, empty.astype(np.uint64)
     m = least[first]
     new = np.ones(len(m), bool)
     new[1:] = (m[1:] != m[:-1]) | (first[1:] != first[:-1] + 1)
@@ -81,12 +82,17 @@ def runs(kind: Kind, parts: list) -> tuple[np.ndarray, ...]:
     part = np.searchsorted(starts, begin, "right") - 1
     if len(parts) and (lengths == 0).any():  # empty parts share a start with the next one
         part = np.searchsorted(ends, begin, "right")
-    places = np.ones(len(at), np.int64)
-    if kind.within:
-        span = n + kind.window - kind.gram
-        head = np.repeat(begin - np.cumsum(span) + span, span) + np.arange(span.sum())
-        places = np.add.reduceat((g[head] == np.repeat(value, span)).astype(np.int64), np.cumsum(span) - span)
-    return part, begin - starts[part], n, value, places
+    return part, begin - starts[part], n, value, begin, g
+
+
+def repeats(kind: Kind, g: np.ndarray, begin: np.ndarray, n: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Of stretches, which hold their anchor more than once, where a recurrence within a document counts."""
+    if not kind.within or not len(begin):
+        return np.zeros(len(begin), bool)
+    span = n + kind.window - kind.gram
+    edge = np.cumsum(span) - span
+    head = np.repeat(begin - edge, span) + np.arange(span.sum())
+    return np.add.reduceat((g[head] == np.repeat(value, span)).astype(np.int32), edge) > 1
 
 
 def pieces(kind: Kind, texts: Iterator) -> Iterator[tuple[list, list[tuple[int, int]]]]:
@@ -108,7 +114,7 @@ def pieces(kind: Kind, texts: Iterator) -> Iterator[tuple[list, list[tuple[int,
 
 def slices_of(spark: SparkSession) -> int:
     """Into how many slices hashes are dealt: a power of two, with the cluster's number of partitions."""
-    return 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    return 1 << max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def _packed(slices: int, keys: np.ndarray, repeated: np.ndarray) -> pd.DataFrame:
@@ -130,7 +136,7 @@ KEYS = "slice int, once binary, again binary"
 def bitmap(keys: DataFrame, slices: int) -> tuple[int, bytes]:
     """The number of bits and the bitmap, by the hash's upper bits, of the keys (columns KEYS) that occur twice or more."""
 
-    def met(key, group: pd.DataFrame) -> pd.DataFrame:
+    def met(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         values, n = np.unique(np.frombuffer(b"".join(group["once"]), "<u4"), return_counts=True)
         out = np.union1d(values[n > 1], np.frombuffer(b"".join(group["again"]), "<u4")).astype("<u4")
         return pd.DataFrame({"slice": [key[0]], "n": [len(out)], "found": [out.tobytes()]})
@@ -168,9 +174,9 @@ def recurring(docs: DataFrame, kind: Kind) -> tuple[int, bytes]:
 
         for batch in batches:
             for parts, where in pieces(kind, batch["text"]):
-                part, _, _, value, places = runs(kind, parts)
+                part, _, n, value, begin, g = runs(kind, parts)
                 if kind.within:
-                    many.append(value[places > 1])
+                    many.append(value[repeats(kind, g, begin, n, value)])
                 else:  # once for each document
                     doc = np.array([i for i, _ in where])[part]
                     order = np.lexsort((doc, value))
@@ -276,14 +282,13 @@ def whole_stretches(docs: DataFrame, kind: Kind, known: tuple[int, bytes]) -> Da
         for batch in batches:
             ids = _ids(batch)
             for parts, where in pieces(kind, batch["text"]):
-                part, first, n, value, places = runs(kind, parts)
+                part, first, n, value, begin, g = runs(kind, parts)
                 take = np.flatnonzero(marked(bits, own, value))
                 if len(take):
-                    part, first, n, value, places = (a[take] for a in (part, first, n, value, places))
-                    begin = np.cumsum([0, *map(len, parts)])[:-1][part] + first
+                    part, first, n, value, begin = (a[take] for a in (part, first, n, value, begin))
                     x = np.zeros(len(take), RECORD)
                     x["key"] = mixed(Prefixes(kind.units(parts)).of(begin, n + kind.window - 1) + value)
-                    x["anchor"], x["n"], x["self"] = value, n, places > 1
+                    x["anchor"], x["n"], x["self"] = value, n, repeats(kind, g, begin, n, value)
                     text, offset = np.array(where).T
                     x["doc"], x["start"] = ids[text[part]], offset[part] + first
                     held.append(x)
@@ -350,11 +355,10 @@ def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolv
         for batch in batches:
             ids = _ids(batch)
             for parts, where in pieces(kind, batch["text"]):
-                part, first, n, value, _ = runs(kind, parts)
+                part, first, n, value, begin, _ = runs(kind, parts)
                 take = np.flatnonzero(marked(bits, own, value))
                 if len(take):
-                    part, first, n, value = (a[take] for a in (part, first, n, value))
-                    begin = np.cumsum([0, *map(len, parts)])[:-1][part] + first
+                    part, first, n, value, begin = (a[take] for a in (part, first, n, value, begin))
                     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     hashes = mixed(Prefixes(kind.units(parts)).of(np.repeat(begin, n) + within, kind.window))
                     text, offset = np.array(where).T

@@ -22,7 +22,11 @@ from . import anchors
 
 WINDOW, GRAM = 20, 8
 #: Words whose hashes a worker keeps; passages in an automaton at once.
-CACHE, PASSAGES = 500_000, 50_000
+CACHE, PASSAGES = 150_000, 50_000
+
+
+#: Odd numbers that tell a gram's words by their places.
+_MIX = anchors.mixed(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 class _Hashes(dict):
@@ -48,9 +52,9 @@ def _grams(parts: list[list[bytes]]) -> np.ndarray:
     x = np.append(_units(parts), np.zeros(GRAM, np.uint64))
     n = len(x) - GRAM
     with np.errstate(over="ignore"):
-        h = x[:n].copy()
+        h = x[:n] * _MIX[0]
         for k in range(1, GRAM):
-            h = anchors.mixed(h ^ x[k : k + n]) + np.uint64(k)
+            h += x[k : k + n] * _MIX[k]
     return anchors.mixed(h)
 
 
