@@ -82,17 +82,19 @@ def runs(kind: Kind, parts: list) -> tuple[np.ndarray, ...]:
     part = np.searchsorted(starts, begin, "right") - 1
     if len(parts) and (lengths == 0).any():  # empty parts share a start with the next one
         part = np.searchsorted(ends, begin, "right")
-    return part, begin - starts[part], n, value, begin, g
+    # least hashes crowd at the low end; mixed again, they spread evenly over slices and bitmaps
+    return part, begin - starts[part], n, mixed(value), begin, g
 
 
-def repeats(kind: Kind, g: np.ndarray, begin: np.ndarray, n: np.ndarray, value: np.ndarray) -> np.ndarray:
+def repeats(kind: Kind, g: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Of stretches, which hold their anchor more than once, where a recurrence within a document counts."""
     if not kind.within or not len(begin):
         return np.zeros(len(begin), bool)
     span = n + kind.window - kind.gram
     edge = np.cumsum(span) - span
     head = np.repeat(begin - edge, span) + np.arange(span.sum())
-    return np.add.reduceat((g[head] == np.repeat(value, span)).astype(np.int32), edge) > 1
+    grams = g[head]
+    return np.add.reduceat((grams == np.repeat(np.minimum.reduceat(grams, edge), span)).astype(np.int32), edge) > 1
 
 
 def pieces(kind: Kind, texts: Iterator) -> Iterator[tuple[list, list[tuple[int, int]]]]:
@@ -176,7 +178,7 @@ def recurring(docs: DataFrame, kind: Kind) -> tuple[int, bytes]:
             for parts, where in pieces(kind, batch["text"]):
                 part, _, n, value, begin, g = runs(kind, parts)
                 if kind.within:
-                    many.append(value[repeats(kind, g, begin, n, value)])
+                    many.append(value[repeats(kind, g, begin, n)])
                 else:  # once for each document
                     doc = np.array([i for i, _ in where])[part]
                     order = np.lexsort((doc, value))
@@ -288,7 +290,7 @@ def whole_stretches(docs: DataFrame, kind: Kind, known: tuple[int, bytes]) -> Da
                     part, first, n, value, begin = (a[take] for a in (part, first, n, value, begin))
                     x = np.zeros(len(take), RECORD)
                     x["key"] = mixed(Prefixes(kind.units(parts)).of(begin, n + kind.window - 1) + value)
-                    x["anchor"], x["n"], x["self"] = value, n, repeats(kind, g, begin, n, value)
+                    x["anchor"], x["n"], x["self"] = value, n, repeats(kind, g, begin, n)
                     text, offset = np.array(where).T
                     x["doc"], x["start"] = ids[text[part]], offset[part] + first
                     held.append(x)
