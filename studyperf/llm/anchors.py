@@ -135,12 +135,12 @@ def _packed(slices: int, keys: np.ndarray, repeated: np.ndarray) -> pd.DataFrame
 KEYS = "slice int, once binary, again binary"
 
 
-def bitmap(keys: DataFrame, slices: int) -> tuple[int, bytes]:
-    """The number of bits and the bitmap, by the hash's upper bits, of the keys (columns KEYS) that occur twice or more."""
+def bitmap(keys: DataFrame, slices: int, least: int = 2) -> tuple[int, bytes]:
+    """The number of bits and the bitmap, by the hash's upper bits, of the keys (columns KEYS) that occur `least` (1 or 2) times or more."""
 
     def met(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         values, n = np.unique(np.frombuffer(b"".join(group["once"]), "<u4"), return_counts=True)
-        out = np.union1d(values[n > 1], np.frombuffer(b"".join(group["again"]), "<u4")).astype("<u4")
+        out = np.union1d(values[n >= least], np.frombuffer(b"".join(group["again"]), "<u4")).astype("<u4")
         return pd.DataFrame({"slice": [key[0]], "n": [len(out)], "found": [out.tobytes()]})
 
     found = stored(keys.groupBy("slice").applyInPandas(met, "slice int, n long, found binary"), "anchors")
@@ -235,6 +235,7 @@ RECORD = np.dtype([("anchor", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("start",
 #: n windows from start of a document that are to go.
 FLAG = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 NO_ID = (1 << 63) - 1
+PACK = 1 << 12
 
 
 def later(kind: Kind, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,18 +248,44 @@ def later(kind: Kind, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tu
     return order, (d > d[head]) | (kind.within & (d == d[head]) & (s > s[head])) if len(k) else np.zeros(0, bool)
 
 
-def flags(doc: np.ndarray, start: np.ndarray, n) -> bytes:
+def unions(doc: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ranges in documents: their unions, in order; ranges that touch become one."""
+    order = np.lexsort((first, doc))
+    doc, first, past = doc[order], first[order].astype(np.int64), past[order].astype(np.int64)
+    if not len(doc):
+        return doc, first, past
+    far = 1 << 33
+    group = (np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1) * far
+    reach = np.maximum.accumulate(past + group) - group
+    at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (first[1:] > reach[:-1])))
+    return doc[at], first[at], np.maximum.reduceat(past, at)
+
+
+def flags(doc: np.ndarray, start: np.ndarray, n) -> list[bytes]:
+    """Windows that are to go, packed by PACK; neighbours together."""
+    doc, first, past = unions(doc, start, start + n)
     out = np.zeros(len(doc), FLAG)
-    out["doc"], out["start"], out["n"] = doc, start, n
-    return out.tobytes()
+    out["doc"], out["start"], out["n"] = doc, first, past - first
+    return [out[k : k + PACK].tobytes() for k in range(0, len(out), PACK)]
 
 
 def _ids(batch: pd.DataFrame) -> np.ndarray:
     return batch["doc_id"].fillna(NO_ID).astype("int64").to_numpy() if batch["doc_id"].hasnans else batch["doc_id"].to_numpy("int64")
 
 
+def place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(mixed(doc.astype(np.uint64)) + start.astype(np.uint64))
+
+
+def _spread(packs: list[bytes], slices: int, name: str, like: dict[str, object]) -> pd.DataFrame:
+    """Rows that only carry flags, dealt over the slices."""
+    return pd.DataFrame({"slice": np.arange(len(packs)) * 7 % slices, **like, name: packs})
+
+
 def whole_stretches(docs: DataFrame, kind: Kind, known: tuple[int, bytes]) -> DataFrame:
-    """Compares stretches as wholes. flags: those that stand earlier too. anchors: of the distinct stretches (twice if one repeats within).
+    """Compares stretches as wholes. flags: those that stand earlier too. anchors: of the distinct stretches (twice if one repeats within). owners, places:
+    anchors and places of the stretches that nothing earlier equals.
 
     Before the shuffle each worker compares what it has, so a stretch goes out once for many documents that share it.
     """
@@ -271,12 +298,10 @@ def whole_stretches(docs: DataFrame, kind: Kind, known: tuple[int, bytes]) -> Da
         order, old = later(kind, x["key"], x["doc"], x["start"])
         x = x[order]
         gone, x = x[old], x[~old]
-        x = x[np.argsort(x["key"], kind="stable")]
         edges = np.searchsorted(x["key"] >> np.uint64(64 - width), np.arange(slices + 1))
-        out = pd.DataFrame({"slice": np.arange(slices), "records": [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
-        share = -(-len(gone) // slices) or 1
-        out["flags"] = [flags(g["doc"], g["start"], g["n"]) for g in (gone[k * share : (k + 1) * share] for k in range(slices))]
-        return out[(out["records"].str.len() > 0) | (out["flags"].str.len() > 0)]
+        out = pd.DataFrame({"slice": np.arange(slices), "records": [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], "flags": b""})
+        more = _spread(flags(gone["doc"], gone["start"], gone["n"]), slices, "flags", {"records": b""})
+        return pd.concat([out[out["records"].str.len() > 0], more], ignore_index=True)
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
@@ -305,20 +330,22 @@ def whole_stretches(docs: DataFrame, kind: Kind, known: tuple[int, bytes]) -> Da
         x = np.frombuffer(b"".join(group["records"]), RECORD)
         order, old = later(kind, x["key"], x["doc"], x["start"])
         x = x[order]
-        gone = x[old]
+        gone, stay = x[old], x[~old]
         new = np.ones(len(x), bool)
         new[1:] = x["key"][1:] != x["key"][:-1]
         anchors = np.concatenate([x["anchor"][new], x["anchor"][new & x["self"]]])
-        data = flags(gone["doc"], gone["start"], gone["n"]) + b"".join(group["flags"])
-        return pd.DataFrame({"anchors": [anchors.tobytes()], "flags": [data]})
+        out = pd.DataFrame({"anchors": [anchors.tobytes()], "owners": [stay["anchor"].tobytes()], "places": [place_key(stay["doc"], stay["start"]).tobytes()], "flags": [b""]})
+        packs = flags(gone["doc"], gone["start"], gone["n"]) + [f for f in group["flags"] if f]
+        return pd.concat([out, pd.DataFrame({"anchors": b"", "owners": b"", "places": b"", "flags": packs})], ignore_index=True)
 
     rows = docs.select("doc_id", "text").mapInPandas(scanned, "slice int, records binary, flags binary")
-    return stored(rows.groupBy("slice").applyInPandas(met, "anchors binary, flags binary"), "stretches")
+    return stored(rows.groupBy("slice").applyInPandas(met, "anchors binary, owners binary, places binary, flags binary"), "stretches")
 
 
 def varied(found: DataFrame) -> tuple[int, bytes]:
-    """The bitmap of the anchors with several distinct stretches."""
+    """The bitmap of the places of stretches that nothing earlier equals, and whose anchor has several distinct stretches."""
     slices = slices_of(found.sparkSession)
+    found = found.where(F.length("anchors") > 0)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -326,12 +353,21 @@ def varied(found: DataFrame) -> tuple[int, bytes]:
                 values, n = np.unique(np.frombuffer(data, "<u8"), return_counts=True)
                 yield _packed(slices, values, values[n > 1])
 
-    return bitmap(found.select("anchors").mapInPandas(dealt, KEYS), slices)
+    shared = found.sparkSession.sparkContext.broadcast(bitmap(found.select("anchors").mapInPandas(dealt, KEYS), slices))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
+        for batch in batches:
+            for owners, places in zip(batch["owners"], batch["places"]):
+                take = marked(bits, own, np.frombuffer(owners, "<u8"))
+                yield _packed(slices, np.unique(np.frombuffer(places, "<u8")[take]), np.zeros(0, np.uint64))
+
+    return bitmap(found.select("owners", "places").mapInPandas(placed, KEYS), slices, 1)
 
 
-def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolve: Callable[[pd.DataFrame], bytes]) -> DataFrame:
-    """Compares single windows where stretches with one anchor differ. Again workers first compare what they have; a stretch goes out only for windows that
-    stand nowhere earlier in it. resolve gets the stretches of a slice of anchors (anchor, doc, start, n, data) and gives flags."""
+def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolve: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
+    """Compares single windows where stretches with one anchor differ. Of equal stretches only the earliest come here, for the others are flagged already. Again workers first compare what they have;
+    a stretch goes out only for windows that stand nowhere earlier in it. resolve gets the stretches of a slice of anchors (anchor, doc, start, n, data) and gives flags."""
     slices = slices_of(docs.sparkSession)
     width = slices.bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(known)
@@ -345,11 +381,8 @@ def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolv
         open_ = np.zeros(len(rows), bool)
         open_[number[order[~old]]] = True
         gone = order[old]
-        rows = rows[open_].assign(flags=b"")
-        share = 1 << 14
-        extra = [flags(doc[g], start[g], 1) for g in (gone[k : k + share] for k in range(0, len(gone), share))]
-        more = pd.DataFrame({"slice": np.arange(len(extra)) * 7 % slices, "anchor": 0, "doc": 0, "start": 0, "n": 0, "data": b"", "flags": extra})
-        return pd.concat([rows, more], ignore_index=True) if len(more) else rows
+        more = _spread(flags(doc[gone], start[gone], 1), slices, "flags", {"anchor": 0, "doc": 0, "start": 0, "n": 0, "data": b""})
+        return pd.concat([rows[open_].assign(flags=b""), more], ignore_index=True)
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
@@ -358,13 +391,15 @@ def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolv
             ids = _ids(batch)
             for parts, where in pieces(kind, batch["text"]):
                 part, first, n, value, begin, _ = runs(kind, parts)
-                take = np.flatnonzero(marked(bits, own, value))
+                if not len(part):
+                    continue
+                text, offset = np.array(where).T
+                doc, start = ids[text[part]], offset[part] + first
+                take = np.flatnonzero(marked(bits, own, place_key(doc, start)))
                 if len(take):
-                    part, first, n, value, begin = (a[take] for a in (part, first, n, value, begin))
+                    part, first, n, value, begin, doc, start = (a[take] for a in (part, first, n, value, begin, doc, start))
                     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     hashes = mixed(Prefixes(kind.units(parts)).of(np.repeat(begin, n) + within, kind.window))
-                    text, offset = np.array(where).T
-                    doc, start = ids[text[part]], offset[part] + first
                     rows = pd.DataFrame(
                         {
                             "slice": (value >> np.uint64(64 - width)).astype(np.int64),
@@ -385,7 +420,7 @@ def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolv
 
     def met(group: pd.DataFrame) -> pd.DataFrame:
         own = group[group["n"] > 0]
-        return pd.DataFrame({"flags": [(resolve(own) if len(own) else b"") + b"".join(group["flags"])]})
+        return pd.DataFrame({"flags": (resolve(own) if len(own) else []) + [f for f in group["flags"] if f]})
 
     rows = docs.select("doc_id", "text").mapInPandas(scanned, "slice int, anchor long, doc long, start int, n int, data binary, flags binary")
     return rows.groupBy("slice").applyInPandas(met, "flags binary")
@@ -394,24 +429,24 @@ def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolv
 def spans(found: DataFrame, kind: Kind) -> DataFrame:
     """doc and spans: for each document what is covered, packed as first and past units; several packs for a document may overlap."""
 
+    def pack(held: list[bytes]) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(held), FLAG)
+        doc, first, past = unions(x["doc"], x["start"], x["start"].astype(np.int64) + x["n"] + kind.window - 1)
+        docs, heads = np.unique(doc, return_index=True)
+        pairs, edges = np.stack([first, past], 1).astype("<i4"), np.append(heads, len(doc))
+        return pd.DataFrame({"doc": docs, "spans": [pairs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
+
     def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            x = np.frombuffer(b"".join(batch["flags"]), FLAG)
-            if not len(x):
-                continue
-            x = x[np.lexsort((x["start"], x["doc"]))]
-            doc, first, past = x["doc"], x["start"].astype(np.int64), x["start"].astype(np.int64) + x["n"] + kind.window - 1
-            # within a document in order of starts, a span begins where all before have ended
-            group = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
-            far = 1 << 33
-            reach = np.maximum.accumulate(past + group * far) - group * far
-            new = np.append(True, (doc[1:] != doc[:-1]) | (first[1:] > reach[:-1]))
-            at = np.flatnonzero(new)
-            ends = np.maximum.reduceat(past, at)
-            docs, heads = np.unique(doc[at], return_index=True)
-            pairs = np.stack([first[at], ends], 1).astype("<i4")
-            edges = np.append(heads, len(at))
-            yield pd.DataFrame({"doc": docs, "spans": [pairs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
+            for data in batch["flags"]:
+                held.append(data)
+                size += len(data)
+                if size >= 4 * FLAG.itemsize * FLUSH:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
 
     packs = found.select("flags").mapInPandas(united, "doc long, spans binary")
     return packs.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
@@ -428,12 +463,12 @@ def merged(packs: list[bytes] | None) -> np.ndarray:
     return np.stack([x[at, 0], np.maximum.reduceat(x[:, 1], at)], 1)
 
 
-def covered(docs: DataFrame, kind: Kind, resolve: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+def covered(docs: DataFrame, kind: Kind, resolve: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
     """doc_id, text and spans: packs of what of each document also stands earlier (null: nothing)."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     whole = whole_stretches(docs, kind, recurring(docs, kind))
     single = single_windows(docs, kind, varied(whole), resolve)
-    found = spans(stored(whole.select("flags").union(single), "flags"), kind)
+    found = spans(stored(whole.select("flags").where(F.length("flags") > 0).union(single), "flags"), kind)
     keyed = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
     return keyed.join(stored(found, "spans"), "doc", "left").select("doc_id", "text", "spans")

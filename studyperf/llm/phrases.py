@@ -61,7 +61,7 @@ def _grams(parts: list[list[bytes]]) -> np.ndarray:
 KIND = anchors.Kind(WINDOW, GRAM, _split, _grams, _units, b" ".join, within=True)
 
 
-def _resolve(group: pd.DataFrame) -> bytes:
+def _resolve(group: pd.DataFrame) -> list[bytes]:
     """Flags of the windows in the group that stand earlier in it."""
     group = group.sort_values(["doc", "start"])
     numbers: dict[bytes, int] = {}

@@ -63,11 +63,11 @@ class Suffixes:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    def before(self, a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
+    def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Whether the suffix at a comes before that at b; of equal ones what ties says."""
         n = self.agree(a, b)
-        whole = n >= self.window
-        n = np.minimum(n, self.window - 1)
-        return np.where(whole, ties, self.bytes[a + n] < self.bytes[b + n])
+        last = np.minimum(n, self.window - 1)
+        return np.where(n >= self.window, ties, self.bytes[a + last] < self.bytes[b + last])
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
         """An order of the places, and for each in it the number of its class of equal windows."""
@@ -91,11 +91,8 @@ class Suffixes:
             while (busy := np.flatnonzero(low < high)).size:
                 mid = (low[busy] + high[busy]) >> 1
                 theirs = p[begin[at[busy]] + other[busy] + mid]
-                smaller = self.before(theirs, p[at[busy]], True)
-                right = (block[busy] & 1).astype(bool)
                 # of equal ones the left block's stand first
-                strict = self.before(theirs, p[at[busy]], False)
-                less = np.where(right, smaller, strict)
+                less = self.before(theirs, p[at[busy]], (block[busy] & 1).astype(bool))
                 low[busy] = np.where(less, mid + 1, low[busy])
                 high[busy] = np.where(less, high[busy], mid)
             target = begin[at] + (block >> 1 << 1) * width + (inside - block * width) + low
@@ -118,7 +115,7 @@ class Suffixes:
         return all((_words(self.data, k)[p[same]] == _words(self.data, k)[p[same - 1]]).all() for k in steps)
 
 
-def _resolve(group: pd.DataFrame) -> bytes:
+def _resolve(group: pd.DataFrame) -> list[bytes]:
     """Flags of the windows that also start in a smaller document of the group."""
     sizes = group["data"].str.len().to_numpy()
     n = group["n"].to_numpy(np.int64)
@@ -131,7 +128,7 @@ def _resolve(group: pd.DataFrame) -> bytes:
     _, number, count = np.unique(anchors.Prefixes(_BYTES[np.frombuffer(data, np.uint8)]).of(places, WINDOW), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(count[number] > 1)
     if not len(shared):
-        return b""
+        return []
     order, classes = Suffixes(data, places[shared]).sorted()
     who = shared[order]
     least = np.minimum.reduceat(doc[who], np.flatnonzero(np.append(True, classes[1:] != classes[:-1])))
