@@ -116,7 +116,7 @@ def pieces(kind: Kind, texts: Iterator) -> Iterator[tuple[list, list[tuple[int,
 
 def slices_of(spark: SparkSession) -> int:
     """Into how many slices hashes are dealt: a power of two, with the cluster's number of partitions."""
-    return 1 << max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    return 1 << max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def _packed(slices: int, keys: np.ndarray, repeated: np.ndarray) -> pd.DataFrame:
@@ -273,6 +273,20 @@ def _ids(batch: pd.DataFrame) -> np.ndarray:
     return batch["doc_id"].fillna(NO_ID).astype("int64").to_numpy() if batch["doc_id"].hasnans else batch["doc_id"].to_numpy("int64")
 
 
+def _gathered(batches: Iterator[pd.DataFrame], columns: list[str], most: int = 48 << 20) -> Iterator[list[tuple]]:
+    """Rows of packs, as many as a worker may hold."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(batch[c] for c in columns)):
+            held.append(row)
+            size += sum(map(len, row))
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mixed(mixed(doc.astype(np.uint64)) + start.astype(np.uint64))
@@ -348,19 +362,17 @@ def varied(found: DataFrame) -> tuple[int, bytes]:
     found = found.where(F.length("anchors") > 0)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["anchors"]:
-                values, n = np.unique(np.frombuffer(data, "<u8"), return_counts=True)
-                yield _packed(slices, values, values[n > 1])
+        for held in _gathered(batches, ["anchors"]):
+            values, n = np.unique(np.frombuffer(b"".join(x for x, in held), "<u8"), return_counts=True)
+            yield _packed(slices, values, values[n > 1])
 
     shared = found.sparkSession.sparkContext.broadcast(bitmap(found.select("anchors").mapInPandas(dealt, KEYS), slices))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
-        for batch in batches:
-            for owners, places in zip(batch["owners"], batch["places"]):
-                take = marked(bits, own, np.frombuffer(owners, "<u8"))
-                yield _packed(slices, np.unique(np.frombuffer(places, "<u8")[take]), np.zeros(0, np.uint64))
+        for held in _gathered(batches, ["owners", "places"]):
+            owners, places = (np.frombuffer(b"".join(x), "<u8") for x in zip(*held))
+            yield _packed(slices, np.unique(places[marked(bits, own, owners)]), np.zeros(0, np.uint64))
 
     return bitmap(found.select("owners", "places").mapInPandas(placed, KEYS), slices, 1)
 
@@ -437,16 +449,8 @@ def spans(found: DataFrame, kind: Kind) -> DataFrame:
         return pd.DataFrame({"doc": docs, "spans": [pairs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
 
     def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for batch in batches:
-            for data in batch["flags"]:
-                held.append(data)
-                size += len(data)
-                if size >= 4 * FLAG.itemsize * FLUSH:
-                    yield pack(held)
-                    held, size = [], 0
-        if held:
-            yield pack(held)
+        for held in _gathered(batches, ["flags"]):
+            yield pack([x for x, in held])
 
     packs = found.select("flags").mapInPandas(united, "doc long, spans binary")
     return packs.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
