@@ -1,10 +1,10 @@
 """Byte-level BPE: a lazily determinised transducer encodes, a UTF-8 state machine decodes.
 
 A sequence of tokens is the BPE encoding of its bytes exactly if each token encodes to itself and each two neighbours,
-joined, encode to these two. So encoding is a search for the one path of compatible tokens through the bytes. The
-nondeterministic machine guesses where tokens end; the subset construction makes it deterministic, state by state, as texts
-need it. A state holds the hypotheses still alive: the tokens since the last one that all agree on, and a place in the trie of
-tokens. What all hypotheses agree on is emitted; as no hypothesis outlives the longest token, the lookahead is bounded.
+joined, encode to these two; so each prefix has one last token. The nondeterministic machine guesses where a token begins and follows the
+trie of tokens. The subset construction makes it deterministic, state by state as texts need it: a state is the set of places in the trie that are alive, and it gives the tokens that may end
+here, of which the one that can follow the last token at its own beginning is right. Beginnings that are no longer alive can't matter any more: once all alive ones
+go back to one boundary, the tokens before it are emitted. As none lives longer than the longest token, the lookahead is bounded.
 
 Null texts encode as empty ones (no ids). Repeated rows and extra columns are of no effect on a row's result; an empty table gives an empty one.
 """
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches
 
-#: Bounds of what a worker keeps: states of the machine, encoded pieces. Beyond them it starts afresh; results don't change.
-STATES, PIECES = 100_000, 300_000
+#: Bounds of what a worker keeps: states of the machine and pairs of tokens, encoded pieces. Beyond them it starts afresh; results don't change.
+STATES, PAIRS, PIECES = 200_000, 1_000_000, 800_000
+#: Bytes after which a long piece's agreed tokens are emitted, and ids that are decoded at once.
 BLOCK = 65_536
 
 
@@ -38,11 +39,12 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 class _Node:
     """A place in the trie of tokens, and the token that ends there."""
 
-    __slots__ = ("next", "token")
+    __slots__ = ("depth", "next", "token")
 
-    def __init__(self):
+    def __init__(self, depth: int):
         self.next: dict[int, _Node] = {}
         self.token = -1
+        self.depth = depth
 
 
 class Transducer:
@@ -53,12 +55,12 @@ class Transducer:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.ranks, self.most = ranks, states
         self.token = {rank: token for token, rank in ranks.items()}
-        self.root = _Node()
+        self.root = _Node(0)
         for token, rank in ranks.items():
             node = self.root
             for b in token:
                 if (child := node.next.get(b)) is None:
-                    child = node.next[b] = _Node()
+                    child = node.next[b] = _Node(node.depth + 1)
                 node = child
             node.token = rank
         self.fits: dict[int, bool] = {}
@@ -67,16 +69,16 @@ class Transducer:
 
     def _restart(self) -> None:
         self.ids: dict[tuple, int] = {}
-        self.hypotheses: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple]] = {}  # (state, byte) to the next state and what is emitted
-        self.last: list[tuple | None] = []
-        self.start = self._state((((-1,), self.root),))
-
-    def _state(self, hypotheses: tuple) -> int:
-        if (state := self.ids.get(hypotheses)) is None:
-            state = self.ids[hypotheses] = len(self.hypotheses)
-            self.hypotheses.append(hypotheses)
-            self.last.append(None)
+        self.alive: list[tuple[_Node, ...]] = []
+        self.ending: list[tuple[tuple[int, int], ...]] = []  # tokens that may end in a state, and their lengths, the longest first
+        self.moves: dict[int, int] = {}  # (state, byte) to state
+        self._state((self.root,))
+
+    def _state(self, nodes: tuple) -> int:
+        if (state := self.ids.get(nodes)) is None:
+            state = self.ids[nodes] = len(self.alive)
+            self.alive.append(nodes)
+            self.ending.append(tuple((n.token, n.depth) for n in nodes if n.token >= 0 and self.split(n.token) is not None))
         return state
 
     def merged(self, text: bytes, made: list | None = None) -> list[int]:
@@ -137,50 +139,56 @@ class Transducer:
                 fits = self._parted(before, token)
             else:
                 fits = self.merged(self.token[before] + self.token[token]) == [before, token]
-            if len(self.fits) > 20 * self.most:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             self.fits[key] = fits
         return fits
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        alive, done = [], None
-        for chain, node in self.hypotheses[state]:
-            if (child := node.next.get(byte)) is not None:
-                if child.next:  # else no longer token begins like this
-                    alive.append((chain, child))
-                if done is None and child.token >= 0 and self.follows(chain[-1], child.token):
-                    done = (*chain, child.token), self.root
-        if done:
-            alive.append(done)
-        low = high = alive[0][0]
-        if len(alive) > 1:
-            chains = [chain for chain, _ in alive]
-            low, high = min(chains), max(chains)
-        agreed = 0
-        for one, other in zip(low, high):
-            if one != other:
-                break
-            agreed += 1
-        if agreed > 1:
-            alive = [(chain[agreed - 1 :], node) for chain, node in alive]
-        move = self.moves[state << 8 | byte] = self._state(tuple(alive)), low[1:agreed]
-        return move
+    def _move(self, state: int, byte: int) -> int:
+        """All places that the alive ones and a new beginning lead to."""
+        to = [child for node in self.alive[state] if (child := node.next.get(byte)) is not None]
+        out = self.moves[state << 8 | byte] = self._state((*to, self.root))
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.hypotheses) > self.most:
+        if len(self.alive) > self.most:
             self._restart()
         out: list[int] = []
-        moves, state = self.moves, self.start
+        moves, ending, fits = self.moves, self.ending, self.fits
+        state, last, sizes = 0, [-1], [0]  # the last token of each prefix since the last boundary emitted, and its length
         for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        if (last := self.last[state]) is None:
-            last = self.last[state] = next(chain[1:] for chain, node in self.hypotheses[state] if node is self.root)
-        return out + list(last)
+            to = moves.get(state << 8 | byte)
+            state = self._move(state, byte) if to is None else to
+            for token, size in ending[state]:
+                before = last[-size]
+                fit = fits.get((before + 1) << 32 | token)
+                if self.follows(before, token) if fit is None else fit:
+                    last.append(token)
+                    sizes.append(size)
+                    break
+            if len(last) > BLOCK:
+                last, sizes = self._emit(out, last, sizes, [n.depth for n in self.alive[state]])
+        self._emit(out, last, sizes, [0])
+        return out
+
+    @staticmethod
+    def _emit(out: list[int], last: list[int], sizes: list[int], depths: list[int]) -> tuple[list[int], list[int]]:
+        """Appends the tokens that all ways back from the alive beginnings share; returns what is left, from the boundary after them."""
+        end = len(last) - 1
+        starts = {end - d for d in depths}
+        while len(starts) > 1:
+            late = max(starts)
+            starts.remove(late)
+            starts.add(late - sizes[late])
+        agreed = at = starts.pop()
+        tokens = []
+        while at > 0:
+            tokens.append(last[at])
+            at -= sizes[at]
+        out += tokens[::-1]
+        return last[agreed:], [0, *sizes[agreed + 1 :]]
 
 
 class Utf8Machine:
