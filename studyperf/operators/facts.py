@@ -12,8 +12,15 @@ KEYS = ["aluno_id"]
 Tables = dict[str, DataFrame]
 
 
+def prepared(t: Tables) -> Tables:
+    """t with the scored blocks kept, for jobs of many sections; unpersist t["bloco_pontuado"] after them. They come again from their sources where an executor is lost."""
+    return {**t, "bloco_pontuado": scored_blocks(t).persist()}
+
+
 def scored_blocks(t: Tables) -> DataFrame:
     """Blocks with month, day, careless errors and score. Errors are summed before the join, so nothing fans out."""
+    if "bloco_pontuado" in t:
+        return t["bloco_pontuado"]
     careless = t["erro"].where(F.col("tipo_erro").isin(*scores.CARELESS)).groupBy("bloco_id").agg(F.sum("quantidade").alias("erros_criticos"))
     blocks = periods.by_month(t["bloco"], "data").withColumn("dia", F.to_date("data"))
     return blocks.join(careless, "bloco_id", "left").withColumn("ipr", scores.block_ipr())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import breakdowns, essays, facts, ingest, listing, reports
+from ..operators import advice, breakdowns, essays, facts, ingest, listing, reports
 from ..sources import testviews
 from . import oracles
 
@@ -65,6 +65,16 @@ def _latest(t):
     return listing.latest(t["sessao"], "data", tie).select("pai_id", "aluno_id", "materia_id", "assunto_id", "tipo_sessao", "minutos_liquidos")
 
 
+def _dashboard_advice(t):
+    return advice.dashboard_advice(t, "ano", AS_OF).select("aluno_id", F.array_join("recomendacoes", " | ").alias("recomendacoes"))
+
+
+def _report(t):
+    """Each student's reports, the sections as JSON."""
+    report = advice.monthly_report(t, AS_OF)
+    return report.select("aluno_id", "mes", *(F.to_json(c).alias(c) for c in report.columns if c not in ("aluno_id", "mes")))
+
+
 SESSIONS, BLOCKS, MOCKS = ("sessao", "materia"), ("bloco", "erro", "materia"), ("simulado",)
 ESSAYS = ("redacao",)
 
@@ -106,6 +116,11 @@ QUERIES: dict[str, Query] = {
     "critical_topics": over(FACTS, lambda t: reports.critical_topics(t, "ano", AS_OF)),
     "analytics_counts": over(FACTS, lambda t: reports.analytics_counts(t, "ano", AS_OF)),
     "subject_performance": over((*FACTS, "materia"), lambda t: reports.subject_performance(t, "ano", AS_OF)),
+    "dashboard_advice": over(FACTS, _dashboard_advice),
+    "monthly_advice": over((*FACTS, "materia", "assunto", "redacao"), lambda t: advice.month_advice_rows(t, AS_OF, [])),
+    "essay_advice": over(ESSAYS, advice.essay_advice),
+    "month_labels": over(FACTS, advice.month_labels),
+    "monthly_report": over((*FACTS, "materia", "assunto", "redacao", "desempenho_simulado", "prova", "desempenho_prova"), _report),
     "plan_adherence": _plan,
     "latest_sessions": over(("sessao",), _latest),
     "invalid_exams": over(("prova",), _invalid),

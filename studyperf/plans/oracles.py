@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from ..functions import texts
 from ..sources.testviews import ctes
 
 
@@ -161,6 +164,40 @@ def balance() -> str:
     return f"select mm.mes, m.materia_id, m.nome as materia_nome, {peso} as peso_prova, {r(spent, 1)} as minutos, {share} as percentual_tempo, cast(coalesce(q_m, 0) as bigint) as questoes, {r('cast(coalesce(q_m, 0) as double) / case when q = 0 then 1 else q end * 100', 1)} as percentual_questoes, {r(f'{ipr} * 100', 2)} as ipr, case when {peso} <= 0 then 'SEM_PESO_DEFINIDO' when {share} / ({peso} * 10) < 0.7 then 'SUBINVESTIDA' when {share} / ({peso} * 10) > 1.4 then 'SUPERINVESTIDA' else 'EQUILIBRADA' end as peso_vs_tempo, {status(ipr, ('CRÍTICA', 'FRACA', 'REGULAR', 'BOA'))} as status from mm cross join materia m left join ({own}) o on o.mes = mm.mes and o.materia_id = m.materia_id"
 
 
+def said(text: str) -> str:
+    parts = re.split(r"\{(\w+)\}", text)
+    return " || ".join(f"cast({p} as varchar)" if i % 2 else f"'{p}'" for i, p in enumerate(parts) if p)
+
+
+def tenth(x: str) -> str:
+    return f"cast(cast({r(x, 1)} as decimal(20,1)) as varchar)"
+
+
+def advised() -> str:
+    """The year's dashboards with their advice."""
+    h, q = 1056, 16800
+    d = f"select *, 'ano' as periodo, ipr_medio as ipr, {tenth('ipr_medio * 100')} as ipr_pct, percentual_medio as acerto, {h} as meta_h, {q} as meta_q, {tenth(f'{h} - horas')} as falta_h, {tenth(f'horas - {h}')} as sobra_h, {q} - questoes as falta_q, case when assuntos_criticos = '' then 0 else len(string_split(assuntos_criticos, ',')) end as n_criticos from ({board('aluno_id, ', (h, q))}) b"
+    every = ", ".join(f"case when {cond} then {said(text)} end" for cond, text in texts.DASHBOARD_ADVICE)
+    return f"select aluno_id, coalesce(nullif(concat_ws(' | ', {every}), ''), '{texts.DASHBOARD_FALLBACK}') as recomendacoes from ({d}) d"
+
+
+def month_advised() -> str:
+    """From the tables resumo, con, proj, bal, top, dis and ess, a row for each month."""
+    base = f"select mes, ipr_geral as ipr, {tenth('ipr_geral')} as ipr_pct, score, coalesce(n_criticos, 0) as n_criticos, criticos, subinvestidas, coalesce(distracao, 0.0) as distracao, horas_projetadas as projetadas, horas_necessarias as necessarias, coalesce(redacoes, 0) as redacoes, nota_media, fraca from resumo left join con using (mes) left join proj using (mes) left join top using (mes) left join sub using (mes) left join dis using (mes) left join ess using (mes)"
+    cells = lambda four: ", ".join(f"{said(c)} as {n}" for c, n in zip(four, ("categoria", "prioridade", "mensagem", "acao_sugerida")))
+    rules = " union all ".join(f"select mes, {k} as k, {cells(four)} from base where {cond}" for k, (cond, *four) in enumerate(texts.MONTH_ADVICE))
+    none = " and ".join(f"not coalesce({cond}, false)" for cond, *_ in texts.MONTH_ADVICE)
+    return f"with base as ({base}) select mes, cast(row_number() over (partition by mes order by k) as int) as posicao, categoria, prioridade, mensagem, acao_sugerida from ({rules} union all select mes, 99, {cells(texts.MONTH_FALLBACK)} from base where {none}) u"
+
+
+def essay_advised() -> str:
+    flat = lambda table: "[" + ", ".join(f"'{t}'" for row in table for t in row) + "]"
+    at = "[(competencia - 1) * 3 + case when nota <= 80 then 1 when nota <= 140 then 2 else 3 end]"
+    names = "[" + ", ".join(f"'{n}'" for n in texts.COMPETENCY_NAMES) + "]"
+    long = " union all ".join(f"select redacao_id, {k} as competencia, competencia{k} as nota from redacao" for k in range(1, 6))
+    return f"select redacao_id, competencia, {names}[competencia] as nome, nota, {flat(texts.DIAGNOSES)}{at} as diagnostico, {flat(texts.EXERCISES)}{at} as recomendacao from ({long}) l"
+
+
 def build() -> dict[str, str]:
     year = period("aluno_id, ", "2000-01-01", "1999-01-01")
     month_ = period("", "2000-06-01", "2000-05-01")
@@ -171,7 +208,25 @@ def build() -> dict[str, str]:
     active = {"ad": "select distinct aluno_id, cast(date_trunc('month', data) as date) as mes, cast(data as date) as dia from atividade"}
     dayt = {"dd": DAYS}
     score = r("greatest(cast(dias_estudados as double) / dayofmonth(last_day(s.mes)) - least(vh * 0.05, 0.2), 0.0) * 100", 1)
+    steady = f"select s.mes, {score} as score, {status(score, ('IRREGULAR', 'REGULAR', 'BOA', 'EXCELENTE'), (50, 70, 85))} as classificacao, streak_atual, maior_streak, maior_falta, vh as variacao_horas, {r('coalesce(vq, 0.0)', 1)} as variacao_questoes from stk s left join (select mes, {r('coalesce(stddev_pop(' + r('he', 6) + '), 0.0)', 2)} as vh, stddev_pop(case when nb > 0 then questoes end) as vq from dd group by 1) v on v.mes = s.mes"
+    first = "count(*) as n, string_agg(nome, ', ' order by k) filter (k <= 3) as nomes"
+    topics = f"select mes, assunto_id, count(*) as n, {IPR} from sb group by 1, 2"
+    sections = {
+        "con": steady,
+        "proj": projected(),
+        "bal": balance(),
+        "top": f"select mes, n as n_criticos, nomes as criticos from (select mes, {first} from (select mes, coalesce(a.nome, cast(g.assunto_id as varchar)) as nome, row_number() over (partition by mes order by g.assunto_id) as k from ({topics}) g left join assunto a on a.assunto_id = g.assunto_id where ipr_medio < 70 and n >= 2) x group by 1) y",
+        "sub": f"select mes, nomes as subinvestidas from (select mes, {first} from (select mes, materia_nome as nome, row_number() over (partition by mes order by peso_prova desc, materia_id) as k from bal where peso_vs_tempo = 'SUBINVESTIDA') x group by 1) y",
+        "dis": f"select mes, {pct('coalesce(sum(n) filter (tipo_erro in (' + repr('DISTRACAO') + ', ' + repr('PRESSA') + ')), 0)', 'sum(n)', 1)} as distracao from me group by 1",
+        "ess": f"select mes, count(*) as redacoes, {r('avg(nota_total)', 1)} as nota_media, (select cast(f as int) from (select fraca as f, count(*) as c from re q where q.mes = re.mes group by 1) z order by c desc, f limit 1) as fraca from re group by 1",
+    }
+    label = "case month(mes) " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"), 1)) + " end || '/' || year(mes)"
+    rest = "cast(floor(cast(horas_totais - floor(horas_totais) as decimal(28,12)) * 60 + 0.5) as int)"
     return {
+        "dashboard_advice": query(facts, advised(), year),
+        "monthly_advice": query(["ativ", "re", "erro", "materia", "assunto"], f"select * from ({month_advised()}) z", months("") | ad | streaks("") | dayt | errs | sections),
+        "essay_advice": query(["redacao"], essay_advised()),
+        "month_labels": query(["ativ"], f"select aluno_id, mes, {label} as rotulo, cast(cast(floor(horas_totais) as bigint) as varchar) || 'h' || case when {rest} = 0 then '' else ' ' || {rest} || 'min' end as horas_texto, cast(dim as int) as dias_ate_proximo, percentual_acerto >= 70 as aprovado from resumo", months("aluno_id, ")),
         "blocks_by_subject": query(["sb", "materia"], f"select g.*, coalesce(m.nome, cast(g.materia_id as varchar)) as materia_nome from (select aluno_id, mes, materia_id, {MEASURES}, {SPEED}, {IPR} from sb group by 1, 2, 3) g left join materia m on m.materia_id = g.materia_id"),
         "block_ipr": query(["sb"], f"select bloco_id, aluno_id, cast(ipr as double) as ipr, {pct('total_acertos', 'total_questoes')} as percentual_acerto from sb"),
         "mock_ipr": query(["sm"], "select simulado_id, aluno_id, cast(ipr as double) as ipr from sm"),
@@ -198,7 +253,7 @@ def build() -> dict[str, str]:
         "day_rollup": query(["ativ"], "select * exclude (he, nb) from dd", dayt),
         "best_worst_day": query(["ativ"], "select mes, arg_max(dia, ipr_dia * 100000 - epoch(dia::timestamp) / 86400.0 / 100000) as melhor_dia, max(ipr_dia) as melhor_ipr, arg_min(dia, ipr_dia * 100000 + epoch(dia::timestamp) / 86400.0 / 100000) as pior_dia, min(ipr_dia) as pior_ipr from dd group by mes", dayt),
         "streaks": query(["atividade"], "select * from stk", active | streaks("aluno_id, ")),
-        "consistency": query(["ativ"], f"select s.mes, {score} as score, {status(score, ('IRREGULAR', 'REGULAR', 'BOA', 'EXCELENTE'), (50, 70, 85))} as classificacao, streak_atual, maior_streak, maior_falta, vh as variacao_horas, {r('coalesce(vq, 0.0)', 1)} as variacao_questoes from stk s left join (select mes, {r('coalesce(stddev_pop(' + r('he', 6) + '), 0.0)', 2)} as vh, stddev_pop(case when nb > 0 then questoes end) as vq from dd group by 1) v on v.mes = s.mes", ad | streaks("") | dayt),
+        "consistency": query(["ativ"], steady, ad | streaks("") | dayt),
         "corr_focus_ipr": query(["ss", "sb"], f"select mes, count(*) as pares, case when count(*) >= 3 and var_pop(x) > 1e-15 and var_pop(y) > 1e-15 then {r('covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))', 3)} end as correlacao from (select s.mes, cast(s.nivel_foco as double) as x, cast(b.ipr as double) as y from ss s join sb b on b.materia_id = s.materia_id and b.dia = s.dia where s.nivel_foco > 0) t group by mes"),
         "corr_sleep_hits": corr("qualidade_sono", f"round({ratio('total_acertos', 'total_questoes')} * 1e6)", ""),
         "corr_anxiety_errors": corr("nivel_ansiedade", f"round({ratio('total_questoes - total_acertos', 'total_questoes')} * 1e6)", ""),
