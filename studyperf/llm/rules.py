@@ -121,7 +121,7 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, sample: int = SAMPL
     rules = rules or default_rules()
     rows = docs.count()
     share = min(1.0, sample / max(rows, 1))
-    few = stored(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000), "rules-sample")
+    few = stored(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000).select("text"), "rules-sample")  # by id too: copies are sampled apart
     cascade = F
     for rule, _, _ in ordered(few, rules):
         cascade = cascade.when(rule.fails, rule.name)
