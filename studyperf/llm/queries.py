@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, phrases, quality, reshard, rules, secrets, simhash, suffixes
+from . import bpe, decontaminate, langid, oracles, phrases, quality, reshard, rules, secrets, simhash, suffixes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -69,29 +69,4 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_decontaminate, op4_reshard, op5_rules, op6_simhash, op7_secrets, op8_phrases, op9_suffixes, op10_langid)}
 
-#: The rules' measures from word lists; windows found twice cover words from their place to the next such window's, five at most.
-RULES_SQL = r"""
-with d as (
-  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
-), m as (
-  select r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
-    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
-  from d
-), g as (
-  select r, unnest(range(1, len(w) - 3)) as p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as h from m where len(w) > 5
-), twice as (
-  select r, p from (select r, p, count(*) over (partition by r, h) as n from g) x where n > 1
-), covered as (
-  select r, sum(least(5, coalesce(after - p, 5))) as n from (select r, p, lead(p) over (partition by r order by p) as after from twice) x group by r
-), c as (
-  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
-    cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
-    cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words, len(l) as n_lines,
-    length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) as upper_, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) as letters
-  from m left join covered using (r)
-)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > 3 * n_words or 10 * n_dup_lines > 3 * n_lines or word_chars > 20 * n_words or 2 * upper_ > letters) as kept
-from (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from c) b
-"""
-ORACLES: dict[str, str] = {"op5_rules": RULES_SQL}
+ORACLES = {"op3_decontaminate": oracles.DECONTAMINATE_SQL, "op5_rules": oracles.RULES_SQL, "op8_phrases": oracles.PHRASES_SQL, "op9_suffixes": oracles.SUFFIXES_SQL}
