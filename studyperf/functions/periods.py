@@ -33,3 +33,17 @@ def by_month(df: DataFrame, ts: str) -> DataFrame:
 
 def days_in(month: Column | str) -> Column:
     return F.dayofmonth(F.last_day(month))
+
+
+def time_left(target: Column | str, as_of: Column | str) -> Column:
+    """Whole days, hours, minutes and seconds to a time; zeros once it has come."""
+    at = lambda c: F.unix_timestamp(c)
+    left = F.greatest(F.lit(0).cast("long"), at(target) - at(as_of))
+    part = lambda unit, most: F.pmod(F.floor(left / unit), F.lit(most)).cast("int")
+    return F.struct(F.floor(left / 86400).cast("int").alias("dias"), part(3600, 24).alias("horas"), part(60, 60).alias("minutos"), part(1, 60).alias("segundos"))
+
+
+def progress(begin: Column | str, target: Column | str, as_of: Column | str) -> Column:
+    """The share of the days from begin to target that have passed, in percent; 100 at most."""
+    total = F.ceil((F.unix_timestamp(target) - F.unix_timestamp(begin)) / 86400)
+    return F.least(F.lit(100.0), F.try_divide((total - time_left(target, as_of)["dias"]).cast("double") * 100, total.cast("double")))

@@ -42,6 +42,11 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def normalised(x: Column | str, least: Column | str, most: Column | str) -> Column:
+    """The place of x between two ends; 0 where they are equal."""
+    return ratio(col(x) - col(least), col(most) - col(least))
+
+
 def speed(seconds: Column | str, questions: Column | str) -> Column:
     return clamp((SLOW - ratio(seconds, questions)) / (SLOW - FAST))
 

@@ -11,6 +11,11 @@ def latest(df: DataFrame, ts: str, tie: list[str], skip: int = 0, limit: int = 1
     return df.orderBy(F.desc(ts), *tie).offset(skip).limit(limit)
 
 
+def named_list(df: DataFrame, name: str = "nome", key: str | None = None, value: object = None) -> DataFrame:
+    """Subjects or topics by name; with `key`, those of one value of it, as the topics of a subject."""
+    return (df.where(F.col(key) == F.lit(value)) if key else df).orderBy(name)
+
+
 def minutes_of(text: Column) -> Column:
     """Minutes since midnight of HH:MM."""
     parts = F.split(text, ":")

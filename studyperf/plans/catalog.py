@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import advice, breakdowns, essays, facts, ingest, listing, reports
+from ..operators import advice, breakdowns, essays, facts, ingest, listing, reports, series
 from ..sources import testviews
 from . import oracles
 
@@ -116,6 +116,14 @@ QUERIES: dict[str, Query] = {
     "critical_topics": over(FACTS, lambda t: reports.critical_topics(t, "ano", AS_OF)),
     "analytics_counts": over(FACTS, lambda t: reports.analytics_counts(t, "ano", AS_OF)),
     "subject_performance": over((*FACTS, "materia"), lambda t: reports.subject_performance(t, "ano", AS_OF)),
+    "subject_dashboard": over((*FACTS, "materia"), lambda t: series.subject_dashboard(t, "ano", AS_OF)),
+    "mean_subject_ipr": over((*FACTS, "materia"), lambda t: series.mean_subject_ipr(t, "ano", AS_OF)),
+    "block_series": over(("bloco",), lambda t: series.block_series(t, "ano", AS_OF)),
+    "mock_series": over(MOCKS, series.mock_series),
+    "first_topics": over((*BLOCKS, "assunto"), lambda t: series.first_topics(t, keys=[])),
+    "competency_rows": over(ESSAYS, series.competency_rows),
+    "correlations": over(FACTS, lambda t: series.correlations(t, [])),
+    "scaled_ipr": over(("bloco", "erro"), series.scaled_ipr),
     "dashboard_advice": over(FACTS, _dashboard_advice),
     "monthly_advice": over((*FACTS, "materia", "assunto", "redacao"), lambda t: advice.month_advice_rows(t, AS_OF, [])),
     "essay_advice": over(ESSAYS, advice.essay_advice),

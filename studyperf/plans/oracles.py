@@ -198,6 +198,18 @@ def essay_advised() -> str:
     return f"select redacao_id, competencia, {names}[competencia] as nome, nota, {flat(texts.DIAGNOSES)}{at} as diagnostico, {flat(texts.EXERCISES)}{at} as recomendacao from ({long}) l"
 
 
+def by_subject(start: str, mocks: bool) -> str:
+    """The dashboards of all subjects since a day, for the students with activity since then."""
+    seventh = "cast(round(coalesce(mq, 0) / 7.0) as bigint)" if mocks else "0"
+    whole = lambda c: f"coalesce({c}, 0)" if mocks else "0"
+    rows = f"select aluno_id, materia_id, minutos_liquidos as m, 0 as s, 0 as q, 0 as a, null::decimal(6,4) as ipr from sessao where data >= date '{start}' union all select aluno_id, materia_id, 0, tempo_total_segundos, total_questoes, total_acertos, ipr from sb2 where data >= date '{start}'"
+    exams = f"select aluno_id, sum(tempo_total_segundos) as ms, sum(total_questoes) as mq, sum(total_acertos) as ma from simulado where criado_em >= date '{start}' group by 1"
+    sums = f"select aluno_id, materia_id, sum(m) as m, sum(s) as s, sum(q) as q, sum(a) as a, cast(sum(ipr) as double) / nullif(count(ipr), 0) as ipr from ({rows}) e group by 1, 2"
+    flat = f"select k.aluno_id, d.materia_id, d.nome as materia_nome, coalesce(m, 0) as m, coalesce(s, 0) + {whole('ms')} as s, coalesce(q, 0) + {seventh} as questoes, coalesce(a, 0) + {whole('ma')} as acertos, coalesce({r('ipr', 4)}, 0.0) as ipr_medio from (select aluno_id from ({rows}) e union select aluno_id from ({exams}) f) k cross join materia d left join ({sums}) g on g.aluno_id = k.aluno_id and g.materia_id = d.materia_id left join ({exams}) x on x.aluno_id = k.aluno_id"
+    shares = f"select aluno_id, materia_id, materia_nome, {r('(m + cast(s as double) / 60) / 60', 2)} as horas, questoes, acertos, {pct('acertos', 'questoes')} as percentual_medio, ipr_medio from ({flat}) y"
+    return f"select *, cast({r('questoes * percentual_medio / 100', 0)} as bigint) as acertos_estimados from ({shares}) z"
+
+
 def build() -> dict[str, str]:
     year = period("aluno_id, ", "2000-01-01", "1999-01-01")
     month_ = period("", "2000-06-01", "2000-05-01")
@@ -222,7 +234,7 @@ def build() -> dict[str, str]:
     }
     label = "case month(mes) " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"), 1)) + " end || '/' || year(mes)"
     rest = "cast(floor(cast(horas_totais - floor(horas_totais) as decimal(28,12)) * 60 + 0.5) as int)"
-    return {
+    out = {
         "dashboard_advice": query(facts, advised(), year),
         "monthly_advice": query(["ativ", "re", "erro", "materia", "assunto"], f"select * from ({month_advised()}) z", months("") | ad | streaks("") | dayt | errs | sections),
         "essay_advice": query(["redacao"], essay_advised()),
@@ -264,9 +276,19 @@ def build() -> dict[str, str]:
         "critical_topics": query(facts, "select aluno_id, assunto_id, questoes, ipr_ponderado from crit", year),
         "analytics_counts": query(facts, f"select ps.aluno_id, {HOURS} as horas, questoes, n_sessoes, n_blocos, n_simulados, coalesce(c.n, 0) as n_criticos from ps left join (select aluno_id, count(*) as n from crit group by 1) c on c.aluno_id = ps.aluno_id", year),
         "subject_performance": query([*facts, "materia"], f"select m.materia_id, m.nome as materia_nome, g.* exclude (materia_id), case when g.ipr >= 0.8 then 'Excelente' when g.ipr >= 0.7 then 'Operacional' else 'Crítico' end as faixa from (select aluno_id, materia_id, sum(total_questoes) as questoes, sum(total_acertos) as acertos, {pct('sum(total_acertos)', 'sum(total_questoes)')} as percentual, {r('cast(sum(ipr) as double) / count(*)', 4)} as ipr from sb2 where data >= date '2000-01-01' group by 1, 2) g join materia m on m.materia_id = g.materia_id", year),
+        "subject_dashboard": query([*facts, "materia"], by_subject("2000-01-01", True), year),
+        "mean_subject_ipr": query([*facts, "materia"], f"select aluno_id, count(*) as materias, {r('avg(greatest(ipr_medio, 0.0))', 4)} as ipr_medio_materias from ({by_subject('2000-01-01', False)}) v group by 1", year),
+        "block_series": query(["bloco"], f"select aluno_id, bloco_id, posicao, concat('B', posicao) as rotulo, percentual_acerto from (select aluno_id, bloco_id, row_number() over (partition by aluno_id order by data, bloco_id) as posicao, {pct('total_acertos', 'total_questoes')} as percentual_acerto from bloco where data >= date '2000-01-01') b"),
+        "mock_series": query(["simulado"], f"select aluno_id, simulado_id, nth, concat('C', numero_ciclo, 'S', numero_semana) as rotulo, {pct('total_acertos', 'total_questoes')} as percentual_acerto from (select *, row_number() over (partition by aluno_id order by criado_em desc, simulado_id desc) as nth from simulado) s where nth <= 10"),
+        "first_topics": query(["sb", "assunto"], f"select mes, posicao, g.assunto_id, coalesce(nome, cast(g.assunto_id as varchar)) as assunto_nome, ipr_medio, status from (select *, row_number() over (partition by mes order by ipr_medio, assunto_id) as posicao from (select mes, assunto_id, {IPR}, {status(TWO, ('CRÍTICO', 'FRACO', 'REGULAR', 'BOM'))} as status from sb group by 1, 2) x) g left join assunto a on a.assunto_id = g.assunto_id where posicao <= 20"),
+        "competency_rows": query(["re"], "select * from (" + " union all ".join(f"select aluno_id, mes, 'C{k}' as competencia, {r(r(f'avg(competencia{k})', 2), 1)} as nota from re group by 1, 2" for k in range(1, 6)) + ") c where nota > 0"),
+        "scaled_ipr": query(["sb"], f"select bloco_id, aluno_id, {r('coalesce(cast(ipr - lo as double) / nullif(cast(hi - lo as double), 0), 0.0)', 6)} as ipr_normalizado from (select *, min(ipr) over (partition by aluno_id) as lo, max(ipr) over (partition by aluno_id) as hi from sb) b"),
         "plan_adherence": query(["atividade"], f"select a.aluno_id, p.n as atividade, count(*) as registros from atividade a left join (values {PLAN_ROWS}) p(d, i, f, n) on p.d = isodow(a.data) - 1 and hour(a.data) * 60 + minute(a.data) between p.i and p.f group by 1, 2"),
         "latest_sessions": query(["sessao"], "select pai_id, aluno_id, materia_id, assunto_id, tipo_sessao, minutos_liquidos from sessao order by data desc, pai_id, aluno_id, materia_id, assunto_id, tipo_sessao, minutos_liquidos, nivel_foco nulls first, nivel_energia nulls first limit 100"),
         "invalid_exams": query(["prova"], "select prova_id, ano, 'ano' as motivos from prova where ano < 2000"),
         "invalid_blocks": query(["bloco"], "select bloco_id, case when a < 0 then 'total_acertos' else 'acertos_acima' end as motivos from (select bloco_id, total_questoes, total_acertos * 2 - 12 as a from bloco) b where a < 0 or a > total_questoes"),
         "new_subjects": query(["assunto", "materia"], "select assunto_id, nome, peso_prova from (select *, row_number() over (partition by lower(nome) order by assunto_id) as k from (select assunto_id, trim(regexp_replace(nome, ' [0-9]+$', '')) as nome, assunto_id % 5 as peso_prova from assunto) x where nome <> '' and peso_prova > 0 and lower(nome) not in (select lower(trim(nome)) from materia)) y where k = 1"),
     }
+    three = {"foco_ipr": "corr_focus_ipr", "sono_acerto": "corr_sleep_hits", "ansiedade_erro": "corr_anxiety_errors"}
+    out["correlations"] = "select *, coalesce(abs(correlacao) >= 0.5, false) as forte from (" + " union all ".join(f"select *, '{k}' as correlacao_de from ({out[n]}) c" for k, n in three.items()) + ") r"
+    return out
