@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from studyperf.llm import bpe, decontaminate, quality, secrets, simhash
+from studyperf.llm import bpe, decontaminate, nearcopies, quality, secrets
 from studyperf.llm.common import stored
 from studyperf.llm.queries import TOKENIZER, table
 
@@ -16,8 +16,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component."""
-    return simhash.deduplicated(docs)
+    """One document of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,7 +102,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs without the documents whose component has one with a smaller id; of rows with one id, one stays. Rows without an id can't be told apart and stay."""
-    kept = near_duplicates(docs, radius, shingle, seed).where("doc_id = component_id").select("doc_id").distinct()
+    return least_of_components(docs, near_duplicates(docs, radius, shingle, seed))
+
+
+def least_of_components(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with what deduplicated() keeps, by the doc_id and component_id in found."""
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
