@@ -105,10 +105,10 @@ def size_class(size: Column) -> Column:
     return F.floor(8 * F.log2(size.cast("double"))).cast("int")
 
 
-def reshard(docs: DataFrame, old: Column, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot (gapless from 0 in each shard) of each document, under the law `rows`."""
+def reshard(docs: DataFrame, old: Column, shards: int = SHARDS, **carried: Column) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard and slot (gapless from 0 in each shard) of each document, under the law `rows`; and what is carried along."""
     text = whole_text()
-    rows = stored(docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old_shard")).withColumn("class", size_class(F.col("size"))), "sizes")
+    rows = stored(docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old_shard"), *(c.alias(name) for name, c in carried.items())).withColumn("class", size_class(F.col("size"))), "sizes")
     counted = rows.groupBy("old_shard", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()  # shards times size classes
     moves = transfers({(r["old_shard"], r["class"]): (r["n"], r["bytes"]) for r in counted}, shards)
     largest = max((r["n"] for r in counted), default=0)
@@ -129,12 +129,25 @@ def reshard(docs: DataFrame, old: Column, shards: int = SHARDS) -> DataFrame:
     plan = rows.sparkSession.createDataFrame(plan, "old_shard int, class int, first long, past long, shard int, at long")
     runs = plan.groupBy(*block).agg(F.collect_list(F.struct("first", "past", "shard", "at")).alias("runs"))  # bounded like the blocks
     placed = ranked.join(F.broadcast(runs), block).withColumn("run", F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["past"]))[0])
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", F.col("run.shard").alias("shard"), (F.col("run.at") + F.col("rank") - F.col("run.first")).alias("slot"))
-
-
-def rewrite(docs: DataFrame, placed: DataFrame, folder: str) -> None:
-    """Writes the shards that lose or gain rows, a folder for each, in as many files as their size asks for. Untouched shards are left alone. Documents are found by doc_id."""
-    moved = placed.where("shard <> old_shard")
-    touched = moved.select("shard").union(moved.select("old_shard")).distinct()  # a few numbers
-    wanted = placed.join(F.broadcast(touched), "shard").select("doc_id", "shard", "slot")
-    docs.join(wanted, "doc_id").repartition("shard", F.floor(F.col("slot") / CELL)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder)
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", F.col("run.shard").alias("shard"), (F.col("run.at") + F.col("rank") - F.col("run.first")).alias("slot"), *carried)
+
+
+def rewrite(docs: DataFrame, old: Column, folder: str, shards: int = SHARDS) -> list[int]:
+    """Writes the shards that lose or gain rows, a folder shard=N for each, in as many files as their size asks for, and returns their numbers. Folders of untouched shards are left alone; those of shards that keep no row are deleted.
+
+    The rows themselves go through placement, so null and repeated ids keep all their rows. folder may be the layout that docs was read from. A column `shard` of docs gives way to the new shard.
+    """
+    spark = docs.sparkSession
+    own = [c for c in docs.columns if c != "shard"]
+    placed = stored(reshard(docs, old, shards, carried=F.struct(*own), lost=old.isNull()), "placed")
+    moved = placed.where("lost or shard <> old_shard")
+    touched = {r[0] for r in moved.select("shard").union(moved.where("not lost").select("old_shard")).distinct().collect()}  # a few numbers
+    wanted = placed.where(F.col("shard").isin(*touched)).select("carried", "shard", "slot")
+    filled = {r[0] for r in wanted.select("shard").distinct().collect()}
+    gone = [str(n) for n in touched - filled] + ["__HIVE_DEFAULT_PARTITION__"] * (not placed.where("lost").isEmpty())
+    dealt = wanted.repartition("shard", F.floor(F.col("slot") / CELL)).sortWithinPartitions("shard", "slot")
+    dealt.select("carried.*", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return sorted(touched)
