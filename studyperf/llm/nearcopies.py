@@ -76,6 +76,11 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(shingles(x), shingles(y)) >= SIMILAR for x, y in zip(a, b)], dtype=bool)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df in as many parts as a shuffle has: few files would make large tasks of what their rows are exploded to."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _stars(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (key, node): the pairs of each key's least node and its others; and the rows of keys with three nodes or more, with their number n."""
     balls = stored(met.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "bands")
@@ -86,7 +91,7 @@ def _stars(met: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _balls(groups: DataFrame) -> DataFrame:
     """Pairs of nodes whose fingerprints are equal or linked by ball hashing: each fingerprint's least node, and its others."""
     least = stored(groups.groupBy("fp").agg(F.min("node").alias("a")), "prints")
-    linked = simhash.links(least.select("fp"))
+    linked = simhash.links(_dealt(least.select("fp")))
     ends = linked.join(least.select(F.col("fp").alias("a"), F.col("a").alias("u")), "a").join(least.select(F.col("fp").alias("b"), F.col("a").alias("v")), "b")
     return groups.join(least, "fp").where("a <> node").select("a", F.col("node").alias("b")).union(ends.select(F.least("u", "v"), F.greatest("u", "v")))
 
@@ -112,7 +117,7 @@ def _across(rows: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have a near copy, but the roots. groups: node, fp and bands of each distinct node."""
-    stars, more = _stars(groups.select("node", F.explode("bands").alias("key")))
+    stars, more = _stars(_dealt(groups.select("node", "bands")).select("node", F.explode("bands").alias("key")))
     pairs = stored(stars.union(_balls(groups.select("node", "fp"))).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = docs.select(F.pandas_udf(_nodes, "long")("text").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
@@ -132,7 +137,7 @@ def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable) of each document."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     prints = stored(docs.select("doc_id", F.pandas_udf(_described, "struct<node:long,fp:long,bands:array<long>>")("text").alias("x")).select("doc_id", "x.*"), "described")
     groups = stored(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     roots = components(docs, groups)
