@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import small_batches, stored, whole_text
 
 #: The bitmap has at most 2 ** MOST_BITS bits (64 MB).
 LEAST_BITS, MOST_BITS = 23, 29
@@ -234,7 +234,6 @@ class Prefixes:
 RECORD = np.dtype([("anchor", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("self", "?")])
 #: n windows from start of a document that are to go.
 FLAG = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
-NO_ID = (1 << 63) - 1
 PACK = 1 << 12
 
 
@@ -269,8 +268,23 @@ def flags(doc: np.ndarray, start: np.ndarray, n) -> list[bytes]:
     return [out[k : k + PACK].tobytes() for k in range(0, len(out), PACK)]
 
 
-def _ids(batch: pd.DataFrame) -> np.ndarray:
-    return batch["doc_id"].fillna(NO_ID).astype("int64").to_numpy() if batch["doc_id"].hasnans else batch["doc_id"].to_numpy("int64")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and doc, which tells documents apart and orders them: the id; but for rows without one, and for rows that share an id with a row of another text (of these the one with the least hash keeps it),
+    a number above all ids, made from id and text. So equal rows are one document, and others never are."""
+    text = F.xxhash64(whole_text())
+    seen = stored(docs.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")), "ids")
+    top, odd = seen.agg(F.max("doc_id"), F.bool_or(F.expr("doc_id is null or low <> high"))).first()
+    if not odd:
+        return docs.select("doc_id", "text", F.col("doc_id").alias("doc"))
+    base = min(max(1 << 62, (top or 0) + 1), (1 << 63) - 2)
+    own = F.lit(base) + F.pmod(F.xxhash64("doc_id", text), F.lit((1 << 63) - 1 - base))
+    clash = seen.where("doc_id is not null and low <> high").select("doc_id", "low")
+    return docs.join(clash, "doc_id", "left").select("doc_id", "text", F.when(F.col("doc_id").isNull() | (text != F.col("low")), own).otherwise(F.col("doc_id")).alias("doc"))
+
+
+def doc_ids(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
+    """The ids of a batch of covered(): never as floating numbers, which would round them."""
+    return pd.arrays.IntegerArray(batch["doc_id"].to_numpy("int64"), batch["unnamed"].to_numpy(bool))
 
 
 def _gathered(batches: Iterator[pd.DataFrame], columns: list[str], most: int = 48 << 20) -> Iterator[list[tuple]]:
@@ -321,7 +335,7 @@ def whole_stretches(docs: DataFrame, kind: Kind, known: tuple[int, bytes]) -> Da
         bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
         held, size = [], 0
         for batch in batches:
-            ids = _ids(batch)
+            ids = batch["doc"].to_numpy("int64")
             for parts, where in pieces(kind, batch["text"]):
                 part, first, n, value, begin, g = runs(kind, parts)
                 take = np.flatnonzero(marked(bits, own, value))
@@ -352,7 +366,7 @@ def whole_stretches(docs: DataFrame, kind: Kind, known: tuple[int, bytes]) -> Da
         packs = flags(gone["doc"], gone["start"], gone["n"]) + [f for f in group["flags"] if f]
         return pd.concat([out, pd.DataFrame({"anchors": b"", "owners": b"", "places": b"", "flags": packs})], ignore_index=True)
 
-    rows = docs.select("doc_id", "text").mapInPandas(scanned, "slice int, records binary, flags binary")
+    rows = docs.select("doc", "text").mapInPandas(scanned, "slice int, records binary, flags binary")
     return stored(rows.groupBy("slice").applyInPandas(met, "anchors binary, owners binary, places binary, flags binary"), "stretches")
 
 
@@ -400,7 +414,7 @@ def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolv
         bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
         held, size = [], 0
         for batch in batches:
-            ids = _ids(batch)
+            ids = batch["doc"].to_numpy("int64")
             for parts, where in pieces(kind, batch["text"]):
                 part, first, n, value, begin, _ = runs(kind, parts)
                 if not len(part):
@@ -434,7 +448,7 @@ def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolv
         own = group[group["n"] > 0]
         return pd.DataFrame({"flags": (resolve(own) if len(own) else []) + [f for f in group["flags"] if f]})
 
-    rows = docs.select("doc_id", "text").mapInPandas(scanned, "slice int, anchor long, doc long, start int, n int, data binary, flags binary")
+    rows = docs.select("doc", "text").mapInPandas(scanned, "slice int, anchor long, doc long, start int, n int, data binary, flags binary")
     return rows.groupBy("slice").applyInPandas(met, "flags binary")
 
 
@@ -468,11 +482,10 @@ def merged(packs: list[bytes] | None) -> np.ndarray:
 
 
 def covered(docs: DataFrame, kind: Kind, resolve: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
-    """doc_id, text and spans: packs of what of each document also stands earlier (null: nothing)."""
+    """doc_id (0 where unnamed), unnamed, text and spans: packs of what of each document also stands earlier (null: nothing)."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = keyed(docs.select("doc_id", "text"))
     whole = whole_stretches(docs, kind, recurring(docs, kind))
     single = single_windows(docs, kind, varied(whole), resolve)
     found = spans(stored(whole.select("flags").where(F.length("flags") > 0).union(single), "flags"), kind)
-    keyed = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    return keyed.join(stored(found, "spans"), "doc", "left").select("doc_id", "text", "spans")
+    return docs.join(stored(found, "spans"), "doc", "left").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "text", "spans")

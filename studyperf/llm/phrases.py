@@ -4,7 +4,7 @@ Removed is each word covered by a window of WINDOW words that also starts earlie
 as wholes. Where stretches differ, each shard (a slice of the anchors) confirms which passages of its stretches recur, compiles them into an automaton over its own numbering of words, and streams every stretch through it to locate each
 occurrence; all but the first go. A document's stretches go only to the shards of their anchors, so each is streamed once however many shards there are.
 
-Null texts have no words. A null id counts as larger than all others, and rows that share an id are one document. Texts of fewer than WINDOW words lose nothing. An empty table gives an empty result.
+Null texts have no words. A null id counts as larger than all others. Equal rows are one document; rows that share an id, or have none, and differ in text are documents of their own (anchors.keyed). Texts of fewer than WINDOW words lose nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept += words[at:]
                 rows.append((len(words), int((spans[:, 1] - spans[:, 0]).sum()), b" ".join(kept).decode()))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(0, "doc_id", anchors.doc_ids(batch))
             yield out
 
     return anchors.covered(docs, KIND, _resolve).mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -4,7 +4,7 @@ Removed is each byte covered by a string of WINDOW bytes that also starts in a d
 prefixes' polynomial hashes: binary search finds how far they agree, the next byte decides, so a comparison takes a logarithmic number of steps. Runs with equal first eight bytes are sorted by merging. Neighbours that agree for a
 window's length are verified byte by byte; if a hash should ever have lied, that task sorts by the bytes themselves.
 
-Null texts are empty. A null id counts as larger than all others, and rows that share an id are one document. Strings never cross documents. Short texts lose nothing. An empty table gives an empty result.
+Null texts are empty. A null id counts as larger than all others. Equal rows are one document; rows that share an id, or have none, and differ in text are documents of their own (anchors.keyed). Strings never cross documents. Short texts lose nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept.append(data[at:])
                 rows.append((len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), b"".join(kept)))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(0, "doc_id", anchors.doc_ids(batch))
             yield out
 
     return anchors.covered(docs, KIND, _resolve).mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
