@@ -27,6 +27,8 @@ LEAST_BITS, MOST_BITS = 23, 29
 CHUNK = 1 << 17
 #: Hashes that a worker gathers before it compares them and sends them on.
 FLUSH = 1 << 18
+#: Anchors with more distinct stretches than this are crowded: their windows are dealt out one by one.
+CROWD = 1000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -391,12 +393,35 @@ def varied(found: DataFrame) -> tuple[int, bytes]:
     return bitmap(found.select("owners", "places").mapInPandas(placed, KEYS), slices, 1)
 
 
-def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolve: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
+def crowded(found: DataFrame) -> np.ndarray:
+    """Upper halves, in order, of the anchors that have more than CROWD distinct stretches. One in CROWD stretches at most has such an anchor of its own."""
+    slices, most = slices_of(found.sparkSession), CROWD
+    width = slices.bit_length() - 1
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _gathered(batches, ["anchors"]):
+            values, n = np.unique(np.frombuffer(b"".join(x for x, in held), "<u8") >> np.uint64(32), return_counts=True)
+            edges = np.searchsorted(values >> np.uint64(32 - width), np.arange(slices + 1))
+            packs = [(k, values[a:b].astype("<u4").tobytes(), n[a:b].astype("<i8").tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+            yield pd.DataFrame(packs, columns=["slice", "keys", "counts"])
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        values, at = np.unique(np.frombuffer(b"".join(group["keys"]), "<u4"), return_inverse=True)
+        n = np.bincount(at, np.frombuffer(b"".join(group["counts"]), "<i8"))
+        return pd.DataFrame({"found": [values[n > most].tobytes()]})
+
+    counts = found.select("anchors").where(F.length("anchors") > 0).mapInPandas(counted, "slice int, keys binary, counts binary")
+    rows = counts.groupBy("slice").applyInPandas(met, "found binary").where(F.length("found") > 0).toLocalIterator()
+    return np.sort(np.frombuffer(b"".join(bytes(r["found"]) for r in rows), "<u4")).astype(np.uint64)
+
+
+def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], crowd: np.ndarray, resolve: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
     """Compares single windows where stretches with one anchor differ. Of equal stretches only the earliest come here, for the others are flagged already. Again workers first compare what they have;
-    a stretch goes out only for windows that stand nowhere earlier in it. resolve gets the stretches of a slice of anchors (anchor, doc, start, n, data) and gives flags."""
+    a stretch goes out only for windows that stand nowhere earlier in it. resolve gets the stretches of a slice of anchors (anchor, doc, start, n, data) and gives flags.
+    Stretches of crowded anchors (crowd) go out as single windows, dealt by the window's hash: equal windows still meet, but no slice gets all of an anchor's."""
     slices = slices_of(docs.sparkSession)
     width = slices.bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast((*known, crowd))
 
     def dealt(held: list[tuple]) -> pd.DataFrame:
         hashes, doc, start, number = (np.concatenate([h[k] for h in held]) for k in range(4))
@@ -424,11 +449,19 @@ def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], resolv
                 take = np.flatnonzero(marked(bits, own, place_key(doc, start)))
                 if len(take):
                     part, first, n, value, begin, doc, start = (a[take] for a in (part, first, n, value, begin, doc, start))
+                    hot = np.isin(value >> np.uint64(32), shared.value[2])
+                    if hot.any():
+                        count = np.where(hot, n, 1)
+                        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                        n = np.where(hot, 1, n)
+                        part, first, n, value, begin, doc, start, hot = (np.repeat(a, count) for a in (part, first, n, value, begin, doc, start, hot))
+                        first, begin, start = first + step, begin + step, start + step
                     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     hashes = mixed(Prefixes(kind.units(parts)).of(np.repeat(begin, n) + within, kind.window))
+                    dealt_by = np.where(hot, hashes[np.cumsum(n) - n], value)
                     rows = pd.DataFrame(
                         {
-                            "slice": (value >> np.uint64(64 - width)).astype(np.int64),
+                            "slice": (dealt_by >> np.uint64(64 - width)).astype(np.int64),
                             "anchor": value.astype(np.int64),
                             "doc": doc,
                             "start": start,
@@ -486,6 +519,6 @@ def covered(docs: DataFrame, kind: Kind, resolve: Callable[[pd.DataFrame], list[
     small_batches(docs.sparkSession)
     docs = keyed(docs.select("doc_id", "text"))
     whole = whole_stretches(docs, kind, recurring(docs, kind))
-    single = single_windows(docs, kind, varied(whole), resolve)
+    single = single_windows(docs, kind, varied(whole), crowded(whole), resolve)
     found = spans(stored(whole.select("flags").where(F.length("flags") > 0).union(single), "flags"), kind)
     return docs.join(stored(found, "spans"), "doc", "left").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "text", "spans")

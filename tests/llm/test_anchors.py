@@ -20,3 +20,31 @@ def test_ids_null_large_or_shared(spark, operator):
     assert kept[5] == [f"first {SHARED}"] and kept[LARGE] == ["then"] and kept[LARGE + 1] == [CLEAN]
     assert sorted(kept[None]) == sorted(["", other])
     assert kept[9].count(third) == 2 and all("passage20" not in t for t in kept[9])
+
+
+def crowd_of(spark, n):
+    rows = [(k, f"{' '.join(f'a{k}x{i}' for i in range(30))} {SHARED} {' '.join(f'b{k}x{i}' for i in range(30))}") for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+def test_no_group_holds_a_crowded_anchor(spark, monkeypatch, operator):
+    docs = anchors.keyed(crowd_of(spark, 300))
+    monkeypatch.setattr(anchors, "CROWD", 20)
+    whole = anchors.whole_stretches(docs, operator.KIND, anchors.recurring(docs, operator.KIND))
+    places, crowd = anchors.varied(whole), anchors.crowded(whole)
+
+    def largest(crowd):  # the largest group's share of all windows; the groups tell their sizes as flags
+        found = anchors.single_windows(docs, operator.KIND, places, crowd, lambda g: anchors.flags(np.array([-g["n"].sum()]), np.array([0]), 1))
+        sizes = [-np.frombuffer(r["flags"], anchors.FLAG)["doc"][0] for r in found.collect()]
+        return max(sizes) / sum(x for x in sizes if x > 0)
+
+    assert len(crowd) and largest(crowd) < 0.1 < largest(crowd[:0])
+
+
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+def test_crowded_anchors_change_nothing(spark, monkeypatch, operator):
+    docs = crowd_of(spark, 60)
+    before = sorted(operator.digest(docs).collect())
+    monkeypatch.setattr(anchors, "CROWD", 2)
+    assert sorted(operator.digest(docs).collect()) == before and sum(r["n_removed"] > 0 for r in before) == 59
