@@ -1,12 +1,15 @@
 """Finding what recurs in a corpus without moving the corpus: window minimisers as anchors.
 
-Each window of a fixed number of units (words, bytes) has an anchor: the least hash of the grams within it. Equal windows have equal anchors, so a window can recur only where its anchor does, and far fewer anchors than
-windows go through a shuffle. Neighbouring windows share anchors; a maximal run of windows with one anchor is a stretch.
+Each window of a fixed number of units (words, bytes) has an anchor: the least hash of the grams within it, at the first place in the window that has it. Equal windows have equal anchors at equal places. A window also has a key: the
+hash of the longer gram that begins with the anchor, or ends with it if the anchor lies in the window's right half; so it lies within the window too, and equal windows have equal keys. A maximal run of windows with one place of their anchor is a stretch.
 
-1. `recurring` counts the anchors' hashes (packed, by slices of their range) and keeps those that occur twice or more in a bitmap of a bounded size. With ever more of them the bitmap gets denser and lets more stretches pass that don't recur;
+Hashes only choose candidates. What goes is decided by the caller's method on the texts themselves:
+
+1. `recurring` counts the keys (packed, by slices of their range) and keeps those that occur twice or more in a bitmap of a bounded size. With ever more of them the bitmap gets denser and lets more pass that don't recur;
    no recurring one is ever missed.
-2. `whole_stretches` scans the documents again and compares stretches whose anchor is in the bitmap, as wholes: passages that recur are mostly such.
-3. `single_windows` compares single windows where one anchor has several distinct stretches, as at a passage's ends; it sends the text along, for the caller's method to compare the windows themselves.
+2. `whole_pieces` scans the documents again and sends stretches whose keys are in the bitmap, as pieces of text, to where pieces with the same text meet. The method finds what occurs several times; all but the first go.
+   Each worker does this with its own pieces first, so a text goes out once for many documents that share it.
+3. `windows_apart` takes anchors that still have several different pieces, as at a passage's ends, and lets the method find the single windows that these share. Pieces of anchors with very many of them are dealt out window by window.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +29,14 @@ from .common import small_batches, stored, whole_text
 LEAST_BITS, MOST_BITS = 23, 29
 #: Units that are scanned at once; longer documents are scanned in parts that overlap by a window less one.
 CHUNK = 1 << 17
-#: Hashes that a worker gathers before it compares them and sends them on.
-FLUSH = 1 << 18
-#: Anchors with more distinct stretches than this are crowded: their windows are dealt out one by one.
+#: Keys that a worker gathers before it sends them on; pieces, and their bytes, that the method gets at once.
+FLUSH, PIECES, BYTES = 1 << 18, 1 << 16, 8 << 20
+#: Bytes of all documents' texts for each slice that pieces are dealt to.
+SLICE = 4 << 20
+#: Anchors with more different pieces than this are crowded: their windows are dealt out one by one.
 CROWD = 1000
+#: Low bits of a gram's hash that give way to its place.
+PLACE = np.uint64((1 << 20) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,60 +54,92 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
+#: For pieces of text (their anchors, windows, texts): where passages that occur several times are, as found by the method: arrays of piece, first window in it, number of windows, and the passage's number.
+#: With `windows` single windows count as passages too, else whole pieces alone need to.
+Locate = Callable[[np.ndarray, np.ndarray, list[bytes], bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
 @dataclass(frozen=True)
 class Kind:
-    """How texts become units: the window and the gram in units, and the functions that split a text and hash the grams of many joined texts."""
+    """How texts become units: the window and the gram in units, the functions that split a text, hash the units of many joined texts and join units; and the method."""
 
     window: int
     gram: int
-    split: Callable[[str | None], object]
-    grams: Callable[[list], np.ndarray]
-    #: The units of joined parts as numbers, and a range of one part's units as bytes.
+    split: Callable[[bytes], object]
     units: Callable[[list], np.ndarray]
     join: Callable[[object], bytes]
+    locate: Locate
     #: Whether a recurrence within one document counts.
     within: bool
 
 
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2 ** 64."""
+    if len(_powers[0]) <= n:
+        with np.errstate(over="ignore"):
+            for k, b in enumerate((BASE, INVERSE)):
+                _powers[k] = np.cumprod(np.append(np.uint64(1), np.full(n + n // 4, b, np.uint64)), dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+class Prefixes:
+    """Polynomial hashes of all prefixes of a row of units, from which any range's hash comes in one step."""
+
+    def __init__(self, units: np.ndarray):
+        self.sums = np.zeros(len(units) + 1, np.uint64)
+        up, self.down = powers(len(units))
+        with np.errstate(over="ignore"):
+            np.cumsum(units * up[: len(units)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[start + size] - self.sums[start]) * self.down[start]
+
+    def grams(self, size: int) -> np.ndarray:
+        """Hashes of all grams of a size."""
+        with np.errstate(over="ignore"):
+            return mixed((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
+
+
 def runs(kind: Kind, parts: list) -> tuple[np.ndarray, ...]:
-    """Of joined parts of documents: each stretch's part, first window (in the part), number of windows, anchor and place among the joined units; and all grams' hashes."""
+    """Of joined parts of documents: maximal runs of windows with one place of their anchor and one key. Of each the part, first window (in the part), number of windows, anchor, its place, key."""
     lengths = np.array([len(p) for p in parts])
     ends = np.cumsum(lengths)
-    starts = ends - lengths
-    total = int(ends[-1]) if len(ends) else 0
-    empty = np.zeros(0, np.int64)
-    if total < kind.window:
-        return empty, empty, empty, empty.astype(np.uint64), empty, empty.astype(np.uint64)
-    g = kind.grams(parts)
-    least = sliding_min(g, kind.window - kind.gram + 1)[: total - kind.window + 1]
-    first = np.flatnonzero((np.repeat(ends, lengths) - np.arange(total))[: len(least)] >= kind.window)
+    starts, total = ends - lengths, int(lengths.sum())
+    none = np.zeros(0, np.int64)
+    first = none
+    if total >= kind.window:
+        first = np.flatnonzero((np.repeat(ends, lengths) - np.arange(total))[: total - kind.window + 1] >= kind.window)
     if not len(first):
-        return empty, empty, empty, empty.astype(np.uint64), empty, empty.astype(np.uint64)
-    m = least[first]
-    new = np.ones(len(m), bool)
-    new[1:] = (m[1:] != m[:-1]) | (first[1:] != first[:-1] + 1)
+        return none, none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+    prefixes = Prefixes(kind.units(parts))
+    grams = prefixes.grams(kind.gram)
+    least = sliding_min((grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64), kind.window - kind.gram + 1)[first]
+    place = (least & PLACE).astype(np.int64)
+    slack = kind.window - kind.gram
+    half = slack // 2
+    left = place - first >= half
+    new = np.ones(len(first), bool)
+    new[1:] = (least[1:] != least[:-1]) | (left[1:] != left[:-1]) | (first[1:] != first[:-1] + 1)
     at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(m)))
-    begin, value = first[at], m[at]
-    part = np.searchsorted(starts, begin, "right") - 1
-    if len(parts) and (lengths == 0).any():  # empty parts share a start with the next one
-        part = np.searchsorted(ends, begin, "right")
+    n = np.diff(np.append(at, len(first)))
+    begin, place, left = first[at], place[at], left[at]
+    key = prefixes.of(np.where(left, place - half, place), np.where(left, kind.gram + half, kind.gram + slack - half + 1))
+    part = np.searchsorted(ends, begin, "right")
     # least hashes crowd at the low end; mixed again, they spread evenly over slices and bitmaps
-    return part, begin - starts[part], n, mixed(value), begin, g
+    return part, begin - starts[part], n, mixed(least[at] >> np.uint64(20)), place, mixed(key + left)
 
 
-def repeats(kind: Kind, g: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of stretches, which hold their anchor more than once, where a recurrence within a document counts."""
-    if not kind.within or not len(begin):
-        return np.zeros(len(begin), bool)
-    span = n + kind.window - kind.gram
-    edge = np.cumsum(span) - span
-    head = np.repeat(begin - edge, span) + np.arange(span.sum())
-    grams = g[head]
-    return np.add.reduceat((grams == np.repeat(np.minimum.reduceat(grams, edge), span)).astype(np.int32), edge) > 1
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode()
 
 
-def pieces(kind: Kind, texts: Iterator) -> Iterator[tuple[list, list[tuple[int, int]]]]:
+def pieces(kind: Kind, texts: Iterator[bytes]) -> Iterator[tuple[list, list[tuple[int, int]]]]:
     """Splits texts and yields parts of about CHUNK units together, with each part's text number and offset."""
     held, where, size = [], [], 0
     for i, text in enumerate(texts):
@@ -137,12 +177,12 @@ def _packed(slices: int, keys: np.ndarray, repeated: np.ndarray) -> pd.DataFrame
 KEYS = "slice int, once binary, again binary"
 
 
-def bitmap(keys: DataFrame, slices: int, least: int = 2) -> tuple[int, bytes]:
-    """The number of bits and the bitmap, by the hash's upper bits, of the keys (columns KEYS) that occur `least` (1 or 2) times or more."""
+def bitmap(keys: DataFrame, slices: int) -> tuple[int, bytes]:
+    """The number of bits and the bitmap, by the hash's upper bits, of the keys (columns KEYS) that occur twice or more."""
 
     def met(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         values, n = np.unique(np.frombuffer(b"".join(group["once"]), "<u4"), return_counts=True)
-        out = np.union1d(values[n >= least], np.frombuffer(b"".join(group["again"]), "<u4")).astype("<u4")
+        out = np.union1d(values[n > 1], np.frombuffer(b"".join(group["again"]), "<u4")).astype("<u4")
         return pd.DataFrame({"slice": [key[0]], "n": [len(out)], "found": [out.tobytes()]})
 
     found = stored(keys.groupBy("slice").applyInPandas(met, "slice int, n long, found binary"), "anchors")
@@ -166,33 +206,31 @@ def bitmap(keys: DataFrame, slices: int, least: int = 2) -> tuple[int, bytes]:
 
 
 def recurring(docs: DataFrame, kind: Kind) -> tuple[int, bytes]:
-    """The bitmap of the anchors that recur: in several documents, or within one where that counts."""
+    """The bitmap of the keys that recur: in several documents, or within one where that counts."""
     slices = slices_of(docs.sparkSession)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, many, size = [], [np.zeros(0, np.uint64)], 0
+        keys, size = [], 0
 
         def flush() -> pd.DataFrame:
             values, n = np.unique(np.concatenate(keys), return_counts=True)
-            return _packed(slices, values, np.unique(np.concatenate([values[n > 1], *many])))
+            return _packed(slices, values, values[n > 1])
 
         for batch in batches:
-            for parts, where in pieces(kind, batch["text"]):
-                part, _, n, value, begin, g = runs(kind, parts)
-                if kind.within:
-                    many.append(value[repeats(kind, g, begin, n)])
-                else:  # once for each document
+            for parts, where in pieces(kind, map(encoded, batch["text"])):
+                part, *_, key = runs(kind, parts)
+                if not kind.within:  # once for each document
                     doc = np.array([i for i, _ in where])[part]
-                    order = np.lexsort((doc, value))
-                    value, doc = value[order], doc[order]
-                    new = np.ones(len(value), bool)
-                    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-                    value = value[new]
-                keys.append(value)
-                size += len(value)
+                    order = np.lexsort((doc, key))
+                    key, doc = key[order], doc[order]
+                    new = np.ones(len(key), bool)
+                    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                    key = key[new]
+                keys.append(key)
+                size += len(key)
                 if size >= FLUSH:
                     yield flush()
-                    keys, many, size = [], [np.zeros(0, np.uint64)], 0
+                    keys, size = [], 0
         if keys:
             yield flush()
 
@@ -204,49 +242,24 @@ def marked(bits: int, bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, modulo 2 ** 64."""
-    if len(_powers[0]) <= n:
-        with np.errstate(over="ignore"):
-            for k, b in enumerate((BASE, INVERSE)):
-                _powers[k] = np.cumprod(np.append(np.uint64(1), np.full(2 * n, b, np.uint64)), dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
-class Prefixes:
-    """Polynomial hashes of all prefixes of a row of units, from which any range's hash comes in one step."""
-
-    def __init__(self, units: np.ndarray):
-        self.sums = np.zeros(len(units) + 1, np.uint64)
-        up, self.down = powers(len(units))
-        with np.errstate(over="ignore"):
-            np.cumsum(units * up[: len(units)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, size) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[start + size] - self.sums[start]) * self.down[start]
-
-
-#: A stretch: its anchor, the hash of its units, its document and place; self: it repeats a gram within.
-RECORD = np.dtype([("anchor", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("self", "?")])
 #: n windows from start of a document that are to go.
 FLAG = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 PACK = 1 << 12
+#: A piece: a stretch's text, with its document and place; or, with n = 0, a pack of flags.
+PIECE = "slice int, anchor long, doc long, start int, n int, data binary, flags binary"
 
 
-def later(kind: Kind, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by key, document and place, and which rows in it have an earlier one with the same key."""
+def later(within: bool, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows have an earlier one with the same key."""
     order = np.lexsort((start, doc, key))
     k, d, s = key[order], doc[order], start[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    return order, (d > d[head]) | (kind.within & (d == d[head]) & (s > s[head])) if len(k) else np.zeros(0, bool)
+    out = np.zeros(len(k), bool)
+    if len(k):
+        out[order] = (d > d[head]) | (within & (d == d[head]) & (s > s[head]))
+    return out
 
 
 def unions(doc: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,200 +302,127 @@ def doc_ids(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
     return pd.arrays.IntegerArray(batch["doc_id"].to_numpy("int64"), batch["unnamed"].to_numpy(bool))
 
 
-def _gathered(batches: Iterator[pd.DataFrame], columns: list[str], most: int = 48 << 20) -> Iterator[list[tuple]]:
-    """Rows of packs, as many as a worker may hold."""
-    held, size = [], 0
-    for batch in batches:
-        for row in zip(*(batch[c] for c in columns)):
-            held.append(row)
-            size += sum(map(len, row))
-            if size >= most:
-                yield held
-                held, size = [], 0
+def _portions(anchor: np.ndarray, data: list[bytes]) -> Iterator[np.ndarray]:
+    """Rows in the order of their anchors, about BYTES at a time; an anchor's stay together."""
+    order = np.argsort(anchor, kind="stable")
+    size = np.cumsum(np.fromiter(map(len, data), np.int64, len(data))[order])
+    heads = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
+    portion = size[heads] // BYTES
+    cuts = heads[np.flatnonzero(np.append(True, portion[1:] != portion[:-1]))]
+    yield from np.split(order, cuts[1:])
+
+
+def resolved(kind: Kind, p: pd.DataFrame, windows: bool) -> tuple[list[bytes], np.ndarray]:
+    """Flags of what stands earlier in the pieces p, by the kind's method; and which pieces are not flagged as a whole."""
+    anchor, doc, start, n = (p[c].to_numpy(np.int64) for c in ("anchor", "doc", "start", "n"))
+    data, stays, packs = p["data"].tolist(), np.ones(len(p), bool), []
+    for rows in _portions(anchor, data) if len(p) else ():
+        piece, at, size, passage = kind.locate(anchor[rows], n[rows], [data[k] for k in rows.tolist()], windows)
+        piece = rows[piece]
+        gone = later(kind.within, passage, doc[piece], start[piece] + at)
+        piece, at, size = piece[gone], at[gone], size[gone]
+        stays[piece[size == n[piece]]] = False
+        packs += flags(doc[piece], start[piece] + at, size)
+    return packs, stays
+
+
+def _sent(kind: Kind, p: pd.DataFrame, slices: int) -> pd.DataFrame:
+    """What a worker sends on of its pieces: those that stay, to the slices of their texts, and flags, anywhere."""
+    packs, stays = resolved(kind, p, False)
+    own = p[stays]
+    own = own.assign(slice=np.fromiter((xxhash.xxh32_intdigest(x) % slices for x in own["data"]), np.int64, len(own)), flags=b"")
+    return _with_flags(own, packs, np.arange(len(packs)) * 7 % slices)
+
+
+def _with_flags(own: pd.DataFrame, packs: list[bytes], where) -> pd.DataFrame:
+    if not packs:
+        return own
+    more = pd.DataFrame({"slice": where, "anchor": 0, "doc": 0, "start": 0, "n": 0, "data": b"", "flags": packs})
+    return pd.concat([own, more], ignore_index=True)
+
+
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces, as many at once as the method may get."""
+    held, size, count = [], 0, 0
+    for frame in frames:
+        held.append(frame)
+        count += len(frame)
+        size += frame["data"].str.len().sum()
+        if count >= PIECES or size >= BYTES:
+            yield pd.concat(held, ignore_index=True)
+            held, size, count = [], 0, 0
     if held:
-        yield held
+        yield pd.concat(held, ignore_index=True)
 
 
-def place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mixed(mixed(doc.astype(np.uint64)) + start.astype(np.uint64))
-
+def _met(kind: Kind, windows: bool):
+    """Resolves a slice of pieces, and hands on those that stay."""
 
-def _spread(packs: list[bytes], slices: int, name: str, like: dict[str, object]) -> pd.DataFrame:
-    """Rows that only carry flags, dealt over the slices."""
-    return pd.DataFrame({"slice": np.arange(len(packs)) * 7 % slices, **like, name: packs})
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        own = group[group["n"] > 0]
+        packs, stays = resolved(kind, own, windows)
+        return _with_flags(own[stays], packs + [f for f in group["flags"] if f], 0)
 
+    return met
 
-def whole_stretches(docs: DataFrame, kind: Kind, known: tuple[int, bytes]) -> DataFrame:
-    """Compares stretches as wholes. flags: those that stand earlier too. anchors: of the distinct stretches (twice if one repeats within). owners, places:
-    anchors and places of the stretches that nothing earlier equals.
 
-    Before the shuffle each worker compares what it has, so a stretch goes out once for many documents that share it.
-    """
-    slices = slices_of(docs.sparkSession)
-    width = slices.bit_length() - 1
+def whole_pieces(docs: DataFrame, kind: Kind, known: tuple[int, bytes], slices: int) -> DataFrame:
+    """Pieces (PIECE): those that stay, and the flags of what stands earlier."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def dealt(held: list[np.ndarray]) -> pd.DataFrame:
-        x = np.concatenate(held)
-        order, old = later(kind, x["key"], x["doc"], x["start"])
-        x = x[order]
-        gone, x = x[old], x[~old]
-        edges = np.searchsorted(x["key"] >> np.uint64(64 - width), np.arange(slices + 1))
-        out = pd.DataFrame({"slice": np.arange(slices), "records": [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], "flags": b""})
-        more = _spread(flags(gone["doc"], gone["start"], gone["n"]), slices, "flags", {"records": b""})
-        return pd.concat([out[out["records"].str.len() > 0], more], ignore_index=True)
-
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
-        held, size = [], 0
         for batch in batches:
             ids = batch["doc"].to_numpy("int64")
-            for parts, where in pieces(kind, batch["text"]):
-                part, first, n, value, begin, g = runs(kind, parts)
-                take = np.flatnonzero(marked(bits, own, value))
-                if len(take):
-                    part, first, n, value, begin = (a[take] for a in (part, first, n, value, begin))
-                    x = np.zeros(len(take), RECORD)
-                    x["key"] = mixed(Prefixes(kind.units(parts)).of(begin, n + kind.window - 1) + value)
-                    x["anchor"], x["n"], x["self"] = value, n, repeats(kind, g, begin, n)
-                    text, offset = np.array(where).T
-                    x["doc"], x["start"] = ids[text[part]], offset[part] + first
-                    held.append(x)
-                    size += len(x)
-                if size >= FLUSH:
-                    yield dealt(held)
-                    held, size = [], 0
-        if held:
-            yield dealt(held)
-
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group["records"]), RECORD)
-        order, old = later(kind, x["key"], x["doc"], x["start"])
-        x = x[order]
-        gone, stay = x[old], x[~old]
-        new = np.ones(len(x), bool)
-        new[1:] = x["key"][1:] != x["key"][:-1]
-        anchors = np.concatenate([x["anchor"][new], x["anchor"][new & x["self"]]])
-        out = pd.DataFrame({"anchors": [anchors.tobytes()], "owners": [stay["anchor"].tobytes()], "places": [place_key(stay["doc"], stay["start"]).tobytes()], "flags": [b""]})
-        packs = flags(gone["doc"], gone["start"], gone["n"]) + [f for f in group["flags"] if f]
-        return pd.concat([out, pd.DataFrame({"anchors": b"", "owners": b"", "places": b"", "flags": packs})], ignore_index=True)
-
-    rows = docs.select("doc", "text").mapInPandas(scanned, "slice int, records binary, flags binary")
-    return stored(rows.groupBy("slice").applyInPandas(met, "anchors binary, owners binary, places binary, flags binary"), "stretches")
-
-
-def varied(found: DataFrame) -> tuple[int, bytes]:
-    """The bitmap of the places of stretches that nothing earlier equals, and whose anchor has several distinct stretches."""
-    slices = slices_of(found.sparkSession)
-    found = found.where(F.length("anchors") > 0)
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _gathered(batches, ["anchors"]):
-            values, n = np.unique(np.frombuffer(b"".join(x for x, in held), "<u8"), return_counts=True)
-            yield _packed(slices, values, values[n > 1])
-
-    shared = found.sparkSession.sparkContext.broadcast(bitmap(found.select("anchors").mapInPandas(dealt, KEYS), slices))
-
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
-        for held in _gathered(batches, ["owners", "places"]):
-            owners, places = (np.frombuffer(b"".join(x), "<u8") for x in zip(*held))
-            yield _packed(slices, np.unique(places[marked(bits, own, owners)]), np.zeros(0, np.uint64))
-
-    return bitmap(found.select("owners", "places").mapInPandas(placed, KEYS), slices, 1)
-
-
-def crowded(found: DataFrame) -> np.ndarray:
-    """Upper halves, in order, of the anchors that have more than CROWD distinct stretches. One in CROWD stretches at most has such an anchor of its own."""
-    slices, most = slices_of(found.sparkSession), CROWD
-    width = slices.bit_length() - 1
+            for parts, where in pieces(kind, map(encoded, batch["text"])):
+                part, first, n, value, place, key = runs(kind, parts)
+                take = marked(bits, own, key)
+                part, first, n, value, place = part[take], first[take], n[take], value[take], place[take]
+                if not len(part):
+                    continue
+                # neighbouring runs are one piece if their anchor has the same place: then no window stands twice in a piece
+                new = np.ones(len(part), bool)
+                new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + n[:-1])
+                at = np.flatnonzero(new)
+                part, first, value, n = part[at], first[at], value[at], np.add.reduceat(n, at)
+                text, offset = np.array(where).T
+                yield pd.DataFrame(
+                    {
+                        "anchor": value.astype(np.int64),
+                        "doc": ids[text[part]],
+                        "start": offset[part] + first,
+                        "n": n,
+                        "data": [kind.join(parts[p][f : f + m + kind.window - 1]) for p, f, m in zip(part.tolist(), first.tolist(), n.tolist())],
+                    }
+                )
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _gathered(batches, ["anchors"]):
-            values, n = np.unique(np.frombuffer(b"".join(x for x, in held), "<u8") >> np.uint64(32), return_counts=True)
-            edges = np.searchsorted(values >> np.uint64(32 - width), np.arange(slices + 1))
-            packs = [(k, values[a:b].astype("<u4").tobytes(), n[a:b].astype("<i8").tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
-            yield pd.DataFrame(packs, columns=["slice", "keys", "counts"])
+    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (_sent(kind, p, slices) for p in _gathered(cut(batches)))
 
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        values, at = np.unique(np.frombuffer(b"".join(group["keys"]), "<u4"), return_inverse=True)
-        n = np.bincount(at, np.frombuffer(b"".join(group["counts"]), "<i8"))
-        return pd.DataFrame({"found": [values[n > most].tobytes()]})
+    rows = docs.select("doc", "text").mapInPandas(scanned, PIECE)
+    return stored(rows.groupBy("slice").applyInPandas(_met(kind, False), PIECE), "pieces")
 
-    counts = found.select("anchors").where(F.length("anchors") > 0).mapInPandas(counted, "slice int, keys binary, counts binary")
-    rows = counts.groupBy("slice").applyInPandas(met, "found binary").where(F.length("found") > 0).toLocalIterator()
-    return np.sort(np.frombuffer(b"".join(bytes(r["found"]) for r in rows), "<u4")).astype(np.uint64)
 
+def windows_apart(found: DataFrame, kind: Kind, slices: int) -> DataFrame:
+    """Flags of single windows that pieces of one anchor share. Of crowded anchors each window becomes a piece: equal ones still meet, by their text, but no slice gets all of an anchor's."""
+    own = found.where("n > 0").drop("slice", "flags")
+    several = own.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
+    own = own.join(several, "anchor").withColumn("crowd", F.col("times") > CROWD)
 
-def single_windows(docs: DataFrame, kind: Kind, known: tuple[int, bytes], crowd: np.ndarray, resolve: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
-    """Compares single windows where stretches with one anchor differ. Of equal stretches only the earliest come here, for the others are flagged already. Again workers first compare what they have;
-    a stretch goes out only for windows that stand nowhere earlier in it. resolve gets the stretches of a slice of anchors (anchor, doc, start, n, data) and gives flags.
-    Stretches of crowded anchors (crowd) go out as single windows, dealt by the window's hash: equal windows still meet, but no slice gets all of an anchor's."""
-    slices = slices_of(docs.sparkSession)
-    width = slices.bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast((*known, crowd))
-
-    def dealt(held: list[tuple]) -> pd.DataFrame:
-        hashes, doc, start, number = (np.concatenate([h[k] for h in held]) for k in range(4))
-        shift = np.cumsum([0, *(len(h[4]) for h in held)])[:-1]
-        number = number + np.repeat(shift, [len(h[0]) for h in held])
-        rows = pd.concat([h[4] for h in held], ignore_index=True)
-        order, old = later(kind, hashes, doc, start)
-        open_ = np.zeros(len(rows), bool)
-        open_[number[order[~old]]] = True
-        gone = order[old]
-        more = _spread(flags(doc[gone], start[gone], 1), slices, "flags", {"anchor": 0, "doc": 0, "start": 0, "n": 0, "data": b""})
-        return pd.concat([rows[open_].assign(flags=b""), more], ignore_index=True)
-
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
-        held, size = [], 0
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["doc"].to_numpy("int64")
-            for parts, where in pieces(kind, batch["text"]):
-                part, first, n, value, begin, _ = runs(kind, parts)
-                if not len(part):
-                    continue
-                text, offset = np.array(where).T
-                doc, start = ids[text[part]], offset[part] + first
-                take = np.flatnonzero(marked(bits, own, place_key(doc, start)))
-                if len(take):
-                    part, first, n, value, begin, doc, start = (a[take] for a in (part, first, n, value, begin, doc, start))
-                    hot = np.isin(value >> np.uint64(32), shared.value[2])
-                    if hot.any():
-                        count = np.where(hot, n, 1)
-                        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                        n = np.where(hot, 1, n)
-                        part, first, n, value, begin, doc, start, hot = (np.repeat(a, count) for a in (part, first, n, value, begin, doc, start, hot))
-                        first, begin, start = first + step, begin + step, start + step
-                    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    hashes = mixed(Prefixes(kind.units(parts)).of(np.repeat(begin, n) + within, kind.window))
-                    dealt_by = np.where(hot, hashes[np.cumsum(n) - n], value)
-                    rows = pd.DataFrame(
-                        {
-                            "slice": (dealt_by >> np.uint64(64 - width)).astype(np.int64),
-                            "anchor": value.astype(np.int64),
-                            "doc": doc,
-                            "start": start,
-                            "n": n,
-                            "data": [kind.join(parts[p][f : f + m + kind.window - 1]) for p, f, m in zip(part.tolist(), first.tolist(), n.tolist())],
-                        }
-                    )
-                    held.append((hashes, np.repeat(doc, n), np.repeat(start, n) + within, np.repeat(np.arange(len(n)), n), rows))
-                    size += len(hashes)
-                if size >= FLUSH:
-                    yield dealt(held)
-                    held, size = [], 0
-        if held:
-            yield dealt(held)
+            n = batch["n"].to_numpy(np.int64)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            data = [kind.join(units[k : k + kind.window]) for text, m in zip(batch["data"], n.tolist()) for units in [kind.split(text)] for k in range(m)]
+            yield pd.DataFrame({"anchor": np.repeat(batch["anchor"].to_numpy(), n), "doc": np.repeat(batch["doc"].to_numpy(), n), "start": np.repeat(batch["start"].to_numpy(), n) + step, "n": 1, "data": data})
 
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["n"] > 0]
-        return pd.DataFrame({"flags": (resolve(own) if len(own) else []) + [f for f in group["flags"] if f]})
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (_sent(kind, p, slices) for p in _gathered(split(batches)))
 
-    rows = docs.select("doc", "text").mapInPandas(scanned, "slice int, anchor long, doc long, start int, n int, data binary, flags binary")
-    return rows.groupBy("slice").applyInPandas(met, "flags binary")
+    few = own.where("not crowd").select(F.pmod(F.xxhash64("anchor"), F.lit(slices)).cast("int").alias("slice"), "anchor", "doc", "start", "n", "data", F.lit(b"").alias("flags"))
+    many = own.where("crowd").select("anchor", "doc", "start", "n", "data").mapInPandas(dealt, PIECE)
+    met = few.groupBy("slice").applyInPandas(_met(kind, True), PIECE).select("flags")
+    return met.union(many.groupBy("slice").applyInPandas(_met(kind, False), PIECE).select("flags"))
 
 
 def spans(found: DataFrame, kind: Kind) -> DataFrame:
@@ -496,8 +436,15 @@ def spans(found: DataFrame, kind: Kind) -> DataFrame:
         return pd.DataFrame({"doc": docs, "spans": [pairs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
 
     def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _gathered(batches, ["flags"]):
-            yield pack([x for x, in held])
+        held, size = [], 0
+        for batch in batches:
+            held += batch["flags"].tolist()
+            size += batch["flags"].str.len().sum()
+            if size >= 6 * BYTES:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
 
     packs = found.select("flags").mapInPandas(united, "doc long, spans binary")
     return packs.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
@@ -514,11 +461,18 @@ def merged(packs: list[bytes] | None) -> np.ndarray:
     return np.stack([x[at, 0], np.maximum.reduceat(x[:, 1], at)], 1)
 
 
-def covered(docs: DataFrame, kind: Kind, resolve: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
+def slices_for(docs: DataFrame) -> int:
+    """Into how many slices pieces are dealt: by the bytes of all texts, so that a slice's size doesn't grow with them."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE))
+
+
+def covered(docs: DataFrame, kind: Kind) -> DataFrame:
     """doc_id (0 where unnamed), unnamed, text and spans: packs of what of each document also stands earlier (null: nothing)."""
     small_batches(docs.sparkSession)
     docs = keyed(docs.select("doc_id", "text"))
-    whole = whole_stretches(docs, kind, recurring(docs, kind))
-    single = single_windows(docs, kind, varied(whole), crowded(whole), resolve)
-    found = spans(stored(whole.select("flags").where(F.length("flags") > 0).union(single), "flags"), kind)
+    slices = slices_for(docs)
+    whole = whole_pieces(docs, kind, recurring(docs, kind), slices)
+    apart = windows_apart(whole, kind, slices)
+    found = spans(whole.select("flags").union(apart).where(F.length("flags") > 0), kind)
     return docs.join(stored(found, "spans"), "doc", "left").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "text", "spans")

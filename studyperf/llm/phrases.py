@@ -1,8 +1,9 @@
 """Repeated-phrase removal with Aho-Corasick automata.
 
-Removed is each word covered by a window of WINDOW words that also starts earlier: in a document with a smaller id, or earlier in the same one. Anchors (see anchors.py) find where passages can recur, and recurring stretches
-as wholes. Where stretches differ, each shard (a slice of the anchors) confirms which passages of its stretches recur, compiles them into an automaton over its own numbering of words, and streams every stretch through it to locate each
-occurrence; all but the first go. A document's stretches go only to the shards of their anchors, so each is streamed once however many shards there are.
+Removed is each word covered by a window of WINDOW words that also starts earlier: in a document with a smaller id, or earlier in the same one. Anchors (see anchors.py) say which pieces of documents can hold recurring passages,
+and bring pieces that can share one together. Each shard (a portion of the anchors) confirms, on the words themselves, which passages of its pieces recur, compiles them into an automaton over its own numbering of words, and streams
+its pieces through it. What the automaton locates, and only that, is removed, but for each passage's first place. Documents are streamed in pieces, each to the one shard that can hold its passages, and not to all shards; pieces of
+documents that no anchor marks can hold none.
 
 Null texts have no words. A null id counts as larger than all others. Equal rows are one document; rows that share an id, or have none, and differ in text are documents of their own (anchors.keyed). Texts of fewer than WINDOW words lose nothing. An empty table gives an empty result.
 """
@@ -21,12 +22,8 @@ from pyspark.sql import functions as F
 from . import anchors
 
 WINDOW, GRAM = 20, 8
-#: Words whose hashes a worker keeps; passages in an automaton at once.
-CACHE, PASSAGES = 150_000, 50_000
-
-
-#: Odd numbers that tell a gram's words by their places.
-_MIX = anchors.mixed(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
+#: Words whose hashes a worker keeps; pieces in a shard, of which passages make an automaton.
+CACHE, SHARD = 150_000, 10_000
 
 
 class _Hashes(dict):
@@ -40,53 +37,64 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def _split(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
-
-
 def _units(parts: list[list[bytes]]) -> np.ndarray:
     return np.array([h for part in parts for h in map(_hashes.__getitem__, part)], np.uint64)
 
 
-def _grams(parts: list[list[bytes]]) -> np.ndarray:
-    x = np.append(_units(parts), np.zeros(GRAM, np.uint64))
-    n = len(x) - GRAM
-    with np.errstate(over="ignore"):
-        h = x[:n] * _MIX[0]
-        for k in range(1, GRAM):
-            h += x[k : k + n] * _MIX[k]
-    return anchors.mixed(h)
-
-
-KIND = anchors.Kind(WINDOW, GRAM, _split, _grams, _units, b" ".join, within=True)
-
-
-def _resolve(group: pd.DataFrame) -> list[bytes]:
-    """Flags of the windows in the group that stand earlier in it."""
-    group = group.sort_values(["doc", "start"])
+class Shard:
+    """Confirms the passages of distinct texts that recur, and locates them. times: how often each text stands among the pieces."""
+
+    def __init__(self, texts: list[bytes], times: list[int], windows: bool):
+        numbers: dict[bytes, int] = {}
+        self.rows = [tuple([numbers.setdefault(w, len(numbers)) for w in text.split()]) for text in texts]
+        passages = {row for row, n in zip(self.rows, times) if n > 1}
+        if windows:
+            once: set[tuple[int, ...]] = set()
+            for row in self.rows:
+                for k in range(len(row) - WINDOW + 1):
+                    window = row[k : k + WINDOW]
+                    (passages if window in once else once).add(window)
+        self.automaton = None
+        if passages:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for number, passage in enumerate(passages):
+                self.automaton.add_word(passage, (number, len(passage)))
+            self.automaton.make_automaton()
+
+    def hits(self) -> list[tuple[int, int, int, int]]:
+        """Text, first window, number of windows and passage of each occurrence."""
+        if self.automaton is None:
+            return []
+        return [(k, end + 1 - size, size - WINDOW + 1, number) for k, row in enumerate(self.rows) for end, (number, size) in self.automaton.iter(row)]
+
+
+def _locate(anchor: np.ndarray, n: np.ndarray, data: list[bytes], windows: bool) -> tuple[np.ndarray, ...]:
+    """Occurrences of the passages that recur in the pieces (see anchors.Locate). Pieces with the same text are streamed once. Shards are cut between anchors."""
     numbers: dict[bytes, int] = {}
-    rows = [(doc, start, n, tuple([numbers.setdefault(w, len(numbers)) for w in data.split()])) for doc, start, n, data in zip(group["doc"].tolist(), group["start"].tolist(), group["n"].tolist(), group["data"])]
-    seen: dict[tuple, tuple[int, int]] = {}
-    confirmed: dict[tuple, tuple[int, int]] = {}
-    for doc, start, n, words in rows:
-        for k in range(n):
-            window = words[k : k + WINDOW]
-            first = seen.setdefault(window, (doc, start + k))
-            if first != (doc, start + k):
-                confirmed[window] = first
-    del seen
-    passages, docs, starts = list(confirmed.items()), [], []
-    for at in range(0, len(passages), PASSAGES):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, first in passages[at : at + PASSAGES]:
-            automaton.add_word(window, first)
-        automaton.make_automaton()
-        for doc, start, _, words in rows:
-            for end, first in automaton.iter(words):
-                if (doc, place := start + end - WINDOW + 1) > first:
-                    docs.append(doc)
-                    starts.append(place)
-    return anchors.flags(np.array(docs, np.int64), np.array(starts, np.int64), 1)
+    own = np.array([numbers.setdefault(text, len(numbers)) for text in data], np.int64)
+    times, texts = np.bincount(own).tolist(), list(numbers)
+    lead = np.zeros(len(texts), np.int64)
+    lead[own] = anchor
+    order = np.argsort(lead, kind="stable")
+    heads = np.flatnonzero(np.append(True, lead[order][1:] != lead[order][:-1]))
+    shard = heads // SHARD
+    found, passages = [], 0
+    for rows in np.split(order, heads[np.flatnonzero(shard[1:] != shard[:-1]) + 1]):
+        hits = np.array(Shard([texts[k] for k in rows], [times[k] for k in rows], windows).hits(), np.int64).reshape(-1, 4)
+        if len(hits):
+            hits[:, 0] = rows[hits[:, 0]]
+            hits[:, 3] += passages
+            passages = hits[:, 3].max() + 1
+            found.append(hits)
+    text, at, size, passage = (np.concatenate(found) if found else np.zeros((0, 4), np.int64)).T
+    # from texts to the pieces that have them
+    pieces = np.argsort(own, kind="stable")
+    begin, count = np.searchsorted(own[pieces], text), np.array(times, np.int64)[text]
+    each = np.repeat(np.arange(len(text)), count)
+    return pieces[begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)], at[each], size[each], passage[each]
+
+
+KIND = anchors.Kind(WINDOW, GRAM, bytes.split, _units, b" ".join, _locate, within=True)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -96,7 +104,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text, packs in zip(batch["text"], batch["spans"]):
-                words, at, kept = _split(text), 0, []
+                words, at, kept = (text or "").encode().split(), 0, []
                 spans = anchors.merged(packs)
                 for first, past in spans.tolist():
                     kept += words[at:first]
@@ -107,7 +115,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", anchors.doc_ids(batch))
             yield out
 
-    return anchors.covered(docs, KIND, _resolve).mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return anchors.covered(docs, KIND).mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

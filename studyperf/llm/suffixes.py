@@ -1,8 +1,9 @@
 """Substring deduplication by a hash-compared suffix sort.
 
-Removed is each byte covered by a string of WINDOW bytes that also starts in a document with a smaller id. Anchors (see anchors.py) find where such strings can be; there the suffixes are sorted. Two suffixes are compared by their
-prefixes' polynomial hashes: binary search finds how far they agree, the next byte decides, so a comparison takes a logarithmic number of steps. Runs with equal first eight bytes are sorted by merging. Neighbours that agree for a
-window's length are verified byte by byte; if a hash should ever have lied, that task sorts by the bytes themselves.
+Removed is each byte covered by a string of WINDOW bytes that also starts in a document with a smaller id. Anchors (see anchors.py) say which pieces of documents can hold such strings, and bring pieces that can share one together;
+there suffixes are sorted: those that begin a piece, up to its end, to find pieces that recur as wholes; where pieces of one anchor differ, those that begin a string of WINDOW bytes, up to its end. Two suffixes are compared by their
+prefixes' polynomial hashes: binary search finds how far they agree, the next byte decides, so a comparison takes a logarithmic number of steps. Runs with equal anchors and first eight bytes are sorted by merging. Neighbours
+that the sort finds equal, and only these, are removed, but for the smallest document's; they are verified byte by byte, and if a hash should ever have lied, that task sorts by the bytes themselves.
 
 Null texts are empty. A null id counts as larger than all others. Equal rows are one document; rows that share an id, or have none, and differ in text are documents of their own (anchors.keyed). Strings never cross documents. Short texts lose nothing. An empty table gives an empty result.
 """
@@ -23,10 +24,6 @@ WINDOW, GRAM = 50, 16
 _BYTES = anchors.mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def _split(text: str | None) -> bytes:
-    return (text or "").encode()
-
-
 def _units(parts: list[bytes]) -> np.ndarray:
     return _BYTES[np.frombuffer(b"".join(parts), np.uint8)]
 
@@ -36,45 +33,36 @@ def _words(data: bytes, at: int, order: str = "<") -> np.ndarray:
     return np.ndarray((len(data) - at - 7,), order + "u8", data, at, (1,))
 
 
-def _grams(parts: list[bytes]) -> np.ndarray:
-    data = b"".join(parts)
-    n = len(data)
-    data += bytes(GRAM + 8)
-    return anchors.mixed(anchors.mixed(_words(data, 0)[:n]) ^ _words(data, 8)[:n])
-
-
-KIND = anchors.Kind(WINDOW, GRAM, _split, _grams, _units, bytes, within=False)
-
-
 class Suffixes:
-    """Places in a text, to be sorted by the WINDOW bytes that begin there."""
+    """Suffixes of a text, from places on and for sizes of bytes (eight at least), to be sorted within groups (such as anchors: equal ones are of one group)."""
 
-    def __init__(self, data: bytes, places: np.ndarray, window: int = WINDOW):
-        self.data, self.places, self.window = data + bytes(window + 16), places, window
+    def __init__(self, data: bytes, places: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
+        self.data, self.places, self.sizes, self.groups = data + bytes(16), places, sizes, groups
         self.bytes = np.frombuffer(self.data, np.uint8)
         self.prefixes = anchors.Prefixes(_BYTES[self.bytes])
 
     def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For how many bytes, up to the window, the suffixes at a and b agree: binary search over the prefixes' hashes."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.window, np.int64)
-        for _ in range(self.window.bit_length()):
+        """For how many bytes, up to the shorter one's size, the suffixes a and b agree: binary search over the prefixes' hashes."""
+        high = np.minimum(self.sizes[a], self.sizes[b])
+        low, p, q = np.zeros(len(a), np.int64), self.places[a], self.places[b]
+        for _ in range(int(high.max(initial=0)).bit_length()):
             mid = (low + high + 1) >> 1
-            same = self.prefixes.of(a, mid) == self.prefixes.of(b, mid)
+            same = self.prefixes.of(p, mid) == self.prefixes.of(q, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
     def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
-        """Whether the suffix at a comes before that at b; of equal ones what ties says."""
-        n = self.agree(a, b)
-        last = np.minimum(n, self.window - 1)
-        return np.where(n >= self.window, ties, self.bytes[a + last] < self.bytes[b + last])
+        """Whether the suffix a comes before b; of equal ones what ties says."""
+        n, p, q = self.agree(a, b), self.sizes[a], self.sizes[b]
+        ended = n >= np.minimum(p, q)
+        return np.where(ended, (p < q) | ((p == q) & ties), self.bytes[self.places[a] + n] < self.bytes[self.places[b] + n])
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
-        """An order of the places, and for each in it the number of its class of equal windows."""
+        """An order of the suffixes, and for each in it the number of its class of equal ones."""
         head = _words(self.data, 0, ">")[self.places]
-        order = np.argsort(head, kind="stable")
-        head = head[order]
-        first = np.append(True, head[1:] != head[:-1])
+        order = np.lexsort((head, self.groups))
+        head, group = head[order], self.groups[order]
+        first = np.append(True, (head[1:] != head[:-1]) | (group[1:] != group[:-1]))[: len(order)]
         begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
         run = np.diff(np.append(np.flatnonzero(first), len(order)))
         size = np.repeat(run, run)
@@ -87,12 +75,11 @@ class Suffixes:
             other = np.minimum((block ^ 1) * width, size[at])
             length = np.minimum(other + width, size[at]) - other
             low, high = np.zeros(len(at), np.int64), length.copy()
-            p = self.places[order]
             while (busy := np.flatnonzero(low < high)).size:
                 mid = (low[busy] + high[busy]) >> 1
-                theirs = p[begin[at[busy]] + other[busy] + mid]
+                theirs = order[begin[at[busy]] + other[busy] + mid]
                 # of equal ones the left block's stand first
-                less = self.before(theirs, p[at[busy]], (block[busy] & 1).astype(bool))
+                less = self.before(theirs, order[at[busy]], (block[busy] & 1).astype(bool))
                 low[busy] = np.where(less, mid + 1, low[busy])
                 high[busy] = np.where(less, high[busy], mid)
             target = begin[at] + (block >> 1 << 1) * width + (inside - block * width) + low
@@ -100,40 +87,55 @@ class Suffixes:
             moved[target] = order[at]
             order = moved
             width *= 2
-        p = self.places[order]
-        new = np.append(True, self.agree(p[:-1], p[1:]) < self.window) if len(p) else np.zeros(0, bool)
-        if not self.verified(p, new):  # a collision: the bytes themselves decide
-            rows = np.lib.stride_tricks.sliding_window_view(self.bytes, self.window)[self.places].copy().view(f"V{self.window}").ravel()
-            _, classes = np.unique(rows, return_inverse=True)
+        a, b = order[:-1], order[1:]
+        new = np.append(True, first[1:] | (self.sizes[a] != self.sizes[b]))[: len(order)]  # a merge keeps each run's places
+        same = np.flatnonzero(~new)
+        new[same] = self.agree(order[same - 1], order[same]) < self.sizes[order[same]]
+        same = np.flatnonzero(~new)
+        if not self.verified(order[same - 1], order[same]):  # a collision: the bytes themselves decide
+            numbers: dict[bytes, int] = {}
+            classes = np.array([numbers.setdefault(self.data[p : p + n], len(numbers)) for p, n in zip(self.places.tolist(), self.sizes.tolist())])
             order = np.argsort(classes, kind="stable")
             return order, classes[order]
         return order, np.cumsum(new) - 1
 
-    def verified(self, p: np.ndarray, new: np.ndarray) -> bool:
-        same = np.flatnonzero(~new)
-        steps = [*range(0, self.window - 7, 8), self.window - 8]
-        return all((_words(self.data, k)[p[same]] == _words(self.data, k)[p[same - 1]]).all() for k in steps)
-
-
-def _resolve(group: pd.DataFrame) -> list[bytes]:
-    """Flags of the windows that also start in a smaller document of the group."""
-    sizes = group["data"].str.len().to_numpy()
-    n = group["n"].to_numpy(np.int64)
-    begin = np.cumsum(sizes) - sizes
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    data = b"".join(group["data"])
-    places = np.repeat(begin, n) + within
-    doc, start = np.repeat(group["doc"].to_numpy(np.int64), n), np.repeat(group["start"].to_numpy(np.int64), n) + within
-    # suffixes whose window's hash stands alone have no equal
-    _, number, count = np.unique(anchors.Prefixes(_BYTES[np.frombuffer(data, np.uint8)]).of(places, WINDOW), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count[number] > 1)
-    if not len(shared):
-        return []
-    order, classes = Suffixes(data, places[shared]).sorted()
-    who = shared[order]
-    least = np.minimum.reduceat(doc[who], np.flatnonzero(np.append(True, classes[1:] != classes[:-1])))
-    gone = who[doc[who] > least[classes]]
-    return anchors.flags(doc[gone], start[gone], 1)
+    def verified(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the suffixes a and b, of the same sizes, have the same bytes."""
+        p, q, n, at = self.places[a], self.places[b], self.sizes[a], 0
+        while len(p) and at < 512:
+            step = np.minimum(at, n - 8)
+            words = _words(self.data, 0)
+            if (words[p + step] != words[q + step]).any():
+                return False
+            at += 8
+            more = n > at
+            p, q, n = p[more], q[more], n[more]
+        return all(self.data[x : x + m] == self.data[y : y + m] for x, y, m in zip(p.tolist(), q.tolist(), n.tolist()))
+
+
+def _locate(anchor: np.ndarray, n: np.ndarray, data: list[bytes], windows: bool) -> tuple[np.ndarray, ...]:
+    """Pieces, or their windows, that the sort finds to be equal to another one (see anchors.Locate)."""
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    begin, text = np.cumsum(sizes) - sizes, b"".join(data)
+    if not windows:
+        piece, at = np.arange(len(data)), np.zeros(len(data), np.int64)
+        order, classes = Suffixes(text, begin, sizes, anchor).sorted()
+    else:
+        piece = np.repeat(np.arange(len(data)), n)
+        at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+        # suffixes whose window's hash stands alone have no equal
+        hashes = anchors.Prefixes(_units(data)).of(begin[piece] + at, WINDOW)
+        by = np.argsort(hashes)
+        twin = np.append(False, hashes[by][1:] == hashes[by][:-1])[: len(by)]
+        shared = by[twin | np.append(twin[1:], False)[: len(by)]]
+        piece, at = piece[shared], at[shared]
+        order, classes = Suffixes(text, begin[piece] + at, np.full(len(piece), WINDOW), anchor[piece]).sorted()
+    several = np.bincount(classes, minlength=1)[classes] > 1
+    order, classes = order[several], classes[several]
+    return piece[order], at[order], np.ones(len(order), np.int64) if windows else n[order], classes
+
+
+KIND = anchors.Kind(WINDOW, GRAM, bytes, _units, bytes, _locate, within=False)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text, packs in zip(batch["text"], batch["spans"]):
-                data, at, kept = _split(text), 0, []
+                data, at, kept = (text or "").encode(), 0, []
                 spans = anchors.merged(packs)
                 for first, past in spans.tolist():
                     kept.append(data[at:first])
@@ -154,7 +156,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", anchors.doc_ids(batch))
             yield out
 
-    return anchors.covered(docs, KIND, _resolve).mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return anchors.covered(docs, KIND).mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

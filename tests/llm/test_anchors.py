@@ -1,6 +1,10 @@
 """Null, large and shared ids, and passages that many documents share, for op8_phrases and op9_suffixes."""
 
+import dataclasses
+import random
+
 import numpy as np
+import pandas as pd
 import pytest
 from studyperf.llm import anchors, phrases, suffixes
 
@@ -30,16 +34,17 @@ def crowd_of(spark, n):
 @pytest.mark.parametrize("operator", [phrases, suffixes])
 def test_no_group_holds_a_crowded_anchor(spark, monkeypatch, operator):
     docs = anchors.keyed(crowd_of(spark, 300))
-    monkeypatch.setattr(anchors, "CROWD", 20)
-    whole = anchors.whole_stretches(docs, operator.KIND, anchors.recurring(docs, operator.KIND))
-    places, crowd = anchors.varied(whole), anchors.crowded(whole)
 
-    def largest(crowd):  # the largest group's share of all windows; the groups tell their sizes as flags
-        found = anchors.single_windows(docs, operator.KIND, places, crowd, lambda g: anchors.flags(np.array([-g["n"].sum()]), np.array([0]), 1))
-        sizes = [-np.frombuffer(r["flags"], anchors.FLAG)["doc"][0] for r in found.collect()]
-        return max(sizes) / sum(x for x in sizes if x > 0)
+    def largest(crowd):  # the largest group's share of all windows that are compared one by one, as the flags tell
+        monkeypatch.setattr(anchors, "CROWD", crowd)
+        sizes = lambda kind, windows: lambda g: pd.DataFrame({"slice": 0, "anchor": 0, "doc": 0, "start": 0, "n": 0, "data": b"", "flags": [str(g["n"].sum()).encode()]})
+        with monkeypatch.context() as m:
+            whole = anchors.whole_pieces(docs, operator.KIND, anchors.recurring(docs, operator.KIND), 64)
+            m.setattr(anchors, "_met", sizes)
+            found = [int(r["flags"]) for r in anchors.windows_apart(whole, operator.KIND, 64).collect()]
+        return max(found) / sum(found)
 
-    assert len(crowd) and largest(crowd) < 0.1 < largest(crowd[:0])
+    assert largest(20) < 0.1 < largest(10**6)
 
 
 @pytest.mark.parametrize("operator", [phrases, suffixes])
@@ -48,3 +53,93 @@ def test_crowded_anchors_change_nothing(spark, monkeypatch, operator):
     before = sorted(operator.digest(docs).collect())
     monkeypatch.setattr(anchors, "CROWD", 2)
     assert sorted(operator.digest(docs).collect()) == before and sum(r["n_removed"] > 0 for r in before) == 59
+
+
+def some_texts():
+    """Copies, copies with edits, a shared passage, and texts that repeat themselves, also at once."""
+    r = random.Random(5)
+    prose = [" ".join(f"w{r.randrange(40)}" for _ in range(60)) for _ in range(4)]
+    edited = [t.replace("w1 ", "edit ").replace("w7", "é") for t in prose]
+    texts = prose + edited + prose[:2] + [f"{prose[0]} {SHARED} {prose[1]}", f"x {SHARED}", "a " * 90, "ab cd ef " * 30 + "end", prose[2] + " " + prose[2]]
+    return texts + [prose[3][: len(prose[3]) // 2]] + [None, "", "short"]
+
+
+def brute(operator, texts):
+    words = operator is phrases
+    size, seen, out = operator.WINDOW, set(), {}
+    for doc, text in enumerate(texts):
+        units, gone, new = (text or "").encode().split() if words else (text or "").encode(), set(), set()
+        for s in range(len(units) - size + 1):
+            window = tuple(units[s : s + size])
+            if window in seen or words and window in new:
+                gone.update(range(s, s + size))
+            new.add(window)
+        seen |= new
+        kept = [u for k, u in enumerate(units) if k not in gone]
+        out[doc] = len(gone), b" ".join(kept).decode() if words else bytes(kept)
+    return out
+
+
+def removed(operator, docs):
+    return {r["doc_id"]: (r["n_removed"], r["kept"] if operator is phrases else bytes(r["kept"])) for r in operator.deduplicated(docs).collect()}
+
+
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_equals_brute_force(spark, operator, partitions):
+    docs = spark.createDataFrame(list(enumerate(some_texts())), "doc_id long, text string").repartition(partitions)
+    assert removed(operator, docs) == brute(operator, some_texts())
+
+
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+def test_hashes_that_all_collide_change_nothing(spark, operator, monkeypatch):
+    """All units hash alike, so all anchors, keys and prefixes of one length do."""
+    units = (lambda parts: np.zeros(sum(map(len, parts)), np.uint64)) if operator is phrases else (lambda parts: np.zeros(len(b"".join(parts)), np.uint64))
+    monkeypatch.setattr(suffixes, "_BYTES", np.zeros(256, np.uint64))
+    monkeypatch.setattr(operator, "KIND", dataclasses.replace(operator.KIND, units=units))
+    docs = spark.createDataFrame(list(enumerate(some_texts())), "doc_id long, text string").repartition(3)
+    assert removed(operator, docs) == brute(operator, some_texts())
+
+
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_without_the_method_nothing_goes(spark, operator, partitions, monkeypatch):
+    """What goes is what the automaton, or the suffix sort, finds."""
+    monkeypatch.setattr(operator, "KIND", dataclasses.replace(operator.KIND, locate=lambda *a: tuple(np.zeros((4, 0), np.int64))))
+    docs = spark.createDataFrame(list(enumerate(some_texts())), "doc_id long, text string").repartition(partitions)
+    assert {n for n, _ in removed(operator, docs).values()} == {0}
+
+
+def test_slices_follow_the_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x" * 5000), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(anchors, "SLICE", 100)
+    assert anchors.slices_for(docs) == 50
+
+
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+def test_small_portions_change_nothing(operator, monkeypatch):
+    """In this process: all runs of windows as pieces, once at once and once in small parts."""
+
+    def gone():
+        rows = []
+        for parts, where in anchors.pieces(operator.KIND, ((t or "").encode() for t in some_texts())):
+            for part, first, n, value, *_ in zip(*anchors.runs(operator.KIND, parts)):
+                doc, offset = where[part]
+                rows.append((np.int64(value.view(np.int64)), doc, offset + first, n, operator.KIND.join(parts[part][first : first + n + operator.WINDOW - 1])))
+        packs, stays = anchors.resolved(operator.KIND, pd.DataFrame(rows, columns=["anchor", "doc", "start", "n", "data"]), True)
+        found = np.frombuffer(b"".join(packs), anchors.FLAG)
+        return {(d, s + k) for d, s, n in found.tolist() for k in range(n)}
+
+    whole = gone()
+    for name, value in (("CHUNK", 64), ("BYTES", 500)):
+        monkeypatch.setattr(anchors, name, value)
+    monkeypatch.setattr(phrases, "SHARD", 2)
+    assert gone() == whole and len(whole) > 100
+
+
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+def test_no_documents_and_clashing_columns(spark, operator):
+    docs = spark.createDataFrame([(1, SHARED), (2, SHARED)], "doc_id long, text string")
+    wide = docs.selectExpr("*", *(f"'clash' as {c}" for c in ("doc", "spans", "slice", "anchor", "start", "n", "data", "flags", "kept", "unnamed")))
+    assert removed(operator, wide) == removed(operator, docs)
+    assert operator.digest(wide.limit(0)).count() == 0
