@@ -8,8 +8,8 @@ Hashes only choose candidates. What goes is decided by the caller's method on th
 1. `recurring` counts the keys (packed, by slices of their range) and keeps those that occur twice or more in a bitmap of a bounded size. With ever more of them the bitmap gets denser and lets more pass that don't recur;
    no recurring one is ever missed.
 2. `whole_pieces` scans the documents again and sends stretches whose keys are in the bitmap, as pieces of text, to where pieces with the same text meet. The method finds what occurs several times; all but the first go.
-   Each worker does this with its own pieces first, so a text goes out once for many documents that share it.
-3. `windows_apart` takes anchors that still have several different pieces, as at a passage's ends, and lets the method find the single windows that these share. Pieces of anchors with very many of them are dealt out window by window.
+   Each worker does this with its own pieces first, so a text goes out once for many documents that share it. What stays is cut up by keys.
+3. `windows_apart` takes keys that still have several different pieces, as at a passage's ends, and lets the method find the single windows that these share. Pieces of keys with very many of them are dealt out window by window.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from .common import small_batches, stored, whole_text
 LEAST_BITS, MOST_BITS = 23, 29
 #: Units that are scanned at once; longer documents are scanned in parts that overlap by a window less one.
 CHUNK = 1 << 17
-#: Keys that a worker gathers before it sends them on; pieces, and their bytes, that the method gets at once.
-FLUSH, PIECES, BYTES = 1 << 18, 1 << 16, 8 << 20
+#: Keys that a worker gathers before it sends them on; bytes of pieces that it gathers before it compares them and sends them on; bytes that the method gets at once.
+FLUSH, HELD, BYTES = 1 << 20, 24 << 20, 2 << 20
 #: Bytes of all documents' texts for each slice that pieces are dealt to.
-SLICE = 4 << 20
-#: Anchors with more different pieces than this are crowded: their windows are dealt out one by one.
+SLICE = 2 << 20
+#: Keys with more different pieces than this are crowded: their windows are dealt out one by one.
 CROWD = 1000
 #: Low bits of a gram's hash that give way to its place.
 PLACE = np.uint64((1 << 20) - 1)
@@ -54,7 +54,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-#: For pieces of text (their anchors, windows, texts): where passages that occur several times are, as found by the method: arrays of piece, first window in it, number of windows, and the passage's number.
+#: For pieces of text (their groups, of which equal ones have the same; windows; texts): where passages that occur several times are, as found by the method: arrays of piece, first window in it, number of windows, and the passage's number.
 #: With `windows` single windows count as passages too, else whole pieces alone need to.
 Locate = Callable[[np.ndarray, np.ndarray, list[bytes], bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
@@ -245,8 +245,9 @@ def marked(bits: int, bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 #: n windows from start of a document that are to go.
 FLAG = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 PACK = 1 << 12
-#: A piece: a stretch's text, with its document and place; or, with n = 0, a pack of flags.
-PIECE = "slice int, anchor long, doc long, start int, n int, data binary, flags binary"
+#: A piece of text, with its document, place and number of windows; or, with n = 0, a pack of flags. Where pieces are cut up by keys, the key comes in place of the slice.
+PIECE = "slice int, doc long, start int, n int, data binary, flags binary"
+CUT = PIECE.replace("slice int", "key long")
 
 
 def later(within: bool, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -302,22 +303,23 @@ def doc_ids(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
     return pd.arrays.IntegerArray(batch["doc_id"].to_numpy("int64"), batch["unnamed"].to_numpy(bool))
 
 
-def _portions(anchor: np.ndarray, data: list[bytes]) -> Iterator[np.ndarray]:
-    """Rows in the order of their anchors, about BYTES at a time; an anchor's stay together."""
-    order = np.argsort(anchor, kind="stable")
+def _portions(group: np.ndarray, data: list[bytes]) -> Iterator[np.ndarray]:
+    """Rows in the order of their groups, about BYTES at a time; a group's stay together."""
+    order = np.argsort(group, kind="stable")
     size = np.cumsum(np.fromiter(map(len, data), np.int64, len(data))[order])
-    heads = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
+    heads = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
     portion = size[heads] // BYTES
-    cuts = heads[np.flatnonzero(np.append(True, portion[1:] != portion[:-1]))]
-    yield from np.split(order, cuts[1:])
+    yield from np.split(order, heads[np.flatnonzero(portion[1:] != portion[:-1]) + 1])
 
 
 def resolved(kind: Kind, p: pd.DataFrame, windows: bool) -> tuple[list[bytes], np.ndarray]:
-    """Flags of what stands earlier in the pieces p, by the kind's method; and which pieces are not flagged as a whole."""
-    anchor, doc, start, n = (p[c].to_numpy(np.int64) for c in ("anchor", "doc", "start", "n"))
-    data, stays, packs = p["data"].tolist(), np.ones(len(p), bool), []
-    for rows in _portions(anchor, data) if len(p) else ():
-        piece, at, size, passage = kind.locate(anchor[rows], n[rows], [data[k] for k in rows.tolist()], windows)
+    """Flags of what stands earlier in the pieces p, by the kind's method; and which pieces are not flagged as a whole. Pieces can only share windows with those of their key; whole pieces equal those of their hash."""
+    data = p["data"].tolist()
+    doc, start, n = (p[c].to_numpy(np.int64) for c in ("doc", "start", "n"))
+    group = p["key"].to_numpy(np.int64) if windows else np.fromiter(map(xxhash.xxh32_intdigest, data), np.int64, len(data))
+    stays, packs = np.ones(len(p), bool), []
+    for rows in _portions(group, data) if len(p) else ():
+        piece, at, size, passage = kind.locate(group[rows], n[rows], [data[k] for k in rows.tolist()], windows)
         piece = rows[piece]
         gone = later(kind.within, passage, doc[piece], start[piece] + at)
         piece, at, size = piece[gone], at[gone], size[gone]
@@ -326,48 +328,47 @@ def resolved(kind: Kind, p: pd.DataFrame, windows: bool) -> tuple[list[bytes], n
     return packs, stays
 
 
+def _with_flags(own: pd.DataFrame, packs: list[bytes], where, name: str = "slice") -> pd.DataFrame:
+    if not packs:
+        return own
+    return pd.concat([own, pd.DataFrame({name: where, "doc": 0, "start": 0, "n": 0, "data": b"", "flags": packs})], ignore_index=True)
+
+
 def _sent(kind: Kind, p: pd.DataFrame, slices: int) -> pd.DataFrame:
     """What a worker sends on of its pieces: those that stay, to the slices of their texts, and flags, anywhere."""
     packs, stays = resolved(kind, p, False)
     own = p[stays]
-    own = own.assign(slice=np.fromiter((xxhash.xxh32_intdigest(x) % slices for x in own["data"]), np.int64, len(own)), flags=b"")
+    own = own.assign(slice=np.fromiter((xxhash.xxh64_intdigest(x) % slices for x in own["data"]), np.int64, len(own)), flags=b"")
     return _with_flags(own, packs, np.arange(len(packs)) * 7 % slices)
 
 
-def _with_flags(own: pd.DataFrame, packs: list[bytes], where) -> pd.DataFrame:
-    if not packs:
-        return own
-    more = pd.DataFrame({"slice": where, "anchor": 0, "doc": 0, "start": 0, "n": 0, "data": b"", "flags": packs})
-    return pd.concat([own, more], ignore_index=True)
-
-
 def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces, as many at once as the method may get."""
-    held, size, count = [], 0, 0
+    """Pieces, as many at once as a worker may hold."""
+    held, size = [], 0
     for frame in frames:
         held.append(frame)
-        count += len(frame)
         size += frame["data"].str.len().sum()
-        if count >= PIECES or size >= BYTES:
+        if size >= HELD:
             yield pd.concat(held, ignore_index=True)
-            held, size, count = [], 0, 0
+            held, size = [], 0
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
-def _met(kind: Kind, windows: bool):
-    """Resolves a slice of pieces, and hands on those that stay."""
-
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["n"] > 0]
-        packs, stays = resolved(kind, own, windows)
-        return _with_flags(own[stays], packs + [f for f in group["flags"] if f], 0)
-
-    return met
+def cut_up(kind: Kind, p: pd.DataFrame) -> pd.DataFrame:
+    """Pieces cut up by the keys of their windows; a window stands in one of them."""
+    out = []
+    for rows in np.array_split(np.arange(len(p)), max(1, -(-p["data"].str.len().sum() // BYTES))):
+        data, doc, start = p["data"].iloc[rows].tolist(), p["doc"].to_numpy(np.int64)[rows], p["start"].to_numpy(np.int64)[rows]
+        parts = list(map(kind.split, data))
+        part, first, n, _, _, key = runs(kind, parts)
+        texts = [kind.join(parts[k][f : f + m + kind.window - 1]) for k, f, m in zip(part.tolist(), first.tolist(), n.tolist())]
+        out.append(pd.DataFrame({"key": key.view(np.int64), "doc": doc[part], "start": start[part] + first, "n": n, "data": texts, "flags": b""}))
+    return pd.concat(out, ignore_index=True)
 
 
 def whole_pieces(docs: DataFrame, kind: Kind, known: tuple[int, bytes], slices: int) -> DataFrame:
-    """Pieces (PIECE): those that stay, and the flags of what stands earlier."""
+    """The pieces that stay, cut up (CUT), and the flags of what stands earlier."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -375,54 +376,63 @@ def whole_pieces(docs: DataFrame, kind: Kind, known: tuple[int, bytes], slices:
         for batch in batches:
             ids = batch["doc"].to_numpy("int64")
             for parts, where in pieces(kind, map(encoded, batch["text"])):
-                part, first, n, value, place, key = runs(kind, parts)
+                part, first, n, _, place, key = runs(kind, parts)
                 take = marked(bits, own, key)
-                part, first, n, value, place = part[take], first[take], n[take], value[take], place[take]
+                part, first, n, place = part[take], first[take], n[take], place[take]
                 if not len(part):
                     continue
                 # neighbouring runs are one piece if their anchor has the same place: then no window stands twice in a piece
                 new = np.ones(len(part), bool)
                 new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + n[:-1])
                 at = np.flatnonzero(new)
-                part, first, value, n = part[at], first[at], value[at], np.add.reduceat(n, at)
+                part, first, n = part[at], first[at], np.add.reduceat(n, at)
                 text, offset = np.array(where).T
-                yield pd.DataFrame(
-                    {
-                        "anchor": value.astype(np.int64),
-                        "doc": ids[text[part]],
-                        "start": offset[part] + first,
-                        "n": n,
-                        "data": [kind.join(parts[p][f : f + m + kind.window - 1]) for p, f, m in zip(part.tolist(), first.tolist(), n.tolist())],
-                    }
-                )
+                data = [kind.join(parts[p][f : f + m + kind.window - 1]) for p, f, m in zip(part.tolist(), first.tolist(), n.tolist())]
+                yield pd.DataFrame({"doc": ids[text[part]], "start": offset[part] + first, "n": n, "data": data})
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return (_sent(kind, p, slices) for p in _gathered(cut(batches)))
 
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        own = group[group["n"] > 0]
+        packs, stays = resolved(kind, own, False)
+        return _with_flags(cut_up(kind, own[stays]), packs + [f for f in group["flags"] if f], 0, "key")
+
     rows = docs.select("doc", "text").mapInPandas(scanned, PIECE)
-    return stored(rows.groupBy("slice").applyInPandas(_met(kind, False), PIECE), "pieces")
+    return stored(rows.groupBy("slice").applyInPandas(met, CUT), "pieces")
 
 
-def windows_apart(found: DataFrame, kind: Kind, slices: int) -> DataFrame:
-    """Flags of single windows that pieces of one anchor share. Of crowded anchors each window becomes a piece: equal ones still meet, by their text, but no slice gets all of an anchor's."""
-    own = found.where("n > 0").drop("slice", "flags")
-    several = own.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
-    own = own.join(several, "anchor").withColumn("crowd", F.col("times") > CROWD)
+def dealt_out(found: DataFrame, kind: Kind, slices: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of keys that have several, by slices of the keys; and the windows (PIECE) of crowded keys, each a piece, by slices of their texts: equal ones still meet, but no slice gets all of a key's."""
+    own = found.where("n > 0").drop("flags")
+    several = own.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    own = own.join(several, "key").withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n = batch["n"].to_numpy(np.int64)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             data = [kind.join(units[k : k + kind.window]) for text, m in zip(batch["data"], n.tolist()) for units in [kind.split(text)] for k in range(m)]
-            yield pd.DataFrame({"anchor": np.repeat(batch["anchor"].to_numpy(), n), "doc": np.repeat(batch["doc"].to_numpy(), n), "start": np.repeat(batch["start"].to_numpy(), n) + step, "n": 1, "data": data})
+            yield pd.DataFrame({"doc": np.repeat(batch["doc"].to_numpy(), n), "start": np.repeat(batch["start"].to_numpy(), n) + step, "n": 1, "data": data})
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return (_sent(kind, p, slices) for p in _gathered(split(batches)))
 
-    few = own.where("not crowd").select(F.pmod(F.xxhash64("anchor"), F.lit(slices)).cast("int").alias("slice"), "anchor", "doc", "start", "n", "data", F.lit(b"").alias("flags"))
-    many = own.where("crowd").select("anchor", "doc", "start", "n", "data").mapInPandas(dealt, PIECE)
-    met = few.groupBy("slice").applyInPandas(_met(kind, True), PIECE).select("flags")
-    return met.union(many.groupBy("slice").applyInPandas(_met(kind, False), PIECE).select("flags"))
+    few = own.where(F.col("times") <= CROWD).select("slice", "key", "doc", "start", "n", "data")
+    return few, own.where(F.col("times") > CROWD).select("doc", "start", "n", "data").mapInPandas(dealt, PIECE)
+
+
+def windows_apart(found: DataFrame, kind: Kind, slices: int) -> DataFrame:
+    """Flags of single windows that pieces of one key share."""
+
+    def shared(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"flags": resolved(kind, group, True)[0]})
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"flags": resolved(kind, group[group["n"] > 0], False)[0] + [f for f in group["flags"] if f]})
+
+    few, many = dealt_out(found, kind, slices)
+    return few.groupBy("slice").applyInPandas(shared, "flags binary").union(many.groupBy("slice").applyInPandas(met, "flags binary"))
 
 
 def spans(found: DataFrame, kind: Kind) -> DataFrame:
@@ -440,7 +450,7 @@ def spans(found: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:
             held += batch["flags"].tolist()
             size += batch["flags"].str.len().sum()
-            if size >= 6 * BYTES:
+            if size >= HELD:
                 yield pack(held)
                 held, size = [], 0
         if held:

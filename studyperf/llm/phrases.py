@@ -1,7 +1,7 @@
 """Repeated-phrase removal with Aho-Corasick automata.
 
 Removed is each word covered by a window of WINDOW words that also starts earlier: in a document with a smaller id, or earlier in the same one. Anchors (see anchors.py) say which pieces of documents can hold recurring passages,
-and bring pieces that can share one together. Each shard (a portion of the anchors) confirms, on the words themselves, which passages of its pieces recur, compiles them into an automaton over its own numbering of words, and streams
+and bring pieces that can share one together. Each shard (a portion of the pieces' hashes, or keys) confirms, on the words themselves, which passages of its pieces recur, compiles them into an automaton over its own numbering of words, and streams
 its pieces through it. What the automaton locates, and only that, is removed, but for each passage's first place. Documents are streamed in pieces, each to the one shard that can hold its passages, and not to all shards; pieces of
 documents that no anchor marks can hold none.
 
@@ -68,13 +68,13 @@ class Shard:
         return [(k, end + 1 - size, size - WINDOW + 1, number) for k, row in enumerate(self.rows) for end, (number, size) in self.automaton.iter(row)]
 
 
-def _locate(anchor: np.ndarray, n: np.ndarray, data: list[bytes], windows: bool) -> tuple[np.ndarray, ...]:
-    """Occurrences of the passages that recur in the pieces (see anchors.Locate). Pieces with the same text are streamed once. Shards are cut between anchors."""
+def _locate(group: np.ndarray, n: np.ndarray, data: list[bytes], windows: bool) -> tuple[np.ndarray, ...]:
+    """Occurrences of the passages that recur in the pieces (see anchors.Locate). Pieces with the same text are streamed once. Shards are cut between groups."""
     numbers: dict[bytes, int] = {}
     own = np.array([numbers.setdefault(text, len(numbers)) for text in data], np.int64)
     times, texts = np.bincount(own).tolist(), list(numbers)
     lead = np.zeros(len(texts), np.int64)
-    lead[own] = anchor
+    lead[own] = group
     order = np.argsort(lead, kind="stable")
     heads = np.flatnonzero(np.append(True, lead[order][1:] != lead[order][:-1]))
     shard = heads // SHARD

@@ -1,8 +1,8 @@
 """Substring deduplication by a hash-compared suffix sort.
 
 Removed is each byte covered by a string of WINDOW bytes that also starts in a document with a smaller id. Anchors (see anchors.py) say which pieces of documents can hold such strings, and bring pieces that can share one together;
-there suffixes are sorted: those that begin a piece, up to its end, to find pieces that recur as wholes; where pieces of one anchor differ, those that begin a string of WINDOW bytes, up to its end. Two suffixes are compared by their
-prefixes' polynomial hashes: binary search finds how far they agree, the next byte decides, so a comparison takes a logarithmic number of steps. Runs with equal anchors and first eight bytes are sorted by merging. Neighbours
+there suffixes are sorted: those that begin a piece, up to its end, to find pieces that recur as wholes; where pieces of one key differ, those that begin a string of WINDOW bytes, up to its end. Two suffixes are compared by their
+prefixes' polynomial hashes: binary search finds how far they agree, the next byte decides, so a comparison takes a logarithmic number of steps. Runs with equal hashes, or keys, and first eight bytes are sorted by merging. Neighbours
 that the sort finds equal, and only these, are removed, but for the smallest document's; they are verified byte by byte, and if a hash should ever have lied, that task sorts by the bytes themselves.
 
 Null texts are empty. A null id counts as larger than all others. Equal rows are one document; rows that share an id, or have none, and differ in text are documents of their own (anchors.keyed). Strings never cross documents. Short texts lose nothing. An empty table gives an empty result.
@@ -34,7 +34,7 @@ def _words(data: bytes, at: int, order: str = "<") -> np.ndarray:
 
 
 class Suffixes:
-    """Suffixes of a text, from places on and for sizes of bytes (eight at least), to be sorted within groups (such as anchors: equal ones are of one group)."""
+    """Suffixes of a text, from places on and for sizes of bytes (eight at least), to be sorted within groups (equal ones are of one group)."""
 
     def __init__(self, data: bytes, places: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
         self.data, self.places, self.sizes, self.groups = data + bytes(16), places, sizes, groups
@@ -113,13 +113,13 @@ class Suffixes:
         return all(self.data[x : x + m] == self.data[y : y + m] for x, y, m in zip(p.tolist(), q.tolist(), n.tolist()))
 
 
-def _locate(anchor: np.ndarray, n: np.ndarray, data: list[bytes], windows: bool) -> tuple[np.ndarray, ...]:
+def _locate(group: np.ndarray, n: np.ndarray, data: list[bytes], windows: bool) -> tuple[np.ndarray, ...]:
     """Pieces, or their windows, that the sort finds to be equal to another one (see anchors.Locate)."""
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     begin, text = np.cumsum(sizes) - sizes, b"".join(data)
     if not windows:
         piece, at = np.arange(len(data)), np.zeros(len(data), np.int64)
-        order, classes = Suffixes(text, begin, sizes, anchor).sorted()
+        order, classes = Suffixes(text, begin, sizes, group).sorted()
     else:
         piece = np.repeat(np.arange(len(data)), n)
         at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
@@ -129,7 +129,7 @@ def _locate(anchor: np.ndarray, n: np.ndarray, data: list[bytes], windows: bool)
         twin = np.append(False, hashes[by][1:] == hashes[by][:-1])[: len(by)]
         shared = by[twin | np.append(twin[1:], False)[: len(by)]]
         piece, at = piece[shared], at[shared]
-        order, classes = Suffixes(text, begin[piece] + at, np.full(len(piece), WINDOW), anchor[piece]).sorted()
+        order, classes = Suffixes(text, begin[piece] + at, np.full(len(piece), WINDOW), group[piece]).sorted()
     several = np.bincount(classes, minlength=1)[classes] > 1
     order, classes = order[several], classes[several]
     return piece[order], at[order], np.ones(len(order), np.int64) if windows else n[order], classes

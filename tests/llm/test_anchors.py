@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from studyperf.llm import anchors, phrases, suffixes
 
 SHARED = " ".join(f"passage{k}" for k in range(40))
@@ -35,14 +36,12 @@ def crowd_of(spark, n):
 def test_no_group_holds_a_crowded_anchor(spark, monkeypatch, operator):
     docs = anchors.keyed(crowd_of(spark, 300))
 
-    def largest(crowd):  # the largest group's share of all windows that are compared one by one, as the flags tell
+    def largest(crowd):  # the largest group's share of all windows that are compared one by one
         monkeypatch.setattr(anchors, "CROWD", crowd)
-        sizes = lambda kind, windows: lambda g: pd.DataFrame({"slice": 0, "anchor": 0, "doc": 0, "start": 0, "n": 0, "data": b"", "flags": [str(g["n"].sum()).encode()]})
-        with monkeypatch.context() as m:
-            whole = anchors.whole_pieces(docs, operator.KIND, anchors.recurring(docs, operator.KIND), 64)
-            m.setattr(anchors, "_met", sizes)
-            found = [int(r["flags"]) for r in anchors.windows_apart(whole, operator.KIND, 64).collect()]
-        return max(found) / sum(found)
+        whole = anchors.whole_pieces(docs, operator.KIND, anchors.recurring(docs, operator.KIND), 64)
+        few, many = anchors.dealt_out(whole, operator.KIND, 64)
+        sizes = [r["n"] for x in (few, many) for r in x.groupBy("slice").agg(F.sum("n").alias("n")).collect()]
+        return max(sizes) / sum(sizes)
 
     assert largest(20) < 0.1 < largest(10**6)
 
@@ -123,10 +122,10 @@ def test_small_portions_change_nothing(operator, monkeypatch):
     def gone():
         rows = []
         for parts, where in anchors.pieces(operator.KIND, ((t or "").encode() for t in some_texts())):
-            for part, first, n, value, *_ in zip(*anchors.runs(operator.KIND, parts)):
+            for part, first, n, *_, key in zip(*anchors.runs(operator.KIND, parts)):
                 doc, offset = where[part]
-                rows.append((np.int64(value.view(np.int64)), doc, offset + first, n, operator.KIND.join(parts[part][first : first + n + operator.WINDOW - 1])))
-        packs, stays = anchors.resolved(operator.KIND, pd.DataFrame(rows, columns=["anchor", "doc", "start", "n", "data"]), True)
+                rows.append((key.view(np.int64), doc, offset + first, n, operator.KIND.join(parts[part][first : first + n + operator.WINDOW - 1])))
+        packs, stays = anchors.resolved(operator.KIND, pd.DataFrame(rows, columns=["key", "doc", "start", "n", "data"]), True)
         found = np.frombuffer(b"".join(packs), anchors.FLAG)
         return {(d, s + k) for d, s, n in found.tolist() for k in range(n)}
 
