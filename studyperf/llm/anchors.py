@@ -9,7 +9,10 @@ Hashes only choose candidates. What goes is decided by the caller's method on th
    no recurring one is ever missed.
 2. `whole_pieces` scans the documents again and sends stretches whose keys are in the bitmap, as pieces of text, to where pieces with the same text meet. The method finds what occurs several times; all but the first go.
    Each worker does this with its own pieces first, so a text goes out once for many documents that share it. What stays is cut up by keys.
-3. `windows_apart` takes keys that still have several different pieces, as at a passage's ends, and lets the method find the single windows that these share. Pieces of keys with very many of them are dealt out window by window.
+3. `several` looks for keys that still have several different pieces, as at a passage's ends, by a second bitmap, and `windows_apart` lets the method find the single windows that these share. Pieces of keys with very many of them are
+   dealt out window by window.
+
+Pieces travel in compressed packs: one for each worker's portion and slice.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +34,13 @@ LEAST_BITS, MOST_BITS = 23, 29
 #: Units that are scanned at once; longer documents are scanned in parts that overlap by a window less one.
 CHUNK = 1 << 17
 #: Keys that a worker gathers before it sends them on; bytes of pieces that it gathers before it compares them and sends them on; bytes that the method gets at once.
-FLUSH, HELD, BYTES = 1 << 20, 24 << 20, 2 << 20
+FLUSH, HELD, BYTES = 1 << 20, 6 << 20, 2 << 20
 #: Bytes of all documents' texts for each slice that pieces are dealt to.
 SLICE = 2 << 20
 #: Keys with more different pieces than this are crowded: their windows are dealt out one by one.
 CROWD = 1000
+#: Up to so many crowded keys are broadcast (8 bytes each).
+MOST_CROWDS = 1 << 20
 #: Low bits of a gram's hash that give way to its place.
 PLACE = np.uint64((1 << 20) - 1)
 
@@ -244,10 +250,52 @@ def marked(bits: int, bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 #: n windows from start of a document that are to go.
 FLAG = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
-PACK = 1 << 12
-#: A piece of text, with its document, place and number of windows; or, with n = 0, a pack of flags. Where pieces are cut up by keys, the key comes in place of the slice.
-PIECE = "slice int, doc long, start int, n int, data binary, flags binary"
-CUT = PIECE.replace("slice int", "key long")
+PACK = 1 << 14
+#: A pack of pieces (a text, with its document, place and number of windows) for a slice, or one of flags.
+PACKS = "slice int, pieces binary, flags binary"
+#: A piece under the key of all its windows.
+KEYED = "key long, doc long, start int, n int, data binary"
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
+@dataclass
+class Pieces:
+    doc: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    data: list[bytes]
+
+    @staticmethod
+    def joined(parts: list[Pieces]) -> Pieces:
+        if not parts:
+            return Pieces(*(np.zeros(0, np.int64),) * 3, [])
+        return Pieces(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("doc", "start", "n")), [x for p in parts for x in p.data])
+
+    def take(self, rows: np.ndarray) -> Pieces:
+        return Pieces(self.doc[rows], self.start[rows], self.n[rows], [self.data[k] for k in rows.tolist()])
+
+    def packed(self) -> bytes:
+        size = np.fromiter(map(len, self.data), np.int64, len(self.data))
+        return squeezed(b"".join([len(size).to_bytes(4, "little"), self.doc.astype("<i8").tobytes(), self.start.astype("<i4").tobytes(), self.n.astype("<i4").tobytes(), size.astype("<i4").tobytes(), *self.data]))
+
+    @staticmethod
+    def unpacked(packs: list[bytes]) -> Pieces:
+        out = []
+        for pack in packs:
+            raw = unsqueezed(pack)
+            count = int.from_bytes(raw[:4], "little")
+            doc = np.frombuffer(raw, "<i8", count, 4)
+            start, n, size = (np.frombuffer(raw, "<i4", count, 4 + (8 + 4 * k) * count).astype(np.int64) for k in range(3))
+            ends = (4 + 20 * count + np.cumsum(size)).tolist()
+            out.append(Pieces(doc, start, n, [raw[a:b] for a, b in zip([4 + 20 * count, *ends], ends)]))
+        return Pieces.joined(out)
 
 
 def later(within: bool, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -281,7 +329,11 @@ def flags(doc: np.ndarray, start: np.ndarray, n) -> list[bytes]:
     doc, first, past = unions(doc, start, start + n)
     out = np.zeros(len(doc), FLAG)
     out["doc"], out["start"], out["n"] = doc, first, past - first
-    return [out[k : k + PACK].tobytes() for k in range(0, len(out), PACK)]
+    return [squeezed(out[k : k + PACK].tobytes()) for k in range(0, len(out), PACK)]
+
+
+def flagged(packs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(unsqueezed, packs)), FLAG)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -312,66 +364,62 @@ def _portions(group: np.ndarray, data: list[bytes]) -> Iterator[np.ndarray]:
     yield from np.split(order, heads[np.flatnonzero(portion[1:] != portion[:-1]) + 1])
 
 
-def resolved(kind: Kind, p: pd.DataFrame, windows: bool) -> tuple[list[bytes], np.ndarray]:
-    """Flags of what stands earlier in the pieces p, by the kind's method; and which pieces are not flagged as a whole. Pieces can only share windows with those of their key; whole pieces equal those of their hash."""
-    data = p["data"].tolist()
-    doc, start, n = (p[c].to_numpy(np.int64) for c in ("doc", "start", "n"))
-    group = p["key"].to_numpy(np.int64) if windows else np.fromiter(map(xxhash.xxh32_intdigest, data), np.int64, len(data))
-    stays, packs = np.ones(len(p), bool), []
-    for rows in _portions(group, data) if len(p) else ():
-        piece, at, size, passage = kind.locate(group[rows], n[rows], [data[k] for k in rows.tolist()], windows)
+def resolved(kind: Kind, p: Pieces, keys: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
+    """Flags of what stands earlier in the pieces p, by the kind's method; and which pieces are not flagged as a whole. With keys single windows are compared, of pieces with equal keys; else whole pieces."""
+    group = np.fromiter(map(xxhash.xxh32_intdigest, p.data), np.int64, len(p.data)) if keys is None else keys
+    stays, packs = np.ones(len(p.data), bool), []
+    for rows in _portions(group, p.data) if len(p.data) else ():
+        piece, at, size, passage = kind.locate(group[rows], p.n[rows], [p.data[k] for k in rows.tolist()], keys is not None)
         piece = rows[piece]
-        gone = later(kind.within, passage, doc[piece], start[piece] + at)
+        gone = later(kind.within, passage, p.doc[piece], p.start[piece] + at)
         piece, at, size = piece[gone], at[gone], size[gone]
-        stays[piece[size == n[piece]]] = False
-        packs += flags(doc[piece], start[piece] + at, size)
+        stays[piece[size == p.n[piece]]] = False
+        packs += flags(p.doc[piece], p.start[piece] + at, size)
     return packs, stays
 
 
-def _with_flags(own: pd.DataFrame, packs: list[bytes], where, name: str = "slice") -> pd.DataFrame:
-    if not packs:
-        return own
-    return pd.concat([own, pd.DataFrame({name: where, "doc": 0, "start": 0, "n": 0, "data": b"", "flags": packs})], ignore_index=True)
+def _sent(kind: Kind, parts: Iterator[Pieces], slices: int) -> Iterator[pd.DataFrame]:
+    """What a worker sends on of its pieces, a portion at a time: those that stay, to the slices of their texts, and flags, anywhere."""
 
+    def send(held: list[Pieces]) -> pd.DataFrame:
+        p = Pieces.joined(held)
+        packs, stays = resolved(kind, p)
+        rows = np.flatnonzero(stays)
+        to = np.fromiter((xxhash.xxh64_intdigest(p.data[k]) % slices for k in rows.tolist()), np.int64, len(rows))
+        order = np.argsort(to, kind="stable")
+        rows, to = rows[order], to[order]
+        at = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
+        own = [p.take(x).packed() for x in np.split(rows, at[1:])] if len(rows) else []
+        return pd.DataFrame({"slice": [*to[at].tolist(), *(np.arange(len(packs)) * 7 % slices).tolist()], "pieces": own + [b""] * len(packs), "flags": [b""] * len(own) + packs})
 
-def _sent(kind: Kind, p: pd.DataFrame, slices: int) -> pd.DataFrame:
-    """What a worker sends on of its pieces: those that stay, to the slices of their texts, and flags, anywhere."""
-    packs, stays = resolved(kind, p, False)
-    own = p[stays]
-    own = own.assign(slice=np.fromiter((xxhash.xxh64_intdigest(x) % slices for x in own["data"]), np.int64, len(own)), flags=b"")
-    return _with_flags(own, packs, np.arange(len(packs)) * 7 % slices)
-
-
-def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces, as many at once as a worker may hold."""
     held, size = [], 0
-    for frame in frames:
-        held.append(frame)
-        size += frame["data"].str.len().sum()
+    for part in parts:
+        held.append(part)
+        size += sum(map(len, part.data))
         if size >= HELD:
-            yield pd.concat(held, ignore_index=True)
+            yield send(held)
             held, size = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield send(held)
 
 
-def cut_up(kind: Kind, p: pd.DataFrame) -> pd.DataFrame:
-    """Pieces cut up by the keys of their windows; a window stands in one of them."""
-    out = []
-    for rows in np.array_split(np.arange(len(p)), max(1, -(-p["data"].str.len().sum() // BYTES))):
-        data, doc, start = p["data"].iloc[rows].tolist(), p["doc"].to_numpy(np.int64)[rows], p["start"].to_numpy(np.int64)[rows]
-        parts = list(map(kind.split, data))
-        part, first, n, _, _, key = runs(kind, parts)
-        texts = [kind.join(parts[k][f : f + m + kind.window - 1]) for k, f, m in zip(part.tolist(), first.tolist(), n.tolist())]
-        out.append(pd.DataFrame({"key": key.view(np.int64), "doc": doc[part], "start": start[part] + first, "n": n, "data": texts, "flags": b""}))
-    return pd.concat(out, ignore_index=True)
+def _met(kind: Kind):
+    """Resolves the pieces of a slice, and hands on those that stay."""
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        p = Pieces.unpacked([x for x in group["pieces"] if x])
+        packs, stays = resolved(kind, p)
+        packs += [x for x in group["flags"] if x]
+        return pd.DataFrame({"slice": 0, "pieces": [p.take(np.flatnonzero(stays)).packed()] + [b""] * len(packs), "flags": [b""] + packs})
+
+    return met
 
 
 def whole_pieces(docs: DataFrame, kind: Kind, known: tuple[int, bytes], slices: int) -> DataFrame:
-    """The pieces that stay, cut up (CUT), and the flags of what stands earlier."""
+    """PACKS of the pieces that stay, and of the flags of what stands earlier."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[Pieces]:
         bits, own = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
         for batch in batches:
             ids = batch["doc"].to_numpy("int64")
@@ -387,59 +435,82 @@ def whole_pieces(docs: DataFrame, kind: Kind, known: tuple[int, bytes], slices:
                 at = np.flatnonzero(new)
                 part, first, n = part[at], first[at], np.add.reduceat(n, at)
                 text, offset = np.array(where).T
-                data = [kind.join(parts[p][f : f + m + kind.window - 1]) for p, f, m in zip(part.tolist(), first.tolist(), n.tolist())]
-                yield pd.DataFrame({"doc": ids[text[part]], "start": offset[part] + first, "n": n, "data": data})
+                yield Pieces(ids[text[part]], offset[part] + first, n, [kind.join(parts[p][f : f + m + kind.window - 1]) for p, f, m in zip(part.tolist(), first.tolist(), n.tolist())])
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return (_sent(kind, p, slices) for p in _gathered(cut(batches)))
+    rows = docs.select("doc", "text").mapInPandas(lambda batches: _sent(kind, cut(batches), slices), PACKS)
+    return stored(rows.groupBy("slice").applyInPandas(_met(kind), PACKS), "pieces")
 
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["n"] > 0]
-        packs, stays = resolved(kind, own, False)
-        return _with_flags(cut_up(kind, own[stays]), packs + [f for f in group["flags"] if f], 0, "key")
 
-    rows = docs.select("doc", "text").mapInPandas(scanned, PIECE)
-    return stored(rows.groupBy("slice").applyInPandas(met, CUT), "pieces")
+def cut_up(kind: Kind, p: Pieces) -> tuple[np.ndarray, Pieces]:
+    """Pieces cut up by the keys of their windows, and these keys; each window stands in one of them."""
+    parts = list(map(kind.split, p.data))
+    part, first, n, _, _, key = runs(kind, parts)
+    return key, Pieces(p.doc[part], p.start[part] + first, n, [kind.join(parts[k][f : f + m + kind.window - 1]) for k, f, m in zip(part.tolist(), first.tolist(), n.tolist())])
+
+
+def _cut_packs(kind: Kind, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, Pieces]]:
+    for batch in batches:
+        for pack in batch["pieces"]:
+            p = Pieces.unpacked([pack])
+            for rows in _portions(np.arange(len(p.data)), p.data) if p.data else ():
+                yield cut_up(kind, p.take(rows))
+
+
+def several(found: DataFrame, kind: Kind) -> DataFrame:
+    """The pieces (KEYED) of keys that have several."""
+    slices = slices_of(found.sparkSession)
+    own = found.where(F.length("pieces") > 0).select("pieces")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, _ in _cut_packs(kind, batches):
+            values, n = np.unique(key, return_counts=True)
+            yield _packed(slices, values, values[n > 1])
+
+    shared = found.sparkSession.sparkContext.broadcast(bitmap(own.mapInPandas(counted, KEYS), slices))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, known = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
+        for key, p in _cut_packs(kind, batches):
+            rows = np.flatnonzero(marked(bits, known, key))
+            p = p.take(rows)
+            yield pd.DataFrame({"key": key[rows].view(np.int64), "doc": p.doc, "start": p.start, "n": p.n, "data": p.data})
 
+    return stored(own.mapInPandas(cut, KEYED), "several")
 
-def dealt_out(found: DataFrame, kind: Kind, slices: int) -> tuple[DataFrame, DataFrame]:
-    """The pieces of keys that have several, by slices of the keys; and the windows (PIECE) of crowded keys, each a piece, by slices of their texts: equal ones still meet, but no slice gets all of a key's."""
-    own = found.where("n > 0").drop("flags")
-    several = own.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    own = own.join(several, "key").withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def dealt_out(own: DataFrame, kind: Kind, slices: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces, by slices of their keys; and the windows (PACKS) of crowded keys, each a piece, by slices of their texts: equal ones still meet, but no slice gets all of a key's."""
+    crowds = stored(own.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > CROWD).select("key"), "crowds")
+    if crowds.count() <= MOST_CROWDS:
+        crowds = F.broadcast(crowds)
+    few = own.join(crowds, "key", "left_anti").withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[Pieces]:
         for batch in batches:
             n = batch["n"].to_numpy(np.int64)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             data = [kind.join(units[k : k + kind.window]) for text, m in zip(batch["data"], n.tolist()) for units in [kind.split(text)] for k in range(m)]
-            yield pd.DataFrame({"doc": np.repeat(batch["doc"].to_numpy(), n), "start": np.repeat(batch["start"].to_numpy(), n) + step, "n": 1, "data": data})
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return (_sent(kind, p, slices) for p in _gathered(split(batches)))
+            yield Pieces(np.repeat(batch["doc"].to_numpy(np.int64), n), np.repeat(batch["start"].to_numpy(np.int64), n) + step, np.ones(len(data), np.int64), data)
 
-    few = own.where(F.col("times") <= CROWD).select("slice", "key", "doc", "start", "n", "data")
-    return few, own.where(F.col("times") > CROWD).select("doc", "start", "n", "data").mapInPandas(dealt, PIECE)
+    return few, own.join(crowds, "key", "left_semi").select("doc", "start", "n", "data").mapInPandas(lambda batches: _sent(kind, split(batches), slices), PACKS)
 
 
-def windows_apart(found: DataFrame, kind: Kind, slices: int) -> DataFrame:
+def windows_apart(own: DataFrame, kind: Kind, slices: int) -> DataFrame:
     """Flags of single windows that pieces of one key share."""
 
     def shared(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"flags": resolved(kind, group, True)[0]})
-
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"flags": resolved(kind, group[group["n"] > 0], False)[0] + [f for f in group["flags"] if f]})
+        p = Pieces(*(group[c].to_numpy(np.int64) for c in ("doc", "start", "n")), group["data"].tolist())
+        return pd.DataFrame({"flags": resolved(kind, p, group["key"].to_numpy(np.int64))[0]})
 
-    few, many = dealt_out(found, kind, slices)
-    return few.groupBy("slice").applyInPandas(shared, "flags binary").union(many.groupBy("slice").applyInPandas(met, "flags binary"))
+    few, many = dealt_out(own, kind, slices)
+    return few.groupBy("slice").applyInPandas(shared, "flags binary").union(many.groupBy("slice").applyInPandas(_met(kind), PACKS).select("flags"))
 
 
 def spans(found: DataFrame, kind: Kind) -> DataFrame:
     """doc and spans: for each document what is covered, packed as first and past units; several packs for a document may overlap."""
 
     def pack(held: list[bytes]) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(held), FLAG)
+        x = flagged(held)
         doc, first, past = unions(x["doc"], x["start"], x["start"].astype(np.int64) + x["n"] + kind.window - 1)
         docs, heads = np.unique(doc, return_index=True)
         pairs, edges = np.stack([first, past], 1).astype("<i4"), np.append(heads, len(doc))
@@ -450,7 +521,7 @@ def spans(found: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:
             held += batch["flags"].tolist()
             size += batch["flags"].str.len().sum()
-            if size >= HELD:
+            if size >= BYTES:
                 yield pack(held)
                 held, size = [], 0
         if held:
@@ -483,6 +554,6 @@ def covered(docs: DataFrame, kind: Kind) -> DataFrame:
     docs = keyed(docs.select("doc_id", "text"))
     slices = slices_for(docs)
     whole = whole_pieces(docs, kind, recurring(docs, kind), slices)
-    apart = windows_apart(whole, kind, slices)
+    apart = windows_apart(several(whole, kind), kind, slices)
     found = spans(whole.select("flags").union(apart).where(F.length("flags") > 0), kind)
     return docs.join(stored(found, "spans"), "doc", "left").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "text", "spans")

@@ -4,7 +4,6 @@ import dataclasses
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from studyperf.llm import anchors, phrases, suffixes
@@ -39,8 +38,10 @@ def test_no_group_holds_a_crowded_anchor(spark, monkeypatch, operator):
     def largest(crowd):  # the largest group's share of all windows that are compared one by one
         monkeypatch.setattr(anchors, "CROWD", crowd)
         whole = anchors.whole_pieces(docs, operator.KIND, anchors.recurring(docs, operator.KIND), 64)
-        few, many = anchors.dealt_out(whole, operator.KIND, 64)
-        sizes = [r["n"] for x in (few, many) for r in x.groupBy("slice").agg(F.sum("n").alias("n")).collect()]
+        few, many = anchors.dealt_out(anchors.several(whole, operator.KIND), operator.KIND, 64)
+        sizes = [r["n"] for r in few.groupBy("slice").agg(F.sum("n").alias("n")).collect()]
+        for packs in many.groupBy("slice").agg(F.collect_list("pieces").alias("x")).collect():
+            sizes.append(int(anchors.Pieces.unpacked([bytes(x) for x in packs["x"] if x]).n.sum()))
         return max(sizes) / sum(sizes)
 
     assert largest(20) < 0.1 < largest(10**6)
@@ -120,13 +121,15 @@ def test_small_portions_change_nothing(operator, monkeypatch):
     """In this process: all runs of windows as pieces, once at once and once in small parts."""
 
     def gone():
-        rows = []
+        keys, rows = [], []
         for parts, where in anchors.pieces(operator.KIND, ((t or "").encode() for t in some_texts())):
             for part, first, n, *_, key in zip(*anchors.runs(operator.KIND, parts)):
                 doc, offset = where[part]
-                rows.append((key.view(np.int64), doc, offset + first, n, operator.KIND.join(parts[part][first : first + n + operator.WINDOW - 1])))
-        packs, stays = anchors.resolved(operator.KIND, pd.DataFrame(rows, columns=["key", "doc", "start", "n", "data"]), True)
-        found = np.frombuffer(b"".join(packs), anchors.FLAG)
+                keys.append(key.view(np.int64))
+                rows.append((doc, offset + first, n, operator.KIND.join(parts[part][first : first + n + operator.WINDOW - 1])))
+        doc, start, n, data = zip(*rows)
+        pieces = anchors.Pieces.unpacked([anchors.Pieces(np.array(doc), np.array(start), np.array(n), list(data)).packed()])
+        found = anchors.flagged(anchors.resolved(operator.KIND, pieces, np.array(keys))[0])
         return {(d, s + k) for d, s, n in found.tolist() for k in range(n)}
 
     whole = gone()
