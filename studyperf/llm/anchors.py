@@ -32,9 +32,9 @@ from .common import small_batches, stored, whole_text
 #: The bitmap has at most 2 ** MOST_BITS bits (64 MB).
 LEAST_BITS, MOST_BITS = 23, 29
 #: Units that are scanned at once; longer documents are scanned in parts that overlap by a window less one.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 #: Keys that a worker gathers before it sends them on; bytes of pieces that it gathers before it compares them and sends them on; bytes that the method gets at once.
-FLUSH, HELD, BYTES = 1 << 20, 6 << 20, 2 << 20
+FLUSH, HELD, BYTES = 1 << 19, 4 << 20, 1 << 20
 #: Bytes of all documents' texts for each slice that pieces are dealt to.
 SLICE = 2 << 20
 #: Keys with more different pieces than this are crowded: their windows are dealt out one by one.
