@@ -1,6 +1,6 @@
 """SQL for the queries that it can express, over the same tables, for DuckDB."""
 
-#: Every window of an item's length that shares a shingle with it, without fingerprints; the best window of each document and item.
+#: Every window of an item's length (the whole of a shorter document) that shares a shingle with it, without fingerprints; the best window of each document and item. Items of fewer than five words: where they stand.
 DECONTAMINATE_SQL = r"""
 with d as (
   select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D\x1C-\x20]+'), lambda x: x <> '') as w from documents
@@ -12,15 +12,22 @@ with d as (
 ), place as (
   select doc_id, len(w) as size, unnest(range(1, len(w) - 3)) as p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as g from d where len(w) >= 5
 ), window_ as (
-  select doc_id, item_id, n, g, wanted, unnest(range(greatest(1, p - n + 5), least(p, size - n + 1) + 1)) as s from place join item using (g)
+  select doc_id, item_id, n, least(n, size) as m, g, wanted, unnest(range(greatest(1, p - least(n, size) + 5), least(p, size - least(n, size) + 1) + 1)) as s from place join item using (g)
 ), common as (
-  select doc_id, item_id, n, s, sum(least(times, wanted)) as c
-  from (select doc_id, item_id, n, s, g, wanted, count(*) as times from window_ group by all) x group by all
+  select doc_id, item_id, n, m, s, sum(least(times, wanted)) as c
+  from (select doc_id, item_id, n, m, s, g, wanted, count(*) as times from window_ group by all) x group by all
 ), near as (
-  select doc_id, item_id, s - 1 as start, c / cast(2 * (n - 4) - c as double) as similarity from common
+  select doc_id, item_id, s - 1 as start, c / cast(n + m - 8 - c as double) as similarity from common
+), short as (
+  select item_id, len(w) as n, array_to_string(w, ' ') as g from b where len(w) between 1 and 4
+), at_ as (
+  select doc_id, n, unnest(range(0, len(w) - n + 1)) as start, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as g
+  from d, (select distinct n from short) l where len(w) >= n
 )
 select doc_id, item_id, cast(arg_min(start, struct_pack(a := -similarity, b := start)) as int) as start, max(similarity) as similarity
 from near where similarity >= 0.8 group by doc_id, item_id
+union all
+select doc_id, item_id, cast(min(start) as int), cast(1 as double) from at_ join short using (n, g) group by doc_id, item_id
 """
 
 #: The rules' measures from word lists; windows found twice cover words from their place to the next such window's, five at most.

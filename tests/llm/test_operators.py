@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -72,7 +73,7 @@ def test_quality_parts_grades(spark):
 
 
 def test_decontamination_finds_windows(spark, docs, none):
-    items = spark.createDataFrame([(1, SHARED), (2, "not in any text at all here"), (3, None), (4, "too short")], "item_id long, text string")
+    items = spark.createDataFrame([(1, SHARED), (2, "not in any text at all here"), (3, None), (4, "too brief")], "item_id long, text string")
     found = decontaminate.contaminated(docs, items).select("doc_id", "item_id", "similarity").distinct().collect()
     assert {(r[0], r[1]) for r in found} == {(i, 1) for i in (1, 2, 3, 4)} and all(r[2] == 1 for r in found)
     near = SHARED.replace("passage3 ", "changed ")  # at one end: still above 0.8
@@ -82,6 +83,54 @@ def test_decontamination_finds_windows(spark, docs, none):
     assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(ROWS)
 
 
+def brute_contamination(texts, items):
+    def shingles(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+
+    out = {}
+    for d, text in texts:
+        words = (text or "").lower().split()
+        for i, item in items:
+            wanted = (item or "").lower().split()
+            size = min(len(words), len(wanted))
+            for s in range(len(words) - size + 1) if size else ():
+                a, b = shingles(words[s : s + size]), shingles(wanted)
+                common = (a & b).total()
+                if (x := common / (a.total() + b.total() - common)) >= 0.8 and x > out.get((d, i), (0, 0))[1]:
+                    out[d, i] = s, x
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    words = [f"q{k}" for k in range(40)]
+    beat = "a b c d e a b c d e a b c d".split()
+    items = [(1, " ".join(words)), (None, " ".join(words[:30])), (2, "four words of it"), (3, "one"), (4, " ".join(beat[:13])), (5, ""), (6, " ".join(words[10:19]))]
+    texts = [
+        (1, " ".join(words[1:])), (2, " ".join(words[:39])), (3, "x " * 50 + " ".join(words[:20] + ["new"] + words[21:]) + " y"), (4, "here are FOUR words of it twice four words of it"), (5, "one"), (6, None), (7, ""),
+        (8, " ".join(beat[1:14])), (9, "b c d e a b c d e a b c d"), (10, " ".join(words[10:18])), (None, " ".join(words)), (11, " ".join(words[:24])), (12, "z " * 5000 + " ".join(words)),
+    ]
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(texts, items)
+    for part in (decontaminate.PART, 60):  # in one pass, and in several
+        monkeypatch.setattr(decontaminate, "PART", part)
+        found = decontaminate.contaminated(docs, benchmark).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in found} == want and len(found) == len(want)
+        assert {r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()} == {d for d, _ in texts} - {d for d, _ in want}
+    assert {(2, 1), (5, 3), (4, 2), (None, 1), (None, None)} <= set(want)
+
+
+def test_fingerprints_of_similar_windows_are_within_the_radius():
+    """Windows at a similarity just above 0.8, by one edit or at one end: the farthest of many."""
+    r, far = np.random.default_rng(3), 0
+    for n in (13, 25, 50, 120):
+        for _ in range(300):
+            words = r.integers(1, 1 << 62, n).astype(np.uint64)
+            other = np.append(words[max(1, (n - 4) // 9) :], r.integers(1, 1 << 62, max(1, (n - 4) // 9)).astype(np.uint64))
+            prints = [np.packbits(2 * decontaminate._bits(x).sum(0, dtype=np.int64) > len(x)).view(">u8")[0] for x in map(decontaminate._shingles, (words, other))]
+            far = max(far, int(prints[0] ^ prints[1]).bit_count())
+    assert 8 <= far <= decontaminate.RADIUS
+
+
 def test_resharding_is_even_and_cheap(spark, docs, none):
     out = reshard.reshard(docs, F.col("doc_id").cast("int") % 3, 4).collect()
     counts = [sum(r["shard"] == s for r in out) for s in range(4)]
