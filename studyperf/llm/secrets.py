@@ -1,11 +1,16 @@
 """Secret scans in DataFrame functions only: three patterns, and a battery of randomness tests on long tokens.
 
-The battery infers a token's encoding (hexadecimal, base 32, base 64) and takes three statistics: chi-squared distance from a uniform alphabet, the number of
-runs of one class of characters (small letters, capitals, digits), and the correlation of each character with the next. Against the hypothesis of ordinary text (letters as uneven as in prose, classes that change
-seldom, neighbours alike) each gives a normal score; together they give a p-value. Tokens of like length form a stratum; within each the Benjamini-Hochberg rule bounds the share of false discoveries,
-so that short tokens, which say less, don't weaken the test of long ones.
+The null hypothesis of the battery is ordinary text: words of letters, run together or parted by `+/_-`, in small letters, capitals or with initial capitals, and numbers among them. The encoding inferred from a token's alphabet (hexadecimal,
+base 32, letters and digits) says against which alternative each statistic is read. Three tests, each with a normal score whose mean and spread under the null are set on the safe side of what prose shows:
 
-Null texts have no spans. Spans count code points, the end exclusive. Repeated rows are scanned alike; an empty table gives an empty result.
+- chi-squared: distance of the letters' frequencies from a uniform alphabet of 26; prose is far from it;
+- runs: how often vowels and consonants take turns; prose alternates more than chance does;
+- serial correlation: how often a character's class (small letter, capital, digit) differs from the one before; initial capitals count as small letters. Prose keeps its class.
+
+A token's p-value is three times the least of the three (Bonferroni), which holds whatever their dependence. Tokens of like length form a stratum; within each the Benjamini-Hochberg rule bounds the share of false discoveries, so that short tokens,
+which say less, don't weaken the test of long ones. Tests hold p-values of generated prose in seven styles against uniform ones. Numbers alone are ordinary, so random digits are not found.
+
+Null texts have no spans. Spans count code points, the end exclusive. Texts are scanned whole; a text's cost grows with its length and, for each kind, its matches. Repeated rows are scanned alike; ties in start go by kind; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 RATE = 0.01
-#: Of ordinary text: how often the class of characters changes, the excess of its letters' squared frequencies over uniform ones, how alike neighbours are.
-CHANGE, EXCESS, ALIKE = 0.12, 0.75, 0.0
+#: Of ordinary text, on the safe side: how often the class of characters changes; the excess of its letters' squared frequencies over uniform ones, times 26; how often vowels and consonants take turns; by how much spreads exceed independent ones.
+CHANGE, EXCESS, TURNS, SPREAD = 0.17, 0.55, 0.53, 1.15
 
 
 def _spans(text: Column, pattern: str, kind: int, good: Callable[[Column], Column] | None = None, group: int | None = None) -> Column:
@@ -62,27 +67,25 @@ def _normal(z: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """The p-value of a token under the hypothesis that it is ordinary text."""
-    size = F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0).when(token.rlike("^[A-Z2-7]+$"), 32.0).otherwise(64.0)
-    n = F.length(token).cast("double")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-
-    def scores(chars: Column) -> Column:
-        squares = total(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0))))
-        chi = size / n * squares - n
-        even = ((size - 1 + (n - 1) * EXCESS * size / 26.0) - chi) / F.sqrt(2 * (size - 1) + 4 * (n - 1) * EXCESS * size / 26.0)
-        kind = F.transform(chars, lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4))
-        changes = let(kind, lambda k: total(F.transform(k, lambda x, i: F.coalesce((F.get(k, i - 1) != x).cast("double"), F.lit(0.0)))))
-        runs = (changes - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
-        codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-
-        def serial(x: Column) -> Column:
-            mean = total(x) / n
-            return let(mean, lambda m: F.coalesce(F.try_divide(total(F.transform(x, lambda v, i: (v - m) * (F.coalesce(F.get(x, i - 1), m) - m))), total(F.transform(x, lambda v: (v - m) * (v - m)))), F.lit(1.0)))
-
-        steady = -(F.abs(let(codes, serial)) - 2 / F.sqrt(n)) * F.sqrt(n)
-        return (even + 2 * runs + F.least(steady, F.lit(1.0))) / F.sqrt(F.lit(6.0))
-
-    return 1 - _normal(let(F.split(token, ""), lambda c: scores(F.array_remove(c, ""))))
+    pure = F.regexp_replace(F.regexp_replace(token, "(?<![A-Z])[A-Z](?=[a-z])", "a"), "[^A-Za-z0-9]", "")
+    classes = F.translate(pure, "ABCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz123456789", "A" * 26 + "a" * 25 + "0" * 9)
+    letters = F.lower(F.regexp_replace(token, "[^A-Za-z]", ""))
+    turning = F.translate(letters, "eiouycdfghjklmnpqrstvwxz", "a" * 5 + "b" * 19)
+    runs = lambda x: F.length(F.regexp_replace(x, r"(.)\1*", "r")) - 1.0
+
+    def scores(n: Column, size: Column) -> Column:
+        squares = sum(F.pow(size - F.length(F.replace(letters, F.lit(c), F.lit(""))), F.lit(2.0)) for c in "abcdefghijklmnopqrstuvwxyz")
+        chi = 26 / size * squares - size
+        uniform = (25 + (size - 1) * EXCESS - chi) / (SPREAD * F.sqrt(50 + 4 * (size - 1) * EXCESS))
+        turns = ((size - 1) * TURNS - runs(turning)) / (SPREAD * F.sqrt((size - 1) * TURNS * (1 - TURNS)))
+        changes = (runs(classes) - (n - 1) * CHANGE) / (SPREAD * F.sqrt((n - 1) * CHANGE * (1 - CHANGE)))
+        # letters of hexadecimal tokens are of another alphabet than prose, and too few letters say nothing
+        hexadecimal = token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        none = F.lit(-9.0)
+        return F.greatest(F.when(hexadecimal | (size < 12), none).otherwise(F.greatest(uniform, turns)), F.when(n < 12, none).otherwise(changes))
+
+    least = let(F.struct(F.length(pure).cast("double").alias("n"), F.length(letters).cast("double").alias("size")), lambda x: scores(x["n"], x["size"]))
+    return F.least(F.lit(1.0), 3 * (1 - _normal(least)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -141,16 +144,18 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def masked(docs: DataFrame, rate: float = RATE, mask: str = "[SECRET]") -> DataFrame:
-    """docs, each secret in its text replaced; n_chars follows, where docs has it. Texts without secrets stay as they are."""
-    cuts = cutoffs(scanned(docs.select("text")), rate)
+    """docs, each secret in its text replaced; n_chars follows, where docs has it. Texts without secrets stay as they are. Each text is scanned once: what was found is stored beside the documents."""
+    found = stored(scanned(docs), "scanned")
     text = F.col("text")
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    )
-    new = F.aggregate("__all", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = scanned(docs).withColumn("__all", all_spans(cuts)).withColumn("__hit", F.size("__all") > 0)
-    cells = {"text": F.when(F.col("__hit"), new).otherwise(text)}
+    # apart: overlapping spans are one secret
+    def kept(spans: Column) -> Column:
+        past = F.transform(spans, lambda s, i: F.array_max(F.transform(F.slice(spans, 1, i), lambda x: x["end"])))  # of the spans before; null for the first
+        parts = F.transform(spans, lambda s, i: let(F.coalesce(F.get(past, i), F.lit(0)), lambda at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mask))).otherwise(F.lit(""))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text)))
+
+    new = let(F.col("__all"), kept)
+    out = found.withColumn("__all", all_spans(cutoffs(found, rate))).withColumn("__new", F.when(F.size("__all") > 0, new))
+    cells = {"text": F.coalesce("__new", "text")}
     if "n_chars" in docs.columns:
-        cells["n_chars"] = F.when(F.col("__hit"), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(cells).select(*docs.columns)
+        cells["n_chars"] = F.coalesce(F.length("__new").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return out.select(*(cells.get(c, F.col(c)).alias(c) for c in docs.columns))
