@@ -5,7 +5,7 @@ thresholds share the weights. From it come the expected grade and the tail proba
 beginnings of words (3 to 5 letters, without case) occur, and how frequent each shape of their ends is (capitals, digits, symbols), and repeats of the word before.
 
 Training takes at most about SAMPLE labelled documents a grade, chosen by a hash of their ids, and minimises the log loss with an L1 penalty by accelerated proximal steps.
-Null texts are empty ones: the score is the bias alone. Several labels for a document: the lowest grade holds. No labels at all: every document is kept, with null scores. Repeated rows are scored alike.
+Null, empty and blank texts have no features: the thresholds alone decide. Long texts are read whole. Several labels for a document: the lowest grade holds. Grades that no label has keep their thresholds at the edge, so the scale stays the same. No labels at all: every document is kept, with null scores. No documents: an empty result. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import small_batches
 from .langid import sampled
 
 SAMPLE = 2500
+#: Grades 0 (toxic), 1 (of low quality), 2 (good), whichever of them the labels hold.
+GRADES = 3
 BITS = 18
 CACHE = 400_000
 
@@ -83,9 +85,8 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(bins: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, penalty: float = 6e-4, steps: int = 200) -> Model:
+def fit(bins: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, penalty: float = 6e-4, steps: int = 200, grade_count: int = GRADES) -> Model:
     """Accelerated proximal gradient on the mean log loss of the grades, each grade weighing alike as far as its share is above a tenth."""
-    grade_count = int(grades.max()) + 1
     used, at, times = np.unique(np.concatenate(bins), return_inverse=True, return_counts=True)
     rows, x = np.repeat(np.arange(len(bins)), [len(b) for b in bins]), np.concatenate(values).astype(np.float64)
     common = (times >= 3)[at]  # rarer features get no weight
@@ -167,7 +168,7 @@ def _verdicts(model: Model | None, features: Features, texts: pd.Series, keep: i
         bins, values = features.of(text or "")
         scores[i] = model.weights[bins].astype(np.float64) @ values
     tails = model.tails(scores)
-    tail = tails[:, min(keep, tails.shape[1]) - 1]
+    tail = tails[:, keep - 1]
     return pd.DataFrame({"expected_grade": tails.sum(1), "tail_probability": tail, "kept": tail >= least})
 
 
