@@ -1,8 +1,8 @@
 """Resharding by minimum-cost flow.
 
 Rows lie in old shards; new capacities are given. A flow network has a node for each block of an old shard (its rows of like size) and one for each new shard; a row that stays costs nothing, one that moves costs its block's mean bytes. The
-cheapest flow says how many rows of each block go where; it is solved on the blocks' counts alone, whose number is bounded by shards times size classes. Within a block rows are ranked in a fixed order, and each
-transfer takes a run of ranks. So only moved rows are rewritten: the smallest of the shards that have too many.
+cheapest flow says how many rows of each block go where; it is solved on the blocks' counts alone, whose number is bounded by shards times size classes. Within a block rows are ranked by size, the
+largest first, and those that stay take the first ranks. So only moved rows are rewritten: the smallest of the shards that have too many.
 
 Law `rows`: new shards hold row counts at most one apart. Size: UTF-8 bytes plus 1 (null: 1). A null key counts as old shard 0. Equal rows are different rows and each gets its own slot. An empty table gives an empty result.
 """
@@ -111,15 +111,16 @@ def reshard(docs: DataFrame, old: Column, shards: int = SHARDS, **carried: Colum
     rows = stored(docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old_shard"), *(c.alias(name) for name, c in carried.items())).withColumn("class", size_class(F.col("size"))), "sizes")
     counted = rows.groupBy("old_shard", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()  # shards times size classes
     moves = transfers({(r["old_shard"], r["class"]): (r["n"], r["bytes"]) for r in counted}, shards)
+    block = ["old_shard", "class"]
+    # ranks within a block, the largest first: within cells of one size, after the rows of earlier cells; rows of one size, which may be a third of all, are dealt to several cells
     largest = max((r["n"] for r in counted), default=0)
     cells = max(1, -(-largest // CELL))
-    block = ["old_shard", "class"]
-    celled = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).cast("int"))
-    # ranks within a block: within its cells, after the rows of earlier cells
-    heads = celled.groupBy(*block, "cell").count().withColumn("before", F.sum("count").over(Window.partitionBy(*block).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = celled.withColumn("nth", F.row_number().over(Window.partitionBy(*block, "cell").orderBy("doc_id", "text_crc32", "size")))
-    heads = heads.select(*block, "cell", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = ranked.join(heads, [*block, "cell"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    celled = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)).cast("int"))
+    order = Window.partitionBy(*block).orderBy(F.desc("size"), "cell").rowsBetween(Window.unboundedPreceding, -1)
+    heads = celled.groupBy(*block, "size", "cell").count().withColumn("before", F.sum("count").over(order))
+    heads = heads.select(*block, "size", "cell", F.coalesce("before", F.lit(0)).alias("before"))
+    ranked = celled.withColumn("nth", F.row_number().over(Window.partitionBy(*block, "size", "cell").orderBy("doc_id", "text_crc32")))
+    ranked = ranked.join(heads, [*block, "size", "cell"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
     # each transfer: the ranks it takes, and the slots it fills
     taken, filled, plan = defaultdict(int), defaultdict(int), []
     for a, c, b, n in moves:
