@@ -135,18 +135,25 @@ def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return simhash.components(edges)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable) of each document."""
+def rooted_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node of each document; and node, low (the least id that has it) and root (the component's least node) of each distinct node."""
     small_batches(docs.sparkSession, 250)
     prints = stored(docs.select("doc_id", F.pandas_udf(_described, "struct<node:long,fp:long,bands:array<long>>")("text").alias("x")).select("doc_id", "x.*"), "described")
     groups = stored(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     roots = components(docs, groups)
-    rooted = stored(groups.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "rooted")
+    return prints.select("doc_id", "node"), stored(groups.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "rooted")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable) of each document."""
+    prints, rooted = rooted_nodes(docs)
     lows = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     named = stored(rooted.join(lows, "root").select("node", "component_id"), "named")
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return prints.join(named, "node").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component has one with a smaller id; of rows with one id, one stays. Rows without an id can't be told apart and stay."""
-    return simhash.least_of_components(docs, near_copies(docs))
+    """One row of each component: one with its least id (rows without an id come last; of several texts with that id one whose node is least). Rows that share an id but not a component are judged apart."""
+    _, rooted = rooted_nodes(docs)
+    marked = docs.withColumn("__key", F.pandas_udf(_nodes, "long")("text"))
+    return simhash.one_of_each(marked, rooted.withColumnRenamed("node", "key")).select(*docs.columns)

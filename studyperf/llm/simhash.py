@@ -89,27 +89,34 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"no end after {most} rounds")
 
 
+def rooted_prints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, low (the least id that has it) and root (the component's least fp) of each distinct fp in prints (doc_id, fp)."""
+    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
+    roots = components(links(groups.select("fp"), radius))
+    return stored(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (signed) and component_id of each document."""
     prints = stored(docs.select("doc_id", fingerprinted(docs, shingle, seed).alias("fp")), "prints")
-    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
-    roots = components(links(groups.select("fp"), radius))
-    rooted = stored(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = rooted_prints(prints, radius)
     lows = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     named = stored(rooted.join(lows, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs without the documents whose component has one with a smaller id; of rows with one id, one stays. Rows without an id can't be told apart and stay."""
-    return least_of_components(docs, near_duplicates(docs, radius, shingle, seed))
+    """One row of each component: one with its least id (rows without an id come last; of several texts with that id one whose fingerprint is least). Rows that share an id but not a component are judged apart."""
+    marked = docs.withColumn("__key", fingerprinted(docs, shingle, seed))
+    rooted = rooted_prints(stored(marked.select("doc_id", F.col("__key").alias("fp")), "prints"), radius)
+    return one_of_each(marked, rooted.withColumnRenamed("fp", "key")).select(*docs.columns)
 
 
-def least_of_components(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with what deduplicated() keeps, by the doc_id and component_id in found."""
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+def one_of_each(marked: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of marked (documents with __key) one row of each component of rooted (key, low, root): that of the least low, then key."""
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("unnamed"), "low", "key")).alias("x"))
+    least = least.select(F.col("x.key").alias("__key"), F.col("x.low").alias("__low"))
+    return marked.join(least, "__key").where(F.col("doc_id").eqNullSafe(F.col("__low"))).dropDuplicates(["__key"])
 
 
 def hexadecimal(fp: Column) -> Column:
