@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, whole_text
+from .common import identified, small_batches, stored, whole_text
 
 #: The bitmap has at most 2 ** MOST_BITS bits (64 MB).
 LEAST_BITS, MOST_BITS = 23, 29
@@ -350,11 +350,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.join(clash, "doc_id", "left").select("doc_id", "text", F.when(F.col("doc_id").isNull() | (text != F.col("low")), own).otherwise(F.col("doc_id")).alias("doc"))
 
 
-def doc_ids(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
-    """The ids of a batch of covered(): never as floating numbers, which would round them."""
-    return pd.arrays.IntegerArray(batch["doc_id"].to_numpy("int64"), batch["unnamed"].to_numpy(bool))
-
-
 def _portions(group: np.ndarray, data: list[bytes]) -> Iterator[np.ndarray]:
     """Rows in the order of their groups, about BYTES at a time; a group's stay together."""
     order = np.argsort(group, kind="stable")
@@ -556,4 +551,4 @@ def covered(docs: DataFrame, kind: Kind) -> DataFrame:
     whole = whole_pieces(docs, kind, recurring(docs, kind), slices)
     apart = windows_apart(several(whole, kind), kind, slices)
     found = spans(whole.select("flags").union(apart).where(F.length("flags") > 0), kind)
-    return docs.join(stored(found, "spans"), "doc", "left").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "text", "spans")
+    return identified(docs.join(stored(found, "spans"), "doc", "left"), "text", "spans")

@@ -22,7 +22,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches
+from .common import doc_ids, identified, small_batches
 
 #: Bounds of what a worker keeps: states of the machine and pairs of tokens, encoded pieces. Beyond them it starts afresh; results don't change.
 STATES, PAIRS, PIECES = 200_000, 1_000_000, 800_000
@@ -299,11 +299,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids
                 rows.append((*row, np.frombuffer(packed, "<u4").astype("<i4")) if ids else row)
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_chars_decoded", "ids"][: 4 + ids]
             out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(0, "doc_id", doc_ids(batch))
             yield out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long" + ", ids array<int>" * ids
-    return docs.select("doc_id", "text").mapInPandas(encoded, schema)
+    return identified(docs, "text").mapInPandas(encoded, schema)
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -313,6 +313,6 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], pattern: str)
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(*shared.value)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [codec.decode(np.asarray([] if x is None else x, "<u4").tobytes()) for x in batch["ids"]]})
+            yield pd.DataFrame({"doc_id": doc_ids(batch), "text": [codec.decode(np.asarray([] if x is None else x, "<u4").tobytes()) for x in batch["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(decoded, "doc_id long, text string")
+    return identified(encoded, "ids").mapInPandas(decoded, "doc_id long, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one, which only local mode can share; on a cluster its lack is an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return folder
@@ -38,3 +41,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def identified(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs for Python workers: doc_id (0 where there is none), unnamed, and the columns. Ids never become floating numbers there, which would round them."""
+    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), *columns)
+
+
+def doc_ids(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
+    """The ids of a batch of identified()."""
+    return pd.arrays.IntegerArray(batch["doc_id"].to_numpy("int64"), batch["unnamed"].to_numpy(bool))

@@ -6,7 +6,7 @@ shorter one for each order in which the byte was not seen (method C: with n coun
 c / (n + d), the escape d / (n + d)), and from 1 / 256 below order 0. The counts are frozen after training, so each context and byte has one fixed cost and a text's code length is exact.
 
 Training takes a sample of at most about SAMPLE documents a language, chosen by a hash of their ids; its counts are summed by Spark. A document is
-scored where it is. `und`: null text, or a text without letters. Null and repeated ids matter to nothing but the choice of the sample. With no training documents every language is `und`.
+scored where it is. `und`: null text, or a text without letters. Null and repeated ids matter to nothing but the choice of the sample. With no training documents every language is `und`. Long texts are scored whole, in chunks; languages that fit alike: the first by name. Repeated rows are scored alike, and count as often in training; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import doc_ids, identified, small_batches
 
 ORDER = 3
 SAMPLE = 3000
@@ -172,6 +172,6 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
                 lang[known] = np.array(trees.langs, object)[best]
                 score[known] = 1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(1)
                 bits[known] = least / [len(d) for d in data]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang_pred": lang, "score": score, "bits_per_byte": bits})
+            yield pd.DataFrame({"doc_id": doc_ids(batch), "lang_pred": lang, "score": score, "bits_per_byte": bits})
 
-    return docs.select("doc_id", "text").mapInPandas(scored, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return identified(docs, "text").mapInPandas(scored, "doc_id long, lang_pred string, score double, bits_per_byte double")

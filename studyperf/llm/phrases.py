@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
+from .common import doc_ids
 
 WINDOW, GRAM = 20, 8
 #: Words whose hashes a worker keeps; pieces in a shard, of which passages make an automaton.
@@ -112,7 +113,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept += words[at:]
                 rows.append((len(words), int((spans[:, 1] - spans[:, 0]).sum()), b" ".join(kept).decode()))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
-            out.insert(0, "doc_id", anchors.doc_ids(batch))
+            out.insert(0, "doc_id", doc_ids(batch))
             yield out
 
     return anchors.covered(docs, KIND).mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
+from .common import doc_ids
 
 WINDOW, GRAM = 50, 16
 _BYTES = anchors.mixed(np.arange(1, 257, dtype=np.uint64))
@@ -153,7 +154,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept.append(data[at:])
                 rows.append((len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), b"".join(kept)))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            out.insert(0, "doc_id", anchors.doc_ids(batch))
+            out.insert(0, "doc_id", doc_ids(batch))
             yield out
 
     return anchors.covered(docs, KIND).mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

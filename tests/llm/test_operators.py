@@ -50,6 +50,8 @@ def test_bpe_equals_tiktoken(spark, docs, none):
         assert back == hashlib.sha256(text.encode()).hexdigest()
     assert by_id(bpe.decode_documents(out, ranks, public_tokenizers.PATTERN), "text") == {i: (t or "",) for i, t in ROWS}
     assert bpe.encode_documents(none, ranks, public_tokenizers.PATTERN).count() == 0
+    odd = bpe.encode_documents(spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "doc_id long, text string").coalesce(1), ranks, public_tokenizers.PATTERN, ids=True)
+    assert {r["doc_id"]: r["text"] for r in bpe.decode_documents(odd, ranks, public_tokenizers.PATTERN).collect()} == {2**53 + 1: "a", None: "b"}
 
 
 def test_utf8_machine_equals_replacement():
