@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import doc_ids, identified, small_batches
 
 #: Bounds of what a worker keeps: states of the machine and pairs of tokens, encoded pieces. Beyond them it starts afresh; results don't change.
-STATES, PAIRS, PIECES = 200_000, 1_000_000, 800_000
+STATES, PAIRS, PIECES = 100_000, 300_000, 300_000
 #: Bytes after which a long piece's agreed tokens are emitted, and ids that are decoded at once.
 BLOCK = 65_536
 
