@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def _many(df: DataFrame, by: list[str], name: str, order: list[str]) -> DataFram
 
 
 def monthly_report(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
-    """A row for each month with a session, block or mock exam, with all sections nested.
+    """A row for each month with a session, block, mock exam, official exam or essay, with all sections nested.
 
     Arrays hold what one student does in one month. With keys that gather many students into one group, take the sections' own tables in place of this. The sections share
     the scored blocks: with `facts.prepared(t)` as t these are scored once. Sections without rows are null.
@@ -140,7 +141,9 @@ def monthly_report(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
         _many(breakdowns.subject_balance(t, keys), by, "balanceamento_materias", ["materia_id"]),
         month_advice(t, as_of, keys).withColumnRenamed("recomendacoes", "recomendacoes_estrategicas"),
     ]
-    out = _one(facts.month_summary(t, keys), by, "resumo_geral")
-    for part in parts:
+    dated = [periods.by_month(t["prova"], "criado_em"), detail]
+    summary = _one(facts.month_summary(t, keys), by, "resumo_geral")
+    out = reduce(DataFrame.union, [summary.select(*by), *(df.select(*by) for df in dated)]).distinct()
+    for part in [summary, *parts]:
         out = out.join(part, by, "left")
     return out

@@ -122,7 +122,8 @@ def dashboard(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> Da
 
 def analytics_counts(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
     n = critical_topics(t, period, as_of, keys).groupBy(*keys).agg(F.count("*").alias("n_criticos"))
-    s = period_sums(t, period, as_of, keys).where("n_sessoes + n_blocos + n_simulados > 0").join(n, keys, "left")
+    s = period_sums(t, period, as_of, keys).where("n_sessoes + n_blocos + n_simulados > 0")
+    s = s.join(n, keys, "left") if keys else s.crossJoin(n)
     return s.select(*keys, rounded((F.col("minutos") + F.col("segundos") / 60) / 60, 2).alias("horas"), "questoes", "n_sessoes", "n_blocos", "n_simulados", F.coalesce("n_criticos", F.lit(0)).alias("n_criticos"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.essays import essay_long, essay_scores
-from ..operators.ingest import split
+from ..operators.ingest import split, with_defaults
 
 #: Columns and types of the tables; a source is read with these, never by inference.
 SCHEMAS = {
@@ -42,7 +42,7 @@ def append(df: DataFrame, folder: str, table: str) -> None:
 
 def append_essays(essays: DataFrame, folder: str) -> DataFrame:
     """Writes the valid essays, their five competencies each and an analysis each; returns the rejected ones."""
-    valid, rejected = split(essays, "redacao")
+    valid, rejected = split(with_defaults(essays, F.current_timestamp(), TIMES["redacao"]), "redacao")
     append(valid, folder, "redacao")
     append(essay_long(valid), folder, "competencia")
     append(essay_scores(valid).select("redacao_id", "nota_total", "status", "competencia_mais_fraca"), folder, "analise")

@@ -14,7 +14,7 @@ from (select cast(n_nationkey as bigint) as materia_id
 from nation where n_nationkey < 8) t""",
     "assunto": """select p_partkey as assunto_id, p_partkey % 8 as materia_id, concat(p_name, ' ',
   cast(p_partkey as string)) as nome, (p_size % 4) + 1 as semana_do_ciclo, true as ativo
-from part where p_partkey < 120""",
+from part""",
     "sessao": """select l_orderkey as pai_id, o_custkey as aluno_id, l_shipdate as data, l_suppkey % 8 as materia_id, (l_partkey % 15) * 8 + (l_suppkey % 8) as assunto_id,
   case l_returnflag when 'A' then 'TEORIA' when 'N' then 'QUESTOES' else 'REVISAO' end as tipo_sessao,
   cast(l_quantity as int) as minutos_liquidos,
@@ -67,7 +67,7 @@ from supplier""",
     "atividade": """select user_id as aluno_id, ts as data, event_id % 8 as materia_id,
   cast(1 + event_id % 55 as int) as minutos_liquidos,
   case event_type when 'view' then 'TEORIA' when 'click' then 'QUESTOES' when 'purchase' then 'QUESTOES' else 'REVISAO' end as tipo_sessao
-from events where event_id % 3 = 0""",
+from events""",
     "desempenho_prova": """select p.prova_id, m.materia_id, cast((p.prova_id * 17 + m.materia_id * 29) % 101 as decimal(5,2)) as percentual_acerto,
   cast(600 + (p.prova_id * 13 + m.materia_id) % 1200 as int) as tempo_total_segundos
 from prova p cross join materia m""",

@@ -1,12 +1,15 @@
 """Advice, texts and the nested report: worked cases, and the report's sections against their own tables."""
 
 import json
+import os
+import subprocess
+import sys
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 from studyperf.functions import scores, texts
-from studyperf.operators import advice, breakdowns, facts
+from studyperf.operators import advice, breakdowns, essays, facts, reports
 from studyperf.plans import catalog
 from studyperf.sources import testviews
 
@@ -54,12 +57,27 @@ def test_report_holds_its_sections(spark):
     names = ("sessao", "bloco", "erro", "simulado", "materia", "assunto", "redacao", "desempenho_simulado", "prova", "desempenho_prova")
     t = testviews.tables(spark, SMALL, *names)
     rows = catalog.QUERIES["monthly_report"](spark, SMALL).collect()
-    assert len(rows) == len({(r["aluno_id"], r["mes"]) for r in rows}) == facts.month_summary(t).count()
+    months = {tuple(r) for df in (facts.month_summary(t), essays.essay_stats(t), breakdowns.official_exam_detail(t)) for r in df.select("aluno_id", "mes").collect()}
+    assert len(rows) == len(months) and {(r["aluno_id"], r["mes"]) for r in rows} == months
+    assert any(r["resumo_geral"] is None and r["redacoes"] is not None for r in rows)  # essays alone
     got = sorted((r["aluno_id"], r["mes"], b["materia_id"], b["ipr_medio"]) for r in rows for b in json.loads(r["blocos_por_materia"] or "[]"))
     want = sorted(tuple(r) for r in breakdowns.blocks_by_subject(t).select("aluno_id", "mes", "materia_id", "ipr_medio").collect())
     assert got == want
-    assert all(json.loads(r["recomendacoes_estrategicas"]) for r in rows)
-    assert all(len(json.loads(r["balanceamento_materias"])) == 8 for r in rows)
+    whole = [r for r in rows if r["resumo_geral"] is not None]
+    assert all(json.loads(r["recomendacoes_estrategicas"]) for r in whole)
+    assert all(len(json.loads(r["balanceamento_materias"])) == 8 for r in whole)
+
+
+def test_counts_without_keys(spark):
+    t = testviews.tables(spark, SMALL, "sessao", "bloco", "erro", "simulado", "materia", "assunto")
+    one = reports.analytics_counts(t, "ano", catalog.AS_OF, []).collect()
+    each = reports.analytics_counts(t, "ano", catalog.AS_OF).collect()
+    assert len(one) == 1 and one[0]["n_blocos"] == sum(r["n_blocos"] for r in each) and one[0]["questoes"] == sum(r["questoes"] for r in each)
+
+
+def test_entry_without_what_the_text_queries_import():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert len(e.queries()) > 50 and 'op8_phrases' not in e.queries() and 'pipeline' not in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def test_kept_blocks_change_nothing(spark):
