@@ -25,6 +25,11 @@ def start_before(period: str, as_of: date) -> date:
     return start.replace(year=start.year - 1) if period == "ano" else start
 
 
+def closed_month(as_of: date) -> date:
+    """The first day of the month before that of as_of."""
+    return (as_of.replace(day=1) - timedelta(1)).replace(day=1)
+
+
 def by_month(df: DataFrame, ts: str) -> DataFrame:
     """df with `mes`, the first day of the row's month. A month ends at 23:59:59: what is later in its last second belongs to none."""
     end = F.last_day(ts).cast("timestamp_ntz") + F.expr("interval 86399 seconds")

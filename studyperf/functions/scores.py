@@ -130,6 +130,26 @@ def essay_band(total: Column) -> Column:
     return out.otherwise("excelente")
 
 
+#: Stored band, shown name, shown range of scores.
+BAND_LABELS = (
+    ("critica", "Crítica", "< 400"),
+    ("fraca", "Fraca", "400–599"),
+    ("regular", "Regular", "600–699"),
+    ("boa", "Boa", "700–799"),
+    ("muito_boa", "Muito Boa", "800–899"),
+    ("excelente", "Excelente", "≥ 900"),
+)
+
+
+def band_label(band: Column) -> tuple[Column, Column]:
+    """The name and the range shown for a stored band, read without case and outer blanks; a dash and nothing for any other."""
+    key = F.lower(F.trim(band))
+    names = ranges = F
+    for stored, name, span in BAND_LABELS:
+        names, ranges = names.when(key == stored, name), ranges.when(key == stored, span)
+    return names.otherwise("—"), ranges.otherwise("")
+
+
 def essay_level(average: Column) -> Column:
     return F.when(average >= 900, "Elite").when(average >= 800, "Avançado").when(average >= 600, "Intermediário").when(average >= 400, "Básico").otherwise("Iniciante")
 

@@ -73,6 +73,8 @@ EXERCISES = (
     ("Estude conectivos básicos e pratique a ligação entre frases e parágrafos.", "Amplie o uso de conectivos variados para melhorar a progressão textual.", "Aprimore a fluidez textual variando mecanismos de coesão."),
     ("Treine a estrutura completa da intervenção: agente, ação, meio, modo e finalidade.", "Detalhe melhor os elementos da intervenção para torná-la mais concreta.", "Aprimore a viabilidade e detalhamento da proposta de intervenção."),
 )
+#: The two texts stored with an essay; %d is its weakest competency.
+STORED_NOTES = {"diagnostico": "A competência %d foi a mais fraca.", "recomendacao": "Treinar mais a competência %d."}
 COMPETENCY_NAMES = ("Domínio da norma culta da língua portuguesa", "Compreensão da proposta de redação", "Seleção e organização de argumentos", "Conhecimento dos mecanismos linguísticos", "Proposta de intervenção")
 
 

@@ -156,6 +156,25 @@ def corr_focus_ipr(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     return g.select(*keys, "mes", F.col("n").cast("long").alias("pares"), pearson(*c).alias("correlacao"))
 
 
+def corr_first_pairs(t: Tables, tie: list[str], keys: list[str] = KEYS, max_pairs: int = 30) -> DataFrame:
+    """corr_focus_ipr over a month's first pairs alone: sessions in order of their time and `tie`, for each its blocks in order.
+
+    Each session in a pair has a block, so one with max_pairs sessions before it in its month, or in its subject and day, can't be among the first pairs; the finer rank comes first, so few rows reach the month's.
+    """
+    by = [*keys, "mes", "materia_id", "dia"]
+    order = ["data", *tie]
+    blocks = scored_blocks(t).withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("data", "bloco_id"))).where(F.col("__k") <= max_pairs)
+    blocks = blocks.select(*by, "__k", (F.col("ipr") * 10000).cast("long").alias("y"))
+    rows = sessions(t).where("nivel_foco > 0").join(blocks.select(*by).distinct(), by, "left_semi")
+    for group in (by, [*keys, "mes"]):
+        rows = rows.withColumn("__rank", F.rank().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__rank") <= max_pairs)
+    pairs = rows.join(blocks, by).withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "mes").orderBy(*order, "__k"))).where(F.col("__n") <= max_pairs)
+    x, y = F.col("nivel_foco").cast("long"), F.col("y")
+    g = pairs.groupBy(*keys, "mes").agg(F.count("*").alias("pares"), *(F.sum(e).alias(a) for a, e in (("sx", x), ("sy", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))))
+    c = [F.col(k).cast("decimal(19,0)") for k in ("pares", "sx", "sy", "xx", "yy", "xy")]
+    return g.select(*keys, "mes", "pares", pearson(*c).alias("correlacao"))
+
+
 def _corr_mocks(t: Tables, keys: list[str], x: str, y: Column) -> DataFrame:
     """y in units of 1e-6, so that sums are exact."""
     m = scored_mocks(t).where(F.col(x) > 0).where("total_questoes > 0").select(*keys, "mes", F.col(x).cast("long").alias("x"), F.round(y * 1e6).cast("long").alias("y"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import periods, scores
+from ..functions import periods, scores, texts
 from ..functions.scores import COMPETENCIES, rounded
 from .facts import KEYS, Tables
 
@@ -15,6 +15,19 @@ def essay_scores(essays: DataFrame) -> DataFrame:
     return essays.withColumns({"nota_total": total, "competencia_mais_fraca": scores.weakest_competency(), "status": scores.essay_band(total)})
 
 
+def essay_analysis(essays: DataFrame) -> DataFrame:
+    """What is stored beside an essay: its scores and two short texts on the weakest competency."""
+    told = {name: F.format_string(text, "competencia_mais_fraca") for name, text in texts.STORED_NOTES.items()}
+    return essay_scores(essays).withColumns(told).select("redacao_id", "nota_total", "status", "competencia_mais_fraca", *told)
+
+
+def read_back(essays: DataFrame, long: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Stored essays with their competencies side by side (null where one is missing; of repeated ones the highest) and their analysis (null where it is missing)."""
+    wide = long.groupBy("redacao_id").pivot("competencia", [1, 2, 3, 4, 5]).agg(F.max("nota"))
+    wide = wide.select("redacao_id", *(F.col(str(k)).alias(f"competencia{k}") for k in range(1, 6)))
+    return essays.drop(*COMPETENCIES).join(wide, "redacao_id", "left").join(analyses, "redacao_id", "left")
+
+
 def essay_long(essays: DataFrame) -> DataFrame:
     long = essays.unpivot("redacao_id", list(COMPETENCIES), "nome", "nota")
     return long.select("redacao_id", F.substring("nome", -1, 1).cast("int").alias("competencia"), "nota")
@@ -52,6 +65,19 @@ def essay_status_dist(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     return _monthly(t).groupBy(*keys, "mes", "status").agg(F.count("*").alias("n"))
 
 
+def essay_status_map(t: Tables, keys: list[str] = KEYS) -> DataFrame:
+    """The statuses of a month as one map."""
+    entry = F.struct("status", "n")
+    return essay_status_dist(t, keys).groupBy(*keys, "mes").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("distribuicao"))
+
+
+def essay_evolution(t: Tables, keys: list[str] = KEYS) -> DataFrame:
+    """The scores of a month's essays in order of their days and ids."""
+    entry = F.struct(F.col("dia"), F.col("redacao_id"), F.col("nota_total").alias("nota"))
+    dated = _monthly(t).withColumn("dia", F.to_date("data_escrita"))
+    return dated.groupBy(*keys, "mes").agg(F.sort_array(F.collect_list(entry)).alias("evolucao"))
+
+
 def essay_progress(t: Tables, keys: list[str] = KEYS, last: int = 10) -> DataFrame:
     """For each key: mean of all essays, the latest against the mean of the others, level, and the last scores in order."""
     w = Window.partitionBy(*keys).orderBy(F.desc("data_escrita"), F.desc("redacao_id"))

@@ -29,6 +29,11 @@ def month_compare(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     return s.select(*out)
 
 
+def closed_month(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
+    """The summary of the month before that of as_of."""
+    return month_summary(t, keys).where(F.col("mes") == F.lit(periods.closed_month(as_of)))
+
+
 def month_projection(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
     """Of the month of as_of: where it leads by its daily means. Closed months project to what they are."""
     hours_goal, questions_goal = scores.GOALS["mes"]
@@ -124,7 +129,8 @@ def analytics_counts(t: Tables, period: str, as_of: date, keys: list[str] = KEYS
     n = critical_topics(t, period, as_of, keys).groupBy(*keys).agg(F.count("*").alias("n_criticos"))
     s = period_sums(t, period, as_of, keys).where("n_sessoes + n_blocos + n_simulados > 0")
     s = s.join(n, keys, "left") if keys else s.crossJoin(n)
-    return s.select(*keys, rounded((F.col("minutos") + F.col("segundos") / 60) / 60, 2).alias("horas"), "questoes", "n_sessoes", "n_blocos", "n_simulados", F.coalesce("n_criticos", F.lit(0)).alias("n_criticos"))
+    exact = lambda k: F.try_divide(F.col(f"ipr_{k}").cast("double"), F.col(f"n_{k}").cast("double"))
+    return s.select(*keys, rounded((F.col("minutos") + F.col("segundos") / 60) / 60, 2).alias("horas"), "questoes", scores.blend(exact("b"), exact("m")).alias("ipr_medio"), "n_sessoes", "n_blocos", "n_simulados", F.coalesce("n_criticos", F.lit(0)).alias("n_criticos"))
 
 
 def subject_performance(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:

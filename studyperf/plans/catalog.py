@@ -60,6 +60,82 @@ def _invalid_blocks(t):
     return ingest.checked(doubled, "bloco").where(F.size("motivos") > 0).select("bloco_id", F.array_join("motivos", ",").alias("motivos"))
 
 
+def _failing(df: DataFrame, table: str, *columns: str) -> DataFrame:
+    return ingest.checked(df, table).where(F.size("motivos") > 0).select(*columns, F.array_join("motivos", ",").alias("motivos"))
+
+
+def _invalid_sessions(t):
+    """Sessions ten minutes shorter, of doubled focus and with one kind renamed."""
+    changed = t["sessao"].withColumns({"minutos_liquidos": F.col("minutos_liquidos") - 10, "nivel_foco": F.col("nivel_foco") * 2, "tipo_sessao": F.when(F.col("tipo_sessao") != "REVISAO", F.col("tipo_sessao"))})
+    return _failing(changed, "sessao", "pai_id", "minutos_liquidos", "nivel_foco")
+
+
+def _invalid_errors(t):
+    """Error rows with one less each and one kind renamed."""
+    changed = t["erro"].withColumns({"quantidade": F.col("quantidade") - 1, "tipo_erro": F.when(F.col("tipo_erro") == "PRESSA", "OUTRO").otherwise(F.col("tipo_erro"))})
+    return _failing(changed, "erro", "bloco_id", "tipo_erro", "quantidade")
+
+
+def _invalid_mocks(t):
+    """Mock exams a week later, with a cycle less and more fatigue. More hits than questions are allowed."""
+    changed = t["simulado"].withColumns({"numero_semana": F.col("numero_semana") + 1, "numero_ciclo": F.col("numero_ciclo") - 1, "nivel_fadiga": F.col("nivel_fadiga") + 1, "total_acertos": F.col("total_acertos") * 3})
+    return _failing(changed, "simulado", "simulado_id")
+
+
+def _invalid_mock_subjects(t):
+    changed = t["desempenho_simulado"].withColumns({"total_questoes": F.col("total_questoes") - 5, "total_acertos": F.col("total_acertos") - 2, "tempo_total_segundos": F.col("tempo_total_segundos") - 300})
+    return _failing(changed, "desempenho_simulado", "simulado_id", "total_questoes", "total_acertos", "tempo_total_segundos")
+
+
+def _invalid_exam_subjects(t):
+    changed = t["desempenho_prova"].withColumns({"percentual_acerto": F.col("percentual_acerto") - 10, "tempo_total_segundos": F.col("tempo_total_segundos") - 700})
+    return _failing(changed, "desempenho_prova", "prova_id", "materia_id", "tempo_total_segundos")
+
+
+def _invalid_essays(t):
+    """Essays with their theme fifty times over, one score raised and one lowered."""
+    changed = t["redacao"].withColumns({"tema": F.repeat("tema", 50), "competencia1": F.col("competencia1") + 20, "competencia5": F.col("competencia5") - 20})
+    return _failing(changed, "redacao", "redacao_id")
+
+
+def _filled_essays(t):
+    """Essays of which some lack their time or axis, as they are stored."""
+    gaps = t["redacao"].withColumns({"data_escrita": F.when(F.col("redacao_id") % 3 != 0, F.col("data_escrita")), "eixo_tematico": F.when(F.col("competencia1") > 100, F.col("eixo_tematico")).when(F.col("competencia2") > 100, "")})
+    filled = ingest.with_defaults(gaps, F.lit(AS_OF).cast("timestamp"), "data_escrita")
+    return filled.select("redacao_id", F.to_date("data_escrita").alias("dia"), "eixo_tematico")
+
+
+def _new_topics(t):
+    """Each topic offered in a later week, for a later subject and by a name without its number, so that many are alike, unknown or there already."""
+    offered = t["assunto"].select("assunto_id", (F.col("materia_id") + F.col("assunto_id") % 3).alias("materia_id"), F.when(F.col("assunto_id") % 2 == 0, F.upper("nome")).otherwise(F.regexp_replace("nome", " [0-9]+$", "")).alias("nome"), (F.col("semana_do_ciclo") + 1).alias("semana_do_ciclo"))
+    return ingest.new_topics(offered, t["assunto"], t["materia"], "assunto_id").select("assunto_id", "materia_id", "nome", "semana_do_ciclo")
+
+
+def _stored_essays(t):
+    e = t["redacao"]
+    back = essays.read_back(e, essays.essay_long(e), essays.essay_analysis(e))
+    return back.select("redacao_id", "aluno_id", F.to_date("data_escrita").alias("dia"), "tema", *scores.COMPETENCIES, "nota_total", "status", "competencia_mais_fraca", "diagnostico", "recomendacao")
+
+
+def _band_labels(t):
+    name, span = scores.band_label(F.col("status"))
+    return essays.essay_scores(t["redacao"]).select("redacao_id", "status", name.alias("rotulo"), span.alias("faixa"))
+
+
+def _first_pairs(t):
+    return breakdowns.corr_first_pairs(t, ["pai_id", "aluno_id", "materia_id", "assunto_id", "nivel_foco"], [])
+
+
+def _nested(df: DataFrame, column: str, *fields: str) -> DataFrame:
+    """An array of rows as one text: fields parted by colons, rows by commas."""
+    return df.withColumn(column, F.array_join(F.transform(column, lambda x: F.concat_ws(":", *(x[f].cast("string") for f in fields))), ","))
+
+
+def _status_map(t):
+    found = essays.essay_status_map(t)
+    return _nested(found.withColumn("distribuicao", F.map_entries("distribuicao")), "distribuicao", "key", "value")
+
+
 def _latest(t):
     tie = ["pai_id", "aluno_id", "materia_id", "assunto_id", "tipo_sessao", "minutos_liquidos", "nivel_foco", "nivel_energia"]
     return listing.latest(t["sessao"], "data", tie).select("pai_id", "aluno_id", "materia_id", "assunto_id", "tipo_sessao", "minutos_liquidos")
@@ -91,8 +167,8 @@ QUERIES: dict[str, Query] = {
     "errors_by_type": over(BLOCKS, breakdowns.errors_by_type),
     "error_group_share": over(BLOCKS, breakdowns.error_group_share),
     "error_trend": over(BLOCKS, breakdowns.error_trend),
-    "mock_detail": over(("simulado", "desempenho_simulado"), lambda t: breakdowns.mock_detail(t).drop("materias")),
-    "official_exam_detail": over(("prova", "desempenho_prova"), lambda t: breakdowns.official_exam_detail(t).drop("materias")),
+    "mock_detail": over(("simulado", "desempenho_simulado"), lambda t: _nested(breakdowns.mock_detail(t), "materias", "materia_id", "total_questoes", "total_acertos", "tempo_total_segundos")),
+    "official_exam_detail": over(("prova", "desempenho_prova"), lambda t: _nested(breakdowns.official_exam_detail(t), "materias", "materia_id", "percentual_acerto", "tempo_total_segundos")),
     "essay_scores": over(ESSAYS, lambda t: essays.essay_scores(t["redacao"]).select("redacao_id", "nota_total", "competencia_mais_fraca", "status")),
     "essay_long": over(ESSAYS, lambda t: essays.essay_long(t["redacao"])),
     "essay_wide": over(ESSAYS, lambda t: essays.essay_wide(essays.essay_long(t["redacao"]))),
@@ -134,5 +210,19 @@ QUERIES: dict[str, Query] = {
     "invalid_exams": over(("prova",), _invalid),
     "invalid_blocks": over(("bloco",), _invalid_blocks),
     "new_subjects": over(("assunto", "materia"), _new_subjects),
+    "new_topics": over(("assunto", "materia"), _new_topics),
+    "invalid_sessions": over(("sessao",), _invalid_sessions),
+    "invalid_errors": over(("erro",), _invalid_errors),
+    "invalid_mocks": over(MOCKS, _invalid_mocks),
+    "invalid_mock_subjects": over(("desempenho_simulado",), _invalid_mock_subjects),
+    "invalid_exam_subjects": over(("desempenho_prova",), _invalid_exam_subjects),
+    "invalid_essays": over(ESSAYS, _invalid_essays),
+    "filled_essays": over(ESSAYS, _filled_essays),
+    "stored_essays": over(ESSAYS, _stored_essays),
+    "band_labels": over(ESSAYS, _band_labels),
+    "essay_status_map": over(ESSAYS, _status_map),
+    "essay_evolution": over(ESSAYS, lambda t: _nested(essays.essay_evolution(t), "evolucao", "dia", "redacao_id", "nota")),
+    "closed_month": over(FACTS, lambda t: reports.closed_month(t, AS_OF)),
+    "corr_first_pairs": over(FACTS, _first_pairs),
 }
 ORACLES = oracles.build()

@@ -210,6 +210,29 @@ def by_subject(start: str, mocks: bool) -> str:
     return f"select *, cast({r('questoes * percentual_medio / 100', 0)} as bigint) as acertos_estimados from ({shares}) z"
 
 
+def failing(table: str, columns: str, changed: str, **holds: str) -> str:
+    """Rows of a changed table for which not all holds, with the names of what doesn't."""
+    reasons = ", ".join(f"case when not coalesce({ok}, false) then '{name}' end" for name, ok in holds.items())
+    return query([table], f"select * from (select {columns}, concat_ws(',', {reasons}) as motivos from (select * replace ({changed}) from {table}) c) x where motivos <> ''")
+
+
+def checks() -> dict[str, str]:
+    ok = lambda c: f"({c} is null or {c} between 1 and 5)"
+    levels = {c: ok(c) for c in ("nivel_ansiedade", "nivel_fadiga", "qualidade_sono")}
+    counts = {"total_questoes": "total_questoes >= 1", "total_acertos": "total_acertos >= 0", "tempo_total_segundos": "tempo_total_segundos > 0"}
+    notes = {f"competencia{k}": f"competencia{k} between 0 and 200" for k in range(1, 6)}
+    return {
+        "invalid_sessions": failing("sessao", "pai_id, minutos_liquidos, nivel_foco", "minutos_liquidos - 10 as minutos_liquidos, nivel_foco * 2 as nivel_foco, nullif(tipo_sessao, 'REVISAO') as tipo_sessao", tipo_sessao="tipo_sessao in ('TEORIA', 'QUESTOES', 'REVISAO')", minutos_liquidos="minutos_liquidos > 0", nivel_foco=ok("nivel_foco"), nivel_energia=ok("nivel_energia")),
+        "invalid_errors": failing("erro", "bloco_id, tipo_erro, quantidade", "quantidade - 1 as quantidade, case tipo_erro when 'PRESSA' then 'OUTRO' else tipo_erro end as tipo_erro", tipo_erro="tipo_erro in ('CONCEITO', 'INTERPRETACAO', 'CALCULO', 'DISTRACAO', 'PRESSA', 'CONTEUDO_ESQUECIDO')", quantidade="quantidade >= 1"),
+        "invalid_mocks": failing("simulado", "simulado_id", "numero_semana + 1 as numero_semana, numero_ciclo - 1 as numero_ciclo, nivel_fadiga + 1 as nivel_fadiga, total_acertos * 3 as total_acertos", numero_ciclo="numero_ciclo >= 1", numero_semana="numero_semana between 1 and 4", **counts, **levels),
+        "invalid_mock_subjects": failing("desempenho_simulado", "simulado_id, total_questoes, total_acertos, tempo_total_segundos", "total_questoes - 5 as total_questoes, total_acertos - 2 as total_acertos, tempo_total_segundos - 300 as tempo_total_segundos", **counts),
+        "invalid_exam_subjects": failing("desempenho_prova", "prova_id, materia_id, tempo_total_segundos", "percentual_acerto - 10 as percentual_acerto, tempo_total_segundos - 700 as tempo_total_segundos", percentual_acerto="percentual_acerto >= 0", tempo_total_segundos="tempo_total_segundos > 0"),
+        "invalid_essays": failing("redacao", "redacao_id", "repeat(tema, 50) as tema, competencia1 + 20 as competencia1, competencia5 - 20 as competencia5", tema="length(tema) <= 300", **notes),
+        "filled_essays": query(["redacao"], "select redacao_id, coalesce(case when redacao_id % 3 <> 0 then cast(data_escrita as date) end, date '2000-06-15') as dia, case when competencia1 > 100 and eixo_tematico <> '' then eixo_tematico else 'geral' end as eixo_tematico from redacao"),
+        "new_topics": query(["assunto", "materia"], "select assunto_id, materia_id, nome, semana_do_ciclo from (select *, row_number() over (partition by materia_id, lower(nome) order by assunto_id) as k from (select assunto_id, materia_id + assunto_id % 3 as materia_id, trim(case when assunto_id % 2 = 0 then upper(nome) else regexp_replace(nome, ' [0-9]+$', '') end) as nome, semana_do_ciclo + 1 as semana_do_ciclo from assunto) o where nome <> '' and semana_do_ciclo between 1 and 4 and materia_id in (select materia_id from materia) and not exists (select 1 from assunto a where a.materia_id = o.materia_id and lower(trim(a.nome)) = lower(o.nome))) y where k = 1"),
+    }
+
+
 def build() -> dict[str, str]:
     year = period("aluno_id, ", "2000-01-01", "1999-01-01")
     month_ = period("", "2000-06-01", "2000-05-01")
@@ -251,8 +274,8 @@ def build() -> dict[str, str]:
         "errors_by_type": query(["sb", "erro"], f"select aluno_id, mes, tipo_erro, cast(sum(n) as bigint) as total_ocorrencias, {pct('sum(n)', 'sum(sum(n)) over (partition by aluno_id, mes)', 1)} as percentual_do_total, count(distinct bloco_id) as blocos_afetados, row_number() over (partition by aluno_id, mes order by sum(n) desc, tipo_erro) as posicao from me group by 1, 2, 3", errs),
         "error_group_share": query(["sb", "erro"], f"select aluno_id, mes, cast(sum(n) as bigint) as total_erros_registrados, {pct(chr(99) + 'oalesce(sum(n) filter (tipo_erro in (' + repr('DISTRACAO') + ', ' + repr('PRESSA') + ')), 0)', 'sum(n)', 1)} as taxa_distracao_pressa, {pct('coalesce(sum(n) filter (tipo_erro in (' + repr('CONCEITO') + ', ' + repr('CALCULO') + ')), 0)', 'sum(n)', 1)} as taxa_conceito_calculo from me group by 1, 2", errs),
         "error_trend": query(["sb", "erro"], f"select aluno_id, mes, {r('atual', 2)} as erros_por_bloco, {r('antes', 2)} as erros_por_bloco_anterior, case when antes = 0 then 'SEM_DADOS_ANTERIORES' when atual > antes * 1.1::double then 'PIORANDO' when atual < antes * 0.9::double then 'MELHORANDO' else 'ESTÁVEL' end as tendencia_erro from (select *, case when lag(mes) over w = cast(mes - interval 1 month as date) then lag(atual) over w else 0.0::double end as antes from (select b.aluno_id, b.mes, cast(coalesce(sum(e.n), 0) as double) / count(*) as atual from sb b left join (select bloco_id, sum(quantidade) as n from erro group by 1) e on e.bloco_id = b.bloco_id group by 1, 2) x window w as (partition by aluno_id order by mes)) y"),
-        "mock_detail": query(["sm", "desempenho_simulado"], f"select s.simulado_id, aluno_id, mes, numero_ciclo, numero_semana, total_questoes, total_acertos, {pct('total_acertos', 'total_questoes')} as percentual_acerto, {r(ratio('tempo_total_segundos', 'total_questoes'), 1)} as tempo_por_questao, cast(ipr as double) as ipr, coalesce(d.n, 0) as n_materias, cast(coalesce(d.a, 0) as bigint) as acertos_materias from sm s left join (select simulado_id, count(*) as n, sum(total_acertos) as a from desempenho_simulado group by 1) d on d.simulado_id = s.simulado_id"),
-        "official_exam_detail": query(["prova", "desempenho_prova"], f"select p.prova_id, aluno_id, cast(date_trunc('month', criado_em) as date) as mes, ano, cast(nota_total as double) as nota_total, {r('cast(tempo_total_segundos as double) / 3600', 2)} as horas, coalesce(d.n, 0) as n_materias, d.m as melhor_percentual from prova p left join (select prova_id, count(*) as n, cast(max(percentual_acerto) as double) as m from desempenho_prova group by 1) d on d.prova_id = p.prova_id"),
+        "mock_detail": query(["sm", "desempenho_simulado"], f"select s.simulado_id, aluno_id, mes, numero_ciclo, numero_semana, total_questoes, total_acertos, {pct('total_acertos', 'total_questoes')} as percentual_acerto, {r(ratio('tempo_total_segundos', 'total_questoes'), 1)} as tempo_por_questao, cast(ipr as double) as ipr, coalesce(d.n, 0) as n_materias, cast(coalesce(d.a, 0) as bigint) as acertos_materias, d.l as materias from sm s left join (select simulado_id, count(*) as n, sum(total_acertos) as a, string_agg(concat_ws(':', materia_id, total_questoes, total_acertos, tempo_total_segundos), ',' order by materia_id, total_questoes, total_acertos, tempo_total_segundos) as l from desempenho_simulado group by 1) d on d.simulado_id = s.simulado_id"),
+        "official_exam_detail": query(["prova", "desempenho_prova"], f"select p.prova_id, aluno_id, cast(date_trunc('month', criado_em) as date) as mes, ano, cast(nota_total as double) as nota_total, {r('cast(tempo_total_segundos as double) / 3600', 2)} as horas, coalesce(d.n, 0) as n_materias, d.m as melhor_percentual, d.l as materias from prova p left join (select prova_id, count(*) as n, cast(max(percentual_acerto) as double) as m, string_agg(concat_ws(':', materia_id, percentual_acerto, tempo_total_segundos), ',' order by materia_id, percentual_acerto, tempo_total_segundos) as l from desempenho_prova group by 1) d on d.prova_id = p.prova_id"),
         "essay_scores": query(["re"], f"select redacao_id, nota_total, cast(fraca as int) as competencia_mais_fraca, {BAND} as status from re"),
         "essay_long": query(["redacao"], " union all ".join(f"select redacao_id, {k} as competencia, competencia{k} as nota from redacao" for k in range(1, 6))),
         "essay_wide": query(["re"], f"select redacao_id, {', '.join(f'competencia{k}' for k in range(1, 6))}, nota_total from re"),
@@ -274,7 +297,7 @@ def build() -> dict[str, str]:
         "dashboard": query(facts, board("aluno_id, ", (1056, 16800)), year),
         "dashboard_single": query(facts, board("", (88, 1400)), month_),
         "critical_topics": query(facts, "select aluno_id, assunto_id, questoes, ipr_ponderado from crit", year),
-        "analytics_counts": query(facts, f"select ps.aluno_id, {HOURS} as horas, questoes, n_sessoes, n_blocos, n_simulados, coalesce(c.n, 0) as n_criticos from ps left join (select aluno_id, count(*) as n from crit group by 1) c on c.aluno_id = ps.aluno_id", year),
+        "analytics_counts": query(facts, f"select ps.aluno_id, {HOURS} as horas, questoes, {blend('ib', 'im')} as ipr_medio, n_sessoes, n_blocos, n_simulados, coalesce(c.n, 0) as n_criticos from ps left join (select aluno_id, count(*) as n from crit group by 1) c on c.aluno_id = ps.aluno_id", year),
         "subject_performance": query([*facts, "materia"], f"select m.materia_id, m.nome as materia_nome, g.* exclude (materia_id), case when g.ipr >= 0.8 then 'Excelente' when g.ipr >= 0.7 then 'Operacional' else 'Crítico' end as faixa from (select aluno_id, materia_id, sum(total_questoes) as questoes, sum(total_acertos) as acertos, {pct('sum(total_acertos)', 'sum(total_questoes)')} as percentual, {r('cast(sum(ipr) as double) / count(*)', 4)} as ipr from sb2 where data >= date '2000-01-01' group by 1, 2) g join materia m on m.materia_id = g.materia_id", year),
         "subject_dashboard": query([*facts, "materia"], by_subject("2000-01-01", True), year),
         "mean_subject_ipr": query([*facts, "materia"], f"select aluno_id, count(*) as materias, {r('avg(greatest(ipr_medio, 0.0))', 4)} as ipr_medio_materias from ({by_subject('2000-01-01', False)}) v group by 1", year),
@@ -289,6 +312,17 @@ def build() -> dict[str, str]:
         "invalid_blocks": query(["bloco"], "select bloco_id, case when a < 0 then 'total_acertos' else 'acertos_acima' end as motivos from (select bloco_id, total_questoes, total_acertos * 2 - 12 as a from bloco) b where a < 0 or a > total_questoes"),
         "new_subjects": query(["assunto", "materia"], "select assunto_id, nome, peso_prova from (select *, row_number() over (partition by lower(nome) order by assunto_id) as k from (select assunto_id, trim(regexp_replace(nome, ' [0-9]+$', '')) as nome, assunto_id % 5 as peso_prova from assunto) x where nome <> '' and peso_prova > 0 and lower(nome) not in (select lower(trim(nome)) from materia)) y where k = 1"),
     }
+    names, spans = ("Crítica", "Fraca", "Regular", "Boa", "Muito Boa", "Excelente"), ("< 400", "400–599", "600–699", "700–799", "800–899", "≥ 900")
+    by_band = lambda six: "case " + " ".join(f"when nota_total < {cut} then '{x}'" for cut, x in zip((400, 600, 700, 800, 900), six)) + f" else '{six[5]}' end"
+    pairs = "select s.mes, cast(s.nivel_foco as double) as x, cast(b.ipr as double) as y, row_number() over (partition by s.mes order by s.data, s.pai_id, s.aluno_id, s.materia_id, s.assunto_id, s.nivel_foco, b.data, b.bloco_id) as k from ss s join sb b on b.materia_id = s.materia_id and b.dia = s.dia where s.nivel_foco > 0"
+    out |= checks() | {
+        "stored_essays": query(["re"], f"select redacao_id, aluno_id, cast(data_escrita as date) as dia, tema, {', '.join(f'competencia{k}' for k in range(1, 6))}, nota_total, {BAND} as status, cast(fraca as int) as competencia_mais_fraca, 'A competência ' || fraca || ' foi a mais fraca.' as diagnostico, 'Treinar mais a competência ' || fraca || '.' as recomendacao from re"),
+        "band_labels": query(["re"], f"select redacao_id, {BAND} as status, {by_band(names)} as rotulo, {by_band(spans)} as faixa from re"),
+        "essay_status_map": query(["re"], f"select aluno_id, mes, string_agg(status || ':' || n, ',' order by status) as distribuicao from (select aluno_id, mes, {BAND} as status, count(*) as n from re group by 1, 2, 3) d group by 1, 2"),
+        "essay_evolution": query(["re"], "select aluno_id, mes, string_agg(concat_ws(':', dia, redacao_id, nota_total), ',' order by dia, redacao_id, nota_total) as evolucao from re group by 1, 2"),
+        "closed_month": query(["ativ"], "select * exclude (dim) from resumo where mes = date '2000-05-01'", months("aluno_id, ")),
+        "corr_first_pairs": query(["ss", "sb"], f"select mes, count(*) as pares, case when count(*) >= 3 and var_pop(x) > 1e-15 and var_pop(y) > 1e-15 then {r('covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))', 3)} end as correlacao from ({pairs}) t where k <= 30 group by mes"),
+    }
     three = {"foco_ipr": "corr_focus_ipr", "sono_acerto": "corr_sleep_hits", "ansiedade_erro": "corr_anxiety_errors"}
     out["correlations"] = "select *, coalesce(abs(correlacao) >= 0.5, false) as forte from (" + " union all ".join(f"select *, '{k}' as correlacao_de from ({out[n]}) c" for k, n in three.items()) + ") r"
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.essays import essay_long, essay_scores
+from ..operators.essays import essay_analysis, essay_long
 from ..operators.ingest import split, with_defaults
 
 #: Columns and types of the tables; a source is read with these, never by inference.
@@ -20,6 +20,8 @@ SCHEMAS = {
     "prova": "prova_id string, aluno_id string, ano int, nota_total decimal(5,2), tempo_total_segundos int, nivel_ansiedade int, nivel_fadiga int, qualidade_sono int, criado_em timestamp_ntz",
     "desempenho_prova": "prova_id string, materia_id string, percentual_acerto decimal(5,2), tempo_total_segundos int",
     "redacao": "redacao_id string, aluno_id string, tema string, eixo_tematico string, data_escrita timestamp_ntz, tempo_escrita_min int, competencia1 int, competencia2 int, competencia3 int, competencia4 int, competencia5 int",
+    "competencia": "redacao_id string, competencia int, nota int",
+    "analise": "redacao_id string, nota_total int, status string, competencia_mais_fraca int, diagnostico string, recomendacao string",
 }
 TIMES = {"sessao": "data", "bloco": "data", "simulado": "criado_em", "prova": "criado_em", "redacao": "data_escrita"}
 
@@ -45,7 +47,7 @@ def append_essays(essays: DataFrame, folder: str) -> DataFrame:
     valid, rejected = split(with_defaults(essays, F.current_timestamp(), TIMES["redacao"]), "redacao")
     append(valid, folder, "redacao")
     append(essay_long(valid), folder, "competencia")
-    append(essay_scores(valid).select("redacao_id", "nota_total", "status", "competencia_mais_fraca"), folder, "analise")
+    append(essay_analysis(valid), folder, "analise")
     return rejected
 
 
