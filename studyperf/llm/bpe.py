@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import doc_ids, identified, small_batches
 
 #: Bounds of what a worker keeps: states of the machine and pairs of tokens, encoded pieces. Beyond them it starts afresh; results don't change.
-STATES, PAIRS, PIECES = 100_000, 300_000, 300_000
+STATES, PAIRS, PIECES = 100_000, 200_000, 200_000
+#: Code points from which a text's pieces are found one by one, not listed.
+LONG = 1 << 20
 #: Bytes after which a long piece's agreed tokens are emitted, and ids that are decoded at once.
 BLOCK = 65_536
 
@@ -244,13 +246,14 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.token = self.transducer.token
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.pieces = self._Pieces(self.transducer)
 
     def encode(self, text: str) -> bytes:
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        found = self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def decoded(self, packed: bytes) -> Iterator[bytes]:
         """The bytes of the ids, block by block."""
@@ -282,7 +285,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids
 
     The vocabulary is broadcast; it is bounded, as vocabularies are (50,256 tokens: under 1 MB). Documents stay where they are.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -37,6 +37,18 @@ def by_id(df, *columns):
     return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
 
 
+def test_bpe_of_a_very_long_text_equals_tiktoken(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(spark, path)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = "Größe 12, naïve  words\n\tand 日本 " * (bpe.LONG // 30 + 1000)
+    assert len(text) >= bpe.LONG
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    packed = codec.encode(text)
+    assert np.frombuffer(packed, "<u4").tolist() == enc.encode_ordinary(text)
+    assert codec.decode(packed) == text
+
+
 def test_bpe_equals_tiktoken(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
