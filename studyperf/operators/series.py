@@ -12,7 +12,7 @@ from ..functions.scores import mean, pct, rounded
 from .breakdowns import blocks_by_topic, corr_anxiety_errors, corr_focus_ipr, corr_sleep_hits
 from .essays import essay_stats
 from .facts import KEYS, Tables, scored_blocks
-from .reports import _scored_since, _since
+from .reports import _scored_since, _since, critical_topics
 
 
 def block_series(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
@@ -95,6 +95,20 @@ def subject_dashboard(t: Tables, period: str, as_of: date, keys: list[str] = KEY
     return out.select(*keys, "materia_id", "materia_nome", "horas", "questoes", "acertos", "percentual_medio", "ipr_medio", again.alias("acertos_estimados"))
 
 
+def subject_outlook(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
+    """The subject dashboard with the score of the period before, trend, goals, mission and critical topics. Scores are those of blocks: mock exams have no subject."""
+    start, old = periods.start_of(period, as_of), periods.start_before(period, as_of)
+    by = [*keys, "materia_id"]
+    blocks, _ = _scored_since(t, old)
+    earlier = blocks.where(F.col("data") < F.lit(start)).groupBy(*by).agg(F.sum("ipr").alias("s"), F.count("*").alias("n")).select(*by, mean("s", "n", 4).alias("ipr_anterior"))
+    topics = critical_topics(t, period, as_of, by).groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list("assunto_id")).cast("array<string>"), ",").alias("assuntos_criticos"))
+    s = subject_dashboard(t, period, as_of, keys).join(earlier, by, "left").join(topics, by, "left").fillna(0.0, ["ipr_anterior"]).fillna("", ["assuntos_criticos"])
+    hours_goal, questions_goal = scores.GOALS.get(period, scores.YEAR_GOAL)
+    s = s.withColumns({"tendencia": scores.trend(F.col("ipr_medio"), F.col("ipr_anterior")), "status_horas": scores.goal_status(F.col("horas"), hours_goal), "status_questoes": scores.goal_status(F.col("questoes"), questions_goal)})
+    s = s.withColumn("status_missao", scores.mission_status(F.col("ipr_medio"), F.col("status_horas"), F.col("status_questoes"), F.col("tendencia")))
+    return s.select(*by, "horas", "questoes", "ipr_medio", "ipr_anterior", "tendencia", "status_horas", "status_questoes", "status_missao", "assuntos_criticos")
+
+
 def mean_subject_ipr(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
     """The plain mean of all subjects' scores, those without blocks counting 0."""
     every = subject_dashboard(t, period, as_of, keys, mocks_in_subject=False)

@@ -193,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "analytics_counts": over(FACTS, lambda t: reports.analytics_counts(t, "ano", AS_OF)),
     "subject_performance": over((*FACTS, "materia"), lambda t: reports.subject_performance(t, "ano", AS_OF)),
     "subject_dashboard": over((*FACTS, "materia"), lambda t: series.subject_dashboard(t, "ano", AS_OF)),
+    "subject_outlook": over((*FACTS, "materia"), lambda t: series.subject_outlook(t, "ano", AS_OF)),
     "mean_subject_ipr": over((*FACTS, "materia"), lambda t: series.mean_subject_ipr(t, "ano", AS_OF)),
     "block_series": over(("bloco",), lambda t: series.block_series(t, "ano", AS_OF)),
     "mock_series": over(MOCKS, series.mock_series),

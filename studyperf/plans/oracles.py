@@ -210,6 +210,18 @@ def by_subject(start: str, mocks: bool) -> str:
     return f"select *, cast({r('questoes * percentual_medio / 100', 0)} as bigint) as acertos_estimados from ({shares}) z"
 
 
+def subject_board(start: str, old: str, goals: tuple[int, int]) -> str:
+    """by_subject with the score since `old`, trend, goals, mission and critical topics of each subject."""
+    goal = lambda x, g: f"case when {x} < {g} then 'ABAIXO' when {x} > {g} then 'ACIMA' else 'DENTRO' end"
+    before = f"select aluno_id, materia_id, {r('cast(sum(ipr) as double) / count(*)', 4)} as i from sb2 where data >= date '{old}' and data < date '{start}' group by 1, 2"
+    topics = f"select aluno_id, materia_id, assunto_id from sb2 where data >= date '{start}' group by 1, 2, 3 having sum(total_questoes) >= 10 and cast(sum(ipr * total_questoes) as double) / sum(total_questoes) < 0.70"
+    lists = f"select aluno_id, materia_id, string_agg(cast(assunto_id as varchar), ',' order by assunto_id) as l from ({topics}) t group by 1, 2"
+    a = f"select v.aluno_id, v.materia_id, horas, questoes, ipr_medio, coalesce(i, 0.0) as ipr_anterior, {goal('horas', goals[0])} as status_horas, {goal('questoes', goals[1])} as status_questoes, coalesce(l, '') as assuntos_criticos from ({by_subject(start, True)}) v left join ({before}) b on b.aluno_id = v.aluno_id and b.materia_id = v.materia_id left join ({lists}) l on l.aluno_id = v.aluno_id and l.materia_id = v.materia_id"
+    b = f"select *, case when ipr_anterior = 0 then 'ESTÁVEL' when (ipr_medio - ipr_anterior) / ipr_anterior > 0.05 then 'ASCENDENTE' when (ipr_medio - ipr_anterior) / ipr_anterior < -0.05 then 'DECLÍNIO' else 'ESTÁVEL' end as tendencia from ({a}) x"
+    points = "(case when ipr_medio >= 0.75 then 3 when ipr_medio >= 0.7 then 2 when ipr_medio >= 0.6 then 1 else 0 end + case when status_horas <> 'ABAIXO' then 2 else 0 end + case when status_questoes <> 'ABAIXO' then 2 else 0 end + case tendencia when 'ASCENDENTE' then 2 when 'ESTÁVEL' then 1 else 0 end)"
+    return f"select *, case when ipr_medio >= 0.7 and {points} >= 6 then 'CUMPRIDA' when {points} >= 5 then 'PARCIAL' else 'INSUFICIENTE' end as status_missao from ({b}) y"
+
+
 def failing(table: str, columns: str, changed: str, **holds: str) -> str:
     """Rows of a changed table for which not all holds, with the names of what doesn't."""
     reasons = ", ".join(f"case when not coalesce({ok}, false) then '{name}' end" for name, ok in holds.items())
@@ -300,6 +312,7 @@ def build() -> dict[str, str]:
         "analytics_counts": query(facts, f"select ps.aluno_id, {HOURS} as horas, questoes, {blend('ib', 'im')} as ipr_medio, n_sessoes, n_blocos, n_simulados, coalesce(c.n, 0) as n_criticos from ps left join (select aluno_id, count(*) as n from crit group by 1) c on c.aluno_id = ps.aluno_id", year),
         "subject_performance": query([*facts, "materia"], f"select m.materia_id, m.nome as materia_nome, g.* exclude (materia_id), case when g.ipr >= 0.8 then 'Excelente' when g.ipr >= 0.7 then 'Operacional' else 'Crítico' end as faixa from (select aluno_id, materia_id, sum(total_questoes) as questoes, sum(total_acertos) as acertos, {pct('sum(total_acertos)', 'sum(total_questoes)')} as percentual, {r('cast(sum(ipr) as double) / count(*)', 4)} as ipr from sb2 where data >= date '2000-01-01' group by 1, 2) g join materia m on m.materia_id = g.materia_id", year),
         "subject_dashboard": query([*facts, "materia"], by_subject("2000-01-01", True), year),
+        "subject_outlook": query([*facts, "materia"], subject_board("2000-01-01", "1999-01-01", (1056, 16800)), year),
         "mean_subject_ipr": query([*facts, "materia"], f"select aluno_id, count(*) as materias, {r('avg(greatest(ipr_medio, 0.0))', 4)} as ipr_medio_materias from ({by_subject('2000-01-01', False)}) v group by 1", year),
         "block_series": query(["bloco"], f"select aluno_id, bloco_id, posicao, concat('B', posicao) as rotulo, percentual_acerto from (select aluno_id, bloco_id, row_number() over (partition by aluno_id order by data, bloco_id) as posicao, {pct('total_acertos', 'total_questoes')} as percentual_acerto from bloco where data >= date '2000-01-01') b"),
         "mock_series": query(["simulado"], f"select aluno_id, simulado_id, nth, concat('C', numero_ciclo, 'S', numero_semana) as rotulo, {pct('total_acertos', 'total_questoes')} as percentual_acerto from (select *, row_number() over (partition by aluno_id order by criado_em desc, simulado_id desc) as nth from simulado) s where nth <= 10"),
