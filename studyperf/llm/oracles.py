@@ -117,7 +117,7 @@ select anchor_id, positive_id, cast(nth as int) as rank, negative_id, positive_s
 VARIANTS_SQL = r"""
 with recursive run as (
   select coalesce(cast(doc_id as varchar), '') as id, w, count(*) as n
-  from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as w from documents) x
+  from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as w from documents) x
   where length(w) >= 7 group by all
 ), bytes_ as (
   select w, n, flatten(list_transform(string_split(id || ':' || w, ''), lambda x: case when unicode(x) < 128 then [unicode(x)] else [192 + unicode(x) // 64, 128 + unicode(x) % 64] end)) as b from run
