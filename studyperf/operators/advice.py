@@ -1,16 +1,15 @@
-"""Advice from a dashboard or a month, essay advice, and the whole monthly report."""
+"""Advice from a dashboard, essay advice, and labels of months."""
 
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import periods, scores, texts
+from ..functions import scores, texts
 from ..functions.scores import rounded
-from . import breakdowns, essays, facts, reports
+from . import essays, facts, reports
 from .facts import KEYS, Tables
 
 
@@ -42,48 +41,6 @@ def dashboard_advice(t: Tables, period: str, as_of: date, keys: list[str] = KEYS
     return d.select(*own, F.when(F.size("recomendacoes") == 0, F.array(F.lit(texts.DASHBOARD_FALLBACK))).otherwise(F.col("recomendacoes")).alias("recomendacoes"))
 
 
-def _first_three(df: DataFrame, by: list[str], name: str, order: list) -> DataFrame:
-    """How many rows there are for each `by`, and the first three names. Only three a group are gathered."""
-    w = Window.partitionBy(*by)
-    ranked = df.select(*by, F.col(name).alias("nome"), F.row_number().over(w.orderBy(*order)).alias("k"), F.count("*").over(w).alias("n"))
-    first = F.transform(F.sort_array(F.collect_list(F.struct("k", "nome"))), lambda x: x["nome"])
-    return ranked.where("k <= 3").groupBy(*by).agg(F.max("n").alias("n"), F.array_join(first, ", ").alias("nomes"))
-
-
-def month_advice(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
-    """For each month with a session, block or mock exam: `recomendacoes`, structs of category, priority, message and action, in order.
-
-    Critical topics (two blocks or more, score below 70) come by their ids, neglected subjects by weight, then id. All sections are a row for each month, joined on the same keys.
-    """
-    by = [*keys, "mes"]
-    topics = breakdowns.blocks_by_topic(t, keys).where("ipr_medio < 70 and total_blocos >= 2")
-    topics = _first_three(topics, by, "assunto_nome", ["assunto_id"]).select(*by, F.col("n").alias("n_criticos"), F.col("nomes").alias("criticos"))
-    balance = breakdowns.subject_balance(t, keys).where("peso_vs_tempo = 'SUBINVESTIDA'")
-    balance = _first_three(balance, by, "materia_nome", [F.desc("peso_prova"), "materia_id"]).select(*by, F.col("nomes").alias("subinvestidas"))
-    m = facts.month_summary(t, keys).select(*by, F.col("ipr_geral").alias("ipr"), one_digit(F.col("ipr_geral")).alias("ipr_pct"))
-    for section in (
-        facts.consistency(t, keys).select(*by, "score"),
-        topics,
-        balance,
-        breakdowns.error_group_share(t, keys).select(*by, F.col("taxa_distracao_pressa").alias("distracao")),
-        reports.month_projection(t, as_of, keys).select(*by, F.col("horas_projetadas").alias("projetadas"), F.col("horas_necessarias").alias("necessarias")),
-        essays.essay_stats(t, keys).select(*by, F.col("total_redacoes").alias("redacoes"), "nota_media", F.col("mais_fraca_comum").alias("fraca")),
-    ):
-        m = m.join(section, by, "left")
-    m = m.na.fill({"n_criticos": 0, "distracao": 0.0, "redacoes": 0})
-    names = ("categoria", "prioridade", "mensagem", "acao_sugerida")
-    row = lambda cells: F.struct(*(texts.filled(c).alias(n) for c, n in zip(cells, names)))
-    given = F.array_compact(F.array(*(F.when(F.expr(cond), row(cells)) for cond, *cells in texts.MONTH_ADVICE)))
-    m = m.select(*by, given.alias("recomendacoes"))
-    return m.select(*by, F.when(F.size("recomendacoes") == 0, F.array(row(texts.MONTH_FALLBACK))).otherwise(F.col("recomendacoes")).alias("recomendacoes"))
-
-
-def month_advice_rows(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
-    """A row for each piece of advice, with its place."""
-    rows = month_advice(t, as_of, keys).select(*keys, "mes", F.posexplode("recomendacoes").alias("k", "r"))
-    return rows.select(*keys, "mes", (F.col("k") + 1).alias("posicao"), "r.*")
-
-
 def essay_advice(t: Tables) -> DataFrame:
     """For each essay and competency: its name, diagnosis and exercise. Row by row, without a shuffle."""
     c, n = F.col("competencia"), F.col("nota")
@@ -95,55 +52,3 @@ def month_labels(t: Tables, keys: list[str] = KEYS, passing: float = 70) -> Data
     s = facts.month_summary(t, keys)
     days = F.datediff(F.add_months("mes", 1), F.col("mes"))
     return s.select(*keys, "mes", texts.month_label("mes").alias("rotulo"), texts.hours_text(F.col("horas_totais")).alias("horas_texto"), days.alias("dias_ate_proximo"), (F.col("percentual_acerto") >= passing).alias("aprovado"))
-
-
-def _one(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    return df.select(*by, F.struct(*(c for c in df.columns if c not in by)).alias(name))
-
-
-def _many(df: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
-    """Rows of a month as a sorted array; `order` comes first in the structs."""
-    cells = [*order, *(c for c in df.columns if c not in by and c not in order)]
-    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*cells))).alias(name))
-
-
-def monthly_report(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
-    """A row for each month with a session, block, mock exam, official exam or essay, with all sections nested.
-
-    Arrays hold what one student does in one month. With keys that gather many students into one group, take the sections' own tables in place of this. The sections share
-    the scored blocks: with `facts.prepared(t)` as t these are scored once. Sections without rows are null.
-    """
-    by = [*keys, "mes"]
-    exam_keys = lambda df: df.drop(*({"aluno_id"} - set(keys)))
-    detail = periods.by_month(essays.essay_scores(t["redacao"]), "data_escrita").select(*by, "data_escrita", "redacao_id", "nota_total", "status", "competencia_mais_fraca", *scores.COMPETENCIES)
-    parts = [
-        _many(breakdowns.sessions_by_type(t, keys), by, "sessoes_por_tipo", ["tipo_sessao"]),
-        _many(breakdowns.sessions_by_subject(t, keys), by, "sessoes_por_materia", ["materia_id"]),
-        _many(breakdowns.blocks_by_subject(t, keys), by, "blocos_por_materia", ["materia_id"]),
-        _many(breakdowns.blocks_by_topic(t, keys), by, "blocos_por_assunto", ["assunto_id"]),
-        _many(breakdowns.blocks_by_difficulty(t, keys), by, "blocos_por_dificuldade", ["dificuldade"]),
-        _many(breakdowns.errors_by_type(t, keys), by, "erros_por_tipo", ["posicao"]),
-        _one(breakdowns.error_group_share(t, keys), by, "erros"),
-        _one(breakdowns.error_trend(t, keys), by, "tendencia_erros"),
-        _many(exam_keys(breakdowns.mock_detail(t)), by, "simulados", ["simulado_id"]),
-        _many(exam_keys(breakdowns.official_exam_detail(t)), by, "provas_oficiais", ["prova_id"]),
-        _one(essays.essay_stats(t, keys), by, "redacoes"),
-        _many(detail, by, "evolucao_redacoes", ["data_escrita", "redacao_id"]),
-        _many(essays.essay_status_dist(t, keys), by, "status_redacoes", ["status"]),
-        _one(breakdowns.mental_state(t, keys), by, "estado_mental"),
-        _one(reports.month_compare(t, keys), by, "comparativo_mes_anterior"),
-        _one(reports.month_projection(t, as_of, keys), by, "projecao_fechamento"),
-        _one(facts.consistency(t, keys), by, "consistencia"),
-        _one(facts.best_worst_day(t, keys), by, "melhor_e_pior_dia"),
-        _one(breakdowns.corr_focus_ipr(t, keys), by, "foco_ipr"),
-        _one(breakdowns.corr_sleep_hits(t, keys), by, "sono_acerto"),
-        _one(breakdowns.corr_anxiety_errors(t, keys), by, "ansiedade_erro"),
-        _many(breakdowns.subject_balance(t, keys), by, "balanceamento_materias", ["materia_id"]),
-        month_advice(t, as_of, keys).withColumnRenamed("recomendacoes", "recomendacoes_estrategicas"),
-    ]
-    dated = [periods.by_month(t["prova"], "criado_em"), detail]
-    summary = _one(facts.month_summary(t, keys), by, "resumo_geral")
-    out = reduce(DataFrame.union, [summary.select(*by), *(df.select(*by) for df in dated)]).distinct()
-    for part in [summary, *parts]:
-        out = out.join(part, by, "left")
-    return out

@@ -33,7 +33,7 @@ def sessions_by_subject(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     return named(_sessions_by(t, keys, "materia_id"), t["materia"], "materia_id", "materia_nome")
 
 
-def _block_sums() -> list[Column]:
+def block_sums() -> list[Column]:
     per_question = ratio("tempo_total_segundos", "total_questoes").cast("decimal(18,6)")
     return [F.count("*").alias("total_blocos"), F.sum("total_questoes").alias("total_questoes"), F.sum("total_acertos").alias("total_acertos"), F.sum(per_question).alias("tempo"), F.sum("ipr").alias("soma_ipr")]
 
@@ -43,19 +43,20 @@ def two_digit_ipr() -> Column:
     return F.coalesce(mean("soma_ipr", "total_blocos", 2), F.lit(0.0))
 
 
-def _block_measures() -> list[Column]:
-    return ["total_blocos", "total_questoes", "total_acertos", pct("total_acertos", "total_questoes").alias("percentual_acerto"), rounded(F.coalesce(mean("tempo", "total_blocos", 2), F.lit(0.0)), 1).alias("tempo_por_questao"), rounded(two_digit_ipr() * 100, 2).alias("ipr_medio")]
+def block_measures(timed: bool = True) -> list[Column]:
+    speed = [rounded(F.coalesce(mean("tempo", "total_blocos", 2), F.lit(0.0)), 1).alias("tempo_por_questao")] if timed else []
+    return [*map(F.col, ("total_blocos", "total_questoes", "total_acertos")), pct("total_acertos", "total_questoes").alias("percentual_acerto"), *speed, rounded(two_digit_ipr() * 100, 2).alias("ipr_medio")]
 
 
 def blocks_by_subject(t: Tables, keys: list[str] = KEYS) -> DataFrame:
-    g = scored_blocks(t).groupBy(*keys, "mes", "materia_id").agg(*_block_sums())
-    return named(g.select(*keys, "mes", "materia_id", *_block_measures()), t["materia"], "materia_id", "materia_nome")
+    g = scored_blocks(t).groupBy(*keys, "mes", "materia_id").agg(*block_sums())
+    return named(g.select(*keys, "mes", "materia_id", *block_measures()), t["materia"], "materia_id", "materia_nome")
 
 
 def blocks_by_topic(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     """The subject comes through the topic; both are null where the topic is missing."""
-    g = scored_blocks(t).groupBy(*keys, "mes", "assunto_id").agg(*_block_sums())
-    g = g.select(*keys, "mes", "assunto_id", *_block_measures(), scores.topic_status(two_digit_ipr()).alias("status")).drop("tempo_por_questao")
+    g = scored_blocks(t).groupBy(*keys, "mes", "assunto_id").agg(*block_sums())
+    g = g.select(*keys, "mes", "assunto_id", *block_measures(timed=False), scores.topic_status(two_digit_ipr()).alias("status"))
     topics = t["assunto"].select("assunto_id", F.col("nome").alias("assunto_nome"), "materia_id", "semana_do_ciclo")
     subjects = t["materia"].select("materia_id", F.col("nome").alias("materia_nome"))
     out = g.join(topics, "assunto_id", "left").join(subjects, "materia_id", "left")
@@ -63,18 +64,18 @@ def blocks_by_topic(t: Tables, keys: list[str] = KEYS) -> DataFrame:
 
 
 def blocks_by_difficulty(t: Tables, keys: list[str] = KEYS) -> DataFrame:
-    g = scored_blocks(t).groupBy(*keys, "mes", "dificuldade").agg(*_block_sums())
-    return g.select(*keys, "mes", "dificuldade", *_block_measures()).drop("tempo_por_questao")
+    g = scored_blocks(t).groupBy(*keys, "mes", "dificuldade").agg(*block_sums())
+    return g.select(*keys, "mes", "dificuldade", *block_measures(timed=False))
 
 
 def blocks_grouping_sets(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     """Subject, topic, difficulty and total in one pass over the scored blocks; `nivel` says which a row is of."""
     dims = ["materia_id", "assunto_id", "dificuldade"]
     head = [F.col(c) for c in (*keys, "mes")]
-    g = scored_blocks(t).groupingSets([[*head, F.col(d)] for d in dims] + [head], *head, *map(F.col, dims)).agg(F.grouping_id().alias("g"), *_block_sums())
+    g = scored_blocks(t).groupingSets([[*head, F.col(d)] for d in dims] + [head], *head, *map(F.col, dims)).agg(F.grouping_id().alias("g"), *block_sums())
     low = F.col("g").bitwiseAND(7)
     level = F.when(low == 3, "materia").when(low == 5, "assunto").when(low == 6, "dificuldade").otherwise("total")
-    return g.select(*keys, "mes", level.alias("nivel"), *dims, *_block_measures())
+    return g.select(*keys, "mes", level.alias("nivel"), *dims, *block_measures())
 
 
 def month_errors(t: Tables, keys: list[str] = KEYS) -> DataFrame:
@@ -90,6 +91,10 @@ def errors_by_type(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     return g.select(*keys, "mes", "tipo_erro", "total_ocorrencias", pct("total_ocorrencias", F.sum("total_ocorrencias").over(w), 1).alias("percentual_do_total"), "blocos_afetados", rank.alias("posicao"))
 
 
+def trend_label(now: Column, old: Column) -> Column:
+    return F.when(old == 0, "SEM_DADOS_ANTERIORES").when(now > old * 1.1, "PIORANDO").when(now < old * 0.9, "MELHORANDO").otherwise("ESTÁVEL")
+
+
 def error_group_share(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     part = lambda kinds: F.sum(F.when(F.col("tipo_erro").isin(*kinds), F.col("quantidade")).otherwise(0))
     g = month_errors(t, keys).groupBy(*keys, "mes").agg(F.sum("quantidade").alias("total"), part(scores.CARELESS).alias("d"), part(scores.CONCEPTUAL).alias("c"))
@@ -108,24 +113,23 @@ def error_trend(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     g = blocks.join(per_block, "bloco_id", "left").groupBy(*keys, "mes").agg((F.coalesce(F.sum("erros"), F.lit(0)) / F.count("*")).alias("atual"))
     g = g.withColumn("antes", before("atual", keys).cast("double"))
     now, old = F.col("atual"), F.col("antes")
-    label = F.when(old == 0, "SEM_DADOS_ANTERIORES").when(now > old * 1.1, "PIORANDO").when(now < old * 0.9, "MELHORANDO").otherwise("ESTÁVEL")
-    return g.select(*keys, "mes", rounded(now, 2).alias("erros_por_bloco"), rounded(old, 2).alias("erros_por_bloco_anterior"), label.alias("tendencia_erro"))
+    return g.select(*keys, "mes", rounded(now, 2).alias("erros_por_bloco"), rounded(old, 2).alias("erros_por_bloco_anterior"), trend_label(now, old).alias("tendencia_erro"))
 
 
-def mock_detail(t: Tables) -> DataFrame:
+def mock_detail(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     """Mock exams with the number and sums of their subject rows; `materias` nests these in order of their ids."""
     own = t["desempenho_simulado"]
     row = F.struct("materia_id", "total_questoes", "total_acertos", "tempo_total_segundos")
     parts = own.groupBy("simulado_id").agg(F.count("*").alias("n_materias"), F.sum("total_acertos").alias("acertos_materias"), F.sort_array(F.collect_list(row)).alias("materias"))
     m = scored_mocks(t).join(parts, "simulado_id", "left")
-    return m.select("simulado_id", "aluno_id", "mes", "numero_ciclo", "numero_semana", "total_questoes", "total_acertos", pct("total_acertos", "total_questoes").alias("percentual_acerto"), rounded(ratio("tempo_total_segundos", "total_questoes"), 1).alias("tempo_por_questao"), F.col("ipr").cast("double").alias("ipr"), F.coalesce("n_materias", F.lit(0)).alias("n_materias"), F.coalesce("acertos_materias", F.lit(0)).alias("acertos_materias"), "materias")
+    return m.select("simulado_id", *keys, "mes", "numero_ciclo", "numero_semana", "total_questoes", "total_acertos", pct("total_acertos", "total_questoes").alias("percentual_acerto"), rounded(ratio("tempo_total_segundos", "total_questoes"), 1).alias("tempo_por_questao"), F.col("ipr").cast("double").alias("ipr"), F.coalesce("n_materias", F.lit(0)).alias("n_materias"), F.coalesce("acertos_materias", F.lit(0)).alias("acertos_materias"), "materias")
 
 
-def official_exam_detail(t: Tables) -> DataFrame:
+def official_exam_detail(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     row = F.struct("materia_id", "percentual_acerto", "tempo_total_segundos")
     parts = t["desempenho_prova"].groupBy("prova_id").agg(F.count("*").alias("n_materias"), F.max("percentual_acerto").cast("double").alias("melhor_percentual"), F.sort_array(F.collect_list(row)).alias("materias"))
     p = periods.by_month(t["prova"], "criado_em").join(parts, "prova_id", "left")
-    return p.select("prova_id", "aluno_id", "mes", "ano", F.col("nota_total").cast("double").alias("nota_total"), rounded(F.col("tempo_total_segundos") / 3600, 2).alias("horas"), F.coalesce("n_materias", F.lit(0)).alias("n_materias"), "melhor_percentual", "materias")
+    return p.select("prova_id", *keys, "mes", "ano", F.col("nota_total").cast("double").alias("nota_total"), rounded(F.col("tempo_total_segundos") / 3600, 2).alias("horas"), F.coalesce("n_materias", F.lit(0)).alias("n_materias"), "melhor_percentual", "materias")
 
 
 def mental_state(t: Tables, keys: list[str] = KEYS) -> DataFrame:
@@ -201,8 +205,15 @@ def subject_balance(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     every = every.select(*keys, "mes", "minutos", "seg_bloco", "questoes", F.explode("todas").alias("m")).select(*keys, "mes", "minutos", "seg_bloco", "questoes", "m.*")
     out = every.join(own, [*keys, "mes", "materia_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    spent, all_ = zero("min_m") + zero("seg_m") / 60, F.col("minutos") + F.col("seg_bloco") / 60
-    share = rounded(spent / F.when(all_ == 0, 1.0).otherwise(all_) * 100, 1)
     ipr = F.coalesce(mean("ipr_m", "n_m", 4), F.lit(0.0))
-    weight = F.col("peso_prova").cast("double")
-    return out.select(*keys, "mes", "materia_id", "materia_nome", weight.alias("peso_prova"), rounded(spent, 1).alias("minutos"), share.alias("percentual_tempo"), zero("q_m").alias("questoes"), rounded(zero("q_m") / F.when(F.col("questoes") == 0, 1).otherwise(F.col("questoes")) * 100, 1).alias("percentual_questoes"), rounded(ipr * 100, 2).alias("ipr"), scores.weight_balance(share, weight).alias("peso_vs_tempo"), scores.subject_status(ipr).alias("status"))
+    cells = balance_columns(F.col("peso_prova"), zero("min_m"), zero("seg_m"), zero("q_m"), ipr, F.col("minutos") + F.col("seg_bloco") / 60, F.col("questoes"))
+    return out.select(*keys, "mes", "materia_id", "materia_nome", *cells)
+
+
+def balance_columns(weight: Column, minutes: Column, seconds: Column, questions: Column, ipr: Column, all_minutes: Column, all_questions: Column) -> list[Column]:
+    """A subject's share of a month against its weight."""
+    spent, weight = minutes + seconds / 60, weight.cast("double")
+    share = rounded(spent / F.when(all_minutes == 0, 1.0).otherwise(all_minutes) * 100, 1)
+    of_questions = rounded(questions / F.when(all_questions == 0, 1).otherwise(all_questions) * 100, 1)
+    named_ = {"peso_prova": weight, "minutos": rounded(spent, 1), "percentual_tempo": share, "questoes": questions, "percentual_questoes": of_questions, "ipr": rounded(ipr * 100, 2), "peso_vs_tempo": scores.weight_balance(share, weight), "status": scores.subject_status(ipr)}
+    return [c.alias(n) for n, c in named_.items()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +67,18 @@ def months(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     return summed(days(t, keys), [*keys, "mes"])
 
 
-def minutes() -> Column:
-    return F.col("minutos") + F.col("seg_bloco") / 60 + F.col("seg_simulado") / 60
+def minutes(c: Callable[[str], Column] = F.col) -> Column:
+    return c("minutos") + c("seg_bloco") / 60 + c("seg_simulado") / 60
 
 
-def month_summary(t: Tables, keys: list[str] = KEYS) -> DataFrame:
-    n = periods.days_in("mes")
-    ipr = scores.blend(scores.mean("ipr_bloco", "n_bloco", 4), scores.mean("ipr_simulado", "n_simulado", 4))
-    return months(t, keys).select(
-        *keys,
-        "mes",
+def month_ipr(c: Callable[[str], Column] = F.col) -> Column:
+    ipr = scores.blend(scores.mean(c("ipr_bloco"), c("n_bloco"), 4), scores.mean(c("ipr_simulado"), c("n_simulado"), 4))
+    return rounded(ipr * 100, 2)
+
+
+def summary_columns() -> list[Column]:
+    """What a month's sums, with its days of activity as `dias`, come to."""
+    return [
         rounded(minutes() / 60, 2).alias("horas_totais"),
         F.col("n_sessao").alias("total_sessoes"),
         F.col("n_bloco").alias("total_blocos"),
@@ -83,12 +87,16 @@ def month_summary(t: Tables, keys: list[str] = KEYS) -> DataFrame:
         F.col("acertos").alias("total_acertos"),
         (F.col("questoes") - F.col("acertos")).alias("total_erros"),
         scores.pct("acertos", "questoes").alias("percentual_acerto"),
-        rounded(ipr * 100, 2).alias("ipr_geral"),
+        month_ipr().alias("ipr_geral"),
         rounded(scores.ratio("questoes", "dias"), 1).alias("questoes_por_dia"),
         rounded(scores.ratio(minutes(), "dias"), 1).alias("minutos_por_dia"),
         F.col("dias").alias("dias_estudados"),
-        rounded(F.col("dias") / n * 100, 1).alias("percentual_dias"),
-    )
+        rounded(F.col("dias") / periods.days_in("mes") * 100, 1).alias("percentual_dias"),
+    ]
+
+
+def month_summary(t: Tables, keys: list[str] = KEYS) -> DataFrame:
+    return months(t, keys).select(*keys, "mes", *summary_columns())
 
 
 def block_days(t: Tables, keys: list[str] = KEYS) -> DataFrame:
@@ -127,11 +135,15 @@ def streaks(active: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
+def consistency_columns() -> list[Column]:
+    """From streaks and the spreads of hours (sh) and questions (sq) by day, null where there are none."""
+    hours = rounded(F.coalesce("sh", F.lit(0.0)), 2)
+    score = rounded(F.greatest(F.col("dias_estudados") / periods.days_in("mes") - F.least(hours * 0.05, F.lit(0.2)), F.lit(0.0)) * 100, 1)
+    return [score.alias("score"), scores.consistency_class(score).alias("classificacao"), *map(F.col, ("streak_atual", "maior_streak", "maior_falta")), hours.alias("variacao_horas"), rounded(F.coalesce("sq", F.lit(0.0)), 1).alias("variacao_questoes")]
+
+
 def consistency(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     spread = block_days(t, keys).groupBy(*keys, "mes").agg(
         F.stddev_pop(rounded(F.col("horas_exatas"), 6)).alias("sh"), F.stddev_pop(F.when(F.col("n_bloco") > 0, F.col("questoes"))).alias("sq")
     )
-    out = streaks(active_days(t, keys), keys).join(spread, [*keys, "mes"], "left")
-    hours = rounded(F.coalesce("sh", F.lit(0.0)), 2)
-    score = rounded(F.greatest(F.col("dias_estudados") / periods.days_in("mes") - F.least(hours * 0.05, F.lit(0.2)), F.lit(0.0)) * 100, 1)
-    return out.select(*keys, "mes", score.alias("score"), scores.consistency_class(score).alias("classificacao"), "streak_atual", "maior_streak", "maior_falta", hours.alias("variacao_horas"), rounded(F.coalesce("sq", F.lit(0.0)), 1).alias("variacao_questoes"))
+    return streaks(active_days(t, keys), keys).join(spread, [*keys, "mes"], "left").select(*keys, "mes", *consistency_columns())

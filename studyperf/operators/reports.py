@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -13,20 +14,27 @@ from .breakdowns import before
 from .facts import KEYS, Tables, month_summary, months, scored_blocks, scored_mocks
 
 
+COMPARED = ("horas", "questoes", "acerto", "ipr", "redacoes")
+
+
+def compared_columns(c: Callable[[str], Column] = F.col) -> list[Column]:
+    """Each of COMPARED against its value of the month before, `_anterior`."""
+    out = []
+    for n in COMPARED:
+        now, old = c(n).cast("double"), c(f"{n}_anterior").cast("double")
+        delta, change = scores.variation(now, old)
+        out += [now.alias(n), old.alias(f"{n}_anterior"), delta.alias(f"{n}_variacao")]
+        if n != "redacoes":
+            out += [change.alias(f"{n}_percentual"), scores.arrow(change).alias(f"{n}_rotulo")]
+    return out
+
+
 def month_compare(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     """A month against the one before (zeros where that has no rows)."""
     essays = periods.by_month(t["redacao"], "data_escrita").groupBy(*keys, "mes").agg(F.count("*").alias("redacoes"))
     s = month_summary(t, keys).select(*keys, "mes", F.col("horas_totais").alias("horas"), F.col("total_questoes").cast("double").alias("questoes"), F.col("percentual_acerto").alias("acerto"), F.col("ipr_geral").alias("ipr"))
     s = s.join(essays, [*keys, "mes"], "full").na.fill(0)
-    names = ("horas", "questoes", "acerto", "ipr", "redacoes")
-    s = s.withColumns({f"{n}_anterior": before(n, keys).cast("double") for n in names})
-    out = [*map(F.col, keys), F.col("mes")]
-    for n in names:
-        delta, change = scores.variation(F.col(n).cast("double"), F.col(f"{n}_anterior"))
-        out += [F.col(n).cast("double").alias(n), F.col(f"{n}_anterior"), delta.alias(f"{n}_variacao")]
-        if n != "redacoes":
-            out += [change.alias(f"{n}_percentual"), scores.arrow(change).alias(f"{n}_rotulo")]
-    return s.select(*out)
+    return s.withColumns({f"{n}_anterior": before(n, keys) for n in COMPARED}).select(*keys, "mes", *compared_columns())
 
 
 def closed_month(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
@@ -34,34 +42,36 @@ def closed_month(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
     return month_summary(t, keys).where(F.col("mes") == F.lit(periods.closed_month(as_of)))
 
 
-def month_projection(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
-    """Of the month of as_of: where it leads by its daily means. Closed months project to what they are."""
+def projection_columns(as_of: date, c: Callable[[str], Column] = F.col) -> list[Column]:
+    """From the columns of a month's summary."""
     hours_goal, questions_goal = scores.GOALS["mes"]
-    s = month_summary(t, keys)
     n = periods.days_in("mes")
     now = F.col("mes") == F.lit(as_of.replace(day=1))
     past = F.when(now, as_of.day).otherwise(n)
     left = n - past
-    hours, questions = F.col("horas_totais"), F.col("total_questoes").cast("double")
+    hours, questions = c("horas_totais"), c("total_questoes").cast("double")
     daily_h, daily_q = rounded(hours / past, 2), rounded(questions / past, 1)
     to_h = F.when(now, rounded(hours + daily_h * left, 1)).otherwise(hours)
     to_q = F.when(now, rounded(questions + daily_q * left, 0)).otherwise(questions)
     need = lambda goal, value, digits: F.when(now, rounded(F.greatest(goal - value, F.lit(0.0)) / F.greatest(left, F.lit(1)), digits)).otherwise(0.0)
-    return s.select(
-        *keys,
-        "mes",
+    return [
         daily_h.alias("horas_por_dia"),
         daily_q.alias("questoes_por_dia"),
         to_h.alias("horas_projetadas"),
         to_q.alias("questoes_projetadas"),
-        rounded(F.col("dias_estudados") / past * 100, 1).alias("percentual_dias"),
+        rounded(c("dias_estudados") / past * 100, 1).alias("percentual_dias"),
         (to_h >= hours_goal).alias("horas_no_rumo"),
         (to_q >= questions_goal).alias("questoes_no_rumo"),
         past.alias("dias_passados"),
         left.alias("dias_restantes"),
         need(F.lit(float(hours_goal)), hours, 2).alias("horas_necessarias"),
         need(F.lit(float(questions_goal)), questions, 1).alias("questoes_necessarias"),
-    )
+    ]
+
+
+def month_projection(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFrame:
+    """Of the month of as_of: where it leads by its daily means. Closed months project to what they are."""
+    return month_summary(t, keys).select(*keys, "mes", *projection_columns(as_of))
 
 
 def _since(t: Tables, name: str, ts: str, start: date) -> DataFrame:

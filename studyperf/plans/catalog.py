@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import advice, breakdowns, essays, facts, ingest, listing, reports, series
+from ..operators import advice, breakdowns, essays, facts, ingest, listing, monthly, reports, series
 from ..sources import testviews
 from . import oracles
 
@@ -147,7 +147,7 @@ def _dashboard_advice(t):
 
 def _report(t):
     """Each student's reports, the sections as JSON."""
-    report = advice.monthly_report(t, AS_OF)
+    report = monthly.monthly_report(t, AS_OF)
     return report.select("aluno_id", "mes", *(F.to_json(c).alias(c) for c in report.columns if c not in ("aluno_id", "mes")))
 
 
@@ -202,10 +202,10 @@ QUERIES: dict[str, Query] = {
     "correlations": over(FACTS, lambda t: series.correlations(t, [])),
     "scaled_ipr": over(("bloco", "erro"), series.scaled_ipr),
     "dashboard_advice": over(FACTS, _dashboard_advice),
-    "monthly_advice": over((*FACTS, "materia", "assunto", "redacao"), lambda t: advice.month_advice_rows(t, AS_OF, [])),
+    "monthly_advice": over((*FACTS, "materia", "assunto", "redacao"), lambda t: monthly.month_advice_rows(t, AS_OF, [])),
     "essay_advice": over(ESSAYS, advice.essay_advice),
     "month_labels": over(FACTS, advice.month_labels),
-    "monthly_report": over((*FACTS, "materia", "assunto", "redacao", "desempenho_simulado", "prova", "desempenho_prova"), _report),
+    "monthly_report": lambda spark, folder: over(REPORT_TABLES, _report)(spark, folder),
     "plan_adherence": _plan,
     "latest_sessions": over(("sessao",), _latest),
     "invalid_exams": over(("prova",), _invalid),
@@ -227,3 +227,28 @@ QUERIES: dict[str, Query] = {
     "corr_first_pairs": over(FACTS, _first_pairs),
 }
 ORACLES = oracles.build()
+
+#: Sections of the monthly report, each as a table that must equal the query of that name and its SQL; those of the second kind over all students together.
+REPORTED = {
+    "month_summary": "resumo_geral", "sessions_by_type": "sessoes_por_tipo", "sessions_by_subject": "sessoes_por_materia", "blocks_by_subject": "blocos_por_materia", "blocks_by_topic": "blocos_por_assunto",
+    "blocks_by_difficulty": "blocos_por_dificuldade", "errors_by_type": "erros_por_tipo", "error_group_share": "erros", "error_trend": "tendencia_erros", "mock_detail": "simulados", "official_exam_detail": "provas_oficiais",
+    "essay_stats": "redacoes", "essay_status_dist": "status_redacoes", "mental_state": "estado_mental", "month_compare": "comparativo_mes_anterior",
+}
+REPORTED_OVERALL = {
+    "month_projection": "projecao_fechamento", "consistency": "consistencia", "best_worst_day": "melhor_e_pior_dia", "corr_focus_ipr": "foco_ipr", "corr_sleep_hits": "sono_acerto", "corr_anxiety_errors": "ansiedade_erro",
+    "subject_balance": "balanceamento_materias",
+}
+REPORT_TABLES = (*FACTS, "materia", "assunto", "redacao", "desempenho_simulado", "prova", "desempenho_prova")
+
+
+def _section(name: str, section: str, keys: list[str]) -> Query:
+    def rows(t):
+        found = monthly.section_rows(monthly.monthly_report(t, AS_OF, keys), section, keys)
+        fields = {"simulados": ("materia_id", "total_questoes", "total_acertos", "tempo_total_segundos"), "provas_oficiais": ("materia_id", "percentual_acerto", "tempo_total_segundos")}
+        return _nested(found, "materias", *fields[section]) if section in fields else found
+
+    return over(REPORT_TABLES, rows)
+
+
+QUERIES |= {f"report_{n}": _section(n, s, ["aluno_id"]) for n, s in REPORTED.items()} | {f"report_{n}": _section(n, s, []) for n, s in REPORTED_OVERALL.items()}
+ORACLES |= {f"report_{n}": ORACLES[n] for n in (*REPORTED, *REPORTED_OVERALL)}

@@ -9,7 +9,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 from studyperf.functions import scores, texts
-from studyperf.operators import advice, breakdowns, essays, facts, reports
+from studyperf.operators import advice, breakdowns, essays, facts, monthly, reports
 from studyperf.plans import catalog
 from studyperf.sources import testviews
 
@@ -92,6 +92,6 @@ def test_kept_blocks_change_nothing(spark):
 def test_no_rows(spark):
     names = ("sessao", "bloco", "erro", "simulado", "materia", "assunto", "redacao")
     t = {n: df.limit(0) for n, df in testviews.tables(spark, SMALL, *names).items()}
-    assert advice.month_advice_rows(t, date(2000, 6, 15)).count() == 0
+    assert monthly.month_advice_rows(t, date(2000, 6, 15)).count() == 0
     assert advice.dashboard_advice(t, "mes", date(2000, 6, 15)).count() == 0
     assert advice.essay_advice(t).count() == 0
