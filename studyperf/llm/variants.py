@@ -187,7 +187,8 @@ def roots(forms: DataFrame) -> DataFrame:
 def grouped(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, n, form, root, n_near and form_n of each word (word, n)."""
     pairs = near_words(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")).union(pairs.select("b", "a", "n_a"))
+    end = lambda word, other, m: F.struct(F.col(word).alias("word"), F.col(other).alias("other"), F.col(m).alias("m"))
+    both = pairs.select(F.inline(F.array(end("a", "b", "n_b"), end("b", "a", "n_a"))))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("x"))
     held = F.when(-F.col("x.m") >= ratio * F.col("n"), F.col("x"))
     named = stored(words.join(best, "word", "left").select("word", "n", held["other"].alias("form"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), (-held["m"]).alias("form_n")), "forms")
