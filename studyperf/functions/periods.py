@@ -30,10 +30,35 @@ def closed_month(as_of: date) -> date:
     return (as_of.replace(day=1) - timedelta(1)).replace(day=1)
 
 
+#: In the metadata of a column `mes`: the time column whose months its values are. A stored table's partitions are marked so.
+MONTH_OF = "month_of"
+
+
+def has_month(df: DataFrame, ts: str) -> bool:
+    return "mes" in df.columns and df.schema["mes"].metadata.get(MONTH_OF) == ts
+
+
 def by_month(df: DataFrame, ts: str) -> DataFrame:
-    """df with `mes`, the first day of the row's month. A month ends at 23:59:59: what is later in its last second belongs to none."""
+    """df with `mes`, the first day of the row's month. A month ends at 23:59:59: what is later in its last second belongs to none. Where `mes` is the table's partition it is taken as it is, so that filters on it choose partitions."""
     end = F.last_day(ts).cast("timestamp_ntz") + F.expr("interval 86399 seconds")
-    return df.where(F.col(ts).cast("timestamp_ntz") <= end).withColumn("mes", F.trunc(ts, "month"))
+    rows = df.where(F.col(ts).cast("timestamp_ntz") <= end)
+    return rows if has_month(df, ts) else rows.withColumn("mes", F.trunc(ts, "month"))
+
+
+def within(df: DataFrame, ts: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """Rows from one day on, and to the end of the month of another; on a table parted by month, of its months alone."""
+    if since:
+        df = df.where(F.col(ts) >= F.lit(since))
+    if until:
+        df = df.where(F.col(ts) < F.add_months(F.trunc(F.lit(until), "month"), 1))
+    if has_month(df, ts):
+        df = df.where(F.col("mes") >= F.lit(since.replace(day=1))) if since else df
+        df = df.where(F.col("mes") <= F.lit(until.replace(day=1))) if until else df
+    return df
+
+
+def in_months(df: DataFrame, ts: str, months: list[date]) -> DataFrame:
+    return df.where((F.col("mes") if has_month(df, ts) else F.trunc(ts, "month").cast("date")).isin(*months))
 
 
 def days_in(month: Column | str) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods, scores, texts
 from ..functions.scores import COMPETENCIES, rounded
 from .facts import KEYS, Tables
+from .listing import latest
 
 
 def essay_scores(essays: DataFrame) -> DataFrame:
@@ -28,6 +31,20 @@ def read_back(essays: DataFrame, long: DataFrame, analyses: DataFrame) -> DataFr
     return essays.drop(*COMPETENCIES).join(wide, "redacao_id", "left").join(analyses, "redacao_id", "left")
 
 
+def essay_page(essays: DataFrame, long: DataFrame, analyses: DataFrame, limit: int = 100, after: Sequence[object] | None = None) -> DataFrame:
+    """Stored essays with their analysis, the latest first, then by id. Only a page's own competencies and analyses are read back. after: time and id of the last essay of the page before."""
+    page = latest(essays, "data_escrita", ["redacao_id"], limit=limit, after=after)
+    own = page.select("redacao_id")
+    mine = lambda df: df.join(own, "redacao_id", "left_semi")
+    return read_back(page, mine(long), mine(analyses)).orderBy(F.desc("data_escrita"), "redacao_id")
+
+
+def one_essay(essays: DataFrame, long: DataFrame, analyses: DataFrame, redacao_id: object) -> DataFrame:
+    """A stored essay by its id, with its analysis; no row if there is none. The id is looked for in each table where it is read."""
+    mine = lambda df: df.where(F.col("redacao_id") == F.lit(redacao_id))
+    return read_back(mine(essays), mine(long), mine(analyses))
+
+
 def essay_long(essays: DataFrame) -> DataFrame:
     long = essays.unpivot("redacao_id", list(COMPETENCIES), "nome", "nota")
     return long.select("redacao_id", F.substring("nome", -1, 1).cast("int").alias("competencia"), "nota")

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def latest(df: DataFrame, ts: str, tie: list[str], skip: int = 0, limit: int = 100) -> DataFrame:
-    """A page: the newest first. A top-k without a full sort; a large skip costs as much as the rows it passes over."""
+from ..functions import periods
+
+
+def beyond(ts: str, tie: list[str], cursor: Sequence[object]) -> Column:
+    """Whether a row comes after the one with the cursor's values of ts and tie: older, or as old and later by tie. Rows without a time come last, nulls of a tie first."""
+    out = F.lit(False)
+    for name, value in reversed(list(zip([ts, *tie], cursor, strict=True))):
+        c = F.col(name)
+        if name == ts:
+            later = F.lit(False) if value is None else c.isNull() | (c < F.lit(value))
+        else:
+            later = c.isNotNull() if value is None else c > F.lit(value)
+        out = later | (c.eqNullSafe(F.lit(value)) & out)
+    return F.coalesce(out, F.lit(False))
+
+
+def latest(df: DataFrame, ts: str, tie: list[str], skip: int = 0, limit: int = 100, after: Sequence[object] | None = None) -> DataFrame:
+    """A page: the newest first, a top-k without a full sort. The next page is best asked for by the last row's values of ts and tie (`after`): then what lies before is filtered out where it is read, and a table parted by month leaves out
+    later months. A large skip costs as much as the rows it passes over."""
+    if after is not None:
+        df = df.where(beyond(ts, tie, after))
+        if after[0] is not None and periods.has_month(df, ts):
+            df = df.where(F.col("mes").isNull() | (F.col("mes") <= F.trunc(F.lit(after[0]), "month")))
     return df.orderBy(F.desc(ts), *tie).offset(skip).limit(limit)
 
 

@@ -75,7 +75,7 @@ def month_projection(t: Tables, as_of: date, keys: list[str] = KEYS) -> DataFram
 
 
 def _since(t: Tables, name: str, ts: str, start: date) -> DataFrame:
-    return t[name].where(F.col(ts) >= F.lit(start))
+    return periods.within(t[name], ts, start)
 
 
 def _scored_since(t: Tables, start: date) -> tuple[DataFrame, DataFrame]:

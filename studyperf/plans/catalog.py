@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import periods, scores, texts
 from ..operators import advice, breakdowns, essays, facts, ingest, listing, monthly, reports, series
 from ..sources import testviews
 from . import oracles
@@ -141,6 +141,35 @@ def _latest(t):
     return listing.latest(t["sessao"], "data", tie).select("pai_id", "aluno_id", "materia_id", "assunto_id", "tipo_sessao", "minutos_liquidos")
 
 
+ESSAY_COLUMNS = ("redacao_id", "aluno_id", "tema", *scores.COMPETENCIES, "nota_total", "status", "competencia_mais_fraca", "diagnostico", "recomendacao")
+
+
+def _essay_page(t):
+    """A page far from the first, after the essay 500 of a day."""
+    e = t["redacao"]
+    page = essays.essay_page(e, essays.essay_long(e), essays.essay_analysis(e), after=[datetime(1998, 5, 20), 500])
+    return page.select(F.to_date("data_escrita").alias("dia"), *ESSAY_COLUMNS)
+
+
+def _one_essay(t):
+    e = t["redacao"]
+    return essays.one_essay(e, essays.essay_long(e), essays.essay_analysis(e), 77).select(*ESSAY_COLUMNS)
+
+
+def _essay_points(t):
+    """Points of texts in which topics' names stand after bullets and line ends."""
+    text = F.concat(F.lit(" • "), "nome", F.lit(" - "), F.upper("nome"), F.lit("\n\n"), F.when(F.col("assunto_id") % 3 == 0, F.col("nome")).otherwise("  "), F.lit("\r\nbem-vindo ▸ fim "))
+    return t["assunto"].select("assunto_id", F.array_join(texts.points(text), "|").alias("pontos"))
+
+
+def _countdown(t):
+    """Official exams as targets, some past, seen from a fixed time half a year after an arbitrary start."""
+    at = F.lit(datetime(2000, 1, 1, 6, 30, 15)).cast("timestamp")
+    begin = F.lit(datetime(1999, 7, 1)).cast("timestamp")
+    left = periods.time_left("criado_em", at)
+    return t["prova"].select("prova_id", *(left[n].alias(n) for n in ("dias", "horas", "minutos", "segundos")), scores.rounded(periods.progress(begin, "criado_em", at), 6).alias("progresso"))
+
+
 def _dashboard_advice(t):
     return advice.dashboard_advice(t, "ano", AS_OF).select("aluno_id", F.array_join("recomendacoes", " | ").alias("recomendacoes"))
 
@@ -206,6 +235,11 @@ QUERIES: dict[str, Query] = {
     "essay_advice": over(ESSAYS, advice.essay_advice),
     "month_labels": over(FACTS, advice.month_labels),
     "monthly_report": lambda spark, folder: over(REPORT_TABLES, _report)(spark, folder),
+    "essay_page": over(ESSAYS, _essay_page),
+    "one_essay": over(ESSAYS, _one_essay),
+    "advice_points": over(("assunto",), _essay_points),
+    "countdown": over(("prova",), _countdown),
+    "subject_topics": over(("assunto",), lambda t: listing.named_list(t["assunto"], key="materia_id", value=3).select("assunto_id", "nome", "semana_do_ciclo")),
     "plan_adherence": _plan,
     "latest_sessions": over(("sessao",), _latest),
     "invalid_exams": over(("prova",), _invalid),

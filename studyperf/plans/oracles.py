@@ -222,6 +222,11 @@ def subject_board(start: str, old: str, goals: tuple[int, int]) -> str:
     return f"select *, case when ipr_medio >= 0.7 and {points} >= 6 then 'CUMPRIDA' when {points} >= 5 then 'PARCIAL' else 'INSUFICIENTE' end as status_missao from ({b}) y"
 
 
+def stored_essay() -> str:
+    scores_ = ", ".join(f"competencia{k}" for k in range(1, 6))
+    return f"redacao_id, aluno_id, tema, {scores_}, nota_total, {BAND} as status, cast(fraca as int) as competencia_mais_fraca, 'A competência ' || fraca || ' foi a mais fraca.' as diagnostico, 'Treinar mais a competência ' || fraca || '.' as recomendacao"
+
+
 def failing(table: str, columns: str, changed: str, **holds: str) -> str:
     """Rows of a changed table for which not all holds, with the names of what doesn't."""
     reasons = ", ".join(f"case when not coalesce({ok}, false) then '{name}' end" for name, ok in holds.items())
@@ -274,6 +279,11 @@ def build() -> dict[str, str]:
         "monthly_advice": query(["ativ", "re", "erro", "materia", "assunto"], f"select * from ({month_advised()}) z", months("") | ad | streaks("") | dayt | errs | sections),
         "essay_advice": query(["redacao"], essay_advised()),
         "month_labels": query(["ativ"], f"select aluno_id, mes, {label} as rotulo, cast(cast(floor(horas_totais) as bigint) as varchar) || 'h' || case when {rest} = 0 then '' else ' ' || {rest} || 'min' end as horas_texto, cast(dim as int) as dias_ate_proximo, percentual_acerto >= 70 as aprovado from resumo", months("aluno_id, ")),
+        "essay_page": query(["re"], f"select dia, {stored_essay()} from re where data_escrita < timestamp '1998-05-20' or (data_escrita = timestamp '1998-05-20' and redacao_id > 500) order by data_escrita desc, redacao_id limit 100"),
+        "one_essay": query(["re"], f"select {stored_essay()} from re where redacao_id = 77"),
+        "advice_points": query(["assunto"], "select assunto_id, nome || '|' || upper(nome) || '|' || case when assunto_id % 3 = 0 then nome || '|' else '' end || 'bem-vindo|fim' as pontos from assunto"),
+        "countdown": query(["prova"], "select prova_id, cast(s // 86400 as int) as dias, cast(s % 86400 // 3600 as int) as horas, cast(s % 3600 // 60 as int) as minutos, cast(s % 60 as int) as segundos, " + r("least(100.0, cast(d - s // 86400 as double) * 100 / nullif(cast(d as double), 0))", 6) + " as progresso from (select prova_id, greatest(0, epoch(criado_em)::bigint - epoch(timestamp '2000-01-01 06:30:15')::bigint) as s, cast(ceil((epoch(criado_em) - epoch(timestamp '1999-07-01')) / 86400) as bigint) as d from prova) x"),
+        "subject_topics": query(["assunto"], "select assunto_id, nome, semana_do_ciclo from assunto where materia_id = 3"),
         "blocks_by_subject": query(["sb", "materia"], f"select g.*, coalesce(m.nome, cast(g.materia_id as varchar)) as materia_nome from (select aluno_id, mes, materia_id, {MEASURES}, {SPEED}, {IPR} from sb group by 1, 2, 3) g left join materia m on m.materia_id = g.materia_id"),
         "block_ipr": query(["sb"], f"select bloco_id, aluno_id, cast(ipr as double) as ipr, {pct('total_acertos', 'total_questoes')} as percentual_acerto from sb"),
         "mock_ipr": query(["sm"], "select simulado_id, aluno_id, cast(ipr as double) as ipr from sm"),

@@ -1,11 +1,18 @@
-"""Reading and writing the tables: JDBC or Parquet in, monthly partitions and JSON out."""
+"""Reading and writing the tables: JDBC or Parquet in, monthly partitions, whole batches and JSON out."""
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import periods
+from ..operators import facts
 from ..operators.essays import essay_analysis, essay_long
+from ..operators.facts import KEYS, Tables
 from ..operators.ingest import split, with_defaults
 
 #: Columns and types of the tables; a source is read with these, never by inference.
@@ -26,13 +33,43 @@ SCHEMAS = {
 TIMES = {"sessao": "data", "bloco": "data", "simulado": "criado_em", "prova": "criado_em", "redacao": "data_escrita"}
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}")
+#: Tables that are written together, a batch (`lote`) at a time.
+BATCHED = ("redacao", "competencia", "analise")
+MARKS = "lotes"
+
+
+def read(spark: SparkSession, folder: str, table: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """A stored table. Facts come with `mes`, their partition: with since or until, only the months from the one to the other are read, and later filters on a month or a period leave out the others too.
+
+    Of the tables that are written in batches, only whole batches are seen.
+    """
+    parts = (["lote string"] if table in BATCHED else []) + (["mes date"] if table in TIMES else [])
+    df = spark.read.schema(", ".join([SCHEMAS[table], *parts])).parquet(f"{folder}/{table}")
+    if table in BATCHED:
+        df = df.join(_whole(spark, folder), "lote", "left_semi").drop("lote")
+    return periods.within(df.withMetadata("mes", {periods.MONTH_OF: TIMES[table]}), TIMES[table], since, until) if table in TIMES else df
+
 
+def typed(df: DataFrame, table: str) -> DataFrame:
+    """df with the columns of a table, by name without regard to case, in its types."""
+    fields = (f.split(" ", 1) for f in SCHEMAS[table].split(", "))
+    return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in fields))
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: str, high: str, parts: int, **options: str) -> DataFrame:
-    """A database table in parts by ranges of a number or time column, read side by side."""
-    return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: str | None = None, high: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A database table. With a number or time column, in parts by ranges of it, read side by side; ranges whose ends are not given are found by a query. Rows without a value come with the first part, those beyond the ends with the outer ones.
+
+    Filters and columns that are asked of the result reach the database.
+    """
+    source = spark.read.format("jdbc").options(url=url, **options)
+    if column and (low is None or high is None):
+        ends = source.option("query", f"select min({column}) as lo, max({column}) as hi from {table}").load().first()
+        low, high = (given if given is not None else None if found is None else str(found) for given, found in ((low, ends[0]), (high, ends[1])))
+    source = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if column and low is not None and high is not None:  # else no column to part by, or no value in it
+        source = source.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+    df = source.load()
+    return typed(df, table) if table in SCHEMAS else df
 
 
 def append(df: DataFrame, folder: str, table: str) -> None:
@@ -42,15 +79,61 @@ def append(df: DataFrame, folder: str, table: str) -> None:
     (writer.partitionBy("mes") if table in TIMES else writer).parquet(f"{folder}/{table}")
 
 
-def append_essays(essays: DataFrame, folder: str) -> DataFrame:
-    """Writes the valid essays, their five competencies each and an analysis each; returns the rejected ones."""
-    valid, rejected = split(with_defaults(essays, F.current_timestamp(), TIMES["redacao"]), "redacao")
-    append(valid, folder, "redacao")
-    append(essay_long(valid), folder, "competencia")
-    append(essay_analysis(valid), folder, "analise")
+def _replace(df: DataFrame, path: str, *by: str) -> None:
+    """Replaces those partitions of path that df has rows of; the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The batches that are whole, a row each."""
+    try:
+        return spark.read.schema("id long, lote string").parquet(f"{folder}/{MARKS}").select("lote")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "lote string")
+
+
+def append_essays(essays: DataFrame, folder: str, lote: str | None = None) -> DataFrame:
+    """Writes the valid essays, their five competencies each and an analysis each; returns the rejected ones.
+
+    The three tables are one batch, which readers see once its mark is there; that is written last. A batch that broke off is written anew when it comes again under its name, and one that is whole is left as it is.
+    """
+    spark, lote = essays.sparkSession, lote or uuid.uuid4().hex
+    stamped = with_defaults(essays, F.current_timestamp(), TIMES["redacao"])
+    valid, rejected = split(stamped, "redacao")
+    if not _whole(spark, folder).where(F.col("lote") == lote).isEmpty():
+        return rejected
+    valid = valid.withColumn("lote", F.lit(lote)).persist()  # one time of writing, one reading of the source
+    try:
+        _replace(valid.withColumn("mes", F.trunc(TIMES["redacao"], "month")), f"{folder}/redacao", "lote", "mes")
+        for table, rows in (("competencia", essay_long(valid)), ("analise", essay_analysis(valid))):
+            _replace(rows.withColumn("lote", F.lit(lote)), f"{folder}/{table}", "lote")
+        _replace(spark.range(1).withColumn("lote", F.lit(lote)), f"{folder}/{MARKS}", "lote")
+    finally:
+        valid.unpersist()
     return rejected
 
 
 def write_json(report: DataFrame, folder: str) -> None:
-    """A report by year and month."""
-    report.withColumn("ano", F.year("mes")).withColumn("mes_n", F.month("mes")).write.mode("overwrite").partitionBy("ano", "mes_n").json(folder)
+    """A report by year and month. The months that it has are replaced, others stay."""
+    parts = report.withColumn("ano", F.year("mes")).withColumn("mes_n", F.month("mes"))
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ano", "mes_n").json(folder)
+
+
+def months_of(df: DataFrame, table: str) -> list[date]:
+    """The months that rows fall in: as many as a calendar has, however many the rows."""
+    found = df.where(F.col(TIMES[table]).isNotNull()).select(F.trunc(TIMES[table], "month").alias("mes")).distinct()
+    return sorted(r["mes"] for r in found.collect())
+
+
+def refresh_days(t: Tables, folder: str, months: list[date], keys: list[str] = KEYS) -> None:
+    """Computes the day table of some months anew from the facts and replaces these months in `dias`. After an append, with the months of the rows that came, `dias` is again what all facts give."""
+    part = {n: periods.in_months(df, TIMES[n], months) if n in TIMES else df for n, df in t.items() if n in ("sessao", "bloco", "simulado", "erro")}
+    if months:
+        _replace(facts.days(part, keys), f"{folder}/dias", "mes")
+
+
+def read_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored day table; as t["dias"] it stands for the facts where months are summed, for the keys it was made with."""
+    return spark.read.parquet(f"{folder}/dias")

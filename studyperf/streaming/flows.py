@@ -14,12 +14,16 @@ def source(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def checked_ingest(stream: DataFrame, table: str, valid: str, rejected: str, checkpoint: str) -> StreamingQuery:
-    """Each batch is split once and appended to both folders. A batch that is repeated after a failure overwrites its own part."""
+    """Each batch is read once and appended to both folders. A batch that is repeated after a failure overwrites its own part."""
 
     def put(batch: DataFrame, number: int) -> None:
-        good, bad = split(batch, table)
-        good.write.mode("overwrite").parquet(f"{valid}/lote={number}")
-        bad.write.mode("overwrite").parquet(f"{rejected}/lote={number}")
+        kept = batch.persist()
+        try:
+            good, bad = split(kept, table)
+            good.write.mode("overwrite").parquet(f"{valid}/lote={number}")
+            bad.write.mode("overwrite").parquet(f"{rejected}/lote={number}")
+        finally:
+            kept.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -29,3 +33,12 @@ def running_sums(stream: DataFrame, keys: list[str], ts: str = "data", late: str
     window = F.window(ts, "7 days", "7 days", "4 days") if weekly else F.window(ts, "1 day")
     g = stream.withWatermark(ts, late).groupBy(*keys, window.alias("w")).agg(F.sum("minutos_liquidos").alias("minutos"), F.count("*").alias("registros"))
     return g.select(*keys, F.to_date("w.start").alias("inicio"), "minutos", "registros")
+
+
+def stored_sums(stream: DataFrame, keys: list[str], folder: str, checkpoint: str, ts: str = "data", late: str = "7 days", weekly: bool = False) -> StreamingQuery:
+    """Running sums of closed windows, each written once: a day or week is appended when the newest row lies `late` beyond its end, and its state is dropped then. Rows that come for it after that are dropped.
+
+    The watermark and the open windows are kept in the checkpoint, so a run that starts there goes on where the last one ended.
+    """
+    sums = running_sums(stream, keys, ts, late, weekly)
+    return sums.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
