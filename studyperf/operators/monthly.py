@@ -36,11 +36,11 @@ def _blocks(t: Tables) -> DataFrame:
     return blocks.withColumn("erros_criticos", careless).withColumn("ipr", scores.block_ipr())
 
 
-def _cell(dims: dict[str, str], tag: str, *by: str, valor: Column | None = None, **adds: Column) -> Column:
-    """One row of the table of cells: broken down by the columns named, or by a text."""
-    own = {n: F.col(n) for n in by} | ({"valor": valor} if valor is not None else {})
-    sums = {c: F.coalesce(adds[c].cast(k), F.lit(0).cast(k)) if c in adds else F.lit(None).cast(k) for c, k in SUMS.items()}
-    return F.struct(F.lit(tag).alias("tag"), *(own.get(c, F.lit(None)).cast(k).alias(c) for c, k in dims.items()), *(v.alias(c) for c, v in sums.items()))
+def _cell(dims: dict[str, str], absent: dict[str, Column], tag: str, *by: str, valor: Column | None = None, **adds: Column) -> Column:
+    """One row of the table of cells: broken down by the columns named, or by a text. absent: what stands in the other columns."""
+    own = {n: F.col(n).cast(dims[n]).alias(n) for n in by} | ({"valor": valor.cast("string").alias("valor")} if valor is not None else {})
+    own |= {n: F.coalesce(x.cast(SUMS[n]), F.lit(0).cast(SUMS[n])).alias(n) for n, x in adds.items()}
+    return F.struct(F.lit(tag).alias("tag"), *(own.get(c, none) for c, none in absent.items()))
 
 
 def _known(c: str, present: Column | None = None) -> dict[str, Column]:
@@ -57,7 +57,8 @@ def cells(t: Tables, keys: list[str]) -> DataFrame:
     """The summed cells of sessions, blocks, errors, mock exams and essays."""
     kinds = dict(t["bloco"].dtypes)
     dims = {"valor": "string", "materia_id": kinds["materia_id"], "assunto_id": kinds["assunto_id"], "dificuldade": "int", "dia": "date"}
-    cell, one = partial(_cell, dims), F.lit(1)
+    absent = {c: F.lit(None).cast(k).alias(c) for c, k in (dims | SUMS).items()}
+    cell, one = partial(_cell, dims, absent), F.lit(1)
 
     def given(df: DataFrame, array: Column) -> DataFrame:
         return df.select(*keys, "mes", F.inline(array))

@@ -79,31 +79,57 @@ def _since(t: Tables, name: str, ts: str, start: date) -> DataFrame:
 
 
 def _scored_since(t: Tables, start: date) -> tuple[DataFrame, DataFrame]:
-    part = {**t, "bloco": _since(t, "bloco", "data", start), "simulado": _since(t, "simulado", "criado_em", start)}
-    careless = t["erro"].where(F.col("tipo_erro").isin(*scores.CARELESS)).groupBy("bloco_id").agg(F.sum("quantidade").alias("erros_criticos"))
-    return part["bloco"].join(careless, "bloco_id", "left").withColumn("ipr", scores.block_ipr()), part["simulado"].withColumn("ipr", scores.mock_ipr())
+    """Blocks and mock exams since a day, scored. Errors are cut down to those of these blocks before they are summed; where the blocks are few, Spark does so as it reads them."""
+    blocks = _since(t, "bloco", "data", start)
+    own = t["erro"].where(F.col("tipo_erro").isin(*scores.CARELESS)).join(blocks.select("bloco_id"), "bloco_id", "left_semi")
+    careless = own.groupBy("bloco_id").agg(F.sum("quantidade").alias("erros_criticos"))
+    return blocks.join(careless, "bloco_id", "left").withColumn("ipr", scores.block_ipr()), _since(t, "simulado", "criado_em", start).withColumn("ipr", scores.mock_ipr())
 
 
-def period_sums(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
-    """Minutes, seconds, questions, hits and scores since the period's start, and scores of the period before, in one pass."""
+def is_critical(period: str) -> Column:
+    """Of a topic's questions (questoes) and scores times questions (soma): enough questions, and below 0.70 by them."""
+    return (F.col("questoes") >= (1 if period == "semana" else 10)) & (_weighted() < 0.70)
+
+
+def _weighted() -> Column:
+    return F.try_divide(F.col("soma").cast("double"), F.col("questoes").cast("double"))
+
+
+def _period_topics(t: Tables, period: str, as_of: date, keys: list[str]) -> DataFrame:
+    """By key and topic: minutes, seconds, questions, hits and scores since the period's start, and scores of the period before. Sessions and mock exams have no topic here. One pass over each fact."""
     start, old = periods.start_of(period, as_of), periods.start_before(period, as_of)
     blocks, mocks = _scored_since(t, min(start, old))
     now = F.col("quando") >= F.lit(start)
-    rows = (
-        _since(t, "sessao", "data", start).select(*keys, F.col("data").alias("quando"), F.lit("s").alias("fato"), F.col("minutos_liquidos").cast("long").alias("tempo"), F.lit(0).alias("q"), F.lit(0).alias("a"), F.lit(None).cast("decimal(6,4)").alias("ipr"))
-        .unionByName(blocks.select(*keys, F.col("data").alias("quando"), F.lit("b").alias("fato"), F.col("tempo_total_segundos").cast("long").alias("tempo"), F.col("total_questoes").alias("q"), F.col("total_acertos").alias("a"), "ipr"))
-        .unionByName(mocks.select(*keys, F.col("criado_em").alias("quando"), F.lit("m").alias("fato"), F.col("tempo_total_segundos").cast("long").alias("tempo"), F.col("total_questoes").alias("q"), F.col("total_acertos").alias("a"), "ipr"))
-    )
+    none = F.lit(None).cast(t["bloco"].schema["assunto_id"].dataType)
+
+    def part(df: DataFrame, kind: str, when: str, time: str, topic: Column = none, *, scored: bool = True) -> DataFrame:
+        q, a, ipr = ("total_questoes", "total_acertos", "ipr") if scored else (F.lit(0), F.lit(0), F.lit(None).cast("decimal(6,4)"))
+        named = {"quando": when, "fato": F.lit(kind), "assunto_id": topic, "tempo": F.col(time).cast("long"), "q": q, "a": a, "ipr": ipr}
+        return df.select(*keys, *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in named.items()))
+
+    rows = part(_since(t, "sessao", "data", start), "s", "data", "minutos_liquidos", scored=False)
+    rows = rows.unionByName(part(blocks, "b", "data", "tempo_total_segundos", F.col("assunto_id"))).unionByName(part(mocks, "m", "criado_em", "tempo_total_segundos"))
     pick = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
     is_ = lambda k: F.col("fato") == k
+    of_topic = now & is_("b")
     aggs = [
-        pick("tempo", now & is_("s")).alias("minutos"), pick("tempo", now & ~is_("s")).alias("segundos"), pick("q", now).alias("questoes"), pick("a", now).alias("acertos"),
+        pick("tempo", now & is_("s")).alias("minutos"), pick("tempo", now & ~is_("s")).alias("segundos"), pick("q", now).alias("q"), pick("a", now).alias("a"),
         F.count(F.when(now & is_("s"), 1)).alias("n_sessoes"), F.count(F.when(now & is_("b"), 1)).alias("n_blocos"), F.count(F.when(now & is_("m"), 1)).alias("n_simulados"),
+        pick("q", of_topic).alias("questoes"), F.sum(F.when(of_topic, F.col("ipr") * F.col("q"))).alias("soma"),
     ]
     for k in "bm":
         for tag, cond in (("", now), ("_ant", ~now)):
             aggs += [F.sum(F.when(cond & is_(k), F.col("ipr"))).alias(f"ipr_{k}{tag}"), F.count(F.when(cond & is_(k), 1)).alias(f"n_{k}{tag}")]
-    return rows.groupBy(*keys).agg(*aggs)
+    return rows.groupBy(*keys, "assunto_id").agg(*aggs)
+
+
+def period_sums(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
+    """Minutes, seconds, questions, hits and scores since the period's start, scores of the period before, and the critical topics: their number and their ids in order."""
+    topics = _period_topics(t, period, as_of, keys)
+    critical = F.when(F.coalesce(is_critical(period), F.lit(False)), 1)
+    added = ["minutos", "segundos", "n_sessoes", "n_blocos", "n_simulados", *(f"{x}_{k}{tag}" for x in ("ipr", "n") for k in "bm" for tag in ("", "_ant"))]
+    ids = F.sort_array(F.collect_list(F.when(critical == 1, F.col("assunto_id"))))
+    return topics.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in added), F.sum("q").alias("questoes"), F.sum("a").alias("acertos"), F.count(critical).alias("n_criticos"), ids.alias("criticos"))
 
 
 def period_hours(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
@@ -115,8 +141,7 @@ def critical_topics(t: Tables, period: str, as_of: date, keys: list[str] = KEYS)
     """Topics whose score, weighted by questions, is below 0.70, with enough questions."""
     blocks, _ = _scored_since(t, periods.start_of(period, as_of))
     g = blocks.groupBy(*keys, "assunto_id").agg(F.sum("total_questoes").alias("questoes"), F.sum(F.col("ipr") * F.col("total_questoes")).alias("soma"))
-    weighted = F.try_divide(F.col("soma").cast("double"), F.col("questoes").cast("double"))
-    return g.where(F.col("questoes") >= (1 if period == "semana" else 10)).where(weighted < 0.70).select(*keys, "assunto_id", "questoes", rounded(weighted, 4).alias("ipr_ponderado"))
+    return g.where(is_critical(period)).select(*keys, "assunto_id", "questoes", rounded(_weighted(), 4).alias("ipr_ponderado"))
 
 
 def dashboard(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
@@ -130,17 +155,14 @@ def dashboard(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> Da
     s = s.withColumns({"horas": hours, "ipr_medio": ipr, "ipr_anterior": old})
     s = s.withColumns({"tendencia": scores.trend(F.col("ipr_medio"), F.col("ipr_anterior")), "status_horas": scores.goal_status(F.col("horas"), hours_goal), "status_questoes": scores.goal_status(F.col("questoes"), questions_goal)})
     s = s.withColumn("status_missao", scores.mission_status(F.col("ipr_medio"), F.col("status_horas"), F.col("status_questoes"), F.col("tendencia")))
-    topics = critical_topics(t, period, as_of, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("assunto_id")).cast("array<string>"), ",").alias("assuntos_criticos"))
-    s = s.join(topics, keys, "left") if keys else s.crossJoin(topics)
-    return s.select(*keys, "horas", "questoes", "acertos", pct("acertos", "questoes").alias("percentual_medio"), "ipr_medio", "ipr_anterior", "tendencia", "status_horas", "status_questoes", "status_missao", F.coalesce("assuntos_criticos", F.lit("")).alias("assuntos_criticos"))
+    topics = F.array_join(F.col("criticos").cast("array<string>"), ",")
+    return s.select(*keys, "horas", "questoes", "acertos", pct("acertos", "questoes").alias("percentual_medio"), "ipr_medio", "ipr_anterior", "tendencia", "status_horas", "status_questoes", "status_missao", topics.alias("assuntos_criticos"))
 
 
 def analytics_counts(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
-    n = critical_topics(t, period, as_of, keys).groupBy(*keys).agg(F.count("*").alias("n_criticos"))
     s = period_sums(t, period, as_of, keys).where("n_sessoes + n_blocos + n_simulados > 0")
-    s = s.join(n, keys, "left") if keys else s.crossJoin(n)
     exact = lambda k: F.try_divide(F.col(f"ipr_{k}").cast("double"), F.col(f"n_{k}").cast("double"))
-    return s.select(*keys, rounded((F.col("minutos") + F.col("segundos") / 60) / 60, 2).alias("horas"), "questoes", scores.blend(exact("b"), exact("m")).alias("ipr_medio"), "n_sessoes", "n_blocos", "n_simulados", F.coalesce("n_criticos", F.lit(0)).alias("n_criticos"))
+    return s.select(*keys, rounded((F.col("minutos") + F.col("segundos") / 60) / 60, 2).alias("horas"), "questoes", scores.blend(exact("b"), exact("m")).alias("ipr_medio"), "n_sessoes", "n_blocos", "n_simulados", "n_criticos")
 
 
 def subject_performance(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.scores import mean, pct, rounded
 from .breakdowns import blocks_by_topic, corr_anxiety_errors, corr_focus_ipr, corr_sleep_hits
 from .essays import essay_stats
 from .facts import KEYS, Tables, scored_blocks
-from .reports import _scored_since, _since, critical_topics
+from .reports import _scored_since, _since, is_critical
 
 
 def block_series(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
@@ -62,51 +62,69 @@ def scaled_ipr(t: Tables, keys: list[str] = KEYS) -> DataFrame:
     return both.select("bloco_id", *keys, rounded(scores.normalised("ipr", "menor", "maior"), 6).alias("ipr_normalizado"))
 
 
-def subject_dashboard(t: Tables, period: str, as_of: date, keys: list[str] = KEYS, mocks_in_subject: bool = True) -> DataFrame:
-    """What a dashboard filtered by a subject says, for every subject of every key with activity in the period.
+def _by_subject(t: Tables, period: str, as_of: date, keys: list[str], before: bool) -> DataFrame:
+    """A row for every subject of every key with activity in the period: its own sums, those of the key's mock exams, and its critical topics; with `before`, also the scores of the period before.
 
-    Mock exams have no subject. By default each subject gets all their time and hits but a seventh of their questions, so a share may pass 100; mocks_in_subject=False leaves them out.
-    `acertos_estimados` are the hits that the share and the questions give again. Subjects are a dimension of a few rows.
+    Facts are read once and summed by topic, then by subject, then gathered by key, where each subject's sums are an entry of a map. Subjects are a dimension of a few rows.
     """
-    start = periods.start_of(period, as_of)
-    blocks, mocks = _scored_since(t, start)
-    none, zero = F.lit(None).cast("decimal(6,4)"), F.lit(0).cast("long")
+    start, old = periods.start_of(period, as_of), periods.start_before(period, as_of)
+    blocks, mocks = _scored_since(t, min(start, old) if before else start)
+    c, zero = F.col, F.lit(0).cast("long")
+    subject, topic = (F.lit(None).cast(t["bloco"].schema[n].dataType) for n in ("materia_id", "assunto_id"))
+
+    def part(df: DataFrame, kind: str, when: str, **have: Column) -> DataFrame:
+        shape = {"materia_id": subject, "assunto_id": topic, "m": zero, "s": zero, "q": zero, "a": zero, "ipr": F.lit(None).cast("decimal(6,4)")}
+        return df.select(*keys, F.lit(kind).alias("fato"), (c(when) >= F.lit(start)).alias("agora"), *(have.get(n, x).alias(n) for n, x in shape.items()))
+
+    asked = {"s": c("tempo_total_segundos").cast("long"), "q": c("total_questoes").cast("long"), "a": c("total_acertos").cast("long")}
+    rows = part(_since(t, "sessao", "data", start), "s", "data", materia_id=c("materia_id"), m=c("minutos_liquidos").cast("long"))
+    rows = rows.unionByName(part(blocks, "b", "data", materia_id=c("materia_id"), assunto_id=c("assunto_id"), ipr=c("ipr"), **asked))
+    rows = rows.unionByName(part(mocks.where(c("criado_em") >= F.lit(start)), "m", "criado_em", **asked)).withColumn("de_simulado", c("fato") == "m")
+    now = lambda x: F.sum(F.when(c("agora"), x))
+    by_topic = rows.groupBy(*keys, "de_simulado", "materia_id", "assunto_id").agg(
+        *(F.coalesce(now(c(x)), zero).alias(x) for x in "msqa"), now(c("ipr")).alias("ipr"), F.count(F.when(c("agora"), c("ipr"))).alias("n"), F.count(F.when(c("agora"), 1)).alias("linhas"),
+        F.sum(F.when(~c("agora"), c("ipr"))).alias("ipr_antes"), F.count(F.when(~c("agora"), c("ipr"))).alias("n_antes"),
+        F.sum(F.when(c("agora") & (c("fato") == "b"), c("q"))).alias("questoes"), now(c("ipr") * c("q")).alias("soma"),
+    )
+    added = ("m", "s", "q", "a", "ipr", "n", "linhas", "ipr_antes", "n_antes")
+    critical = F.sort_array(F.collect_list(F.when(F.coalesce(is_critical(period), F.lit(False)), c("assunto_id")))).alias("criticos")
+    sums = by_topic.groupBy(*keys, "de_simulado", "materia_id").agg(*(F.sum(x).alias(x) for x in added), critical)
+    entry = F.when(~c("de_simulado") & c("materia_id").isNotNull(), F.struct("materia_id", F.struct(*added, "criticos")))
+    whole = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("de_cada"), F.sum("linhas").alias("linhas"), *(F.coalesce(F.sum(F.when(c("de_simulado"), c(x))), zero).alias(f"{x}_simulados") for x in "sqa"))
+    subjects = t["materia"].agg(F.collect_list(F.struct("materia_id", F.col("nome").alias("materia_nome"))).alias("todas"))
+    every = whole.where("linhas > 0").crossJoin(F.broadcast(subjects)).withColumn("x", F.explode("todas"))  # one row on the right
+    own = F.try_element_at("de_cada", c("x.materia_id"))
+    return every.select(*keys, "x.*", *(f"{x}_simulados" for x in "sqa"), *(F.coalesce(own[x], F.lit(0)).alias(x) for x in added), own["criticos"].alias("criticos"))
 
-    def part(df: DataFrame, kind: str, subject: Column, minutes: Column, seconds: Column, q: Column, a: Column, ipr: Column) -> DataFrame:
-        return df.select(*keys, F.lit(kind).alias("fato"), subject.alias("materia_id"), minutes.alias("m"), seconds.alias("s"), q.cast("long").alias("q"), a.cast("long").alias("a"), ipr.alias("ipr"))
 
+def _shares(s: DataFrame, mocks_in_subject: bool) -> DataFrame:
     c = F.col
-    questions = (c("total_questoes"), c("total_acertos"))
-    subject_type = t["bloco"].schema["materia_id"].dataType
-    rows = part(_since(t, "sessao", "data", start), "s", c("materia_id"), c("minutos_liquidos").cast("long"), zero, zero, zero, none)
-    rows = rows.unionByName(part(blocks, "b", c("materia_id"), zero, c("tempo_total_segundos").cast("long"), *questions, c("ipr")))
-    rows = rows.unionByName(part(mocks, "m", F.lit(None).cast(subject_type), zero, c("tempo_total_segundos").cast("long"), *questions, none))
-    sums = rows.groupBy(*keys, "fato", "materia_id").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("a").alias("a"), F.sum("ipr").alias("ipr"), F.count("ipr").alias("n"))
-    of_mocks = lambda x: F.coalesce(F.sum(F.when(c("fato") == "m", c(x))), zero) if mocks_in_subject else F.max(zero)
-    whole = sums.groupBy(*keys).agg(*(of_mocks(x).alias(f"{x}_simulados") for x in "sqa"))
-    own = sums.where("fato <> 'm'").groupBy(*keys, "materia_id").agg(*(F.sum(x).alias(x) for x in ("m", "s", "q", "a", "ipr", "n")))
-    subjects = t["materia"].agg(F.collect_list(F.struct("materia_id", F.col("nome").alias("materia_nome"))).alias("todas"))
-    every = whole.crossJoin(subjects).select(*whole.columns, F.explode("todas").alias("x")).select(*whole.columns, "x.*")  # one row on the right
-    out = every.join(own, [*keys, "materia_id"], "left").fillna(0, ["m", "s", "q", "a", "n"])
-    asked, hit = c("q") + F.round(c("q_simulados") / 7).cast("long"), c("a") + c("a_simulados")
-    out = out.withColumns({"questoes": asked, "acertos": hit, "horas": rounded((c("m") + (c("s") + c("s_simulados")) / 60) / 60, 2), "ipr_medio": F.coalesce(mean("ipr", "n", 4), F.lit(0.0))})
-    out = out.withColumn("percentual_medio", pct("acertos", "questoes"))
-    again = rounded(c("questoes") * c("percentual_medio") / 100, 0).cast("long")
-    return out.select(*keys, "materia_id", "materia_nome", "horas", "questoes", "acertos", "percentual_medio", "ipr_medio", again.alias("acertos_estimados"))
+    of_mocks = lambda x: c(f"{x}_simulados") if mocks_in_subject else F.lit(0)
+    asked, hit = c("q") + F.round(of_mocks("q") / 7).cast("long"), c("a") + of_mocks("a")
+    s = s.withColumns({"questoes": asked, "acertos": hit, "horas": rounded((c("m") + (c("s") + of_mocks("s")) / 60) / 60, 2), "ipr_medio": F.coalesce(mean("ipr", "n", 4), F.lit(0.0))})
+    s = s.withColumn("percentual_medio", pct("acertos", "questoes"))
+    return s.withColumn("acertos_estimados", rounded(c("questoes") * c("percentual_medio") / 100, 0).cast("long"))
+
+
+def subject_dashboard(t: Tables, period: str, as_of: date, keys: list[str] = KEYS, mocks_in_subject: bool = True) -> DataFrame:
+    """What a dashboard filtered by a subject says, for every subject of every key with activity in the period.
+
+    Mock exams have no subject. By default each subject gets all their time and hits but a seventh of their questions, so a share may pass 100; mocks_in_subject=False leaves them out.
+    `acertos_estimados` are the hits that the share and the questions give again.
+    """
+    s = _shares(_by_subject(t, period, as_of, keys, before=False), mocks_in_subject)
+    return s.select(*keys, "materia_id", "materia_nome", "horas", "questoes", "acertos", "percentual_medio", "ipr_medio", "acertos_estimados")
 
 
 def subject_outlook(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
     """The subject dashboard with the score of the period before, trend, goals, mission and critical topics. Scores are those of blocks: mock exams have no subject."""
-    start, old = periods.start_of(period, as_of), periods.start_before(period, as_of)
-    by = [*keys, "materia_id"]
-    blocks, _ = _scored_since(t, old)
-    earlier = blocks.where(F.col("data") < F.lit(start)).groupBy(*by).agg(F.sum("ipr").alias("s"), F.count("*").alias("n")).select(*by, mean("s", "n", 4).alias("ipr_anterior"))
-    topics = critical_topics(t, period, as_of, by).groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list("assunto_id")).cast("array<string>"), ",").alias("assuntos_criticos"))
-    s = subject_dashboard(t, period, as_of, keys).join(earlier, by, "left").join(topics, by, "left").fillna(0.0, ["ipr_anterior"]).fillna("", ["assuntos_criticos"])
+    s = _shares(_by_subject(t, period, as_of, keys, before=True), mocks_in_subject=True)
+    s = s.withColumn("ipr_anterior", F.coalesce(mean("ipr_antes", "n_antes", 4), F.lit(0.0)))
     hours_goal, questions_goal = scores.GOALS.get(period, scores.YEAR_GOAL)
     s = s.withColumns({"tendencia": scores.trend(F.col("ipr_medio"), F.col("ipr_anterior")), "status_horas": scores.goal_status(F.col("horas"), hours_goal), "status_questoes": scores.goal_status(F.col("questoes"), questions_goal)})
     s = s.withColumn("status_missao", scores.mission_status(F.col("ipr_medio"), F.col("status_horas"), F.col("status_questoes"), F.col("tendencia")))
-    return s.select(*by, "horas", "questoes", "ipr_medio", "ipr_anterior", "tendencia", "status_horas", "status_questoes", "status_missao", "assuntos_criticos")
+    topics = F.coalesce(F.array_join(F.col("criticos").cast("array<string>"), ","), F.lit(""))
+    return s.select(*keys, "materia_id", "horas", "questoes", "ipr_medio", "ipr_anterior", "tendencia", "status_horas", "status_questoes", "status_missao", topics.alias("assuntos_criticos"))
 
 
 def mean_subject_ipr(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
