@@ -17,10 +17,9 @@ def one_digit(x: Column) -> Column:
     return rounded(x, 1).cast("decimal(20,1)").cast("string")
 
 
-def dashboard_advice(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
-    """The dashboard with `recomendacoes`, its texts in order. Row by row after the dashboard: no shuffle of its own."""
+def advised(d: DataFrame, period: str) -> DataFrame:
+    """Dashboards of a period with `recomendacoes`, their texts in order. Row by row, without a shuffle."""
     hours_goal, questions_goal = scores.GOALS.get(period, scores.YEAR_GOAL)
-    d = reports.dashboard(t, period, as_of, keys)
     own = d.columns
     d = d.withColumns(
         {
@@ -41,6 +40,10 @@ def dashboard_advice(t: Tables, period: str, as_of: date, keys: list[str] = KEYS
     return d.select(*own, F.when(F.size("recomendacoes") == 0, F.array(F.lit(texts.DASHBOARD_FALLBACK))).otherwise(F.col("recomendacoes")).alias("recomendacoes"))
 
 
+def dashboard_advice(t: Tables, period: str, as_of: date, keys: list[str] = KEYS) -> DataFrame:
+    return advised(reports.dashboard(t, period, as_of, keys), period)
+
+
 def essay_advice(t: Tables) -> DataFrame:
     """For each essay and competency: its name, diagnosis and exercise. Row by row, without a shuffle."""
     c, n = F.col("competencia"), F.col("nota")

@@ -272,13 +272,16 @@ def _with_advice(m: DataFrame) -> DataFrame:
         "distracao": F.coalesce("erros.taxa_distracao_pressa", F.lit(0.0)), "projetadas": F.col("projecao_fechamento.horas_projetadas"), "necessarias": F.col("projecao_fechamento.horas_necessarias"),
         "redacoes": F.coalesce("redacoes.total_redacoes", F.lit(0)), "nota_media": F.col("redacoes.nota_media"), "fraca": F.col("redacoes.mais_fraca_comum"),
     }
-    own = m.columns
-    m = m.select(F.struct(*own).alias("m"), *(v.alias(n) for n, v in told.items()))
+    m = m.select(F.struct(*m.columns).alias("m"), *(v.alias(n) for n, v in told.items()))
+    return m.select("m.*", F.when(F.col("m.ativo"), month_texts()).alias("recomendacoes_estrategicas"))
+
+
+def month_texts() -> Column:
+    """The advice on a month, as structs in order, from columns that tell of it; the general one where no condition holds."""
     names = ("categoria", "prioridade", "mensagem", "acao_sugerida")
     row = lambda cells_: F.struct(*(texts.filled(c).alias(n) for c, n in zip(cells_, names)))
     given = F.array_compact(F.array(*(F.when(F.expr(cond), row(c)) for cond, *c in texts.MONTH_ADVICE)))
-    given = F.when(F.size(given) == 0, F.array(row(texts.MONTH_FALLBACK))).otherwise(given)
-    return m.select("m.*", F.when(F.col("m.ativo"), given).alias("recomendacoes_estrategicas"))
+    return F.when(F.size(given) == 0, F.array(row(texts.MONTH_FALLBACK))).otherwise(given)
 
 
 SECTIONS = (

@@ -9,7 +9,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 from studyperf.functions import scores, texts
-from studyperf.operators import advice, breakdowns, essays, facts, monthly, reports
+from studyperf.operators import advice, breakdowns, essays, facts, monthly, reports, series
 from studyperf.plans import catalog
 from studyperf.sources import testviews
 
@@ -68,6 +68,43 @@ def test_report_holds_its_sections(spark):
     assert all(len(json.loads(r["balanceamento_materias"])) == 8 for r in whole)
 
 
+def cells(df):
+    """Rows with numbers to nine digits, whatever the order."""
+    plain = lambda x: f"{x:.9g}" if isinstance(x, float) else [plain(y) for y in x] if isinstance(x, (list, tuple)) else str(x)
+    return sorted(str([plain(r[c]) for c in sorted(df.columns)]) for r in df.collect())
+
+
+@pytest.mark.parametrize("keys", [["pessoa", "turma"], []])
+def test_every_section_equals_its_own_table(spark, keys):
+    """Keys other than the usual one, and none."""
+    t = testviews.tables(spark, SMALL, *catalog.REPORT_TABLES)
+    changed = {n: df.withColumnsRenamed({"aluno_id": "pessoa"}).withColumn("turma", F.col("pessoa") % 3) if "aluno_id" in df.columns else df for n, df in t.items()}
+    report = monthly.monthly_report(changed, catalog.AS_OF, keys).persist()
+    progress = {"mock_detail": lambda: breakdowns.mock_detail(changed, keys), "official_exam_detail": lambda: breakdowns.official_exam_detail(changed, keys), "month_projection": lambda: reports.month_projection(changed, catalog.AS_OF, keys)}
+    homes = (facts, breakdowns, essays, reports)
+    for name, section in (catalog.REPORTED | catalog.REPORTED_OVERALL).items():
+        own = progress[name]() if name in progress else next(getattr(m, name) for m in homes if hasattr(m, name))(changed, keys)
+        got = monthly.section_rows(report, section, keys)
+        assert {c: k for c, k in got.dtypes if c not in keys} == {c: k for c, k in own.dtypes if c not in keys}, name  # ids take the widest type of all facts
+        assert cells(got) == cells(own), name
+    assert set(report.columns) == {*keys, "mes", *monthly.SECTIONS}
+    report.unpersist()
+
+
+def test_report_takes_few_shuffles(spark):
+    t = testviews.tables(spark, SMALL, *catalog.REPORT_TABLES)
+    plans = {"report": (monthly.monthly_report(t, catalog.AS_OF), 10), "dashboard": (reports.dashboard(t, "ano", catalog.AS_OF), 5), "outlook": (series.subject_outlook(t, "ano", catalog.AS_OF), 6)}
+    for name, (df, most) in plans.items():
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= most, name
+
+
+def test_subjects_of_a_report_come_by_weight(spark):
+    t = testviews.tables(spark, SMALL, *catalog.REPORT_TABLES)
+    rows = monthly.monthly_report(t, catalog.AS_OF, []).select("balanceamento_materias").collect()
+    weights = [[x["peso_prova"] for x in r[0]] for r in rows if r[0]]
+    assert weights and all(w == sorted(w, reverse=True) for w in weights)
+
+
 def test_counts_without_keys(spark):
     t = testviews.tables(spark, SMALL, "sessao", "bloco", "erro", "simulado", "materia", "assunto")
     one = reports.analytics_counts(t, "ano", catalog.AS_OF, []).collect()
