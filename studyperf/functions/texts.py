@@ -102,10 +102,14 @@ def hours_text(hours: Column) -> Column:
     return F.concat(whole.cast("string"), F.lit("h"), F.when(rest == 0, "").otherwise(F.concat(F.lit(" "), rest.cast("string"), F.lit("min"))))
 
 
+#: Fixed value: where a joined text is parted.
+PARTED = r"\r?\n|(?:^|\s)[•\-▸·]\s+"
+
+
 def points(text: Column) -> Column:
     """A joined text's points: parted at line ends and bullets, trimmed, without empty ones. Null: none."""
     blank = r"^\s+|\s+$"
-    trimmed = F.transform(F.split(F.regexp_replace(text, blank, ""), r"\r?\n|(?:^|\s)[•\-▸·]\s+"), lambda p: F.regexp_replace(p, blank, ""))
+    trimmed = F.transform(F.split(F.regexp_replace(text, blank, ""), PARTED), lambda p: F.regexp_replace(p, blank, ""))
     return F.coalesce(F.filter(trimmed, lambda p: p != ""), F.array().cast("array<string>"))
 
 
