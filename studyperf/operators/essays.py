@@ -103,9 +103,11 @@ def essay_progress(t: Tables, keys: list[str] = KEYS, last: int = 10) -> DataFra
     e = essay_scores(t["redacao"]).select(*keys, "data_escrita", "redacao_id", "nota_total")
     sums = e.groupBy(*keys).agg(F.count("*").alias("total"), F.avg("nota_total").alias("media"), F.sum("nota_total").alias("soma"))
     w = Window.partitionBy(*keys).orderBy(F.desc("data_escrita"), F.desc("redacao_id"))
-    latest_ = e.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= last) if keys else e.orderBy(F.desc("data_escrita"), F.desc("redacao_id")).limit(last).withColumn("nth", F.row_number().over(w))
+    latest_ = e.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= last)
     series = latest_.groupBy(*keys).agg(F.max(F.when(F.col("nth") == 1, F.col("nota_total"))).alias("ultima"), F.sort_array(F.collect_list(F.struct(-F.col("nth"), "nota_total"))).alias("serie"))
-    g = sums.join(series, keys) if keys else sums.where("total > 0").crossJoin(series)  # one row each
+    # a row of each for a key, put together as groups are, so that a null key is one as well
+    either = sums.where("total > 0").unionByName(series, allowMissingColumns=True)
+    g = either.groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("total", "media", "soma", "ultima", "serie"))).where("total > 0")
     others = F.try_divide((F.col("soma") - F.col("ultima")).cast("double"), (F.col("total") - 1).cast("double"))
     average = rounded(F.col("media"), 1)
     return g.select(*keys, "total", average.alias("media"), "ultima", rounded(F.col("ultima") - F.coalesce(others, F.col("ultima").cast("double")), 1).alias("variacao"), scores.essay_level(F.col("media")).alias("nivel"), F.least(rounded(F.col("media") / 900 * 100, 0), F.lit(100.0)).alias("progresso"), F.array_join(F.transform("serie", lambda x: x["nota_total"].cast("string")), ",").alias("ultimas_notas"))

@@ -1,11 +1,13 @@
 """Numbered series, subject dashboards, time left, lists, stores: worked cases."""
 
+import re
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 from studyperf.functions import periods, scores
-from studyperf.operators import listing, series
-from studyperf.sources import store
+from studyperf.operators import essays, listing, series
+from studyperf.sources import store, testviews
 
 BLOCK = "bloco_id long, aluno_id long, data timestamp, materia_id long, assunto_id long, dificuldade int, total_questoes int, total_acertos int, tempo_total_segundos int"
 MOCK = "simulado_id long, aluno_id long, numero_ciclo int, numero_semana int, total_questoes int, total_acertos int, tempo_total_segundos int, nivel_ansiedade int, nivel_fadiga int, qualidade_sono int, criado_em timestamp"
@@ -78,3 +80,32 @@ def test_facts_and_essays_are_appended(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/analise").select("nota_total", "status", "competencia_mais_fraca").collect() == [(660, "regular", 3)]
     store.write_json(spark.createDataFrame([(1, date(2000, 3, 1))], "n int, mes date"), f"{folder}/json")
     assert spark.read.json(f"{folder}/json").where("ano = 2000 and mes_n = 3").count() == 1
+
+
+def progress(rows, last):
+    """By a plain loop: total, latest, change against the others' mean, and the last scores in order."""
+    rows = sorted(rows)
+    notes = [n for *_, n in rows]
+    others = notes[:-1]
+    return len(notes), notes[-1], round(notes[-1] - (sum(others) / len(others) if others else notes[-1]), 1), ",".join(map(str, notes[-last:]))
+
+
+@pytest.mark.parametrize("keys", [["aluno_id"], []])
+def test_progress_of_essays(spark, keys):
+    rng = [(k * 7919) % 1000 for k in range(60)]
+    rows = [(None if k % 4 == 0 else k % 4, datetime(2000, 1, 1 + x % 9), k, x % 3 * 40, x % 5 * 40, 40, 80, x % 6 * 20) for k, x in enumerate(rng)] + [(9, datetime(2000, 1, 1), 99, 0, 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "aluno_id int, data_escrita timestamp_ntz, redacao_id int, " + ", ".join(f"competencia{k} int" for k in range(1, 6))).repartition(4)
+    out = essays.essay_progress({"redacao": df}, keys, last=5)
+    groups = {}
+    for who, when, i, *notes in rows:
+        groups.setdefault(who if keys else "all", []).append((when, i, sum(notes)))
+    got = {r["aluno_id"] if keys else "all": (r["total"], r["ultima"], r["variacao"], r["ultimas_notas"]) for r in out.collect()}
+    assert got == {who: progress(x, 5) for who, x in groups.items()}
+    assert essays.essay_progress({"redacao": df.limit(0)}, keys).count() == 0
+
+
+def test_top_rows_are_chosen_in_each_task(spark):
+    t = testviews.tables(spark, "/root/testdata/sf0.001", "redacao", "simulado")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for top in (essays.essay_progress, lambda t, keys: series.mock_series(t, keys=keys)):
+        assert "TakeOrderedAndProject" in plan(top(t, [])) and re.search(r"WindowGroupLimit \[aluno_id.*Partial", plan(top(t, ["aluno_id"])))
