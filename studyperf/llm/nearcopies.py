@@ -109,6 +109,12 @@ def _apart(more: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(rooted.join(several, "key"), "apart")
 
 
+def _between(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes have different roots in rooted (node, root): others are linked already, and need no look at their texts."""
+    a, b = (rooted.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
+    return pairs.join(a, "a").join(b, "b").where("root_a <> root_b").select("a", "b")
+
+
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs of nodes with one key and different roots."""
     other = rows.select("key", F.col("node").alias("b"), F.col("root").alias("its"))
@@ -126,11 +132,11 @@ def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
     apart = _apart(more, edges)
     if not apart.isEmpty():
         edges = edges.union(_verified(_across(apart.where(F.col("n") <= GROUP)), texts))
-        large = apart.where(F.col("n") > GROUP).select("node").distinct()
+        large = stored(apart.where(F.col("n") > GROUP).select("node", "root").distinct(), "large")
         if not large.isEmpty():
             finer = stored(texts.join(large, "node", "left_semi").select("node", F.explode(F.pandas_udf(_finer, "array<long>")("text")).alias("key")), "finer")
             stars, more = _stars(finer)
-            edges = edges.union(_verified(stars, texts))
+            edges = edges.union(_verified(_between(stars, large), texts))
             edges = edges.union(_verified(_across(_apart(more, edges)), texts))
     return simhash.components(edges)
 
