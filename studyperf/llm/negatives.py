@@ -6,7 +6,7 @@ Anchors and rows meet in cells of a grid (a block of anchors, a block of rows).
 bounded whatever the table. Windows over these few then choose the winners. Anchors are asked against all rows twice: for the positives, and with their scores for the negatives.
 
 Rows with a null id, label or vector, or with a null or non-finite component, take no part; nor do rows whose squared length, in whole numbers, exceeds 2^55, since their scores could leave 64 bits. Vectors of unlike lengths are compared
-over their common components; an empty one scores 0. Ties go to the smaller id. An anchor's other rows are those of another id: rows that share an id are rows of their own, but never each other's positives. An anchor without positives,
+over their common components; an empty one scores 0. Ties go to the smaller id. An anchor's other rows are those of another id: rows that share an id are rows of their own, but neither positives nor negatives of each other. An anchor without positives,
 and a positive without rows in its band, gives no row. Columns other than the three named are ignored. An empty table gives an empty result.
 """
 
@@ -132,13 +132,13 @@ class Cell:
         for at in range(0, len(self.anchor), step):
             part = slice(at, at + step)
             scores = product([x[part] for x in own], theirs, moduli)
-            alike = self.label[part, None] == label
+            alike, other = self.label[part, None] == label, self.id[part, None] != ids
             if not self.places:
-                self.best[0].offer(at, scores, alike & (self.id[part, None] != ids), ids)
+                self.best[0].offer(at, scores, alike & other, ids)
                 continue
             for place in range(min(self.places, self.given.shape[1])):
                 top = self.given[part, place, None]
-                valid = ~alike & (self.count[part, None] > place) & (scores <= top) & (self.band[1] * scores >= self.band[0] * top)
+                valid = ~alike & other & (self.count[part, None] > place) & (scores <= top) & (self.band[1] * scores >= self.band[0] * top)
                 self.best[place].offer(at, scores, valid, ids)
 
     def found(self) -> pa.RecordBatch:

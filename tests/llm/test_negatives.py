@@ -35,6 +35,7 @@ def odd_rows():
     base = rng.normal(size=(12, 9))
     rows = [(i, int(i % 3), [float(x) for x in base[i % 12] + rng.normal(size=9) * (i % 5) / 8], "clash", 1, "clash") for i in range(400)]
     rows += [(1000 + i, i % 2, [0.5] * 9, None, None, None) for i in range(30)]  # equal vectors, tied scores
+    rows += [(100, 0, rows[100][2]), (100, 2, [x / 2 for x in rows[100][2]]), (101, 0, rows[101][2])]  # repeated ids
     rows += [(None, 1, [1.0] * 9), (2000, None, [1.0] * 9), (2100, 1, None), (2200, 1, [1.0, None]), (2300, 1, [float("nan")] * 9), (2400, 1, [float("inf")] * 9), (2500, 0, []), (2501, 0, [1.0]), (2502, 1, [2.0] * 12), (2600, 1, [1e30] * 9)]
     return [r if len(r) == 6 else (*r, None, None, None) for r in rows]
 
