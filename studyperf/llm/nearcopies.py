@@ -109,10 +109,11 @@ def _apart(more: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(rooted.join(several, "key"), "apart")
 
 
-def _between(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose nodes have different roots in rooted (node, root): others are linked already, and need no look at their texts."""
-    a, b = (rooted.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
-    return pairs.join(a, "a").join(b, "b").where("root_a <> root_b").select("a", "b")
+def _bridges(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, node, root): the pairs of each key's least node and its others of other roots; and the rows of keys with several roots, with their number n. Keys whose nodes are linked already are left out before anything is joined."""
+    several = met.groupBy("key").agg(F.min("node").alias("a"), F.min_by("root", "node").alias("its"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    more = stored(met.join(several.where("low <> high").drop("low", "high"), "key"), "bridges")
+    return more.where("root <> its").select("a", F.col("node").alias("b")).distinct(), more.select("key", "node", "n")
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -134,9 +135,9 @@ def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
         edges = edges.union(_verified(_across(apart.where(F.col("n") <= GROUP)), texts))
         large = stored(apart.where(F.col("n") > GROUP).select("node", "root").distinct(), "large")
         if not large.isEmpty():
-            finer = stored(texts.join(large, "node", "left_semi").select("node", F.explode(F.pandas_udf(_finer, "array<long>")("text")).alias("key")), "finer")
-            stars, more = _stars(finer)
-            edges = edges.union(_verified(_between(stars, large), texts))
+            finer = stored(texts.join(large, "node").select("node", "root", F.explode(F.pandas_udf(_finer, "array<long>")("text")).alias("key")), "finer")
+            bridges, more = _bridges(finer)
+            edges = edges.union(_verified(bridges, texts))
             edges = edges.union(_verified(_across(_apart(more, edges)), texts))
     return simhash.components(edges)
 
