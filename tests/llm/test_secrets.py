@@ -1,6 +1,7 @@
 """Base spans against plain regular expressions, the battery's p-values on prose, false discoveries, masking."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -10,7 +11,10 @@ from studyperf.llm import queries, secrets
 
 FOLDER = "/root/testdata/sf0.001"
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ALPHABETS = {"base 64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "letters and digits": "abcdefghijklmnopqrstuvwxyz0123456789", "base 16": "0123456789ABCDEF"}
+ALPHABETS = {
+    "base 64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base 62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base 36": "abcdefghijklmnopqrstuvwxyz0123456789", "base 32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base 16": "0123456789ABCDEF",
+}
 
 
 def base(text):
@@ -88,3 +92,75 @@ def test_masking(spark):
     got = sorted(((r["doc_id"] or 0), r["text"], r["n_chars"]) for r in out.collect() if r["text"] is not None)
     assert got == [(0, "plain", 5), (1, "a [SECRET] b [SECRET]", 21), (1, "a [SECRET] b [SECRET]", 21), (2, "[SECRET] end", 12)]
     assert out.count() == 5 and secrets.masked(docs.limit(0)).count() == 0
+
+
+def plain_battery(token):
+    """The battery, written out symbol by symbol."""
+    if token.isdigit():
+        return 1.0
+    squeezed = re.sub("(?<![A-Z])[A-Z](?=[a-z])", "a", token)
+    kinds = ["A" if c.isupper() else "0" if c.isdigit() else "a" for c in squeezed if c.isalnum()]
+    letters = [c for c in token.lower() if c.isalpha()]
+    turns = [c in "aeiouy" for c in letters]
+    changed = lambda x: sum(a != b for a, b in zip(x, x[1:]))
+    score = lambda x, n, mean, variance: (x - n * mean) / (secrets.SPREAD * math.sqrt(n * variance))
+    cell = {c: k for k, cells in enumerate(("aeinorst", "cdfghlmpu", "bjkqvwxyz")) for c in cells}
+    z = [-9.0]
+    if len(kinds) >= 12:
+        z.append(score(changed(kinds), len(kinds) - 1, 0.14, 0.14 * 0.86))
+    if len(letters) >= 12 and not re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        own = [score(sum(cell[c] for c in letters), len(letters), 0.5, 0.45), -score(changed(turns), len(letters) - 1, 0.53, 0.53 * 0.47)]
+        z += own + ([(own[0] + own[1] + z[1]) / (secrets.SPREAD * math.sqrt(3))] if len(kinds) >= 12 else [])
+    best = max(z)
+    return min(1.0, 4 * (1 - 1 / (1 + math.exp(-max(-700, min(700, 1.5976 * best + 0.07056 * best**3))))))
+
+
+def test_battery_equals_a_plain_one(spark, tokens):
+    r = random.Random(5)
+    more = ["0" * 25, "ABCDEF" * 4, "a" * 20, "+/_-" * 6, "A1" * 15, "abc-" * 9, "Ab" * 12, *("".join(r.choices("Aab1+e_", k=r.randrange(20, 60))) for _ in range(200))]
+    rows = spark.createDataFrame([(t,) for t in [*(t for _, t in tokens[::7]), *more]], "token string").select("token", secrets.battery(F.col("token")).alias("p")).collect()
+    assert all(abs(x["p"] - plain_battery(x["token"])) < 1e-9 for x in rows)
+
+
+@pytest.mark.parametrize("name", sorted(ALPHABETS))
+def test_random_tokens_are_found(spark, name):
+    r = random.Random(3)
+    planted = [(-k - 1, f"the key {''.join(r.choices(ALPHABETS[name], k=n))} stays here") for k in range(60) for n in [(32, 48, 64)[k % 3]]]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = secrets.scan(docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))).where("n_random > 0").select("doc_id").collect()
+    assert sum(x["doc_id"] < 0 for x in found) >= 0.9 * len(planted)
+    assert sum(x["doc_id"] >= 0 for x in found) <= 0.005 * docs.count()
+
+
+def test_many_matches_in_one_text(spark):
+    r = random.Random(9)
+    text = "é ".join("".join(r.choices("0123456789abcdef", k=24)) if k % 3 else "token=abcdef" + "x" * (k % 17) + " Some_words_in_a_row_here" for k in range(64_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = base(text)
+    row = secrets.scan(docs).first()
+    assert row["base"] == joined(spans)
+    pieces, at = [], 0
+    for start, end in (map(int, x.split(":")[1:]) for x in row["spans"].split(",")):
+        if start >= at:
+            pieces += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    assert secrets.masked(docs).first()["text"] == "".join([*pieces, text[at:]])
+
+
+def test_masking_keeps_odd_characters_and_names(spark):
+    text = "\ufeff😀 password=hunter22\ufeff é token=😀 secret=abcdefgh"
+    docs = spark.createDataFrame([(1, text, "a", "b", "c", "d", "e")], "doc_id long, text string, __base string, __more string, __all string, __new string, row string")
+    out = secrets.masked(docs)
+    assert out.columns == docs.columns
+    assert tuple(out.first()) == (1, "\ufeff😀 [SECRET]\ufeff é token=😀 [SECRET]", "a", "b", "c", "d", "e")
+
+
+def test_tokens_touched_by_other_spans_are_left_out(spark):
+    r = random.Random(21)
+    words = ["".join(r.choices(ALPHABETS["base 64"], k=r.randrange(10, 50))) for _ in range(60)] + ["deadbeef" * 4, "token=", "AKIA" + "Q" * 20, " ", "=", "é", "secret:"] * 12
+    texts = ["".join(r.choices(words, k=30)) for _ in range(40)]
+    rows = secrets.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for row in rows:
+        spans = base(texts[row["doc_id"]])
+        wanted = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", texts[row["doc_id"]]) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        assert [(s["start"], s["end"]) for s in row["__more"]] == wanted
