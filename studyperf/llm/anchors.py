@@ -359,15 +359,33 @@ def _portions(group: np.ndarray, data: list[bytes]) -> Iterator[np.ndarray]:
     yield from np.split(order, heads[np.flatnonzero(portion[1:] != portion[:-1]) + 1])
 
 
+def standing(p: Pieces, group: np.ndarray) -> np.ndarray:
+    """For each piece the one that stands for it: the first of its document with its text. So a text of one repeated byte has one piece to compare, not one for each window. Equal texts have equal groups."""
+    order = np.lexsort((group, p.doc))
+    same = (group[order][1:] == group[order][:-1]) & (p.doc[order][1:] == p.doc[order][:-1])
+    out, first = np.arange(len(p.data)), {}
+    for k in np.sort(order[np.append(same, False)[: len(order)] | np.append(False, same)[: len(order)]]).tolist():
+        out[k] = first.setdefault((int(p.doc[k]), p.data[k]), k)
+    return out
+
+
 def resolved(kind: Kind, p: Pieces, keys: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
     """Flags of what stands earlier in the pieces p, by the kind's method; and which pieces are not flagged as a whole. With keys single windows are compared, of pieces with equal keys; else whole pieces."""
     group = np.fromiter(map(xxhash.xxh32_intdigest, p.data), np.int64, len(p.data)) if keys is None else keys
     stays, packs = np.ones(len(p.data), bool), []
-    for rows in _portions(group, p.data) if len(p.data) else ():
+    stands = np.arange(len(p.data)) if kind.within else standing(p, group)
+    own = np.flatnonzero(stands == np.arange(len(stands)))
+    members, number = np.argsort(stands, kind="stable"), np.bincount(stands, minlength=len(stands))
+    begin = np.cumsum(number) - number
+    for rows in _portions(group[own], [p.data[k] for k in own.tolist()]) if len(own) else ():
+        rows = own[rows]
         piece, at, size, passage = kind.locate(group[rows], p.n[rows], [p.data[k] for k in rows.tolist()], keys is not None)
         piece = rows[piece]
-        gone = later(kind.within, passage, p.doc[piece], p.start[piece] + at)
-        piece, at, size = piece[gone], at[gone], size[gone]
+        gone = np.flatnonzero(later(kind.within, passage, p.doc[piece], p.start[piece] + at))
+        # what goes of a piece goes of all that it stands for
+        n = number[piece[gone]]
+        gone, inside = np.repeat(gone, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        piece, at, size = members[begin[piece[gone]] + inside], at[gone], size[gone]
         stays[piece[size == p.n[piece]]] = False
         packs += flags(p.doc[piece], p.start[piece] + at, size)
     return packs, stays

@@ -145,3 +145,19 @@ def test_no_documents_and_clashing_columns(spark, operator):
     wide = docs.selectExpr("*", *(f"'clash' as {c}" for c in ("doc", "spans", "slice", "anchor", "start", "n", "data", "flags", "kept", "unnamed")))
     assert removed(operator, wide) == removed(operator, docs)
     assert operator.digest(wide.limit(0)).count() == 0
+
+
+def test_texts_that_repeat_themselves(spark):
+    texts = ["a" * 150_000, "b" + "a" * 200_000 + "c" + "xyz" * 9_000, "xyz" * 30_000 + "a" * 49, "q" * 60 + "xyz" * 20 + "q" * 60, None, "q" * 70_000]
+    seen, wanted = set(), {}
+    for k, text in enumerate(texts):
+        data = (text or "").encode()
+        windows = [data[i : i + 50] for i in range(len(data) - 49)]
+        gone = np.zeros(len(data), bool)
+        for i, w in enumerate(windows):
+            if w in seen:
+                gone[i : i + 50] = True
+        seen.update(windows)
+        wanted[k] = bytes(np.frombuffer(data, np.uint8)[~gone])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: bytes(r["kept"]) for r in suffixes.deduplicated(docs).collect()} == wanted
