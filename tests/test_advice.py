@@ -132,3 +132,14 @@ def test_no_rows(spark):
     assert monthly.month_advice_rows(t, date(2000, 6, 15)).count() == 0
     assert advice.dashboard_advice(t, "mes", date(2000, 6, 15)).count() == 0
     assert advice.essay_advice(t).count() == 0
+
+
+def test_sections_alone_make_only_their_own_cells(spark):
+    """A section asked for alone reads no table that it does not need, and no cell meets the table of topics."""
+    t = testviews.tables(spark, SMALL, *catalog.REPORT_TABLES)
+    plan = lambda section: monthly.monthly_report(t, catalog.AS_OF, ["aluno_id"], (section,))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan("redacoes") and "o_orderkey" not in plan("redacoes") and "doc_id" in plan("redacoes")
+    assert "doc_id" not in plan("sessoes_por_tipo") and "p_partkey" not in plan("comparativo_mes_anterior")
+    whole = monthly.cells(t, ["aluno_id"])
+    assert "p_partkey" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert len(whole.columns) <= 16  # cells are narrow: key, month, tag, what they are broken down by, and a few numbers
