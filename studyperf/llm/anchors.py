@@ -35,6 +35,8 @@ LEAST_BITS, MOST_BITS = 23, 29
 CHUNK = 1 << 16
 #: Keys that a worker gathers before it sends them on; bytes of pieces that it gathers before it compares them and sends them on; bytes that the method gets at once.
 FLUSH, HELD, BYTES = 1 << 19, 4 << 20, 1 << 20
+#: Bytes of flags, unpacked, that a worker deals out at once.
+SPANS = 16 << 20
 #: Bytes of all documents' texts for each slice that pieces are dealt to.
 SLICE = 2 << 20
 #: Keys with more different pieces than this are crowded: their windows are dealt out one by one.
@@ -520,28 +522,40 @@ def windows_apart(own: DataFrame, kind: Kind, slices: int) -> DataFrame:
 
 
 def spans(found: DataFrame, kind: Kind) -> DataFrame:
-    """doc and spans: for each document what is covered, packed as first and past units; several packs for a document may overlap."""
+    """doc and spans: for each document what is covered, packed as first and past units. Flags go in packs to the slices of their documents, so their number does not grow with how many workers tell of a document."""
+    slices = 4 * slices_of(found.sparkSession)
+    shift = np.uint64(64 - (slices.bit_length() - 1))
 
-    def pack(held: list[bytes]) -> pd.DataFrame:
+    def deal(held: list[bytes]) -> pd.DataFrame:
         x = flagged(held)
-        doc, first, past = unions(x["doc"], x["start"], x["start"].astype(np.int64) + x["n"] + kind.window - 1)
-        docs, heads = np.unique(doc, return_index=True)
-        pairs, edges = np.stack([first, past], 1).astype("<i4"), np.append(heads, len(doc))
-        return pd.DataFrame({"doc": docs, "spans": [pairs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
+        doc, first, past = unions(x["doc"], x["start"], x["start"].astype(np.int64) + x["n"])
+        to = (mixed(doc.astype(np.int64).view(np.uint64)) >> shift).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        out, to = np.zeros(len(doc), FLAG), to[order]
+        out["doc"], out["start"], out["n"] = doc[order], first[order], (past - first)[order]
+        heads = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
+        return pd.DataFrame({"slice": to[heads], "flags": [squeezed(part.tobytes()) for part in np.split(out, heads[1:])]})
 
-    def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in batches:
-            held += batch["flags"].tolist()
-            size += batch["flags"].str.len().sum()
-            if size >= BYTES:
-                yield pack(held)
-                held, size = [], 0
+            for pack in batch["flags"]:
+                held.append(pack)
+                size += int.from_bytes(pack[:4], "little")
+                if size >= SPANS:
+                    yield deal(held)
+                    held, size = [], 0
         if held:
-            yield pack(held)
+            yield deal(held)
+
+    def united(group: pd.DataFrame) -> pd.DataFrame:
+        x = flagged(group["flags"].tolist())
+        doc, first, past = unions(x["doc"], x["start"], x["start"].astype(np.int64) + x["n"] + kind.window - 1)
+        docs, heads = np.unique(doc, return_index=True)
+        pairs, edges = np.stack([first, past], 1).astype("<i4"), np.append(heads, len(doc))
+        return pd.DataFrame({"doc": docs, "spans": [[pairs[a:b].tobytes()] for a, b in zip(edges[:-1], edges[1:])]})
 
-    packs = found.select("flags").mapInPandas(united, "doc long, spans binary")
-    return packs.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
+    return found.select("flags").mapInPandas(dealt, "slice int, flags binary").groupBy("slice").applyInPandas(united, "doc long, spans array<binary>")
 
 
 def merged(packs: list[bytes] | None) -> np.ndarray:

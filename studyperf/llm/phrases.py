@@ -11,6 +11,7 @@ Null texts have no words. A null id counts as larger than all others. Equal rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -39,7 +40,7 @@ _hashes = _Hashes()
 
 
 def _units(parts: list[list[bytes]]) -> np.ndarray:
-    return np.array([h for part in parts for h in map(_hashes.__getitem__, part)], np.uint64)
+    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, sum(map(len, parts)))
 
 
 class Shard:

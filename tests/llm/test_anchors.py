@@ -161,3 +161,15 @@ def test_texts_that_repeat_themselves(spark):
         wanted[k] = bytes(np.frombuffer(data, np.uint8)[~gone])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: bytes(r["kept"]) for r in suffixes.deduplicated(docs).collect()} == wanted
+
+
+def test_spans_of_many_packs_are_one_row_a_document(spark):
+    """However many packs tell of a document, it has one row, and what is dealt out is packs, not a row for each document and pack."""
+    doc = np.arange(500)
+    packs = [p for k in range(40) for p in anchors.flags(doc, np.full(500, 3 * k), np.full(500, 2))]
+    found = spark.createDataFrame([(bytearray(p),) for p in packs], "flags binary").repartition(20)
+    rows = anchors.spans(found, suffixes.KIND).collect()
+    assert sorted(r["doc"] for r in rows) == doc.tolist()
+    assert all(anchors.merged(r["spans"]).tolist() == [[0, 3 * 39 + 2 + suffixes.WINDOW - 1]] for r in rows)
+    dealt = anchors.spans(found, suffixes.KIND)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dealt(flags" in dealt and "collect_list" not in dealt
