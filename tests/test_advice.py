@@ -143,3 +143,22 @@ def test_sections_alone_make_only_their_own_cells(spark):
     whole = monthly.cells(t, ["aluno_id"])
     assert "p_partkey" not in whole._jdf.queryExecution().optimizedPlan().toString()
     assert len(whole.columns) <= 16  # cells are narrow: key, month, tag, what they are broken down by, and a few numbers
+
+
+def test_report_deals_its_cells_once(spark):
+    """By key alone: the sums of cells and months, and the month before, come without a further shuffle, and no cell is given twice."""
+    t = testviews.tables(spark, SMALL, "sessao", "bloco", "erro", "simulado", "materia", "assunto", "redacao")
+    for section in ("estado_mental", "comparativo_mes_anterior", "tendencia_erros", "blocos_por_dificuldade"):
+        plan = monthly.monthly_report(t, catalog.AS_OF, sections=(section,))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(aluno_id") == 1, section
+        assert "explode" not in plan, section
+
+
+def test_the_month_before_is_no_earlier_one(spark):
+    at = "timestamp'2020-%02d-10 08:00:00'"
+    t = testviews.tables(spark, SMALL, "sessao", "bloco", "erro", "simulado", "materia", "assunto", "redacao")
+    rows = " union all ".join(f"select 1L pai_id, {k}L aluno_id, {at % month} data, 1L materia_id, 1L assunto_id, 'TEORIA' tipo_sessao, {minutes} minutos_liquidos, 3 nivel_foco, 3 nivel_energia" for k, month, minutes in ((1, 1, 60), (1, 2, 120), (1, 4, 180), (2, 3, 240)))
+    t = {n: df.where("false") for n, df in t.items()} | {"sessao": spark.sql(rows)}
+    for keys, before in ((["aluno_id"], [0.0, 1.0, 0.0, 0.0]), ([], [0.0, 1.0, 2.0, 4.0])):
+        found = monthly.monthly_report(t, catalog.AS_OF, keys, ("comparativo_mes_anterior",)).orderBy(*keys, "mes").collect()
+        assert [r["comparativo_mes_anterior"]["horas_anterior"] for r in found] == before
