@@ -2,7 +2,8 @@
 
 Candidates come from the ball hashing of simhash.py (fingerprints within two bits) and, for all that it can't reach, from banded MinHash: 40 bands of 6 rows miss a pair at 0.8 with a chance of 5e-6, nearer pairs less. Each candidate
 is verified by its shingles themselves, as bytes. Only components matter, so a band's group first links its members to its least one, in proportion to its size. Groups that this leaves in several components are searched for links between
-these: small ones pair by pair, the members of large ones once more by 160 bands of 12 rows, and what is then still apart within one group pair by pair, whatever its size.
+these: small ones pair by pair, the members of large ones once more by 160 bands of 12 rows, and what is then still apart within one group pair by pair, whatever its size. Pairs are first held against each other by sketches, a bit of each of
+1920 least hashes: a group of many texts that are alike, but not by 0.8, makes few pairs whose texts have to meet. Sketches pass over a pair at 0.8 with a chance of 7e-7.
 
 Words are parted at white space, without the case of A-Z, as for the fingerprint. Texts of fewer than five words are one shingle; null, empty and blank texts are alike. Texts with the same words are one node. An empty table gives an empty result.
 """
@@ -22,6 +23,8 @@ from .common import small_batches, stored
 SHINGLE, SIMILAR = 5, 0.8
 #: Rows and bands of the search, and of the second one in large groups.
 LEVELS = ((6, 40), (12, 160))
+#: Bits of a sketch, and how many may differ: at 0.8 a tenth of them do, by chance.
+BITS, DIFFER = 1920, 258
 #: Up to so many members a group is searched pair by pair.
 GROUP = 16
 
@@ -40,21 +43,37 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def bands(grams: set[bytes], rows: int, count: int) -> np.ndarray:
-    """A key for each band."""
+def _least(grams: set[bytes], count: int) -> np.ndarray:
+    """The least hash of the grams by each of so many functions."""
     hashes = np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
-    factors = mixed(np.arange(1, rows * count + 1, dtype=np.uint64)) | np.uint64(1)
-    least, step = np.full(rows * count, 2**64 - 1, np.uint64), max(1, (1 << 18) // (rows * count))
+    factors = mixed(np.arange(1, count + 1, dtype=np.uint64)) | np.uint64(1)
+    least, step = np.full(count, 2**64 - 1, np.uint64), max(1, (1 << 18) // count)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), step):
             x = hashes[at : at + step, None] * factors
             np.minimum(least, (x ^ (x >> np.uint64(32))).min(0), out=least)
+    return least
+
+
+def _keys(least: np.ndarray, rows: int, count: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
         keys = np.arange(count, dtype=np.uint64) + np.uint64(rows << 32)
         for own in least.reshape(count, rows).T:
             keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + own)
     return keys.view(np.int64)
 
 
+def bands(grams: set[bytes], rows: int, count: int) -> np.ndarray:
+    """A key for each band."""
+    return _keys(_least(grams, rows * count), rows, count)
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """A bit of each of the first BITS least hashes."""
+    with np.errstate(over="ignore"):
+        return np.packbits((mixed(least[:BITS]) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def _node(text: str | None) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(_words(text)))).view(np.int64))
 
@@ -68,8 +87,10 @@ def _described(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "fp", "bands"])
 
 
-def _finer(texts: pd.Series) -> pd.Series:
-    return pd.Series([bands(shingles(t), *LEVELS[1]) for t in texts], dtype=object)
+def _finer(texts: pd.Series) -> pd.DataFrame:
+    rows, count = LEVELS[1]
+    least = [_least(shingles(t), rows * count) for t in texts]
+    return pd.DataFrame([(_keys(x, rows, count), sketch(x)) for x in least], columns=["keys", "sketch"])
 
 
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -116,10 +137,12 @@ def _bridges(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     return more.where("root <> its").select("a", F.col("node").alias("b")).distinct(), more.select("key", "node", "n")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes with one key and different roots."""
-    other = rows.select("key", F.col("node").alias("b"), F.col("root").alias("its"))
-    return rows.join(other, "key").where("node < b and root <> its").select(F.col("node").alias("a"), "b").distinct()
+def _across(rows: DataFrame, finer: DataFrame) -> DataFrame:
+    """Pairs of nodes with one key, different roots and sketches that are near."""
+    rows = rows.join(finer.select("node", "sketch"), "node")
+    other = rows.select("key", F.col("node").alias("b"), F.col("root").alias("its"), F.col("sketch").alias("theirs"))
+    differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("theirs")[k])) for k in range(BITS // 64)), F.lit(0))
+    return rows.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("its")) & (differ <= DIFFER)).select(F.col("node").alias("a"), "b").distinct()
 
 
 def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -132,13 +155,14 @@ def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
     edges = _verified(pairs, texts)
     apart = _apart(more, edges)
     if not apart.isEmpty():
-        edges = edges.union(_verified(_across(apart.where(F.col("n") <= GROUP)), texts))
+        finer = texts.join(apart.select("node").distinct(), "node").select("node", F.pandas_udf(_finer, "struct<keys:array<long>,sketch:array<long>>")("text").alias("x"))
+        finer = stored(finer.select("node", "x.*"), "finer")
+        edges = edges.union(_verified(_across(apart.where(F.col("n") <= GROUP), finer), texts))
         large = stored(apart.where(F.col("n") > GROUP).select("node", "root").distinct(), "large")
         if not large.isEmpty():
-            finer = stored(texts.join(large, "node").select("node", "root", F.explode(F.pandas_udf(_finer, "array<long>")("text")).alias("key")), "finer")
-            bridges, more = _bridges(finer)
+            bridges, more = _bridges(large.join(finer, "node").select("node", "root", F.explode("keys").alias("key")))
             edges = edges.union(_verified(bridges, texts))
-            edges = edges.union(_verified(_across(_apart(more, edges)), texts))
+            edges = edges.union(_verified(_across(_apart(more, edges), finer), texts))
     return simhash.components(edges)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from studyperf.llm import nearcopies
 
 RANDOM = random.Random(7)
@@ -64,3 +65,13 @@ def test_large_groups_are_searched_again(spark, monkeypatch):
 
 def test_no_documents(spark):
     assert nearcopies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_group_of_unlike_texts_makes_few_pairs(spark):
+    """Texts of one key that are alike by a half aren't all held against each other; those alike by 0.8 are."""
+    common = [f"comum{k}" for k in range(100)]
+    texts = [" ".join(common + [f"x{n}y{k}" for k in range(50)]) for n in range(60)] + [" ".join(common + [f"x7y{k}" for k in range(40)] + ["fim"])]
+    rows = spark.createDataFrame([("k", n, n, t) for n, t in enumerate(texts)], "key string, node long, root long, text string")
+    assert nearcopies.similarity(nearcopies.shingles(texts[7]), nearcopies.shingles(texts[60])) >= 0.8
+    finer = rows.select("node", F.pandas_udf(nearcopies._finer, "struct<keys:array<long>,sketch:array<long>>")("text").alias("x")).select("node", "x.*")
+    assert [tuple(r) for r in nearcopies._across(rows.drop("text"), finer).collect()] == [(7, 60)]
