@@ -24,23 +24,26 @@ from . import anchors
 from .common import doc_ids
 
 WINDOW, GRAM = 20, 8
-#: Words whose hashes a worker keeps; pieces in a shard, of which passages make an automaton.
-CACHE, SHARD = 150_000, 10_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-_hashes = _Hashes()
+#: Bytes of a word that are hashed one by one; pieces in a shard, of which passages make an automaton.
+LONG, SHARD = 64, 10_000
 
 
 def _units(parts: list[list[bytes]]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, sum(map(len, parts)))
+    """A hash for each word: of its bytes, from the prefix sums of all words joined; long words stand by a digest."""
+    words = list(chain.from_iterable(parts))
+    if not words:
+        return np.zeros(0, np.uint64)
+    data, ends = _joined(words)
+    if (np.diff(ends, prepend=-1) > LONG + 1).any():
+        data, ends = _joined([w if len(w) <= LONG else xxhash.xxh64_hexdigest(w).encode() for w in words])
+    start = np.append(0, ends[:-1] + 1)
+    return anchors.mixed(anchors.Prefixes(data.astype(np.uint64) + np.uint64(1)).of(start, ends - start))
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, a space after each but the last, and where each ends. No word holds a space."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    return data, np.append(np.flatnonzero(data == 32), len(data))
 
 
 class Shard:

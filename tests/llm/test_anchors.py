@@ -173,3 +173,13 @@ def test_spans_of_many_packs_are_one_row_a_document(spark):
     assert all(anchors.merged(r["spans"]).tolist() == [[0, 3 * 39 + 2 + suffixes.WINDOW - 1]] for r in rows)
     dealt = anchors.spans(found, suffixes.KIND)._jdf.queryExecution().optimizedPlan().toString()
     assert "dealt(flags" in dealt and "collect_list" not in dealt
+
+
+def test_words_have_one_hash_wherever_they_stand():
+    """Also long ones, which stand by a digest."""
+    long = b"a" * 1_000_000
+    words = [b"x", b"xx", b"xy", b"\x00", b"\x00\x00", b"a" * 64, b"a" * 65, long]
+    own = phrases._units([words]).tolist()
+    assert len(set(own)) == len(words)
+    assert phrases._units([[w] for w in reversed(words)]).tolist() == own[::-1]
+    assert [phrases._units([[w]]).tolist()[0] for w in words] == own and len(phrases._units([[], []])) == 0
