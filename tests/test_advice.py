@@ -162,3 +162,16 @@ def test_the_month_before_is_no_earlier_one(spark):
     for keys, before in ((["aluno_id"], [0.0, 1.0, 0.0, 0.0]), ([], [0.0, 1.0, 2.0, 4.0])):
         found = monthly.monthly_report(t, catalog.AS_OF, keys, ("comparativo_mes_anterior",)).orderBy(*keys, "mes").collect()
         assert [r["comparativo_mes_anterior"]["horas_anterior"] for r in found] == before
+
+
+@pytest.mark.parametrize(("own", "then"), [(None, "16m"), ("4m", "4m")])
+def test_report_parts_are_put_together_up_to_16_mb(spark, own, then):
+    """Facts are packed small, so that 64 MB of them are a large task; a size that the user has set stays."""
+    spark.conf.unset(monthly.PART)
+    try:
+        if own:
+            spark.conf.set(monthly.PART, own)
+        monthly.monthly_report(testviews.tables(spark, SMALL, *catalog.REPORT_TABLES), catalog.AS_OF, sections=("estado_mental",))
+        assert spark.conf.get(monthly.PART) == then
+    finally:
+        spark.conf.unset(monthly.PART)
