@@ -127,7 +127,7 @@ def _apart(more: DataFrame, edges: DataFrame) -> DataFrame:
     roots = simhash.components(edges)
     rooted = stored(more.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return stored(rooted.join(several, "key"), "apart")
+    return stored(rooted.join(several, "key", "left_semi"), "apart")
 
 
 def _bridges(met: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,11 +138,14 @@ def _bridges(met: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _across(rows: DataFrame, finer: DataFrame) -> DataFrame:
-    """Pairs of nodes with one key, different roots and sketches that are near."""
-    rows = rows.join(finer.select("node", "sketch"), "node")
-    other = rows.select("key", F.col("node").alias("b"), F.col("root").alias("its"), F.col("sketch").alias("theirs"))
-    differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("theirs")[k])) for k in range(BITS // 64)), F.lit(0))
-    return rows.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("its")) & (differ <= DIFFER)).select(F.col("node").alias("a"), "b").distinct()
+    """Pairs of nodes with a common key, different roots and sketches that are near. A pair may meet at many keys; the join gives it at the least of them alone."""
+    keys = stored(rows.groupBy("node").agg(F.collect_set("key").alias("keys")).join(finer.select("node", "sketch"), "node"), "sketches")
+    rows = rows.join(keys, "node").select("key", "node", "root", "sketch", "keys")
+    a, b = rows.alias("a"), rows.alias("b")  # the same columns, so that Spark shuffles them once for both sides
+    differ = sum((F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(BITS // 64)), F.lit(0))
+    first = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (differ <= DIFFER) & first)
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def components(docs: DataFrame, groups: DataFrame) -> DataFrame:

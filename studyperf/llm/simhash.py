@@ -113,10 +113,12 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
 
 
 def one_of_each(marked: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Of marked (documents with __key) one row of each component of rooted (key, low, root): that of the least low, then key."""
+    """Of marked (documents with __key) one row of each component of rooted (key, low, root): that of the least low, then key. The texts are shuffled once: the join and what follows it are dealt by the same columns."""
+    known = lambda c: (F.coalesce(c, F.lit(0)).alias("__id"), F.col(c).isNull().alias("__unnamed"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("unnamed"), "low", "key")).alias("x"))
-    least = least.select(F.col("x.key").alias("__key"), F.col("x.low").alias("__low"))
-    return marked.join(least, "__key").where(F.col("doc_id").eqNullSafe(F.col("__low"))).dropDuplicates(["__key"])
+    least = least.select(F.col("x.key").alias("__key"), *known("x.low"))
+    own = ["__key", "__id", "__unnamed"]
+    return marked.select("*", *known("doc_id")).join(least, own).dropDuplicates(own)
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from studyperf.llm import nearcopies
+from studyperf.llm import nearcopies, simhash
 
 RANDOM = random.Random(7)
 
@@ -75,3 +75,27 @@ def test_a_large_group_of_unlike_texts_makes_few_pairs(spark):
     assert nearcopies.similarity(nearcopies.shingles(texts[7]), nearcopies.shingles(texts[60])) >= 0.8
     finer = rows.select("node", F.pandas_udf(nearcopies._finer, "struct<keys:array<long>,sketch:array<long>>")("text").alias("x")).select("node", "x.*")
     assert [tuple(r) for r in nearcopies._across(rows.drop("text"), finer).collect()] == [(7, 60)]
+
+
+def test_a_pair_that_shares_many_keys_is_joined_once(spark):
+    """What comes out of the join needs no deduplication."""
+    text = " ".join(f"p{k}" for k in range(100))
+    texts = [(1, text), (2, text + " fim")]
+    rows = spark.createDataFrame([(key, n, n) for key in range(40) for n, _ in texts], "key long, node long, root long")
+    finer = spark.createDataFrame(texts, "node long, text string").select("node", F.pandas_udf(nearcopies._finer, "struct<keys:array<long>,sketch:array<long>>")("text").alias("x")).select("node", "x.*")
+    pairs = nearcopies._across(rows, finer)
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
+
+
+def test_kept_rows_shuffle_their_texts_once(spark):
+    """The texts go to the join, and no further to leave repeated rows out; ids that are null or 0 are two ids."""
+    marked = spark.createDataFrame([(1, "a", 7), (1, "a", 7), (2, "b", 7), (None, "c", 8), (0, "c", 8), (None, "d", 9), (None, "d", 9)], "doc_id long, text string, __key long")
+    rooted = spark.createDataFrame([(7, 1, 7), (8, 0, 8), (9, None, 9)], "key long, low long, root long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.one_of_each(marked, rooted).select("doc_id", "text")
+        assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert sorted(map(str, map(tuple, kept.collect()))) == ["(0, 'c')", "(1, 'a')", "(None, 'd')"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
