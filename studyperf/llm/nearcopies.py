@@ -2,8 +2,9 @@
 
 Candidates come from the ball hashing of simhash.py (fingerprints within two bits) and, for all that it can't reach, from banded MinHash: 40 bands of 6 rows miss a pair at 0.8 with a chance of 5e-6, nearer pairs less. Each candidate
 is verified by its shingles themselves, as bytes. Only components matter, so a band's group first links its members to its least one, in proportion to its size. Groups that this leaves in several components are searched for links between
-these: small ones pair by pair, the members of large ones once more by 160 bands of 12 rows, and what is then still apart within one group pair by pair, whatever its size. Pairs are first held against each other by sketches, a bit of each of
-1920 least hashes: a group of many texts that are alike, but not by 0.8, makes few pairs whose texts have to meet. Sketches pass over a pair at 0.8 with a chance of 7e-7.
+these: the members outside a group's main component are held against all of it, where that is at most GROUP pairs (so at most 512 for each member); the members of other groups are dealt once more by 160 bands of 12 rows, and what is then still
+apart within one group is searched like that, whatever its size. Pairs are first held against each other by sketches, a bit of each of 1920 least hashes: a group of many texts that are alike, but not by 0.8, makes few pairs whose texts have to
+meet. Sketches pass over a pair at 0.8 with a chance of 7e-7.
 
 Words are parted at white space, without the case of A-Z, as for the fingerprint. Texts of fewer than five words are one shingle; null, empty and blank texts are alike. Texts with the same words are one node. An empty table gives an empty result.
 """
@@ -25,8 +26,8 @@ SHINGLE, SIMILAR = 5, 0.8
 LEVELS = ((6, 40), (12, 160))
 #: Bits of a sketch, and how many may differ: at 0.8 a tenth of them do, by chance.
 BITS, DIFFER = 1920, 258
-#: Up to so many members a group is searched pair by pair.
-GROUP = 16
+#: Up to so many pairs a group is searched by sketches at once: a pair takes some 50 ns, a member's sketch and 160 finer keys far more.
+GROUP = 1 << 18
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -97,15 +98,15 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(shingles(x), shingles(y)) >= SIMILAR for x, y in zip(a, b)], dtype=bool)
 
 
-def _dealt(df: DataFrame) -> DataFrame:
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
     """df in as many parts as a shuffle has: few files would make large tasks of what their rows are exploded to."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def _stars(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, node): the pairs of each key's least node and its others; and the rows of keys with three nodes or more, with their number n."""
+    """Of rows (key, node): the pairs of each key's least node and its others; and the rows of keys with three nodes or more."""
     balls = stored(met.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "bands")
-    more = stored(met.join(balls.where("n > 2").select("key", "a", "n"), "key"), "members")
+    more = stored(met.join(balls.where("n > 2").select("key", "a"), "key"), "members")
     return balls.where("n = 2").select("a", "b").union(more.select("a", F.col("node").alias("b"))).where("a <> b").distinct(), more
 
 
@@ -122,30 +123,38 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(pairs.join(a, "a").join(b, "b").where(F.pandas_udf(_similar, "boolean")("x", "y")).select("a", "b"), "similar")
 
 
+def _divided(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, root) of keys with several roots, with the root that most of the key's rows have (main) and the number of pairs in which the others meet all of the key (pairs)."""
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("n")).where("n > x.c")
+    return rows.select("key", "node", "root").join(counts.select("key", F.col("x.root").alias("main"), F.expr("n * (n - x.c)").alias("pairs")), "key")
+
+
 def _apart(more: DataFrame, edges: DataFrame) -> DataFrame:
-    """The rows of more whose key has nodes of several components, with the node's root."""
+    """The rows of more whose key has nodes of several components, divided by the nodes' roots."""
     roots = simhash.components(edges)
-    rooted = stored(more.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return stored(rooted.join(several, "key", "left_semi"), "apart")
+    rooted = stored(more.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    return stored(_divided(rooted), "apart")
 
 
 def _bridges(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, node, root): the pairs of each key's least node and its others of other roots; and the rows of keys with several roots, with their number n. Keys whose nodes are linked already are left out before anything is joined."""
-    several = met.groupBy("key").agg(F.min("node").alias("a"), F.min_by("root", "node").alias("its"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    """Of rows (key, node, root): the pairs of each key's least node and its others of other roots; and the rows of keys with several roots. Keys whose nodes are linked already are left out before anything is joined."""
+    met = _dealt(met, "key")  # once for both uses
+    several = met.groupBy("key").agg(F.min("node").alias("a"), F.min_by("root", "node").alias("its"), F.min("root").alias("low"), F.max("root").alias("high"))
     more = stored(met.join(several.where("low <> high").drop("low", "high"), "key"), "bridges")
-    return more.where("root <> its").select("a", F.col("node").alias("b")).distinct(), more.select("key", "node", "n")
+    return more.where("root <> its").select("a", F.col("node").alias("b")).distinct(), more.select("key", "node")
 
 
 def _across(rows: DataFrame, finer: DataFrame) -> DataFrame:
-    """Pairs of nodes with a common key, different roots and sketches that are near. A pair may meet at many keys; the join gives it at the least of them alone."""
+    """Pairs of nodes with a common key, different roots and sketches that are near: those outside a key's main root meet all of the key. A pair may meet at many keys; the join gives it at the least of them alone."""
+    rows = rows if "main" in rows.columns else _divided(rows)
     keys = stored(rows.groupBy("node").agg(F.collect_set("key").alias("keys")).join(finer.select("node", "sketch"), "node"), "sketches")
-    rows = rows.join(keys, "node").select("key", "node", "root", "sketch", "keys")
-    a, b = rows.alias("a"), rows.alias("b")  # the same columns, so that Spark shuffles them once for both sides
+    rows = rows.join(keys, "node").select("key", "node", "root", "main", "sketch", "keys")
+    a, b = rows.where("root <> main").alias("a"), rows.alias("b")
     differ = sum((F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(BITS // 64)), F.lit(0))
     first = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
-    met = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (differ <= DIFFER) & first)
-    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where(once & (F.col("a.root") != F.col("b.root")) & (differ <= DIFFER) & first)
+    return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
 
 
 def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -160,8 +169,8 @@ def components(docs: DataFrame, groups: DataFrame) -> DataFrame:
     if not apart.isEmpty():
         finer = texts.join(apart.select("node").distinct(), "node").select("node", F.pandas_udf(_finer, "struct<keys:array<long>,sketch:array<long>>")("text").alias("x"))
         finer = stored(finer.select("node", "x.*"), "finer")
-        edges = edges.union(_verified(_across(apart.where(F.col("n") <= GROUP), finer), texts))
-        large = stored(apart.where(F.col("n") > GROUP).select("node", "root").distinct(), "large")
+        edges = edges.union(_verified(_across(apart.where(F.col("pairs") <= GROUP), finer), texts))
+        large = stored(apart.where(F.col("pairs") > GROUP).select("node", "root").distinct(), "large")
         if not large.isEmpty():
             bridges, more = _bridges(large.join(finer, "node").select("node", "root", F.explode("keys").alias("key")))
             edges = edges.union(_verified(bridges, texts))

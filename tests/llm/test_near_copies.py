@@ -63,6 +63,24 @@ def test_large_groups_are_searched_again(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == brute(texts)
 
 
+def test_groups_are_dealt_again_only_where_pairs_are_many(spark, monkeypatch):
+    """Groups of more than 16 texts whose pairs are few: no finer keys are made, and no link is lost."""
+    monkeypatch.setattr(nearcopies, "_bridges", lambda met: 1 / 0)
+    texts = planted()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == brute(texts)
+
+
+def test_a_large_component_meets_only_the_others(spark):
+    """Of a key with 300 nodes of one root and two others these two meet all, so the pairs don't grow with its square."""
+    rows = spark.createDataFrame([("k", n, 0) for n in range(300)] + [("k", 300, 300), ("k", 301, 301), ("same", 1, 0), ("same", 2, 0)], "key string, node long, root long")
+    divided = nearcopies._divided(rows)
+    assert {tuple(r) for r in divided.select("key", "main", "pairs").collect()} == {("k", 0, 302 * 2)}
+    finer = spark.createDataFrame([(n, [n % 2] * (nearcopies.BITS // 64)) for n in range(302)], "node long, sketch array<long>")
+    pairs = {tuple(r) for r in nearcopies._across(rows, finer).collect()}
+    assert pairs == {(n, 300) for n in range(300)} | {(n, 301) for n in range(302 - 1)}
+
+
 def test_no_documents(spark):
     assert nearcopies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
