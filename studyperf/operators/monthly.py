@@ -4,7 +4,7 @@ Facts give cells: a tag, the value it is broken down by, and what it adds. Cells
 in one aggregation by (key, month), where all sections are built as columns. The month before is the row before, of the key's months in order. So the number of shuffles does not grow with the number of sections.
 
 Where each key has few rows a month, summing leaves about as many cells as there were. So cells are narrow: all tags share a few numbers, LAYOUT says what they are; only the cells that the sections asked for take (NEEDS) are made, with no more
-numbers and values than these have. And they are dealt by key as they are, into as many parts as a shuffle has: both sums, and the months in order, then need no further shuffle. Without keys they are summed map-side first.
+numbers and values than these have. And they are dealt by key as they are, into as many parts as a shuffle has, or more where the facts' files are large: both sums, and the months in order, then need no further shuffle. Without keys they are summed map-side first.
 Topics may be many: they are summed and named apart, so that no cell has to meet their table.
 """
 
@@ -65,11 +65,32 @@ SECTIONS = tuple(NEEDS)
 
 #: Spark puts parts together up to so many bytes. Facts are packed some ten times smaller than they are in memory, so its own 64 MB are a large task.
 PART = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: How many parts Spark begins with, before it puts them together.
+BEGUN = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: A shuffle has a part for each so many bytes of files, so that what a task holds does not grow with the facts; but not more than MOST. From MANY on parts are put together up to 4 MB alone: there are enough of them for all cores.
+FILES, MANY, MOST = 2 << 20, 128, 10_000
+
+
+def _parts(*tables: DataFrame) -> int:
+    """As many parts as a shuffle has, or more where the tables come from large files. Tables of unknown size don't count."""
+    leaves = [seq.apply(i) for df in tables if (seq := df._jdf.queryExecution().optimizedPlan().collectLeaves()) is not None for i in range(seq.size())]
+    sizes = [int(str(x.stats().sizeInBytes())) for x in leaves if x.nodeName().endswith("Relation") and x.nodeName() != "InMemoryRelation"]
+    size = sum(s for s in sizes if s < 1 << 60)
+    return max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST, -(-size // FILES)))
 
 
 def _dealt(df: DataFrame, *by: str) -> DataFrame:
-    """df in as many parts as a shuffle has. Cells are mostly zeros: parts that Spark puts together by their compressed size would be too large."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by) if by else df
+    """df in that many parts. Cells are mostly zeros: parts that Spark puts together by their compressed size would be too large."""
+    return df.repartition(_parts(df), *by) if by else df
+
+
+def _set_parts(t: Tables) -> None:
+    """Lets the facts' own joins begin with that many parts, for with a fixed number each would grow with the facts. What the user has set stays; what a report has set follows the tables of the next one."""
+    conf, n = t["bloco"].sparkSession.conf, _parts(*(t[n] for n in ("sessao", "bloco", "erro", "simulado") if n in t))
+    for name, value in ((BEGUN, str(n)), (PART, "16m" if n < MANY else "4m")):
+        if conf.get(name, None) in (None, conf.get(f"studyperf.{name}", None)):
+            conf.set(name, value)
+            conf.set(f"studyperf.{name}", value)
 
 
 def _blocks(t: Tables) -> DataFrame:
@@ -384,8 +405,7 @@ def monthly_report(t: Tables, as_of: date, keys: list[str] = KEYS, sections: Col
     # so many columns make methods that the JVM would not compile; below this size Spark makes several of them
     conf = t["bloco"].sparkSession.conf
     conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    if conf.get(PART, None) is None:
-        conf.set(PART, "16m")
+    _set_parts(t)
     m = _with_advice(_with_sections(t, _gathered(t, keys, sections), as_of))
     return m.select(*keys, "mes", *(c for c in SECTIONS if c in sections and c in m.columns))
 

@@ -175,3 +175,30 @@ def test_report_parts_are_put_together_up_to_16_mb(spark, own, then):
         assert spark.conf.get(monthly.PART) == then
     finally:
         spark.conf.unset(monthly.PART)
+
+
+def test_report_parts_follow_the_facts(spark, monkeypatch):
+    """With a fixed number of parts each would grow with the facts; a number that the user has set stays."""
+    t = testviews.tables(spark, SMALL, *catalog.REPORT_TABLES)
+    dealt = lambda: monthly.cells(t, ["aluno_id"], ("sessoes",))._jdf.queryExecution().optimizedPlan().toString()
+    asked = lambda: monthly._set_parts(t)  # noqa: E731  as the report does
+    spark.conf.unset(monthly.BEGUN)
+    spark.conf.unset(monthly.PART)
+    try:
+        asked()
+        assert spark.conf.get(monthly.BEGUN) == "8" and "RepartitionByExpression [aluno_id#" in dealt() and ", 8" in dealt()
+        monkeypatch.setattr(monthly, "FILES", 1000)
+        asked()
+        many = int(spark.conf.get(monthly.BEGUN))
+        assert many > monthly.MANY and spark.conf.get(monthly.PART) == "4m"
+        assert f", {monthly._parts(t['sessao'])}" in dealt() and monthly._parts(t["sessao"]) > 8
+        monkeypatch.setattr(monthly, "FILES", 1 << 30)
+        asked()
+        assert spark.conf.get(monthly.BEGUN) == "8" and spark.conf.get(monthly.PART) == "16m"
+        spark.conf.set(monthly.BEGUN, "20")
+        asked()
+        assert spark.conf.get(monthly.BEGUN) == "20"
+        assert monthly._parts(spark.sparkContext.parallelize([(1,)]).toDF(["a"])) == 8  # of unknown size
+    finally:
+        spark.conf.unset(monthly.BEGUN)
+        spark.conf.unset(monthly.PART)
