@@ -307,7 +307,9 @@ def _some(array: Column | str) -> Column:
 
 
 def _first_names(array: Column, name: str) -> Column:
-    return F.when(F.size(array) > 0, F.array_join(F.transform(F.slice(array, 1, 3), lambda x: x[name]), ", "))
+    """Of the first three, those that have a name; null if none has."""
+    names = F.array_compact(F.transform(F.slice(array, 1, 3), lambda x: x[name]))
+    return F.when(F.size(names) > 0, F.array_join(names, ", "))
 
 
 def _summed(m: DataFrame) -> DataFrame:
@@ -377,6 +379,8 @@ def _with_sections(t: Tables, m: DataFrame, as_of: date) -> DataFrame:
 def _with_advice(m: DataFrame) -> DataFrame:
     """`recomendacoes_estrategicas` of the months with a session, block or mock exam."""
     critical = F.filter(F.coalesce("blocos_por_assunto", F.array()), lambda a: (a["ipr_medio"] < 70) & (a["total_blocos"] >= 2))
+    # the section itself begins with the subject, and stands in its order
+    critical = F.sort_array(F.transform(critical, lambda a: F.struct(a["assunto_id"].isNull().alias("sem_id"), a["assunto_id"].alias("assunto_id"), a["assunto_nome"].alias("assunto_nome"))))
     neglected = F.filter("balanceamento_materias", lambda b: b["peso_vs_tempo"] == "SUBINVESTIDA")
     tenth = lambda x: rounded(x, 1).cast("decimal(20,1)").cast("string")
     told = {

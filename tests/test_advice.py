@@ -4,7 +4,7 @@ import json
 import os
 import subprocess
 import sys
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +164,17 @@ def test_the_month_before_is_no_earlier_one(spark):
         assert [r["comparativo_mes_anterior"]["horas_anterior"] for r in found] == before
 
 
+def test_critical_topics_come_by_their_ids(spark):
+    """Not by their subjects; those without id come last, and without a name there is no text."""
+    t = {n: df.where("false") for n, df in testviews.tables(spark, SMALL, "sessao", "bloco", "erro", "simulado", "materia", "assunto", "redacao").items()}
+    t["assunto"] = spark.createDataFrame([(k, s, f"T{k}", 1) for k, s in ((10, 3), (11, 1), (12, 2), (13, 0))], "assunto_id long, materia_id long, nome string, semana_do_ciclo int")
+    rows = [(1, None), (1, 13), (1, 12), (1, 10), (1, 11), (2, 11), (2, None), (3, None)] * 2
+    kinds = "bloco_id long, aluno_id long, data timestamp, materia_id long, assunto_id long, dificuldade int, total_questoes int, total_acertos int, tempo_total_segundos int, nivel_confianca_medio int"
+    t["bloco"] = spark.createDataFrame([(k, 1, datetime(2020, month, 10, 8), 1, topic, 1, 10, 2, 3000, 3) for k, (month, topic) in enumerate(rows)], kinds)
+    found = sorted((r["mes"], r["mensagem"]) for r in monthly.month_advice_rows(t, catalog.AS_OF, []).collect() if r["categoria"] == "ASSUNTOS_CRÍTICOS")
+    assert [text for _, text in found] == ["5 assunto(s) com IPR abaixo de 70%: T10, T11, T12.", "2 assunto(s) com IPR abaixo de 70%: T11.", None]
+
+
 @pytest.mark.parametrize(("own", "then"), [(None, "16m"), ("4m", "4m")])
 def test_report_parts_are_put_together_up_to_16_mb(spark, own, then):
     """Facts are packed small, so that 64 MB of them are a large task; a size that the user has set stays."""
