@@ -175,6 +175,39 @@ def test_critical_topics_come_by_their_ids(spark):
     assert [text for _, text in found] == ["5 assunto(s) com IPR abaixo de 70%: T10, T11, T12.", "2 assunto(s) com IPR abaixo de 70%: T11.", None]
 
 
+def test_report_makes_its_cells_after_dealing(spark):
+    """What is shuffled by key are facts, exams and essays, a row each; their many cells are not."""
+    t = testviews.tables(spark, SMALL, *catalog.REPORT_TABLES)
+    plan = monthly.monthly_report(t, catalog.AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    made, dealt = plan.index("Generate inline"), plan.index("RepartitionByExpression [aluno_id")
+    assert made < dealt and "Generate" not in plan[dealt:]
+    assert plan.count("RepartitionByExpression [aluno_id") == 2  # facts, and what stands beside them
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_repeated_and_unknown_topics(spark, monkeypatch, few):
+    """A repeated topic is a row for each of its names and doubles no block; an unknown one has its id as its name. Wherever topics are named."""
+    monkeypatch.setattr(monthly, "_few_topics", lambda t: few)
+    t = {n: df.where("false") for n, df in testviews.tables(spark, SMALL, "sessao", "bloco", "erro", "simulado", "redacao").items()} | testviews.tables(spark, SMALL, "materia")
+    t["assunto"] = spark.createDataFrame([(10, 1, "A", 1), (10, 2, "B", 2), (11, 99, "C", 3)], "assunto_id long, materia_id long, nome string, semana_do_ciclo int")
+    kinds = "bloco_id long, aluno_id long, data timestamp, materia_id long, assunto_id long, dificuldade int, total_questoes int, total_acertos int, tempo_total_segundos int, nivel_confianca_medio int"
+    t["bloco"] = spark.createDataFrame([(k, 1, datetime(2020, 1, 10, 8), 1, topic, 1, 10, 2, 3000, 3) for k, topic in enumerate((10, 10, 11, 12, None))], kinds)
+    row = monthly.monthly_report(t, catalog.AS_OF, sections=("resumo_geral", "blocos_por_assunto")).collect()[0]
+    got = [(x["assunto_id"], x["assunto_nome"], x["materia_nome"], x["total_blocos"]) for x in row["blocos_por_assunto"]]
+    assert sorted(got, key=str) == sorted([(10, "A", "MATERIA_1", 2), (10, "B", "MATERIA_2", 2), (11, "C", None, 1), (12, "12", None, 1), (None, None, None, 1)], key=str)
+    assert row["resumo_geral"]["total_blocos"] == 5
+
+
+def test_few_topics_in_use_of_a_large_table(spark, monkeypatch):
+    t = testviews.tables(spark, SMALL, "bloco", "assunto")
+    assert monthly._few_topics(t)
+    t["assunto"] = spark.createDataFrame(t["assunto"].rdd, t["assunto"].schema)  # of unknown size
+    used = t["bloco"].select("assunto_id").distinct().count()
+    for most, few in ((used, True), (used - 1, False)):
+        monkeypatch.setattr(monthly, "FEW", most)
+        assert monthly._few_topics(t) == few
+
+
 @pytest.mark.parametrize(("own", "then"), [(None, "16m"), ("4m", "4m")])
 def test_report_parts_are_put_together_up_to_16_mb(spark, own, then):
     """Facts are packed small, so that 64 MB of them are a large task; a size that the user has set stays."""
